@@ -68,14 +68,15 @@ def hamming_arrow(
     return _scaled(mismatches_arrow(a, b), a, b, normalize, empty, pad)
 
 
-def kmers(c: Column, k: int) -> Column:
-    """All substrings of length ``k`` in order, linear in the length."""
-    n = F.length(c) - k + 1
+def shifted(c: Column, k: int) -> Column:
+    """Array of structs ``s0..s(k-1)``: each symbol with the k - 1 after it.
+
+    Explode first and concatenate the fields afterwards: that runs in generated code.
+    """
     symbols = F.split(c, "")
-    out = F.slice(symbols, 1, n)
-    for j in range(1, k):
-        out = F.zip_with(out, F.slice(symbols, j + 1, n), lambda x, y: F.concat(x, y))
-    return F.when(n > 0, out).otherwise(F.array().cast("array<string>"))
+    n = F.length(c) - k + 1
+    fields = [F.slice(symbols, j + 1, F.greatest(n, F.lit(0))).alias(f"s{j}") for j in range(k)]
+    return F.arrays_zip(*fields)
 
 
 def symbol_fraction(c: Column, symbols: str) -> Column:

@@ -64,7 +64,7 @@ def between(df: DataFrame, col: str, lo, hi) -> DataFrame:
 
 def canonical(df: DataFrame, seq: str = "sequence") -> DataFrame:
     """Sequence as trimmed upper-case text."""
-    return df.withColumn(seq, F.upper(F.trim(F.col(seq).cast("string"))))
+    return df.withColumn(seq, F.upper(F.btrim(F.col(seq).cast("string"), F.lit(" \t\n\r\f\v"))))
 
 
 def min_length(df: DataFrame, n: int = 50, seq: str = "sequence") -> DataFrame:

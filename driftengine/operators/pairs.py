@@ -131,16 +131,16 @@ def medoid(df: DataFrame, group: str = "grp", seq: str = "sequence") -> DataFram
     counts = materialize(symbol_counts(d, (group,), seq))
     reach = counts.groupBy(group, "position").agg(F.sum("n").alias("l"))
     per = counts.join(reach, [group, "position"])
-    sizes = d.groupBy(group).agg(F.count(F.lit(1)).alias("N"), F.sum(F.length(seq)).alias("T"))
+    sizes = d.groupBy(group).agg(F.count(F.lit(1)).alias("n_rows"), F.sum(F.length(seq)).alias("n_symbols"))
     sizes = materialize(sizes)
     lookup = per.join(sizes, group).select(
-        group, "position", "symbol", (F.col("N") - F.col("n") - F.col("l")).alias("v"))
+        group, "position", "symbol", (F.col("n_rows") - F.col("n") - F.col("l")).alias("v"))
     long = d.select("id", group, F.posexplode_outer(F.split(seq, "")).alias("position", "symbol"))
     own = dim_join(long, lookup, [group, "position", "symbol"], "left").groupBy("id", group).agg(
         F.coalesce(F.sum("v"), F.lit(0)).alias("v"))
     best = own.groupBy(group).agg(F.min(F.struct("v", "id")).alias("m"))
     return best.join(sizes, group).select(
-        group, F.col("m.id").alias("id"), ((F.col("T") + F.col("m.v")) / F.col("N")).alias("mean_distance"))
+        group, F.col("m.id").alias("id"), ((F.col("n_symbols") + F.col("m.v")) / F.col("n_rows")).alias("mean_distance"))
 
 
 def _codes(texts: Sequence[str], width: int | None = None) -> np.ndarray:
@@ -153,14 +153,19 @@ def _codes(texts: Sequence[str], width: int | None = None) -> np.ndarray:
     return out
 
 
+def _to_rows(text: str, codes: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    own = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
+    m = min(len(own), codes.shape[1])
+    short = np.minimum(lens, len(own))
+    inside = np.arange(m) < short[:, None]
+    mismatch = ((codes[:, :m] != own[:m]) & inside).sum(axis=1)
+    return np.where(short > 0, mismatch / np.maximum(short, 1), 1.0 * (lens != len(own)))
+
+
 def _matrix(texts: Sequence[str]) -> np.ndarray:
-    """Padded mismatches of every pair over the shorter length."""
+    """Share of differing positions over the shared prefix, every pair."""
     codes, lens = _codes(texts), np.array([len(t) for t in texts])
-    out = np.zeros((len(texts), len(texts)))
-    for i in range(len(texts)):
-        short = np.maximum(np.minimum(lens[i], lens), 1)
-        out[i] = (codes[i] != codes).sum(axis=1) / short
-    return out
+    return np.array([_to_rows(t, codes, lens) for t in texts])
 
 
 def diverse_select(
@@ -218,10 +223,7 @@ def landmark_map(
         for pdf in batches:
             rows = []
             for text in pdf[seq]:
-                own = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
-                m = min(len(own), codes.shape[1])
-                mismatch = (codes[:, :m] != own[:m]).sum(axis=1) + np.maximum(lens - m, 0) + (len(own) - m)
-                d = mismatch / np.maximum(np.minimum(lens, len(own)), 1)
+                d = _to_rows(text, codes, lens)
                 xy = -0.5 * place @ (d**2 - mean_sq)
                 gap = np.sqrt(((where - xy) ** 2).sum(axis=1)) - d
                 rows.append((xy[0], xy[1], (gap**2).sum(), (d**2).sum()))

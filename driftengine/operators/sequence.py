@@ -16,7 +16,7 @@ from driftengine.functions.columns import (
     chars,
     hamming,
     hamming_arrow,
-    kmers,
+    shifted,
     symbol_fraction,
 )
 from driftengine.functions.tails import chi2_sf
@@ -146,8 +146,10 @@ def position_entropy(
 def kmer_profile(df: DataFrame, k: int = 2, key: str = "id", seq: str = "sequence") -> DataFrame:
     """Long sparse k-mer frequencies: ``key, kmer, n, freq``."""
     total = (F.length(seq) - (k - 1)).alias("__t")
-    long = df.select(key, total, F.explode(kmers(F.col(seq), k)).alias("kmer"))
-    counts = long.groupBy(key, "__t", "kmer").agg(F.count(F.lit(1)).alias("n"))
+    long = df.where(F.length(seq) >= k).select(
+        key, total, F.explode_outer(shifted(F.col(seq), k)).alias("__p"))
+    kmer = F.concat(*[F.col(f"__p.s{j}") for j in range(k)])
+    counts = long.groupBy(key, "__t", kmer.alias("kmer")).agg(F.count(F.lit(1)).alias("n"))
     return counts.select(key, "kmer", "n", (F.col("n") / F.col("__t")).alias("freq"))
 
 

@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftengine.operators.sequence import to_sequence
+from driftengine.operators.sequence import diff_events, flag_region, modal_reference, to_sequence
+from driftengine.scale import materialize
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -85,3 +86,107 @@ def events_sql(src: str) -> str:
     FROM {src} s JOIN refs r USING (grp),
       LATERAL (SELECT unnest(range(1, least(length(s.sequence), r.ref_length) + 1)) AS i) g)
     WHERE ref_char <> var_char)"""
+
+
+PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+ALPHABET = "ABCDEFGHIJK"
+
+
+def order_events(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Order records, their modal references (orders of four lines or more vote) and the
+    differences from them."""
+    records = materialize(order_records(spark, d))
+    ref = materialize(modal_reference(records, where=F.length("sequence") >= 4))
+    return records, ref, diff_events(records, ref)
+
+
+EV = f"""{ORDS}, {modal_sql('ords', 'length(sequence) >= 4')},
+  {events_sql('ords')}"""
+
+
+def regions(spark: SparkSession) -> DataFrame:
+    """Two position regions per priority, as a user would supply them."""
+    rows = [(g, name, lo, hi) for g in PRIORITIES for name, lo, hi in (("head", 0, 1), ("mid", 2, 4))]
+    return spark.createDataFrame(rows, "grp string, region string, start int, end int")
+
+
+FLAGGED = f"""{EV}, fev AS (SELECT *, (position = 0 OR position IN (2, 3)) AS in_region FROM ev)"""
+
+
+def flagged_events(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    records, ref, events = order_events(spark, d)
+    return records, ref, flag_region(events, regions(spark))
+
+
+def predictions(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as scored rows: label = finished, prob = scaled price, three class probabilities."""
+    prob = F.col("o_totalprice") / F.lit(499999.0)
+    return table(spark, d, "orders").select(
+        F.col("o_orderkey").alias("id"),
+        F.col("o_orderpriority").alias("grp"),
+        F.year("o_orderdate").alias("period"),
+        (F.col("o_orderstatus") == "F").cast("int").alias("label"),
+        prob.alias("prob"),
+        prob.alias("c0"),
+        ((1 - prob) * F.lit(0.6)).alias("c1"),
+        ((1 - prob) * F.lit(0.4)).alias("c2"),
+    )
+
+
+PREDS = """preds AS (SELECT o_orderkey AS id, o_orderpriority AS grp,
+  CAST(year(o_orderdate) AS INTEGER) AS period,
+  CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS label, o_totalprice / 499999e0 AS prob,
+  o_totalprice / 499999e0 AS c0, (1 - o_totalprice / 499999e0) * 6e-1 AS c1,
+  (1 - o_totalprice / 499999e0) * 4e-1 AS c2 FROM orders)"""
+
+
+def month_series(spark: SparkSession, d: str) -> DataFrame:
+    """Orders per month and priority: count, mean price, finished share; period = month number."""
+    month = (F.year("o_orderdate") - 1995) * 12 + F.month("o_orderdate")
+    return table(spark, d, "orders").select(
+        F.col("o_orderpriority").alias("grp"), month.alias("period"), "o_totalprice", "o_orderstatus"
+    ).groupBy("grp", "period").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.avg("o_totalprice").alias("mean_price"),
+        F.avg((F.col("o_orderstatus") == "F").cast("double")).alias("finished"),
+    )
+
+
+MONTHS = """months AS (SELECT o_orderpriority AS grp,
+  CAST((year(o_orderdate) - 1995) * 12 + month(o_orderdate) AS INTEGER) AS period,
+  count(*) AS n, avg(o_totalprice) AS mean_price,
+  avg(CASE WHEN o_orderstatus = 'F' THEN 1e0 ELSE 0e0 END) AS finished
+  FROM orders GROUP BY 1, 2)"""
+
+
+def day_metrics(spark: SparkSession, d: str) -> DataFrame:
+    """Metric vector per event type and day: mean value, share of large values, users, events."""
+    day = F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date"))
+    return table(spark, d, "events").select(
+        F.col("event_type").alias("entity"), day.alias("version"), "value", "user_id"
+    ).groupBy("entity", "version").agg(
+        (F.avg("value") / 100).alias("m1"),
+        F.avg((F.col("value") > 50).cast("double")).alias("m2"),
+        (F.stddev_pop("value") / 100).alias("m3"),
+        F.count(F.lit(1)).alias("n"),
+    )
+
+
+DAYS = """days AS (SELECT event_type AS entity,
+  CAST(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS INTEGER) AS version,
+  avg(value) / 100 AS m1, avg(CASE WHEN value > 50 THEN 1e0 ELSE 0e0 END) AS m2,
+  stddev_pop(value) / 100 AS m3, count(*) AS n FROM events GROUP BY 1, 2)"""
+
+
+def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    """Doubles rounded for comparison, without negative zero."""
+    return df.select(*[
+        (F.round(F.col(f"`{f.name}`"), digits) + F.lit(0.0)).alias(f.name)
+        if f.dataType.typeName() in ("double", "float") else F.col(f"`{f.name}`")
+        for f in df.schema.fields
+    ])
+
+
+def R(expr: str, name: str | None = None) -> str:
+    """SQL twin of ``rounded`` for one column."""
+    return f"round({expr}, 6) + 0e0 AS {name or expr}"
