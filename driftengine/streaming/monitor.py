@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from driftengine.operators.monitor import alert_level
 from driftengine.operators.stats import baseline_distance
@@ -71,32 +70,45 @@ def self_baseline(windows: DataFrame, threshold: float = 0.15, entity: str = "en
 
 
 def stream_self_baseline(
-    sdf: DataFrame, window: str = "1 day", watermark: str = "1 hour", threshold: float = 0.15,
-    entity: str = "entity", error: Column | None = None,
-) -> DataFrame:
-    """Distance of each closed window to the first closed window of its entity.
-
-    The state is one metric vector per entity; the windows are aggregated before, so a busy
-    entity sends one row per window to its state.
+    sdf: DataFrame, path: str, window: str = "1 day", watermark: str = "1 hour",
+    threshold: float = 0.15, entity: str = "entity", error: Column | None = None,
+) -> DataStreamWriter:
+    """Writer that keeps each entity's first closed window as its baseline and appends the
+    distance of every closed window to ``path/out``.
+
+    Windows are aggregated first, so a busy entity sends one row per window. Baselines live in
+    ``path/baseline``, one folder per micro-batch that saw new entities. A repeated batch reads
+    only older folders and overwrites its own, so the result is the same after a restart.
     """
     closed = window_metrics(sdf.withWatermark("ts", watermark), window, None, entity, error)
-    closed = closed.select(
-        F.col(entity).cast("string").alias("entity"), "window_start", "window_end", "n", *METRICS)
-
-    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches)).sort_values("window_start")
-        if state.exists:
-            base = state.get
-        else:
-            base = tuple(float(v) for v in rows[METRICS].iloc[0])
-            state.update(base)
-        total = sum((rows[m] - b) ** 2 for m, b in zip(METRICS, base))
-        rows["distance"] = total**0.5
-        rows["drift"] = (rows["distance"] > threshold).astype("int32")
-        yield rows[["entity", "window_start", "window_end", "n", *METRICS, "distance", "drift"]]
-
-    schema = ("entity string, window_start timestamp, window_end timestamp, n long, "
-              "mean_metric double, error_share double, distance double, drift int")
-    state = "mean_metric double, error_share double"
-    return closed.groupBy("entity").applyInPandasWithState(
-        step, schema, state, "append", GroupStateTimeout.NoTimeout)
+    known_schema = StructType([
+        StructField(entity, closed.schema[entity].dataType),
+        *[StructField(f"base_{m}", DoubleType()) for m in METRICS], StructField("batch", LongType())])
+
+    def step(rows: DataFrame, batch: int) -> None:
+        spark = rows.sparkSession
+        rows = rows.persist()
+        known = _read_if_any(spark, f"{path}/baseline", known_schema).where(F.col("batch") < batch)
+        known = known.drop("batch")
+        first = rows.join(known, entity, "left_anti").groupBy(entity).agg(
+            F.min(F.struct("window_start", *METRICS)).alias("f"))
+        fresh = first.select(entity, *[F.col("f")[m].alias(f"base_{m}") for m in METRICS]).persist()
+        if not fresh.isEmpty():
+            fresh.write.mode("overwrite").parquet(f"{path}/baseline/batch={batch}")
+        j = rows.join(known.unionByName(fresh), entity)
+        total = sum((F.pow(F.col(m) - F.col(f"base_{m}"), F.lit(2.0)) for m in METRICS), F.lit(0.0))
+        j = j.withColumn("distance", F.sqrt(total))
+        j = j.withColumn("drift", (F.col("distance") > threshold).cast("int"))
+        j.drop(*[f"base_{m}" for m in METRICS]).write.mode("overwrite").parquet(f"{path}/out/batch={batch}")
+        fresh.unpersist()
+        rows.unpersist()
+
+    return closed.writeStream.outputMode("append").option(
+        "checkpointLocation", f"{path}/checkpoint").foreachBatch(step)
+
+
+def _read_if_any(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException:
+        return spark.createDataFrame([], schema)
