@@ -82,10 +82,12 @@ def diff_events(
     joined = dim_join(df, ref.select(group, "ref"), [group])
     pairs = F.arrays_zip(F.split(seq, "").alias("v"), F.split("ref", "").alias("r"))
     # The outer form avoids a second evaluation of the arrays by the inferred size filter.
-    # Past the shared prefix one side is null, so the comparison drops it.
+    # Past the shared prefix one side is null, so the comparison drops it; an empty text
+    # splits into one empty symbol.
     long = joined.select(*keep, F.posexplode_outer(pairs).alias("position", "__e"))
-    return long.where(F.col("__e.v") != F.col("__e.r")).select(
-        *keep, "position", F.col("__e.r").alias("ref_char"), F.col("__e.v").alias("var_char")
+    v, r = F.col("__e.v"), F.col("__e.r")
+    return long.where((v != r) & (v != "") & (r != "")).select(
+        *keep, "position", r.alias("ref_char"), v.alias("var_char")
     )
 
 
