@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from driftengine.operators.evaluate import binary_metrics
-from driftengine.scale import exact_quantiles, hash_rank, materialize
+from driftengine.scale import exact_quantiles, hash_rank, in_parallel, materialize
 
 SEED = 42
 
@@ -84,13 +84,15 @@ def kmeans_sweep(
     """Silhouette (squared Euclidean) for each k: ``K, silhouette_score, is_best``, and the models."""
     data = _features(df, features).select("features").persist()
     score = ClusteringEvaluator(featuresCol="features")
-    models, rows = {}, []
-    for k in ks:
+
+    def fit(k: int):
         model = KMeans(k=k, seed=SEED, featuresCol="features").fit(data)
-        found = model.transform(data)
-        distinct = model.summary.cluster.distinct().count()
-        rows.append((k, score.evaluate(found) if distinct > 1 else 0.0))
-        models[k] = model
+        several = sum(n > 0 for n in model.summary.clusterSizes) > 1
+        return k, model, score.evaluate(model.transform(data)) if several else 0.0
+
+    fitted = in_parallel(fit, list(ks))
+    models = {k: model for k, model, _ in fitted}
+    rows = [(k, s) for k, _, s in fitted]
     data.unpersist()
     best = max(rows, key=lambda r: (r[1], -r[0]))[0]
     table = df.sparkSession.createDataFrame(
@@ -340,11 +342,14 @@ def ablation(
     """AUC and F1 without each feature group, and the change against the full model."""
     train, test = train.persist(), test.persist()
     spark = train.sparkSession
-    rows = []
-    for name, dropped in {"full": [], **groups}.items():
+
+    def without(item):
+        name, dropped = item
         kept = [f for f in features if f not in dropped]
         m = binary_metrics(predict(fit(train, kept), test), label, "prob").first()
-        rows.append((name, ",".join(dropped), len(dropped), float(m["auc"]), float(m["f1"])))
+        return name, ",".join(dropped), len(dropped), float(m["auc"]), float(m["f1"])
+
+    rows = in_parallel(without, list({"full": [], **groups}.items()))
     train.unpersist(), test.unpersist()
     auc, f1 = rows[0][3], rows[0][4]
     out = spark.createDataFrame(
@@ -364,12 +369,15 @@ def permutation_importance(
     """
     base = materialize(hash_rank(df.select(key, label, *features), [], key, SEED).drop("total"))
     full = binary_metrics(predict(model, base), label, "prob").first()["auc"]
-    rows = []
-    for i, f in enumerate(features):
+
+    def without(i: int):
+        f = features[i]
         other = hash_rank(df.select(key, f), [], key, SEED + 1 + i).select("rank", f)
         mixed = base.drop(f).join(other, "rank")
         auc = binary_metrics(predict(model, mixed), label, "prob").first()["auc"]
-        rows.append((f, float(full - auc)))
+        return f, float(full - auc)
+
+    rows = in_parallel(without, range(len(features)))
     return df.sparkSession.createDataFrame(rows, "feature string, auc_drop double")
 
 

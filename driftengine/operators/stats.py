@@ -5,9 +5,11 @@ Every statistic is built from sums and counts; tail probabilities are taken on t
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftengine.functions.tails import (
@@ -23,6 +25,7 @@ from driftengine.scale import (
     materialize,
     rank_join,
     running_totals,
+    value_buckets,
     value_ranks,
 )
 
@@ -292,53 +295,91 @@ def auc_by(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         .alias("value"))
 
 
+def _weights(keys: np.ndarray, counts: np.ndarray, B: int) -> np.ndarray:
+    """Sum of ``count`` Poisson(1) weights per row and replicate, fixed by the row's key.
+
+    Single rows use the inverse distribution on a mixed 64-bit key; tied rows draw
+    Poisson(count) from a generator seeded by the key.
+    """
+    with np.errstate(over="ignore"):
+        x = keys.astype(np.uint64)[:, None] + np.arange(1, B + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        x ^= x >> np.uint64(31)
+    out = np.searchsorted(POISSON_1, (x >> np.uint64(11)) / float(1 << 53), side="right").astype(float)
+    out[counts == 0] = 0.0
+    for i in np.flatnonzero(counts > 1):
+        out[i] = np.random.default_rng(int(keys[i]) & (2**63 - 1)).poisson(counts[i], B)
+    return out
+
+
 def bootstrap_metric(
     df: DataFrame, y: str, p: str, metric: str = "auc", B: int = 1000, stratify: bool = False,
-    key: str = "id", threshold: float = 0.5, ci: float = 0.95, seed: int = 42,
+    threshold: float = 0.5, ci: float = 0.95, seed: int = 42,
 ) -> DataFrame:
     """Poisson bootstrap interval of a binary metric (auc, accuracy, precision, recall, f1).
 
-    Weights are summed per (replicate, score) before anything moves. ``stratify`` rescales the
-    weights so that each class keeps its size. A replicate with one class counts as the point.
+    Rows are first counted per score and class: the weights of c equal rows add up to one
+    Poisson(c) draw, so ties cost one row and threshold metrics need four. For the AUC, scores
+    are split into value buckets; each bucket returns its sums per replicate, and earlier
+    buckets are added as offsets. ``stratify`` rescales the weights so that each class keeps
+    its size. A replicate with one class counts as the point.
     """
-    d = df.where(F.col(y).isNotNull() & F.col(p).isNotNull()).select(
-        F.col(key).alias("__id"), (F.col(y) == 1).alias("__y"), F.col(p).cast("double").alias("score"))
+    score = F.col(p).cast("double")
     if metric != "auc":
-        d = d.withColumn("score", (F.col("score") >= threshold).cast("double"))
-    one = F.lit(1.0)
-    r = d.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(B - 1))))
-    r = r.withColumn("w", poisson_weight(F.col("__id"), F.col("b"), seed).cast("double"))
-    pos, neg = F.col("__y"), ~F.col("__y")
-    reps = r.groupBy("b", "score").agg(
-        F.sum(F.when(pos, F.col("w")).otherwise(0.0)).alias("wp"),
-        F.sum(F.when(neg, F.col("w")).otherwise(0.0)).alias("wn"))
-    base = d.groupBy("score").agg(
-        F.sum(F.when(pos, one).otherwise(0.0)).alias("wp"),
-        F.sum(F.when(neg, one).otherwise(0.0)).alias("wn"))
+        score = (score >= threshold).cast("double")
+    cells = df.where(F.col(y).isNotNull() & F.col(p).isNotNull()).groupBy(score.alias("score")).agg(
+        F.count(F.when(F.col(y) == 1, 1)).alias("wp"), F.count(F.when(F.col(y) != 1, 1)).alias("wn"))
+    cells = materialize(cells)
+    n = cells.count()
+    key = lambda c: F.xxhash64("score", F.lit(c), F.lit(seed))
+    keyed = cells.withColumn("kp", key(1)).withColumn("kn", key(0))
+    if metric == "auc":
+        buckets = int(min(20_000, max(8, n // 20_000)))
+        keyed = value_buckets(keyed, "score", "bucket", buckets)
+    else:
+        keyed = keyed.withColumn("bucket", F.col("score").cast("int"))
+
+    def replicate(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("score")
+        pos, neg, wins = np.zeros(B), np.zeros(B), np.zeros(B)
+        for at in range(0, len(pdf), 2048):
+            part = pdf.iloc[at : at + 2048]
+            wp = _weights(part["kp"].to_numpy(), part["wp"].to_numpy(), B)
+            wn = _weights(part["kn"].to_numpy(), part["wn"].to_numpy(), B)
+            below = neg + np.cumsum(wn, axis=0) - wn / 2
+            wins += (wp * below).sum(axis=0)
+            pos += wp.sum(axis=0)
+            neg += wn.sum(axis=0)
+        return pd.DataFrame({"bucket": int(pdf["bucket"].iloc[0]), "b": np.arange(B, dtype=np.int32),
+                             "wp": pos, "wn": neg, "wins": wins})
+
+    reps = keyed.groupBy("bucket").applyInPandas(
+        replicate, "bucket int, b int, wp double, wn double, wins double")
     if metric == "auc":
-        point = auc_by(base).withColumnRenamed("value", "point")
-        values = auc_by(materialize(reps), ["b"])
+        point = auc_by(cells).withColumnRenamed("value", "point")
+        # One row per bucket and replicate.
+        w = Window.partitionBy("b").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+        before = F.coalesce(F.sum("wn").over(w), F.lit(0.0))
+        total = reps.withColumn("wins", F.col("wins") + F.col("wp") * before).groupBy("b").agg(
+            F.sum("wins").alias("wins"), F.sum("wp").alias("P"), F.sum("wn").alias("N"))
+        both = (F.col("P") > 0) & (F.col("N") > 0)
+        values = total.select("b", F.when(both, F.col("wins") / (F.col("P") * F.col("N"))).alias("value"))
     else:
-        def measure(t: DataFrame, by: Sequence[str], scale: bool) -> DataFrame:
-            yes = F.col("score") == 1.0
+        def measure(t: DataFrame, by: Sequence[str], flag: Column, scale: bool) -> DataFrame:
+            part = lambda c, cond, name: F.sum(F.when(cond, F.col(c)).otherwise(0.0)).alias(name)
             s = t.groupBy(*by).agg(
-                F.sum(F.when(yes, F.col("wp")).otherwise(0.0)).alias("tp"),
-                F.sum(F.when(yes, F.col("wn")).otherwise(0.0)).alias("fp"),
-                F.sum(F.when(~yes, F.col("wp")).otherwise(0.0)).alias("fn"),
-                F.sum(F.when(~yes, F.col("wn")).otherwise(0.0)).alias("tn"))
+                part("wp", flag, "tp"), part("wn", flag, "fp"), part("wp", ~flag, "fn"), part("wn", ~flag, "tn"))
+            tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
             if scale:
-                size = base.agg(F.sum("wp").alias("P"), F.sum("wn").alias("N"))
+                size = cells.agg(F.sum("wp").alias("P"), F.sum("wn").alias("N"))
                 s = s.join(F.broadcast(size))  # one row
-                kp, kn = F.col("P") / (F.col("tp") + F.col("fn")), F.col("N") / (F.col("fp") + F.col("tn"))
-                for c, k in (("tp", kp), ("fn", kp), ("fp", kn), ("tn", kn)):
-                    s = s.withColumn(f"__{c}", F.col(c) * k)
-                tp, fp, fn, tn = (F.col(f"__{c}") for c in ("tp", "fp", "fn", "tn"))
-            else:
-                tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
+                kp, kn = F.col("P") / (tp + fn), F.col("N") / (fp + tn)
+                tp, fn, fp, tn = tp * kp, fn * kp, fp * kn, tn * kn
             return s.select(*by, _metrics_from_counts(tp, fp, fn, tn)[metric].alias("value"))
 
-        point = measure(base, [], False).withColumnRenamed("value", "point")
-        values = measure(reps, ["b"], stratify)
+        point = measure(cells, [], F.col("score") == 1.0, False).withColumnRenamed("value", "point")
+        values = measure(reps, ["b"], F.col("bucket") == 1, stratify)
     filled = values.join(F.broadcast(point)).withColumn("value", F.coalesce("value", "point"))  # one row
     out = _interval(filled.select("value"), point, [], ci)
     return out.select(F.lit(metric).alias("metric"), "point", "ci_lo", "ci_hi", "ci_width")

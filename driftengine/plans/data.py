@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftengine.operators.sequence import diff_events, flag_region, modal_reference, to_sequence
-from driftengine.scale import materialize
+from driftengine.scale import materialize, spread
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -18,7 +18,7 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 def doc_records(spark: SparkSession, d: str) -> DataFrame:
     """Documents as sequences: group = language, period = number of the source."""
-    return table(spark, d, "documents").select(
+    return spread(table(spark, d, "documents"), "doc_id").select(
         F.col("doc_id").alias("id"),
         F.col("lang").alias("grp"),
         F.substring("source", 4, 10).cast("int").alias("period"),

@@ -176,7 +176,7 @@ def f13(spark, d):
 
 @query("f14_bootstrap_auc")
 def f14(spark, d):
-    return rounded(stats.bootstrap_metric(predictions(spark, d), "label", "prob", "auc", 50))
+    return rounded(stats.bootstrap_metric(predictions(spark, d), "label", "prob", "auc", 200))
 
 
 @query("f14_bootstrap_f1_stratified")

@@ -6,13 +6,16 @@
 * ``running_totals``  exact cumulative sums per group without a one-task window
 * ``hash_rank``       exact, reproducible random order per group, split into buckets
 * ``exact_quantiles`` exact interpolated quantiles from running counts
+* ``spread``          use all cores when a small file comes in one split
 """
 
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -173,6 +176,21 @@ def running_totals(
     return out.drop("__k", "__bucket", *[f"__{p}_{c}" for p in "lo" for c in cols])
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Spread a scanned table over the cluster if its files give fewer splits than there are
+    cores. Large tables have far more splits and pass through unchanged."""
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < slots:
+        return df.repartition(2 * slots, *keys)
+    return df
+
+
+def in_parallel(fn: Callable, items: Sequence, threads: int = 4) -> list:
+    """Run independent Spark jobs from a few driver threads; results in the order of items."""
+    with ThreadPoolExecutor(threads) as pool:
+        return list(pool.map(inheritable_thread_target(fn), items))
+
+
 def hash_order(key: str, seed: int = 42) -> Column:
     """Reproducible random order: md5 of ``key:seed``."""
     return F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}")))
@@ -245,10 +263,15 @@ def rank_join(df: DataFrame, value: str, ranks: DataFrame, cols: Sequence[str])
     A value holding more than 1/1000 of all rows is hot; there can be at most 1000 of them, so
     they are broadcast. The other values have no skew and take a plain shuffle join.
     """
-    r = ranks.select(F.col("value").alias(value), *cols, F.lit(1000) * F.col("n") > F.col("total"))
-    r = r.toDF(value, *cols, "__hot")
+    hot_rule = F.lit(1000) * F.col("n") > F.col("total")
+    r = materialize(ranks.select(F.col("value").alias(value), *cols, hot_rule.alias("__hot")))
+    n_hot, n_cold = r.agg(F.count(F.when(F.col("__hot"), 1)), F.count(F.when(~F.col("__hot"), 1))).first()
     hot = F.broadcast(r.where("__hot").drop("__hot"))
     cold = r.where(~F.col("__hot")).drop("__hot")
+    if n_cold == 0:
+        return df.join(hot, value, "left")
+    if n_hot == 0:
+        return df.join(cold, value, "left")
     popular = df.join(hot, value)
     rest = df.join(hot.select(value), value, "left_anti").join(cold, value, "left")
     return popular.unionByName(rest)
