@@ -20,7 +20,7 @@ from driftengine.functions.columns import (
     symbol_fraction,
 )
 from driftengine.functions.tails import chi2_sf
-from driftengine.scale import dim_join, exact_quantiles, materialize
+from driftengine.scale import dim_join, exact_quantiles, materialize, order_rank
 
 VARIANT = ["grp", "position", "ref_char", "var_char"]
 
@@ -311,6 +311,19 @@ def to_sequence(
     )
 
 
+def to_positions(
+    df: DataFrame, key: Sequence[str], order: str, symbol: str, ties: Sequence[str] = ()
+) -> DataFrame:
+    """Long form of ``to_sequence``: ``key, position, symbol`` with 0-based positions.
+
+    No record is collected: positions come from value buckets of the numeric ``order``, so one
+    entity may hold any share of the events.
+    """
+    d = df.select(*key, F.col(order).alias("__o"), *ties, F.col(symbol).alias("symbol"))
+    ranked = order_rank(d, key, "__o", ties)
+    return ranked.select(*key, (F.col("rank") - 1).alias("position"), "symbol")
+
+
 def median_length_reference(df: DataFrame, group: str = "grp", seq: str = "sequence") -> DataFrame:
     """Per group the row whose length is nearest the median length, smallest id on ties."""
     lengths = df.where(F.col(seq).isNotNull()).select(group, "id", F.length(seq).alias("length"))

@@ -340,6 +340,14 @@ def d25(spark, d):
     return sequence.to_sequence(ev, ["user_id"], ["ts", "event_id"], "symbol")
 
 
+@query("d25_to_positions", """SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS position,
+  substr(event_type, 1, 1) AS symbol FROM events""")
+def d25_positions(spark, d):
+    ev = table(spark, d, "events").withColumn("symbol", F.substring("event_type", 1, 1))
+    ev = ev.withColumn("micros", F.unix_micros(F.col("ts").cast("timestamp")))
+    return sequence.to_positions(ev, ["user_id"], "micros", "symbol", ["event_id"])
+
+
 # --- sampling and splits -------------------------------------------------------------------
 
 HASHED = f"""{PREDS}, h AS (SELECT *, md5(id || ':42') AS h FROM preds)"""

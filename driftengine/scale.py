@@ -25,8 +25,10 @@ BROADCAST_MAX_ROWS = 500_000
 BROADCAST_MAX_BYTES = 64 << 20
 #: Copies of an oversized lookup table in a salted join.
 SALTS = 8
-#: Value buckets for running totals; one window task sees about 1/BUCKETS of the rows.
-BUCKETS = 256
+#: Rows one window task should see in running totals; sets the number of value buckets.
+BUCKET_ROWS = 500_000
+#: Leading hex digits of a hash that form a bucket: 65,536 buckets per group.
+HASH_DIGITS = 4
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,6 +39,8 @@ def shared_dir(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current.rsplit("/", 1)[0]
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
     return tempfile.mkdtemp(prefix="driftengine-")
 
 
@@ -124,10 +128,12 @@ def range_join(
 def value_buckets(df: DataFrame, col: str, out: str = "__bucket", buckets: int | None = None):
     """Number the rows by ranges of a numeric column with about equal counts.
 
-    The cut points come from one approximate-quantile pass (a bounded list of doubles), so the
-    bucket is a pure function of the value and a recomputed task gives the same answer.
+    Read several times, so pass a materialized table. The cut points come from one
+    approximate-quantile pass (a bounded list of doubles): the bucket is a pure function of the
+    value and a recomputed task gives the same answer.
     """
-    buckets = buckets or BUCKETS
+    if buckets is None:
+        buckets = min(20_000, max(8, df.count() // BUCKET_ROWS))
     probs = [i / buckets for i in range(1, buckets)]
     as_double = df.withColumn("__v", F.col(col).cast("double"))
     cuts = sorted(set(as_double.stat.approxQuantile("__v", probs, 0.5 / buckets)))
@@ -144,6 +150,7 @@ def running_totals(
     descending: bool = False,
     fn: str = "sum",
     buckets: int | None = None,
+    ready: bool = False,
 ) -> DataFrame:
     """Inclusive running ``sum`` (or ``min``) of columns ``{column: output}`` per group.
 
@@ -153,6 +160,7 @@ def running_totals(
     """
     by = list(by)
     agg = F.sum if fn == "sum" else F.min
+    df = df if ready else materialize(df)
     key = F.struct(*by) if by else F.struct(F.lit(0).alias("g"))
     b = value_buckets(df, order, buckets=buckets).withColumn("__k", key)
     direction = lambda c: F.col(c).desc() if descending else F.col(c)
@@ -188,7 +196,8 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
 def in_parallel(fn: Callable, items: Sequence, threads: int = 4) -> list:
     """Run independent Spark jobs from a few driver threads; results in the order of items."""
     with ThreadPoolExecutor(threads) as pool:
-        return list(pool.map(inheritable_thread_target(fn), items))
+        run = inheritable_thread_target(SparkSession.active())(fn)
+        return list(pool.map(run, items))
 
 
 def hash_order(key: str, seed: int = 42) -> Column:
@@ -202,13 +211,13 @@ def hash_rank(
     key: str,
     seed: int = 42,
     quota: DataFrame | int | None = None,
-    digits: int = 2,
+    digits: int = HASH_DIGITS,
     rank: str = "rank",
     total: str = "total",
 ) -> DataFrame:
     """Exact 1-based rank of each row in the hash order of its group, and the group size.
 
-    The leading hex digits of the hash are uniform buckets (256 for two digits): rank =
+    The leading hex digits of the hash are uniform buckets (65,536 for four digits): rank =
     rows in earlier buckets + rank inside the bucket, so no task sees a whole group. With a
     ``quota`` (a number, or a table ``by, quota``) buckets past the quota are dropped before
     anything is shuffled, and only rows with ``rank <= quota`` come back.
@@ -244,15 +253,38 @@ def hash_rank(
     return out.drop("__h", "__bucket", "__k", "__off")
 
 
+def order_rank(
+    df: DataFrame, by: Sequence[str], order: str, ties: Sequence[str] = (), rank: str = "rank",
+    buckets: int | None = None,
+) -> DataFrame:
+    """Exact 1-based position of each row in its group by a numeric column, ties by ``ties``.
+
+    Like ``running_totals``: row numbers inside value buckets plus the rows of earlier buckets.
+    """
+    by = list(by)
+    key = F.struct(*by) if by else F.struct(F.lit(0).alias("g"))
+    b = value_buckets(materialize(df), order, buckets=buckets).withColumn("__k", key)
+    per = b.groupBy("__k", "__bucket").agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.partitionBy("__k").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.select("__k", "__bucket", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"))
+    inside = Window.partitionBy("__k", "__bucket").orderBy(order, *ties)
+    out = b.join(per, ["__k", "__bucket"])
+    return out.withColumn(rank, F.col("__off") + F.row_number().over(inside)).drop(
+        "__k", "__bucket", "__off")
+
+
 def value_ranks(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
     """One row per distinct ``value``: count ``n``, running count ``cum``, group size ``total``."""
     by = list(by)
     known = df.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("value"))
-    counts = known.groupBy(*by, "value").agg(F.count(F.lit(1)).alias("n"))
-    cum = running_totals(counts, "value", {"n": "cum"}, by)
+    counts = materialize(known.groupBy(*by, "value").agg(F.count(F.lit(1)).alias("n")))
+    cum = running_totals(counts, "value", {"n": "cum"}, by, ready=True)
     if by:
         total = counts.groupBy(*by).agg(F.sum("n").alias("total"))
-        return cum.join(total, by)
+        # Groups are compared as structs, which treats null groups as equal.
+        k = F.struct(*by)
+        return dim_join(
+            cum.withColumn("__k", k), total.select(k.alias("__k"), "total"), ["__k"]).drop("__k")
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
     return cum.join(F.broadcast(total))  # a global aggregate has exactly one row
 
