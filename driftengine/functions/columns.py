@@ -91,6 +91,6 @@ def alphabet_coverage(c: Column, alphabet: str) -> Column:
     return sum(present[1:], present[0]) / F.lit(len(alphabet))
 
 
-def clean_zero(c: Column, digits: int = 6) -> Column:
-    """Rounded value without negative zero."""
-    return F.round(c, digits) + F.lit(0.0)
+def ratio(a: Column, b: Column) -> Column:
+    """a / b as a double; null where b is zero (plain division fails there in ANSI mode)."""
+    return F.try_divide(a.cast("double"), b.cast("double"))

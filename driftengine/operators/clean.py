@@ -38,7 +38,7 @@ def coerce_int(df: DataFrame, col: str) -> DataFrame:
     """Number or bad text to integer; rows that are no number are dropped."""
     as_number = F.col(col).cast("string").try_cast("double")
     usable = as_number.isNotNull() & ~F.isnan(as_number)
-    return df.where(usable).withColumn(col, as_number.cast("int"))
+    return df.where(usable).withColumn(col, as_number.try_cast("int")).where(F.col(col).isNotNull())
 
 
 def with_length(df: DataFrame, seq: str = "sequence") -> DataFrame:

@@ -7,25 +7,28 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from driftengine.functions.columns import ratio
 from driftengine.operators.stats import auc_by
 from driftengine.scale import dim_join, materialize, running_totals
 
 
 def _score_counts(df: DataFrame, y: str, p: str, by: Sequence[str]) -> DataFrame:
+    """Positives ``wp`` and negatives ``wn`` per score: the one pass over the rows."""
     d = df.where(F.col(y).isNotNull() & F.col(p).isNotNull())
-    return d.groupBy(*by, F.col(p).cast("double").alias("score")).agg(
+    return materialize(d.groupBy(*by, F.col(p).cast("double").alias("score")).agg(
         F.sum((F.col(y) == 1).cast("double")).alias("wp"),
-        F.sum((F.col(y) != 1).cast("double")).alias("wn"))
+        F.sum((F.col(y) != 1).cast("double")).alias("wn")))
 
 
 def binary_metrics(df: DataFrame, y: str, p: str, threshold: float = 0.5, by: Sequence[str] = ()) -> DataFrame:
     """Confusion counts, accuracy, precision, recall, F1, MCC and AUC (average ranks on ties)."""
     by = list(by)
-    yes, hit = F.col(p) >= threshold, F.col(y) == 1
-    d = df.where(F.col(y).isNotNull() & F.col(p).isNotNull())
-    count = lambda c, name: F.count(F.when(c, 1)).alias(name)
-    t = d.groupBy(*by).agg(
-        count(yes & hit, "tp"), count(yes & ~hit, "fp"), count(~yes & hit, "fn"), count(~yes & ~hit, "tn"))
+    cells = _score_counts(df, y, p, by)
+    yes = F.col("score") >= threshold
+    count = lambda c, cond, name: F.coalesce(
+        F.sum(F.when(cond, F.col(c))), F.lit(0.0)).cast("long").alias(name)
+    t = cells.groupBy(*by).agg(
+        count("wp", yes, "tp"), count("wn", yes, "fp"), count("wp", ~yes, "fn"), count("wn", ~yes, "tn"))
     tp, fp, fn, tn = (F.col(c).cast("double") for c in ("tp", "fp", "fn", "tn"))
     div = lambda a, b: F.when(b > 0, a / b).otherwise(F.lit(0.0))
     spread = F.sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn))
@@ -34,7 +37,7 @@ def binary_metrics(df: DataFrame, y: str, p: str, threshold: float = 0.5, by: Se
         div(tp + tn, tp + tn + fp + fn).alias("accuracy"), div(tp, tp + fp).alias("precision"),
         div(tp, tp + fn).alias("recall"), div(2 * tp, 2 * tp + fp + fn).alias("f1"),
         div(tp * tn - fp * fn, spread).alias("mcc"))
-    auc = auc_by(_score_counts(df, y, p, by), by).withColumnRenamed("value", "auc")
+    auc = auc_by(cells, by, ready=True).withColumnRenamed("value", "auc")
     out = t.join(auc, by, "left") if by else t.join(F.broadcast(auc))  # one row
     return out.withColumn("auc", F.coalesce("auc", F.lit(0.5)))
 
@@ -42,10 +45,10 @@ def binary_metrics(df: DataFrame, y: str, p: str, threshold: float = 0.5, by: Se
 def roc_points(df: DataFrame, y: str, p: str, by: Sequence[str] = ()) -> DataFrame:
     """One point per distinct score, from the highest: threshold, tpr, fpr (ties together)."""
     by = list(by)
-    cum = running_totals(_score_counts(df, y, p, by), "score", {"wp": "tp", "wn": "fp"}, by, descending=True)
-    totals = materialize(_score_counts(df, y, p, by).groupBy(*by).agg(
-        F.sum("wp").alias("P"), F.sum("wn").alias("N")))
-    j = dim_join(cum, totals, by, ready=True) if by else cum.join(F.broadcast(totals))  # one row
+    cells = _score_counts(df, y, p, by)
+    cum = running_totals(cells, "score", {"wp": "tp", "wn": "fp"}, by, descending=True, ready=True)
+    totals = cells.groupBy(*by).agg(F.sum("wp").alias("P"), F.sum("wn").alias("N"))
+    j = dim_join(cum, totals, by) if by else cum.join(F.broadcast(totals))  # one row
     rate = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0)
     return j.select(
         *by, F.col("score").alias("threshold"), F.col("tp").cast("long").alias("tp"),
@@ -113,7 +116,7 @@ def ensemble(df: DataFrame, cols: Sequence[str], vote: float = 0.5) -> DataFrame
     A missing model counts as the mean of the others.
     """
     known = F.filter(F.array(*cols), lambda x: x.isNotNull())
-    mean = F.aggregate(known, F.lit(0.0), lambda a, x: a + x) / F.size(known)
+    mean = ratio(F.aggregate(known, F.lit(0.0), lambda a, x: a + x), F.size(known))
     df = df.withColumn("__m", mean)
     filled = F.array(*[F.coalesce(c, "__m") for c in cols])
     df = df.withColumn("ensemble_prob", F.aggregate(filled, F.lit(0.0), lambda a, x: a + x) / len(cols))

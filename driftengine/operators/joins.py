@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from driftengine.functions.columns import ratio
 from driftengine.scale import is_small, materialize, range_join
 
 
@@ -90,7 +91,7 @@ def pre_post(
 
     def part(cond: Column, name: str):
         n = F.coalesce(F.sum(F.when(cond, F.col("__n"))), F.lit(0))
-        return [(F.sum(F.when(cond, F.col("__s"))) / n).alias(f"{name}_mean"), n.alias(f"n_{name}")]
+        return [ratio(F.sum(F.when(cond, F.col("__s"))), n).alias(f"{name}_mean"), n.alias(f"n_{name}")]
 
     found = j.groupBy("event", "t").agg(*part(before, "pre"), *part(~before, "post"))
     return events.select("event", "t").join(found, ["event", "t"], "left").na.fill(

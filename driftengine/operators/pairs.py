@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftengine.functions.columns import hamming_arrow
+from driftengine.functions.columns import hamming_arrow, ratio
 from driftengine.functions.tails import fisher_greater
 from driftengine.operators.sequence import symbol_counts
 from driftengine.scale import dim_join, hash_rank, is_small, materialize
@@ -47,7 +47,7 @@ def cooccurrence(
     t = dim_join(dim_join(both, one, ["a"], ready=True), two, ["b"], ready=True)
     only_a, only_b = F.col("n_a") - F.col("n_both"), F.col("n_b") - F.col("n_both")
     neither = F.col("n_records") - F.col("n_a") - F.col("n_b") + F.col("n_both")
-    odds = F.when(only_a * only_b > 0, F.col("n_both") * neither / (only_a * only_b).cast("double"))
+    odds = ratio(F.col("n_both").cast("double") * neither, only_a.cast("double") * only_b)
     t = t.select("a", "b", "n_both", "n_a", "n_b", "n_records", odds.alias("odds_ratio"))
     if not with_p:
         return t
@@ -239,4 +239,4 @@ def landmark_map(
 def map_stress(mapped: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Kruskal stress-1 of the map over all (row, landmark) pairs."""
     return mapped.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"), F.sqrt(F.sum("err2") / F.sum("d2")).alias("stress"))
+        F.count(F.lit(1)).alias("n"), F.sqrt(ratio(F.sum("err2"), F.sum("d2"))).alias("stress"))

@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from driftengine.functions.columns import ratio
 from driftengine.operators.clean import bin_edges
 from driftengine.scale import dim_join, exact_quantiles, most_frequent
 
@@ -38,7 +39,7 @@ def duplicate_stats(df: DataFrame, keys: Sequence[str]) -> DataFrame:
         F.count(F.lit(1)).alias("n_keys"),
         zero(F.sum(F.col("n") - 1)).alias("n_repeats"),
         zero(F.sum(repeated)).alias("n_in_groups"),
-        zero(F.sum(repeated) * 100.0 / total).alias("pct_in_groups"),
+        zero(ratio(F.sum(repeated) * 100.0, total)).alias("pct_in_groups"),
     )
 
 
@@ -173,7 +174,7 @@ def quality_verdict(
     """
     dup = duplicate_stats(df, keys).select(F.col("pct_in_groups").alias("duplicate_pct"))
     miss = completeness(df).agg(
-        (F.sum("missing") * 100.0 / F.sum(F.col("missing") + F.col("filled"))).alias("missing_pct")
+        ratio(F.sum("missing") * 100.0, F.sum(F.col("missing") + F.col("filled"))).alias("missing_pct")
     )
     valid = df.agg(
         (F.avg(F.coalesce(F.col(id_col).cast("string").rlike(pattern), F.lit(False)).cast("double"))

@@ -16,6 +16,7 @@ from driftengine.functions.columns import (
     chars,
     hamming,
     hamming_arrow,
+    ratio,
     shifted,
     symbol_fraction,
 )
@@ -271,15 +272,15 @@ def region_enrichment(
     t = t.na.fill(0, ["n_in", "in_events", "out_events"])
     n_out = F.col("ref_length") - F.col("n_in")
     total = F.col("in_events") + F.col("out_events")
-    ratio = lambda a, b: F.when(b > 0, a / b).otherwise(F.lit(0.0))
-    t = t.withColumn("density_in", ratio(F.col("in_events"), F.col("n_rows") * F.col("n_in")))
-    t = t.withColumn("density_out", ratio(F.col("out_events"), F.col("n_rows") * n_out))
+    density = lambda a, b: F.coalesce(ratio(F.col(a), F.col("n_rows").cast("double") * b), F.lit(0.0))
+    t = t.withColumn("density_in", density("in_events", F.col("n_in")))
+    t = t.withColumn("density_out", density("out_events", n_out))
     t = t.withColumn(
         "enrichment",
         F.when(F.col("density_out") > 0, F.col("density_in") / F.col("density_out")).otherwise(1.0),
     )
-    e_in = total * F.col("n_in") / F.col("ref_length")
-    e_out = total * n_out / F.col("ref_length")
+    e_in = ratio(total.cast("double") * F.col("n_in"), F.col("ref_length"))
+    e_out = ratio(total.cast("double") * n_out, F.col("ref_length"))
     chi2 = F.when(
         (e_in > 0) & (e_out > 0),
         (F.col("in_events") - e_in) ** 2 / e_in + (F.col("out_events") - e_out) ** 2 / e_out,

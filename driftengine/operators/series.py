@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from driftengine.functions.columns import ratio
 from driftengine.functions.tails import t_two_sided
 from driftengine.operators.sequence import VARIANT
 from driftengine.scale import dim_join, materialize, most_frequent, range_join
@@ -134,13 +135,12 @@ def population_features(
     symbol = F.substring("sequence", position + 1, 1)
     inside = symbol.isin(list(alphabet))
     share = [
-        F.coalesce(F.count(F.when(symbol == s, 1)) / F.nullif(F.count(F.when(inside, 1)), F.lit(0)),
-                   F.lit(0.0)).alias(f"share_{s}")
+        F.coalesce(ratio(F.count(F.when(symbol == s, 1)), F.count(F.when(inside, 1))), F.lit(0.0)).alias(f"share_{s}")
         for s in alphabet
     ]
     return df.groupBy(*group, "period").agg(
         F.count(F.lit(1)).alias("n"),
-        F.avg(F.col("distance") / F.col("ref_length")).alias("mean_distance"),
+        F.avg(ratio(F.col("distance"), F.col("ref_length"))).alias("mean_distance"),
         F.avg(F.length("sequence")).alias("mean_length"),
         F.countDistinct(label).alias("n_labels"),
         *share,
@@ -265,7 +265,7 @@ def poly_fit(df: DataFrame, x: str, y: str, by: Sequence[str] = (), limit: float
     det = n * (s2 * s4 - s3 * s3) - s2 * s2 * s2
     a2 = (n * (s2 * t2 - s3 * t1) - s2 * s2 * t0) / det
     s = s.withColumn("a2", F.when(det != 0, a2))
-    s = s.withColumn("a1", (t1 - F.col("a2") * s3) / s2)
+    s = s.withColumn("a1", ratio(t1 - F.col("a2") * s3, s2))
     s = s.withColumn("a0", (t0 - F.col("a2") * s2) / n)
     A2, A1, A0, m = F.col("a2"), F.col("a1"), F.col("a0"), F.col("__m")
     explained = A0 * t0 + A1 * t1 + A2 * t2
@@ -304,7 +304,7 @@ def _ar1(df: DataFrame, value: str, order: str, by: Sequence[str], unit_root: fl
 
     def fit(y: str, x: str, name: str):
         y, x = F.col(y), F.col(x)
-        s2 = F.regr_syy(y, x) * (F.lit(1.0) - F.regr_r2(y, x)) / (F.regr_count(y, x) - 2)
+        s2 = ratio(F.regr_syy(y, x) * (F.lit(1.0) - F.regr_r2(y, x)), F.regr_count(y, x) - 2)
         return [F.regr_slope(y, x).alias(f"phi_{name}"), F.regr_intercept(y, x).alias(f"a_{name}"),
                 s2.alias(f"s2_{name}")]
 
@@ -328,14 +328,14 @@ def ar1_forecast(
     s2 = F.when(diff, F.col("s2_diff")).otherwise(F.col("s2_level"))
     t = t.withColumn("phi", phi).withColumn("a", a).withColumn("s2", s2)
     k, phi, a = F.col("step"), F.col("phi"), F.col("a")
-    mu = a / (F.lit(1.0) - phi)
-    geometric = lambda r, m: (F.lit(1.0) - F.pow(r, m)) / (F.lit(1.0) - r)
+    mu = ratio(a, F.lit(1.0) - phi)
+    geometric = lambda r, m: ratio(F.lit(1.0) - F.pow(r, m), F.lit(1.0) - r)
     level = mu + F.pow(phi, k) * (F.col("last") - mu)
     level_var = F.col("s2") * geometric(phi * phi, k)
     moved = F.col("last") + mu * k + (F.col("last_diff") - mu) * phi * geometric(phi, k)
     psi = F.aggregate(
         F.sequence(F.lit(1), k), F.lit(0.0),
-        lambda acc, j: acc + F.pow((F.lit(1.0) - F.pow(phi, j)) / (F.lit(1.0) - phi), F.lit(2.0)))
+        lambda acc, j: acc + F.pow(geometric(phi, j), F.lit(2.0)))
     mean = F.when(diff, moved).otherwise(level)
     half = F.lit(z) * F.sqrt(F.when(diff, F.col("s2") * psi).otherwise(level_var))
     return t.select(
@@ -386,6 +386,6 @@ def mean_class_forecast(
     total = sum([F.col(c) for c in classes[1:]], F.col(classes[0]))
     best = F.greatest(*[F.col(c) for c in classes])
     winner = F.coalesce(*[F.when(F.col(c) == best, F.lit(c)) for c in classes])
-    t = t.select(*[(F.col(c) / total).alias(c) for c in classes], winner.alias("__w"))
+    t = t.select(*[ratio(F.col(c), total).alias(c) for c in classes], winner.alias("__w"))
     long = t.unpivot(["__w"], list(classes), "class", "probability")
     return long.select("class", "probability", (F.col("class") == F.col("__w")).alias("is_best"))

@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from driftengine.functions.columns import ratio
 from driftengine.functions.tails import (
     chi2_sf,
     fisher_greater,
@@ -35,7 +36,7 @@ def rate_through_origin(
 ) -> DataFrame:
     """Weighted slope of a line through the origin: sum(w t d) / sum(w t^2)."""
     w = F.lit(1.0) if w is None else w
-    return df.groupBy(*by).agg((F.sum(w * t * d) / F.sum(w * t * t)).alias("rate"))
+    return df.groupBy(*by).agg(ratio(F.sum(w * t * d), F.sum(w * t * t)).alias("rate"))
 
 
 def _t_of_r2(slope: Column, r2: Column, n: Column) -> Column:
@@ -96,7 +97,7 @@ def chi2_gof(df: DataFrame, obs: str, exp: str, by: Sequence[str] = (), with_p:
     """Goodness of fit over the rows of a group."""
     d = F.col(obs) - F.col(exp)
     out = df.groupBy(*by).agg(
-        F.sum(d * d / F.col(exp)).alias("chi2"), (F.count(F.lit(1)) - 1).alias("dof"))
+        F.sum(ratio(d * d, F.col(exp))).alias("chi2"), (F.count(F.lit(1)) - 1).alias("dof"))
     return out.withColumn("p", chi2_sf("chi2", F.col("dof").cast("double"))) if with_p else out
 
 
@@ -113,7 +114,7 @@ def chi2_contingency(df: DataFrame, a: str, b: str, with_p: bool = True) -> Data
     o = F.col("o").cast("double")
     out = cells.join(rows, "a").join(cols, "b").agg(
         F.sum("o").alias("n"),
-        F.sum(o * o / (F.col("r") * F.col("c"))).alias("__s"),
+        F.sum(o * o / (F.col("r").cast("double") * F.col("c"))).alias("__s"),
         F.countDistinct("a").alias("__ra"),
         F.countDistinct("b").alias("__cb"),
     )
@@ -143,9 +144,9 @@ def chi2_2x2(
         gap = F.greatest(gap - n / 2, F.lit(0.0))
     denominator = (A + B) * (C + D) * (A + C) * (B + D)
     t = t.withColumn("chi2", F.when(denominator > 0, n * gap * gap / denominator))
-    t = t.withColumn("cramers_v", F.sqrt(F.col("chi2") / n))
-    ratio = F.when((C > 0) & (A + B > 0), (A / (A + B)) / (C / (C + D)))
-    t = t.withColumn("enrichment", ratio)
+    t = t.withColumn("cramers_v", F.sqrt(ratio(F.col("chi2"), n)))
+    lift = F.when((C > 0) & (A + B > 0), (A / (A + B)) / (C / (C + D)))
+    t = t.withColumn("enrichment", lift)
     return t.withColumn("p", chi2_sf("chi2", F.lit(1.0))) if with_p else t
 
 
@@ -198,10 +199,10 @@ def mann_whitney(df: DataFrame, value: str, flag: Column, with_p: bool = True) -
     )
     n1, n2 = F.col("n1").cast("double"), F.col("n2").cast("double")
     t = t.withColumn("u", F.col("__r1") - n1 * (n1 + 1) / 2)
-    t = t.withColumn("rank_biserial", F.lit(2.0) * F.col("u") / (n1 * n2) - 1)
+    t = t.withColumn("rank_biserial", ratio(F.lit(2.0) * F.col("u"), n1 * n2) - 1)
     N = n1 + n2
-    sd = F.sqrt(n1 * n2 / 12 * (N + 1 - F.col("__ties") / (N * (N - 1))))
-    t = t.withColumn("z", (F.col("u") - n1 * n2 / 2 - F.lit(0.5)) / sd).drop("__r1", "__ties")
+    sd = F.sqrt(n1 * n2 / 12 * (N + 1 - ratio(F.col("__ties"), N * (N - 1))))
+    t = t.withColumn("z", ratio(F.col("u") - n1 * n2 / 2 - F.lit(0.5), sd)).drop("__r1", "__ties")
     return t.withColumn("p", normal_sf("z")) if with_p else t
 
 
@@ -225,7 +226,7 @@ def agreement(df: DataFrame, a: str, b: str) -> DataFrame:
 
 def corr_ci(df: DataFrame, r: str, n: str, z: float = 1.959963984540054) -> DataFrame:
     """Fisher-z 95 % interval of a correlation."""
-    mid, half = F.atanh(r), F.lit(z) / F.sqrt(F.col(n) - 3)
+    mid, half = F.atanh(r), ratio(F.lit(z), F.sqrt(F.col(n) - 3))
     return df.withColumn("ci_lo", F.tanh(mid - half)).withColumn("ci_hi", F.tanh(mid + half))
 
 
@@ -286,9 +287,9 @@ def _metrics_from_counts(tp: Column, fp: Column, fn: Column, tn: Column) -> dict
     }
 
 
-def auc_by(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+def auc_by(scored: DataFrame, by: Sequence[str] = (), ready: bool = False) -> DataFrame:
     """AUC per group from ``score, wp, wn`` (weights of positives and negatives per score)."""
-    cum = running_totals(scored, "score", {"wn": "__cn"}, by)
+    cum = running_totals(scored, "score", {"wn": "__cn"}, by, ready=ready)
     wins = F.col("wp") * (F.col("__cn") - F.col("wn") / 2)
     return cum.groupBy(*by).agg(
         F.when((F.sum("wp") > 0) & (F.sum("wn") > 0), F.sum(wins) / (F.sum("wp") * F.sum("wn")))
@@ -357,7 +358,7 @@ def bootstrap_metric(
     reps = keyed.groupBy("bucket").applyInPandas(
         replicate, "bucket int, b int, wp double, wn double, wins double")
     if metric == "auc":
-        point = auc_by(cells).withColumnRenamed("value", "point")
+        point = auc_by(cells, ready=True).withColumnRenamed("value", "point")
         # One row per bucket and replicate.
         w = Window.partitionBy("b").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
         before = F.coalesce(F.sum("wn").over(w), F.lit(0.0))
@@ -374,7 +375,7 @@ def bootstrap_metric(
             if scale:
                 size = cells.agg(F.sum("wp").alias("P"), F.sum("wn").alias("N"))
                 s = s.join(F.broadcast(size))  # one row
-                kp, kn = F.col("P") / (tp + fn), F.col("N") / (fp + tn)
+                kp, kn = ratio(F.col("P"), tp + fn), ratio(F.col("N"), fp + tn)
                 tp, fn, fp, tn = tp * kp, fn * kp, fp * kn, tn * kn
             return s.select(*by, _metrics_from_counts(tp, fp, fn, tn)[metric].alias("value"))
 
@@ -402,7 +403,7 @@ def bootstrap_proportion(
 
 
 def z_test(df: DataFrame, x: str, mu: float, se: str, with_p: bool = True) -> DataFrame:
-    z = df.withColumn("z", (F.col(x) - F.lit(mu)) / F.col(se))
+    z = df.withColumn("z", ratio(F.col(x) - F.lit(mu), F.col(se)))
     return z.withColumn("p", normal_two_sided("z")) if with_p else z
 
 
@@ -418,7 +419,7 @@ def bh_adjust(
     ranks = value_ranks(df, p, by)
     ranks = ranks.withColumn("__raw", F.least(F.lit(1.0), F.col("value") * F.col("total") / F.col("cum")))
     ranks = materialize(ranks)
-    stepped = running_totals(ranks, "value", {"__raw": "__step"}, by, descending=True, fn="min")
+    stepped = running_totals(ranks, "value", {"__raw": "__step"}, by, descending=True, fn="min", ready=True)
     adjusted = stepped.select(
         *by, F.col("value").alias(p), F.col("__step" if monotone else "__raw").alias("p_bh_adjusted"),
         (F.col("__step") <= alpha).alias("reject"), "n", "total")
@@ -433,7 +434,7 @@ def origin_slope_test(
     """t statistic of a weighted slope through the origin, from sums."""
     w = F.lit(1.0) if w is None else w
     s = df.groupBy(*by).agg(
-        (F.sum(w * t * d) / F.sum(w * t * t)).alias("slope"), F.count(d).alias("n"),
+        ratio(F.sum(w * t * d), F.sum(w * t * t)).alias("slope"), F.count(d).alias("n"),
         F.sum(t * t).alias("__tt"), F.avg(t * t).alias("__mtt"), F.avg(t * d).alias("__mtd"),
         F.avg(d * d).alias("__mdd"), F.avg(t).alias("__mt"), F.avg(d).alias("__md"))
     m = F.col("slope")
@@ -507,7 +508,8 @@ def cluster_agreement(df: DataFrame, truth: str, found: str) -> DataFrame:
     """Macro-F1 (equal label names) and adjusted Rand index from the contingency counts."""
     cells = materialize(df.groupBy(F.col(truth).alias("a"), F.col(found).alias("b")).agg(
         F.count(F.lit(1)).alias("n")))
-    pairs = lambda c: F.sum(F.col(c) * (F.col(c) - 1) / 2)
+    choose = lambda c: F.col(c).cast("double") * (F.col(c) - 1) / 2
+    pairs = lambda c: F.sum(choose(c))
     a = cells.groupBy("a").agg(F.sum("n").alias("n_a"))
     b = cells.groupBy("b").agg(F.sum("n").alias("n_b"))
     hit = cells.where(F.col("a") == F.col("b")).select(F.col("a").alias("label"), F.col("n").alias("tp"))
@@ -517,9 +519,8 @@ def cluster_agreement(df: DataFrame, truth: str, found: str) -> DataFrame:
     s = cells.agg(pairs("n").alias("ij"), F.sum("n").alias("n"))
     one = s.join(F.broadcast(a.agg(pairs("n_a").alias("i")))).join(
         F.broadcast(b.agg(pairs("n_b").alias("j")))).join(F.broadcast(f1))  # one row each
-    every = F.col("n") * (F.col("n") - 1) / 2
-    expected = F.col("i") * F.col("j") / every
+    expected = ratio(F.col("i") * F.col("j"), choose("n"))
     top = F.col("ij") - expected
     bottom = (F.col("i") + F.col("j")) / 2 - expected
-    ari = F.when(bottom == 0, F.lit(1.0)).otherwise(top / bottom)
+    ari = F.coalesce(ratio(top, bottom), F.lit(1.0))
     return one.select("n", "macro_f1", ari.alias("adjusted_rand"))

@@ -139,7 +139,9 @@ def value_buckets(df: DataFrame, col: str, out: str = "__bucket", buckets: int |
     cuts = sorted(set(as_double.stat.approxQuantile("__v", probs, 0.5 / buckets)))
     splits = [float("-inf")] + [c for c in cuts if abs(c) != float("inf")] + [float("inf")]
     bz = Bucketizer(splits=splits, inputCol="__v", outputCol=out, handleInvalid="keep")
-    return bz.transform(as_double).drop("__v").withColumn(out, F.col(out).cast("int"))
+    # Nulls get bucket -1, where they sort.
+    bucket = F.coalesce(F.col(out).cast("int"), F.lit(-1))
+    return bz.transform(as_double).drop("__v").withColumn(out, bucket)
 
 
 def running_totals(
@@ -202,7 +204,7 @@ def in_parallel(fn: Callable, items: Sequence, threads: int = 4) -> list:
 
 def hash_order(key: str, seed: int = 42) -> Column:
     """Reproducible random order: md5 of ``key:seed``."""
-    return F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}")))
+    return F.md5(F.concat(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit(f":{seed}")))
 
 
 def hash_rank(

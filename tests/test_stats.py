@@ -168,3 +168,27 @@ def test_backtest_uses_only_earlier_periods(spark):
     hits, rates = models.backtest(d, ["f"], "label", {"tree": lambda t, f: models.fit_tree(t, f, "__code", 2)})
     assert hits.agg(F.min("period")).first()[0] == 2
     assert rates.first().hit_rate == 1.0
+
+
+def test_degenerate_inputs_give_nulls_not_errors(spark):
+    from driftengine.operators import joins, sequence
+
+    d = spark.createDataFrame([("a", 0, 1.0), ("b", 1, 2.0)], "g string, x int, v double")
+    yes = F.col("v") > 0
+    assert stats.mann_whitney(d, "v", yes).first().z is None
+    assert stats.t_test(d, "v", yes).first().t is None
+    assert stats.rate_through_origin(d.where("x = 0"), F.col("x"), F.col("v")).first().rate is None
+    assert stats.chi2_2x2(d.where("x > 9"), yes, yes).first().cramers_v is None
+    assert stats.linear_trend(d, "x", "v", ["g"]).where("p IS NOT NULL").count() == 0
+    assert series.poly_fit(d, "x", "v", ["g"]).where("c2 IS NOT NULL").count() == 0
+    assert series.ar1_forecast(d.withColumn("period", F.col("x")), "v", 2, by=["g"]).where("forecast IS NOT NULL").count() == 0
+    assert stats.corr_ci(spark.createDataFrame([(0.5, 3)], "r double, n int"), "r", "n").first().ci_lo is None
+    assert stats.z_test(spark.createDataFrame([(0.5, 0.0)], "m double, se double"), "m", 0.0, "se").first().z is None
+    ev = spark.createDataFrame([("e", 1)], "event string, t int")
+    only = joins.pre_post(spark.createDataFrame([(0, 2.0)], "period int, v double"), ev, 2, "v").first()
+    assert (only.pre_mean, only.post_mean, only.n_post) == (2.0, None, 0)
+    assert evaluate.ensemble(spark.createDataFrame([(None, None)], "a double, b double"), ["a", "b"]).first().ensemble_prob is None
+    r = spark.createDataFrame([(1, "x", 1, "")], "id long, grp string, period int, sequence string")
+    ref = sequence.modal_reference(r)
+    reg = spark.createDataFrame([("x", "r", 0, 2)], "grp string, region string, start int, end int")
+    assert sequence.region_enrichment(sequence.diff_events(r, ref), r, ref, reg).first().enrichment == 1.0
