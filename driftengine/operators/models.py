@@ -90,7 +90,7 @@ def kmeans_sweep(
         several = sum(n > 0 for n in model.summary.clusterSizes) > 1
         return k, model, score.evaluate(model.transform(data)) if several else 0.0
 
-    fitted = in_parallel(fit, list(ks))
+    fitted = in_parallel(fit, list(ks), 8)
     models = {k: model for k, model, _ in fitted}
     rows = [(k, s) for k, _, s in fitted]
     data.unpersist()
@@ -394,27 +394,29 @@ def backtest(
     index = StringIndexer(inputCol=label, outputCol="__y", stringOrderType="alphabetAsc").fit(df)
     names = index.labels
     data = index.transform(df).persist()
-    periods = [r[0] for r in data.select(period).distinct().orderBy(period).collect()]
-    parts = []
+    seen = data.select(period, "__y").distinct().collect()  # periods x classes
+    periods = sorted({r[0] for r in seen})
+    steps = []
     for i, t in enumerate(periods):
-        train = data.where(F.col(period) < t)
-        classes = [r[0] for r in train.select("__y").distinct().collect()]
-        if i < min_train or len(classes) < 2:
-            continue
-        recode = {c: float(k) for k, c in enumerate(sorted(classes))}
-        code = F.lit(None).cast("double")
-        back = F.lit(None).cast("string")
-        for c, k in recode.items():
-            code = F.when(F.col("__y") == c, F.lit(k)).otherwise(code)
-            back = F.when(F.col("prediction") == k, F.lit(names[int(c)])).otherwise(back)
-        for name, fit in fits.items():
-            model = fit(train.withColumn("__code", code), features)
-            got = predict(model, data.where(F.col(period) == t))
-            parts.append(got.select(
-                period, F.lit(name).alias("model"), F.col(label).alias("truth"), back.alias("forecast"),
-                F.lit(i).alias("n_train")))
-    if not parts:
+        classes = sorted({r[1] for r in seen if r[0] < t})
+        if i >= min_train and len(classes) > 1:
+            steps += [(i, t, classes, name, fit) for name, fit in fits.items()]
+    if not steps:
         raise ValueError("no period has two classes before it")
+
+    def forecast(step) -> DataFrame:
+        i, t, classes, name, fit = step
+        code, back = F.lit(None).cast("double"), F.lit(None).cast("string")
+        for k, c in enumerate(classes):
+            code = F.when(F.col("__y") == c, F.lit(float(k))).otherwise(code)
+            back = F.when(F.col("prediction") == k, F.lit(names[int(c)])).otherwise(back)
+        model = fit(data.where(F.col(period) < t).withColumn("__code", code), features)
+        got = predict(model, data.where(F.col(period) == t))
+        return got.select(
+            period, F.lit(name).alias("model"), F.col(label).alias("truth"), back.alias("forecast"),
+            F.lit(i).alias("n_train"))
+
+    parts = in_parallel(forecast, steps)
     hits = parts[0]
     for p in parts[1:]:
         hits = hits.unionByName(p)

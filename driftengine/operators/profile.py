@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from driftengine.functions.columns import ratio
 from driftengine.operators.clean import bin_edges
-from driftengine.scale import dim_join, exact_quantiles, most_frequent
+from driftengine.scale import dim_join, exact_quantiles, materialize, most_frequent
 
 
 def completeness(df: DataFrame) -> DataFrame:
@@ -210,9 +210,11 @@ def profile_rollup(
         F.avg(length).alias("mean_length"),
         F.stddev_samp(length).alias("std_length"),
     )
-    med = exact_quantiles(df, length, {"median_length": 0.5}, [group]).withColumn(
+    # Counted once: both medians come from the counts per group and length.
+    lengths = materialize(df.groupBy(group, length).agg(F.count(F.lit(1)).alias("__w")))
+    med = exact_quantiles(lengths, length, {"median_length": 0.5}, [group], "__w").withColumn(
         "__total", F.lit(0))
-    overall = exact_quantiles(df, length, {"median_length": 0.5}).select(
+    overall = exact_quantiles(lengths, length, {"median_length": 0.5}, weight="__w").select(
         F.lit(None).cast("string").alias(group), "median_length", F.lit(1).alias("__total"))
     medians = med.unionByName(overall).withColumnRenamed(group, "__g")
     medians = medians.withColumnRenamed("__total", "__t2")

@@ -7,12 +7,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftengine.operators import clean, evaluate, models, monitor, sampling, sequence, series, stats
+from driftengine.operators import evaluate, models, monitor, sampling, sequence, series
 from driftengine.plans.data import (
-    ALPHABET,
     DAYS,
-    MONTHS,
-    ORDS,
     PREDS,
     R,
     day_metrics,

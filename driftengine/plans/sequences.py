@@ -8,13 +8,11 @@ from pyspark.sql import functions as F
 from driftengine.functions.columns import hamming
 from driftengine.operators import pairs, sampling, sequence, series, stats
 from driftengine.plans.data import (
-    ALPHABET,
     DOCS,
     EV,
     FLAGGED,
     ORDS,
     PREDS,
-    PRIORITIES,
     R,
     dist_sql,
     doc_records,
@@ -308,7 +306,7 @@ def d20(spark, d):
     JOIN s USING (grp) GROUP BY 1, 2)
   SELECT grp, id, {R('CAST((t + v) AS DOUBLE) / n_rows', 'mean_distance')} FROM (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY v, id) AS rk FROM v) WHERE rk = 1""")
 def d21(spark, d):
-    return rounded(pairs.medoid(order_records(spark, d)))
+    return rounded(pairs.medoid(materialize(order_records(spark, d))))
 
 
 @query("d22_median_length_reference", f"""WITH {DOCS}, m AS (SELECT grp, median(length(sequence)) AS median_length FROM docs GROUP BY 1)

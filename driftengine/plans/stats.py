@@ -7,18 +7,13 @@ from pyspark.sql import functions as F
 from driftengine.operators import sequence, series, stats
 from driftengine.plans.data import (
     DAYS,
-    DOCS,
     EV,
     FLAGGED,
     MONTHS,
-    ORDS,
     PREDS,
     R,
     day_metrics,
-    dist_sql,
-    doc_records,
     flagged_events,
-    modal_sql,
     month_series,
     order_events,
     predictions,
@@ -26,7 +21,7 @@ from driftengine.plans.data import (
     table,
 )
 from driftengine.plans.registry import query
-from driftengine.plans.sequences import DOC_DIST, FREQ, doc_distances
+from driftengine.plans.sequences import DOC_DIST, doc_distances
 
 # --- statistics ----------------------------------------------------------------------------
 

@@ -7,16 +7,13 @@ import uuid
 from pyspark.sql import functions as F
 
 from driftengine.operators import clean, joins, profile
-from driftengine.operators.sequence import VARIANT, variant_frequency
+from driftengine.operators.sequence import variant_frequency
 from driftengine.plans.data import (
     DOCS,
     EV,
-    FLAGGED,
-    MONTHS,
     ORDS,
     R,
     doc_records,
-    month_series,
     order_events,
     order_records,
     rounded,

@@ -275,11 +275,18 @@ def order_rank(
         "__k", "__bucket", "__off")
 
 
-def value_ranks(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
-    """One row per distinct ``value``: count ``n``, running count ``cum``, group size ``total``."""
+def value_ranks(
+    df: DataFrame, value: str, by: Sequence[str] = (), weight: str | None = None
+) -> DataFrame:
+    """One row per distinct ``value``: count ``n``, running count ``cum``, group size ``total``.
+
+    ``weight`` names a count column if ``df`` is already counted.
+    """
     by = list(by)
-    known = df.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("value"))
-    counts = materialize(known.groupBy(*by, "value").agg(F.count(F.lit(1)).alias("n")))
+    n = F.lit(1).cast("long") if weight is None else F.col(weight)
+    known = df.where(F.col(value).isNotNull())
+    known = known.select(*by, F.col(value).alias("value"), n.alias("__w"))
+    counts = materialize(known.groupBy(*by, "value").agg(F.sum("__w").alias("n")))
     cum = running_totals(counts, "value", {"n": "cum"}, by, ready=True)
     if by:
         total = counts.groupBy(*by).agg(F.sum("n").alias("total"))
@@ -312,11 +319,12 @@ def rank_join(df: DataFrame, value: str, ranks: DataFrame, cols: Sequence[str])
 
 
 def exact_quantiles(
-    df: DataFrame, value: str, probs: dict[str, float], by: Sequence[str] = ()
+    df: DataFrame, value: str, probs: dict[str, float], by: Sequence[str] = (),
+    weight: str | None = None,
 ) -> DataFrame:
     """Exact linearly interpolated quantiles ``{output: probability}`` per group."""
     by = list(by)
-    r = value_ranks(df, value, by)
+    r = value_ranks(df, value, by, weight)
     first, last = F.col("cum") - F.col("n"), F.col("cum") - 1
     aggs = []
     v = F.col("value").cast("double")
