@@ -29,26 +29,23 @@ VARIANT = ["grp", "position", "ref_char", "var_char"]
 def modal_reference(
     df: DataFrame, group: str = "grp", where: Column | None = None, seq: str = "sequence"
 ) -> DataFrame:
-    """Most frequent sequence per group, smallest on ties: ``group, ref, n_ref, ref_length``.
+    """Most frequent sequence per group: ``group, ref, n_ref, ref_length``.
 
-    With ``where`` only matching rows vote, unless a group has none. Votes are counted on a
-    16-byte digest, so the texts themselves are never shuffled for the count.
+    Ties go to the smallest md5 digest. With ``where`` only matching rows vote, unless a group
+    has none. Votes are counted on the 16-byte digest and one digest per group wins, so texts
+    are never shuffled for the count, however many are tied.
     """
     d = df.where(F.col(seq).isNotNull()).withColumn("__h", F.unhex(F.md5(seq)))
     voting = F.lit(True) if where is None else F.coalesce(where, F.lit(False))
     counts = d.groupBy(group, "__h").agg(
-        F.sum(voting.cast("long")).alias("__w"), F.count(F.lit(1)).alias("__a")
-    )
-    best = counts.groupBy(group).agg(F.max("__w").alias("__mw"), F.max("__a").alias("__ma"))
-    use = F.when(F.col("__mw") > 0, F.col("__w") == F.col("__mw")).otherwise(
-        F.col("__a") == F.col("__ma")
-    )
-    n = F.when(F.col("__mw") > 0, F.col("__mw")).otherwise(F.col("__ma"))
-    winners = counts.join(best, group).where(use).select(group, "__h", n.alias("n_ref"))
-    voters = dim_join(d.select(group, "__h", seq), winners, [group, "__h"])
-    return voters.groupBy(group, "n_ref").agg(F.min(seq).alias("ref")).select(
-        group, "ref", "n_ref", F.length("ref").alias("ref_length")
-    )
+        F.sum(voting.cast("long")).alias("w"), F.count(F.lit(1)).alias("a"))
+    w, a = F.col("w"), F.col("a")
+    first = F.struct((-w).alias("w"), F.when(w > 0, F.lit(0)).otherwise(-a).alias("a"), F.col("__h").alias("h"))
+    winners = counts.groupBy(group).agg(F.min(first).alias("b")).select(
+        group, F.col("b.h").alias("__h"), (-F.col("b.w") - F.col("b.a")).alias("n_ref"))
+    copies = dim_join(d.select(group, "__h", seq), winners, [group, "__h"])
+    return copies.groupBy(group, "n_ref").agg(F.min(seq).alias("ref")).select(
+        group, "ref", "n_ref", F.length("ref").alias("ref_length"))
 
 
 def distance_to_reference(

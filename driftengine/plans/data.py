@@ -60,11 +60,11 @@ ORDS = """ords AS (SELECT o_orderkey AS id, o_orderpriority AS grp,
 
 
 def modal_sql(src: str, where: str = "TRUE") -> str:
-    """CTE ``refs``: modal sequence per group of ``src``, smallest on ties."""
+    """CTE ``refs``: modal sequence per group of ``src``, smallest digest on ties."""
     return f"""refs AS (SELECT grp, sequence AS ref, CAST(length(sequence) AS INTEGER) AS ref_length,
     n AS n_ref FROM (
     SELECT grp, sequence, count(*) AS n,
-      row_number() OVER (PARTITION BY grp ORDER BY count(*) DESC, sequence) AS rk
+      row_number() OVER (PARTITION BY grp ORDER BY count(*) DESC, md5(sequence)) AS rk
     FROM {src} WHERE {where} GROUP BY grp, sequence) WHERE rk = 1)"""
 
 
