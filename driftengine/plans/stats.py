@@ -107,13 +107,13 @@ TTEST = """SELECT {key} count(v) FILTER (WHERE f) AS n1, count(v) FILTER (WHERE
   avg(v) FILTER (WHERE NOT f) AS m2, var_samp(v) FILTER (WHERE f) AS v1, var_samp(v) FILTER (WHERE NOT f) AS v2 FROM src {group}"""
 
 
-@query("f8_t_test", f"""WITH src AS (SELECT event_type, value AS v, user_id < 50 AS f FROM events),
+@query("f8_t_test", f"""WITH src AS (SELECT event_type, value AS v, day(ts) < 15 AS f FROM events),
   t AS ({TTEST.format(key='event_type,', group='GROUP BY 1')}),
   s AS (SELECT *, sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2)) AS sd FROM t)
   SELECT event_type, n1, n2, {R('m1', 'mean1')}, {R('m2', 'mean2')}, {R('(m1 - m2) / sd', 'cohens_d')},
     {R('(m1 - m2) / (sd * sqrt(1e0 / n1 + 1e0 / n2))', 't')} FROM s""")
 def f8(spark, d):
-    return rounded(stats.t_test(table(spark, d, "events"), "value", F.col("user_id") < 50, ["event_type"], with_p=False))
+    return rounded(stats.t_test(table(spark, d, "events"), "value", F.dayofmonth("ts") < 15, ["event_type"], with_p=False))
 
 
 @query("f8_one_sample_t", f"""SELECT event_type, count(value) AS n, {R('avg(value)', 'mean')}, {R('stddev_samp(value)', 'sd')},
@@ -134,14 +134,14 @@ def f9(spark, d):
     return rounded(stats.fisher_p(t, "n_both", "only_b", "only_a", "neither"))
 
 
-@query("f10_mann_whitney", f"""WITH r AS (SELECT value, user_id < 50 AS f, rank() OVER (ORDER BY value) + (count(*) OVER (PARTITION BY value) - 1) / 2e0 AS rk FROM events),
+@query("f10_mann_whitney", f"""WITH r AS (SELECT value, day(ts) < 15 AS f, rank() OVER (ORDER BY value) + (count(*) OVER (PARTITION BY value) - 1) / 2e0 AS rk FROM events),
   t AS (SELECT sum(CAST(n AS DOUBLE) * n * n - n) AS ties FROM (SELECT count(*) AS n FROM events GROUP BY value)),
   u AS (SELECT count(*) FILTER (WHERE f) AS n1, count(*) FILTER (WHERE NOT f) AS n2,
     sum(rk) FILTER (WHERE f) - CAST(count(*) FILTER (WHERE f) AS DOUBLE) * (count(*) FILTER (WHERE f) + 1) / 2 AS u FROM r)
   SELECT n1, n2, {R('u')}, {R('2 * u / (CAST(n1 AS DOUBLE) * n2) - 1', 'rank_biserial')},
     {R('(u - CAST(n1 AS DOUBLE) * n2 / 2 - 5e-1) / sqrt(CAST(n1 AS DOUBLE) * n2 / 12 * (n1 + n2 + 1 - ties / (CAST(n1 + n2 AS DOUBLE) * (n1 + n2 - 1))))', 'z')} FROM u, t""")
 def f10(spark, d):
-    return rounded(stats.mann_whitney(table(spark, d, "events"), "value", F.col("user_id") < 50, with_p=False))
+    return rounded(stats.mann_whitney(table(spark, d, "events"), "value", F.dayofmonth("ts") < 15, with_p=False))
 
 
 @query("f11_agreement", f"""WITH b AS (SELECT l_quantity AS a, l_extendedprice / 2000 AS b FROM lineitem),
