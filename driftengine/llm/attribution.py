@@ -72,7 +72,7 @@ def section_tokens(docs: DataFrame, tokenizer: str, boundary: str = "\n", rule:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows(batches):
             plain = [t.decode() for t in texts(batch)]
-            start, end, n = encoder(tokenizer).spans(plain)
+            start, end, n = encoder(tokenizer, spans=True).spans(plain)
             size = np.array([len(t) for t in plain])
             base = np.cumsum(size) - size
             begins = [section_starts(t, cut) for t in plain]

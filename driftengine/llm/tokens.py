@@ -17,40 +17,47 @@ import numpy as np
 
 from driftengine.llm.common import ramp
 
-#: Pieces a worker keeps before it starts anew; bounds its memory.
-KEEP = 300_000
-_IRREGULAR = re.compile(r"\s\s|\s\Z|\0")
+#: Pieces a worker keeps before it starts anew; bounds its memory (about 200 bytes a piece).
+KEEP = 800_000
+#: Pieces encoded in one call.
+LEARN = 20_000
 _CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, bool], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """One encoder per file and worker process."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+def encoder(path: str, spans: bool = False) -> Encoder:
+    """One encoder per file and worker process; only one made for ``spans`` can give them."""
+    if (path, spans) not in _encoders:
+        _encoders[path, spans] = Encoder(path, spans)
+    return _encoders[path, spans]
+
+
+def _regular(text: str) -> bool:
+    """Words between single spaces or line feeds, no other white space or control character."""
+    return not ("  " in text or " \n" in text or "\n " in text or "\n\n" in text or text.endswith((" ", "\n"))) \
+        and text.replace("\n", "").isprintable()
 
 
 class Encoder:
-    def __init__(self, path: str):
+    def __init__(self, path: str, spans: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.with_spans = spans
         self._clear()
 
     def _clear(self):
         self.index: dict[str, int] = {}
-        self.count, self.chars = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.count, self.chars, self.first = (np.zeros(0, np.int32) for _ in range(3))
         self.ids, self.start, self.end = (np.zeros(0, np.uint32) for _ in range(3))
-        self.first = np.zeros(0, np.int64)
 
     @staticmethod
     def _keys(text: str) -> list[str]:
         """Pieces of a text: one after a space without it, one after a line feed with it, and any
         other with a leading NUL."""
-        if _IRREGULAR.search(text):
+        if not _regular(text):
             return ["\0" + p for p in _CUT.split(text) if p]
         keys = text.replace("\n", " \n").split(" ")
         if keys[0]:
@@ -60,26 +67,28 @@ class Encoder:
 
     def _learn(self, keys: list[str]):
         plain = [k if k[0] == "\n" else k[1:] if k[0] == "\0" else " " + k for k in keys]
-        found = self.tokenizer.encode_batch(plain, add_special_tokens=False)
+        encode = self.tokenizer.encode_batch if self.with_spans else self.tokenizer.encode_batch_fast
+        found = encode(plain, add_special_tokens=False)
         at = len(self.index)
         self.index.update(zip(keys, range(at, at + len(keys))))
-        count = np.array([len(e.ids) for e in found], np.int64)
-        spans = np.array([s for e in found for s in e.offsets], np.uint32).reshape(-1, 2)
-        first = len(self.ids) + np.cumsum(count) - count
-        add = np.concatenate
-        self.first, self.count = add([self.first, first]), add([self.count, count])
-        self.chars = add([self.chars, np.array([len(p) for p in plain], np.int64)])
-        self.ids = add([self.ids, np.array([i for e in found for i in e.ids], np.uint32)])
-        self.start, self.end = add([self.start, spans[:, 0]]), add([self.end, spans[:, 1]])
+        ids = [e.ids for e in found]
+        count = np.fromiter(map(len, ids), np.int32, len(ids))
+        add, n = np.concatenate, int(count.sum())
+        self.first, self.count = add([self.first, len(self.ids) + (np.cumsum(count) - count).astype(np.int32)]), add([self.count, count])
+        self.ids = add([self.ids, np.fromiter(itertools.chain.from_iterable(ids), np.uint32, n)])
+        if self.with_spans:
+            spans = np.array([s for e in found for s in e.offsets], np.uint32).reshape(-1, 2)
+            self.chars = add([self.chars, np.fromiter(map(len, plain), np.int32, len(plain))])
+            self.start, self.end = add([self.start, spans[:, 0]]), add([self.end, spans[:, 1]])
 
     def _pieces(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
         if len(self.index) > KEEP:
             self._clear()
         cut = [self._keys(t) for t in texts]
         flat = list(itertools.chain.from_iterable(cut))
-        new = sorted(set(flat).difference(self.index))
-        if new:
-            self._learn(new)
+        new = list(set(flat).difference(self.index))
+        for i in range(0, len(new), LEARN):
+            self._learn(new[i:i + LEARN])
         at = np.fromiter(map(self.index.__getitem__, flat), np.int64, len(flat))
         return at, np.array([len(c) for c in cut], np.int64)
 
