@@ -83,20 +83,24 @@ def leaf_budgets(leaves: DataFrame, levels: Sequence[str], weights: dict[str, st
     return tree.join(parents, path).drop("__root", "cap")
 
 
-def mix_sources(docs: DataFrame, levels: dict[str, str], weights: dict[str, str],
-                budget: str, epochs: int = 4, seed: int = 7) -> DataFrame:
+def mix_sources(docs: DataFrame, levels: dict[str, str], weights: dict[str, str], budget: str,
+                epochs: int = 4, seed: int = 7, whole_rows: bool = False) -> DataFrame:
     """Tokens to take of every document: doc_id, the levels, n_tokens, full_epochs, prefix_tokens,
-    taken_tokens (= full_epochs * n_tokens + prefix_tokens).
+    taken_tokens (= full_epochs * n_tokens + prefix_tokens); with ``whole_rows`` also ``row``, all
+    columns of ``docs``.
 
-    Tokens are words. Null levels are one node named ''; null text has no tokens and is taken never;
-    null ids order as the empty text. Repeated rows are documents of their own, ordered by the order
-    digest only. An empty table gives no rows. A document in which the prefix ends is taken in part.
+    Tokens are words; ``levels`` are SQL expressions over the columns of ``docs``. Null levels are one
+    node named ''; null text has no tokens. Null ids order as the empty text. Repeated rows are
+    documents of their own. An empty table gives no rows. A document in which the prefix ends is taken
+    in part.
     """
     names = list(levels)
+    row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if whole_rows else []
     base = docs.select(
-        "doc_id", *[F.coalesce(F.expr(c).cast("string"), F.lit("")).alias(n) for n, c in levels.items()],
+        "doc_id", *row, *[F.coalesce(F.expr(c).cast("string"), F.lit("")).alias(n) for n, c in levels.items()],
         word_count(F.col("text")).alias("n_tokens"))
-    base = stored(base, "leaf-tokens")
+    if not whole_rows:
+        base = stored(base, "leaf-tokens")
     leaves = base.groupBy(*names).agg(F.sum("n_tokens").alias("tokens"))
     given = leaf_budgets(stored(leaves, "leaves"), names, weights, budget, epochs)
     whole = F.coalesce(F.floor(F.col("given") / F.nullif(F.col("tokens"), F.lit(0))), F.lit(0)).cast("long")
@@ -104,19 +108,39 @@ def mix_sources(docs: DataFrame, levels: dict[str, str], weights: dict[str, str]
                                 (F.col("given") - whole * F.col("tokens")).alias("__part")), "budgets")
 
     # One row per leaf: Spark broadcasts it if small and splits a hot leaf otherwise.
-    keyed = base.join(given, names)
-    order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("full_epochs").cast("string"),
-                              F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    keyed = keyed.withColumn("__o", order).withColumn("__slice", F.substring("__o", 1, DIGITS))
-    sums = keyed.groupBy(*names, "__slice").agg(F.sum("n_tokens").alias("__n"))
+    def keyed(rows: DataFrame) -> DataFrame:
+        order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("full_epochs").cast("string"),
+                                  F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+        return rows.join(given, names).withColumn("__o", order).withColumn("__slice", F.substring("__o", 1, DIGITS))
+
+    sums = keyed(base.drop("row")).groupBy(*names, "__slice").agg(F.sum("n_tokens").alias("__n"))
     earlier = Window.partitionBy(*names).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(*names, "__slice", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__off"))
     inside = Window.partitionBy(*names, "__slice").orderBy("__o").rowsBetween(Window.unboundedPreceding, -1)
     before = F.col("__off") + F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))
     prefix = F.greatest(F.lit(0), F.least(F.col("n_tokens"), F.col("__part") - before)).cast("long")
-    return keyed.join(sums, [*names, "__slice"]).withColumn("prefix_tokens", prefix).select(
+    return keyed(base).join(sums, [*names, "__slice"]).withColumn("prefix_tokens", prefix).select(
         "doc_id", *names, "n_tokens", "full_epochs", "prefix_tokens",
-        (F.col("full_epochs") * F.col("n_tokens") + F.col("prefix_tokens")).alias("taken_tokens"))
+        (F.col("full_epochs") * F.col("n_tokens") + F.col("prefix_tokens")).alias("taken_tokens"),
+        *(["row"] if whole_rows else []))
+
+
+def mixed_documents(docs: DataFrame, levels: dict[str, str], weights: dict[str, str], budget: str,
+                    epochs: int = 4, seed: int = 7) -> DataFrame:
+    """The mixture itself, with the columns of ``docs``: a row for every whole epoch of a document and
+    one for its part of the last epoch. A text that is cut has its first words joined by one space,
+    and its length in ``n_chars`` if there is such a column."""
+    taken = mix_sources(docs, levels, weights, budget, epochs, seed, whole_rows=True)
+    copies = F.col("full_epochs") + F.when(F.col("prefix_tokens") > 0, 1).otherwise(0)
+    rows = taken.where(copies > 0).withColumn("epoch", F.explode(F.sequence(F.lit(1).cast("long"), copies)))
+    cut = (F.col("epoch") > F.col("full_epochs")) & (F.col("prefix_tokens") < F.col("n_tokens"))
+    rows = rows.withColumn("__text", F.when(cut, first_words(F.col("row.text"), F.col("prefix_tokens").cast("int")))
+                           .otherwise(F.col("row.text"))).withColumn("__cut", cut)
+    new = {"text": F.col("__text")}
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        new["n_chars"] = F.when(F.col("__cut"), F.length("__text").cast(kind)).otherwise(F.col("row.n_chars"))
+    return rows.select(*[new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
 
 
 def first_words(text: Column, n: Column) -> Column:
