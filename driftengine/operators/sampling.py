@@ -107,25 +107,24 @@ def temporal_folds(
 ) -> DataFrame:
     """Rows tagged ``(fold, role)``: train before ``train_max``, test in [test_min, test_max).
 
-    ``folds(fold, train_max, test_min, test_max)``. Sizes are judged on counts per period, so
-    folds below the minimum sizes never touch the rows.
+    ``folds(fold, train_max, test_min, test_max)``. A role depends on the period alone: folds meet
+    the periods and their counts, and rows only join the resulting (period, fold, role) table by
+    equality. Folds below the minimum sizes never touch the rows.
     """
-    if not is_small(folds):
-        raise ValueError("too many folds")
-    role = F.when(F.col(col) < F.col("train_max"), "train").when(
-        (F.col(col) >= F.col("test_min")) & (F.col(col) < F.col("test_max")), "test")
     f = folds.select("fold", "train_max", "test_min", "test_max")
-    within = (F.col(col) < F.col("train_max")) | (
-        (F.col(col) >= F.col("test_min")) & (F.col(col) < F.col("test_max")))
     per = df.groupBy(col).agg(F.count(F.lit(1)).alias("n"))
-    sizes = per.join(F.broadcast(f), within).withColumn("role", role).groupBy("fold").agg(
+    role = F.when(F.col(col) < F.col("train_max"), "train").when(
+        (F.col(col) >= F.col("test_min")) & (F.col(col) < F.col("test_max")), "test")
+    # The folds' (period, role) pairs are the result of this step, not rows of the data.
+    roles = materialize(per.join(f, F.col(col) < F.greatest("train_max", "test_max")).withColumn(
+        "role", role).where("role is not null").select(col, "fold", "role", "n"))
+    sizes = roles.groupBy("fold").agg(
         F.sum(F.when(F.col("role") == "train", F.col("n")).otherwise(0)).alias("n_train"),
         F.sum(F.when(F.col("role") == "test", F.col("n")).otherwise(0)).alias("n_test"),
     )
     usable = sizes.where((F.col("n_train") >= min_train) & (F.col("n_test") >= min_test))
-    keep = f.join(usable.select("fold"), "fold")  # at most as many rows as the checked folds
-    return df.join(F.broadcast(keep), within).withColumn("role", role).drop(
-        "train_max", "test_min", "test_max")
+    keep = materialize(roles.join(usable.select("fold"), "fold").select(col, "fold", "role"))
+    return df.join(F.broadcast(keep) if is_small(keep) else keep, col)
 
 
 def expanding_folds(

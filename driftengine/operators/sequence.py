@@ -21,7 +21,7 @@ from driftengine.functions.columns import (
     symbol_fraction,
 )
 from driftengine.functions.tails import chi2_sf
-from driftengine.scale import dim_join, exact_quantiles, materialize, order_rank
+from driftengine.scale import dim_join, exact_quantiles, materialize, order_rank, range_join
 
 VARIANT = ["grp", "position", "ref_char", "var_char"]
 
@@ -233,19 +233,23 @@ def variant_trend(events: DataFrame, records: DataFrame, keys: DataFrame) -> Dat
     )
 
 
-def region_points(regions: DataFrame) -> DataFrame:
-    """Distinct positions of half-open regions: ``grp, position``."""
-    return regions.where(F.col("end") > F.col("start")).select(
-        "grp", F.explode(F.sequence(F.col("start"), F.col("end") - 1)).alias("position")
-    ).distinct()
+def merged_regions(regions: DataFrame) -> DataFrame:
+    """Half-open regions of each group as disjoint intervals: ``grp, start, end``."""
+    r = regions.where(F.col("end") > F.col("start")).select("grp", "start", "end")
+    before = Window.partitionBy("grp").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
+    gap = F.col("start") > F.coalesce(F.max("end").over(before), F.col("start") - 1)
+    upto = Window.partitionBy("grp").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, 0)
+    r = r.withColumn("__new", gap.cast("long"))
+    return r.withColumn("__island", F.sum("__new").over(upto)).groupBy("grp", "__island").agg(
+        F.min("start").alias("start"), F.max("end").alias("end")).drop("__island")
 
 
 def flag_region(events: DataFrame, regions: DataFrame, out: str = "in_region") -> DataFrame:
-    """Whether a position lies in any region of its group. Regions are the caller's data."""
-    points = region_points(regions).withColumn("__hit", F.lit(True))
-    return dim_join(events, points, ["grp", "position"], "left").withColumn(
-        out, F.coalesce("__hit", F.lit(False))
-    ).drop("__hit")
+    """Whether a position lies in any region of its group. Regions are the caller's data; they are
+    merged and searched, never listed by position."""
+    r = merged_regions(regions).select("grp", F.col("start").alias("__rs"), F.col("end").alias("__re"))
+    return range_join(events, "position", r, "__rs", "__re", on=["grp"]).withColumn(
+        out, F.col("__rs").isNotNull()).drop("__rs", "__re")
 
 
 def region_enrichment(
@@ -262,9 +266,9 @@ def region_enrichment(
     )
     rows = records.groupBy("grp").agg(F.count(F.lit(1)).alias("n_rows"))
     lengths = ref.select("grp", "ref_length")
-    width = region_points(regions).join(lengths, "grp").where(
-        F.col("position") < F.col("ref_length")
-    ).groupBy("grp").agg(F.count(F.lit(1)).alias("n_in"))
+    inside = F.least("end", "ref_length") - F.greatest(F.col("start"), F.lit(0))
+    width = merged_regions(regions).join(lengths, "grp").groupBy("grp").agg(
+        F.sum(F.greatest(inside, F.lit(0)).cast("long")).alias("n_in"))
     t = lengths.join(rows, "grp").join(width, "grp", "left").join(flagged, "grp", "left")
     t = t.na.fill(0, ["n_in", "in_events", "out_events"])
     n_out = F.col("ref_length") - F.col("n_in")

@@ -1,8 +1,8 @@
 """Building blocks that keep the operators safe on large, skewed tables.
 
 * ``materialize``     cut lineage through the shared checkpoint folder
-* ``dim_join``        broadcast a lookup side only after measuring it, salt otherwise
-* ``range_join``      interval lookup: measured broadcast, or a bucketed equi-join
+* ``dim_join``        broadcast a lookup side only after measuring it, shuffle otherwise
+* ``range_join``      interval lookup as an equi-join on segments of the value axis
 * ``running_totals``  exact cumulative sums per group without a one-task window
 * ``hash_rank``       exact, reproducible random order per group, split into buckets
 * ``exact_quantiles`` exact interpolated quantiles from running counts
@@ -23,10 +23,12 @@ from pyspark.sql import functions as F
 #: A side is broadcast only if it was counted and is not larger than this.
 BROADCAST_MAX_ROWS = 500_000
 BROADCAST_MAX_BYTES = 64 << 20
-#: Copies of an oversized lookup table in a salted join.
-SALTS = 8
+#: Cut points of the value axis in an interval lookup.
+SEGMENTS = 50_000
 #: Rows one window task should see in running totals; sets the number of value buckets.
 BUCKET_ROWS = 500_000
+#: Only tables of fewer splits (128 MB each at most, by default) may be spread by a shuffle.
+SPREAD_SPLITS = 16
 #: Leading hex digits of a hash that form a bucket: 65,536 buckets per group.
 HASH_DIGITS = 4
 
@@ -72,17 +74,14 @@ def dim_join(
     """Join a large table with a lookup table that has one row per key.
 
     The lookup is materialized and measured. Small: broadcast, the large side never moves.
-    Large: every lookup row is copied to ``SALTS`` salts, so a hot key of the large side is
-    spread over that many tasks.
+    Large: a shuffle join; AQE splits the partitions of hot keys by their measured sizes, equal
+    rows too, against the key's one lookup row.
     """
     on = list(on)
     small = dim if ready else materialize(dim)
     if is_small(small, max_rows):
         return fact.join(F.broadcast(small), on, how)
-    salted = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    plain = [F.col(f"`{c}`") for c in fact.columns]
-    left = fact.withColumn("__salt", F.pmod(F.xxhash64(*plain), F.lit(SALTS)).cast("int"))
-    return left.join(salted, on + ["__salt"], how).drop("__salt")
+    return fact.join(small, on, how)
 
 
 def range_join(
@@ -97,32 +96,45 @@ def range_join(
 ) -> DataFrame:
     """Attach every interval ``[start, end)`` of ``dim`` that holds ``fact.value``.
 
-    A measured small ``dim`` is broadcast. Otherwise both sides get bucket numbers as wide as
-    the mean interval, which turns the lookup into an equi-join on (keys, bucket).
+    The starts and ends (or that many quantiles of them, beyond ``SEGMENTS``) cut the value axis into
+    segments. A row knows its segment by binary search, an interval is listed in each segment it
+    touches, and the lookup is an equi-join on (keys, segment), broadcast if the listed intervals
+    are measured small. A wide interval does not widen the segments of the others, and a value that
+    many rows share is split by AQE.
     """
     on = list(on)
     keep = [c for c in dim.columns if c not in on]
-    d = dim.select(*[F.col(c).alias(f"__d_{c}") for c in on], *keep)
+    d = dim.where(F.col(start) < F.col(end)).select(*[F.col(c).alias(f"__d_{c}") for c in on], *keep)
+    points = d.select(F.explode(F.array(F.col(start).cast("double"), F.col(end).cast("double"))).alias("v"))
+    points = points.where(F.col("v").isNotNull()).distinct()
+    if points.count() <= SEGMENTS:
+        cuts = sorted(r[0] for r in points.collect())  # SEGMENTS numbers at most
+    else:
+        cuts = points.stat.approxQuantile("v", [i / SEGMENTS for i in range(1, SEGMENTS)], 0.5 / SEGMENTS)
+    left = _numbered(fact, value, cuts, "__segment")
+    d = _numbered(_numbered(d, start, cuts, "__from"), end, cuts, "__to")
+    d = d.withColumn("__dsegment", F.explode(F.sequence("__from", "__to"))).drop("__from", "__to")
+    d = materialize(d)
     cond = [F.col(c) == F.col(f"__d_{c}") for c in on]
+    cond += [F.col("__segment") == F.col("__dsegment")]
     cond += [F.col(value) >= F.col(start), F.col(value) < F.col(end)]
-    if is_small(dim, max_rows):
-        d = F.broadcast(d)
-        left = fact
-    else:
-        width = dim.agg(F.avg(F.col(end) - F.col(start))).first()[0] or 1.0
-        width = max(1.0, float(width))
-        bucket = lambda c: F.floor(c / F.lit(width))
-        left = fact.withColumn("__bucket", bucket(F.col(value)))
-        d = d.withColumn(
-            "__dbucket",
-            F.explode(F.sequence(bucket(F.col(start)), bucket(F.col(end)))),
-        )
-        cond.append(F.col("__bucket") == F.col("__dbucket"))
     all_of = cond[0]
     for c in cond[1:]:
         all_of = all_of & c
-    out = left.join(d, all_of, how)
-    return out.drop("__bucket", "__dbucket", *[f"__d_{c}" for c in on])
+    out = left.join(F.broadcast(d) if is_small(d, max_rows) else d, all_of, how)
+    return out.drop("__segment", "__dsegment", *[f"__d_{c}" for c in on])
+
+
+def _numbered(df: DataFrame, col: str, cuts: Sequence[float], out: str) -> DataFrame:
+    """Number of the cut points at or below a numeric column; -1 for null. Without cut points, or
+    with no finite one, all values are in one range."""
+    as_double = df.withColumn("__v", F.col(col).cast("double"))
+    splits = [float("-inf"), *sorted({float(c) for c in cuts if abs(c) != float("inf")}), float("inf")]
+    if len(splits) < 3:
+        number = F.when(F.col("__v").isNotNull(), 0)
+        return as_double.withColumn(out, F.coalesce(number, F.lit(-1))).drop("__v")
+    bz = Bucketizer(splits=splits, inputCol="__v", outputCol=out, handleInvalid="keep")
+    return bz.transform(as_double).drop("__v").withColumn(out, F.coalesce(F.col(out).cast("int"), F.lit(-1)))
 
 
 def value_buckets(df: DataFrame, col: str, out: str = "__bucket", buckets: int | None = None):
@@ -133,15 +145,12 @@ def value_buckets(df: DataFrame, col: str, out: str = "__bucket", buckets: int |
     value and a recomputed task gives the same answer.
     """
     if buckets is None:
-        buckets = min(20_000, max(8, df.count() // BUCKET_ROWS))
+        buckets = max(8, df.count() // BUCKET_ROWS)
     probs = [i / buckets for i in range(1, buckets)]
-    as_double = df.withColumn("__v", F.col(col).cast("double"))
-    cuts = sorted(set(as_double.stat.approxQuantile("__v", probs, 0.5 / buckets)))
-    splits = [float("-inf")] + [c for c in cuts if abs(c) != float("inf")] + [float("inf")]
-    bz = Bucketizer(splits=splits, inputCol="__v", outputCol=out, handleInvalid="keep")
-    # Nulls get bucket -1, where they sort.
-    bucket = F.coalesce(F.col(out).cast("int"), F.lit(-1))
-    return bz.transform(as_double).drop("__v").withColumn(out, bucket)
+    as_double = df.select(F.col(col).cast("double").alias("v"))
+    # No cut points for an empty or all-null column: everything is in one bucket. Nulls get
+    # bucket -1, where they sort.
+    return _numbered(df, col, as_double.stat.approxQuantile("v", probs, 0.5 / buckets), out)
 
 
 def running_totals(
@@ -187,10 +196,10 @@ def running_totals(
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Spread a scanned table over the cluster if its files give fewer splits than there are
-    cores. Large tables have far more splits and pass through unchanged."""
+    """Spread a small scanned table over the cores if its files give only a few splits. Tables of
+    more than ``SPREAD_SPLITS`` splits are never moved, however many cores there are."""
     slots = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < slots:
+    if df.rdd.getNumPartitions() < min(slots, SPREAD_SPLITS):
         return df.repartition(2 * slots, *keys)
     return df
 
