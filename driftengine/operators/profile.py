@@ -44,16 +44,17 @@ def duplicate_stats(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def dedupe(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """First row per key in ``order``.
+    """First row per key in ``order``, equal ones by all other columns in theirs.
 
-    Only the first order values are aggregated (combined map-side), so a heavily repeated key
-    costs one row per task; the winners then pick their rows.
+    One aggregate, combined map-side: a heavily repeated key costs one row per task, and the row
+    does not depend on the layout. Maps, which have no order, compare as JSON.
     """
-    best = df.groupBy(*key).agg(F.min(F.struct(*order)).alias("__first"))
-    picked = best.select(*key, *[F.col("__first")[c].alias(c) for c in order if c not in key])
-    on = list(dict.fromkeys([*key, *order]))
-    hits = df.join(picked, on, "left_semi")
-    return hits.dropDuplicates(on)
+    rest = [F.to_json(f"`{f.name}`") if f.dataType.typeName() in ("map", "variant") else F.col(f"`{f.name}`")
+            for f in df.schema.fields if f.name not in order and f.name not in key]
+    whole = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    rank = F.struct(*[F.col(f"`{c}`") for c in order], *[c.alias(f"r{i}") for i, c in enumerate(rest)])
+    best = df.groupBy(*key).agg(F.min_by(whole, rank).alias("__row"))
+    return best.select("__row.*")
 
 
 def summary(df: DataFrame, col: str, by: Sequence[str] = ()) -> DataFrame:

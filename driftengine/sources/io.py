@@ -35,8 +35,10 @@ def resolve_column(df: DataFrame, name: str) -> Column:
 
 
 def parse_fasta(text: DataFrame) -> DataFrame:
-    """Records from chunks of text between ``>`` marks: ``id, period, place, sequence``."""
-    header = F.split(F.col("value"), "\n", 2)[0]
+    """Records from chunks of text that begin with a ``>`` mark or after it: ``id, period, place,
+    sequence``. Further marks in a header belong to it."""
+    text = text.select(F.regexp_replace("value", "^\\s*>", "").alias("value"))
+    header = F.regexp_replace(F.split(F.col("value"), "\n", 2)[0], "\r$", "")
     rest = F.expr("substring(value, instr(value, '\n') + 1)")
     rest = F.when(F.instr("value", "\n") > 0, rest).otherwise(F.lit(""))
     parts = F.split(F.trim(header), "\\|")
@@ -49,14 +51,15 @@ def parse_fasta(text: DataFrame) -> DataFrame:
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """FASTA files, records split by ``>`` in parallel."""
-    return parse_fasta(spark.read.text(path, lineSep=">"))
+    """FASTA files, records split in parallel by ``>`` at the beginning of a line."""
+    return parse_fasta(spark.read.text(path, lineSep="\n>"))
 
 
 def fasta_lines(df: DataFrame, header_cols: Sequence[str], width: int = 70, seq: str = "sequence"):
-    """One text value per record: header, then lines of ``width`` symbols."""
+    """One text value per record: header, then lines of ``width`` symbols. Spaces, line breaks and
+    the marks of the format (``|``, ``>``) become ``_`` in header fields."""
     fields = [
-        F.regexp_replace(F.coalesce(F.col(c).cast("string"), F.lit("")), " ", "_")
+        F.regexp_replace(F.coalesce(F.col(c).cast("string"), F.lit("")), "[ |>\r\n]", "_")
         for c in header_cols
     ]
     header = F.concat(F.lit(">"), F.concat_ws("|", *fields))

@@ -108,7 +108,10 @@ def stream_self_baseline(
 
 
 def _read_if_any(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """The table at ``path``, empty before its first write; any other error is raised."""
     try:
         return spark.read.schema(schema).parquet(path)
-    except AnalysisException:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], schema)
