@@ -3,9 +3,32 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
+PACKAGE = os.path.dirname(os.path.abspath(__file__))
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Make the package importable in Python workers: its source goes to the executors once per
+    session, as a zip. Not needed where the package is installed on them."""
+    sc = spark.sparkContext
+    if getattr(sc, "_driftengine_shipped", False):
+        return spark
+    folder = tempfile.mkdtemp(prefix="driftengine-")
+    path = os.path.join(folder, "driftengine.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for root, _, files in os.walk(PACKAGE):
+            for name in files:
+                if name.endswith(".py"):
+                    full = os.path.join(root, name)
+                    z.write(full, os.path.relpath(full, os.path.dirname(PACKAGE)))
+    sc.addPyFile(path)
+    sc._driftengine_shipped = True
+    return spark
+
 
 def local_session(cpus: int | None = None, app: str = "driftengine") -> SparkSession:
     n = cpus or int(os.environ.get("BENCH_CPUS", "8"))
@@ -23,4 +46,4 @@ def local_session(cpus: int | None = None, app: str = "driftengine") -> SparkSes
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
-    return spark
+    return ship(spark)
