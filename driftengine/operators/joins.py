@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftengine.functions.columns import ratio
-from driftengine.scale import is_small, materialize, range_join
+from driftengine.scale import range_join
 
 
 def inner_on(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
@@ -55,19 +55,17 @@ def shared_keys(
     return both.withColumn(f"combined_{value}", F.col(f"{value}_a") + F.col(f"{value}_b"))
 
 
-def ordinal_pairs(dim: DataFrame, ext: DataFrame, max_rows: int = 2000) -> DataFrame:
-    """Pairs a < b of a small ordered list, joined with an external distance on the unordered
-    pair. ``dim(name, ordinal)``, ``ext(a, b, distance)``.
+def ordinal_pairs(dim: DataFrame, ext: DataFrame, max_steps: int) -> DataFrame:
+    """Pairs a < b of an ordered list that are at most ``max_steps`` apart, joined with an external
+    distance on the unordered pair. ``dim(name, ordinal)``, ``ext(a, b, distance)``.
 
-    The pairs of a list of names are the result itself, so the list has to be short; this is
-    checked, never cut.
+    A name is listed at the ordinals it can reach, so pairs meet by equality and there are at most
+    ``max_steps`` per name.
     """
-    small = materialize(dim.select("name", "ordinal"))
-    if not is_small(small, max_rows):
-        raise ValueError(f"ordinal_pairs takes at most {max_rows} names")
-    a = small.select(F.col("name").alias("a"), F.col("ordinal").alias("ordinal_a"))
-    b = small.select(F.col("name").alias("b"), F.col("ordinal").alias("ordinal_b"))
-    pairs = a.join(F.broadcast(b), F.col("ordinal_a") < F.col("ordinal_b"))
+    a = dim.select(F.col("name").alias("a"), F.col("ordinal").alias("ordinal_a"),
+                   F.explode(F.sequence(F.col("ordinal") + 1, F.col("ordinal") + max_steps)).alias("ordinal_b"))
+    b = dim.select(F.col("name").alias("b"), F.col("ordinal").alias("ordinal_b"))
+    pairs = a.join(b, "ordinal_b").select("a", "b", "ordinal_a", "ordinal_b")
     pairs = pairs.withColumn("__lo", F.least("a", "b")).withColumn("__hi", F.greatest("a", "b"))
     e = ext.groupBy(F.least("a", "b").alias("__lo"), F.greatest("a", "b").alias("__hi")).agg(
         F.avg("distance").alias("distance"))

@@ -268,22 +268,27 @@ def isolation_forest(
 ) -> DataFrame:
     """Isolation-forest score (higher = more anomalous) and flag of the top share.
 
-    Each tree grows in its own task on about ``sample`` rows chosen by hash; the trees (bounded
-    by trees x sample nodes) are then shipped to score every row in place.
+    Each tree grows in its own task on about ``sample`` rows. One rule at every size: a row draws by
+    hash how many trees it joins, as if each took it with probability sample / rows, and which; rows
+    that join none (nearly all of a large table) are not listed. The trees (bounded by trees x sample
+    nodes) are then shipped to score every row in place.
     """
     features = list(features)
     n = df.count()
+    share = min(1.0, sample / max(n, 1))
+    # Cumulative binomial probabilities of joining 0, 1, ... trees.
+    upto, p = [], (1.0 - share) ** trees
+    for i in range(trees):
+        upto.append((upto[-1] if upto else 0.0) + p)
+        p = p * (trees - i) / (i + 1) * (share / (1.0 - share) if share < 1 else 0.0)
     u = F.shiftrightunsigned(F.xxhash64(F.col(key), F.lit(SEED)), 11).cast("double") / float(1 << 53)
+    joins = F.size(F.filter(F.array(*[F.lit(x) for x in upto]), lambda x: x <= u)) if share < 1 else F.lit(trees)
+    order = F.array_sort(F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(
+        F.xxhash64(F.col("__key"), t, F.lit(SEED + 1)).alias("h"), t.alias("t"))))
     cols = [F.col(f).cast("double").alias(f) for f in features]
-    if n > trees * sample:
-        # One pass, every row is in at most one tree.
-        share = sample / n
-        drawn = df.select(F.floor(u / share).cast("int").alias("tree"), *cols).where(F.col("tree") < trees)
-    else:
-        each = F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree")
-        v = F.shiftrightunsigned(F.xxhash64("__key", "tree"), 11).cast("double") / float(1 << 53)
-        drawn = df.select(F.col(key).alias("__key"), each, *cols).where(v < min(1.0, sample / max(n, 1)))
-        drawn = drawn.drop("__key")
+    drawn = df.select(F.col(key).alias("__key"), joins.alias("__joins"), *cols).where("__joins > 0")
+    drawn = drawn.withColumn("tree", F.explode(F.slice(order, F.lit(1), F.col("__joins"))))
+    drawn = drawn.select(F.col("tree.t").alias("tree"), *features)
     limit = max(1, math.ceil(math.log2(max(2, min(sample, n)))))
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:

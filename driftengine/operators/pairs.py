@@ -1,8 +1,8 @@
 """Item pairs, pair distances, representatives and maps.
 
 Nothing here emits the pairs of an unbounded set: co-occurrence is pruned by support, windowed
-pairs are limited by the window, distances are taken within checked small sets, and the medoid
-and the map are linear in the rows.
+pairs are limited by the window, close pairs must share a segment, and the medoid, the selection and
+the map are linear in the rows.
 """
 
 from __future__ import annotations
@@ -105,19 +105,30 @@ def npmi_score(
         score.alias("score"), F.when(enough, "npmi").otherwise("fallback").alias("method"))
 
 
-def pairwise_distance(df: DataFrame, key: str = "id", max_rows: int = 2000, seq: str = "sequence", **options) -> DataFrame:
-    """Distances of all pairs ``id_a < id_b`` of a small set, such as representatives.
+def close_pairs(df: DataFrame, limit: int, key: str = "id", seq: str = "sequence") -> DataFrame:
+    """Pairs ``id_a < id_b`` of sequences of one length that differ in at most ``limit`` positions.
 
-    The set is measured first and a larger one is refused, not cut: ``landmark_map`` gives
-    distances of any number of rows to a fixed set, ``medoid`` the most central row.
+    Equal sequences are represented by one; members of a class are at distance 0 of its id and are
+    not listed as pairs. A sequence is cut into ``limit + 1`` segments, of which a pair must share
+    one: candidates meet by (length, segment number, segment digest). A pair is kept at the first
+    segment it shares. Hot segments are split by AQE. For any limit; all pairs of a short list are
+    those with the limit of its longest sequence.
     """
-    small = materialize(df.select(key, seq))
-    if not is_small(small, max_rows, 512 << 20):
-        raise ValueError(f"pairwise_distance takes at most {max_rows} rows")
-    a = small.select(F.col(key).alias("id_a"), F.col(seq).alias("__a"))
-    b = small.select(F.col(key).alias("id_b"), F.col(seq).alias("__b"))
-    pairs = a.repartition("id_a").join(F.broadcast(b), F.col("id_a") < F.col("id_b"))
-    return pairs.select("id_a", "id_b", hamming_arrow(F.col("__a"), F.col("__b"), **options).alias("distance"))
+    d = df.where(F.col(seq).isNotNull()).groupBy(seq).agg(F.min(key).alias("id"))
+    n = F.length(seq)
+    edge = lambda i: F.floor(n * F.lit(i) / F.lit(limit + 1)).cast("int")
+    cuts = F.array(*[F.xxhash64(F.substring(F.col(seq), edge(i) + 1, edge(i + 1) - edge(i))) for i in range(limit + 1)])
+    d = d.withColumn("__n", n).withColumn("__cuts", cuts)
+    listed = d.select("id", seq, "__n", "__cuts", F.posexplode("__cuts").alias("__i", "__h"))
+    a, b = listed.alias("a"), listed.alias("b")
+    same = (F.col("a.__n") == F.col("b.__n")) & (F.col("a.__i") == F.col("b.__i")) & (F.col("a.__h") == F.col("b.__h"))
+    met = a.join(b, same & (F.col("a.id") < F.col("b.id")))
+    first = F.array_position(F.zip_with("a.__cuts", "b.__cuts", lambda x, y: x == y), True) - 1
+    met = met.where(first == F.col("a.__i"))
+    differ = F.size(F.filter(F.zip_with(F.split(F.col(f"a.{seq}"), ""), F.split(F.col(f"b.{seq}"), ""),
+                                        lambda x, y: x != y), lambda x: x))
+    return met.select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b"), differ.alias("distance")).where(
+        F.col("distance") <= limit)
 
 
 def medoid(df: DataFrame, group: str = "grp", seq: str = "sequence") -> DataFrame:
@@ -169,30 +180,36 @@ def _matrix(texts: Sequence[str]) -> np.ndarray:
 
 
 def diverse_select(
-    df: DataFrame, group: str, quota: int, key: str = "id", seq: str = "sequence", pool: int = 200,
-    seed: int = 42,
+    df: DataFrame, group: str, quota: int, key: str = "id", seq: str = "sequence"
 ) -> DataFrame:
-    """Up to ``quota`` mutually distant rows per group by farthest-point selection.
+    """Up to ``quota`` mutually distant rows per group by farthest-point selection over all rows.
 
-    As the method defines it, candidates are a random pool of at most ``pool`` rows; groups run
-    in parallel on their pool. Adds ``pick`` (1, 2, ... in order of selection).
+    The first pick is the group's ``medoid``; each further one is the row farthest from its nearest
+    pick, the smallest key on ties. A round is one pass: the picks (one text per group and round)
+    are joined by group, rows keep a running minimum and one row per group and task is shuffled.
+    Adds ``pick`` (1, 2, ... in order of selection). Rows with a null sequence take no part.
     """
-    candidates = hash_rank(df.where(F.col(seq).isNotNull()), [group], key, seed, pool)
-    candidates = candidates.drop("rank", "total")
-
-    def select(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(key).reset_index(drop=True)
-        dist = _matrix(pdf[seq].tolist())
-        chosen = [int(dist.mean(axis=1).argmin())]
-        nearest = dist[chosen[0]].copy()
-        while len(chosen) < min(quota, len(pdf)):
-            nearest[chosen] = -1.0
-            chosen.append(int(nearest.argmax()))
-            nearest = np.minimum(nearest, dist[chosen[-1]])
-        return pdf.iloc[chosen].assign(pick=np.arange(1, len(chosen) + 1, dtype=np.int32))
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in candidates.schema.fields)
-    return candidates.groupBy(group).applyInPandas(select, f"{schema}, pick int")
+    rows = df.where(F.col(seq).isNotNull())
+    first = medoid(rows.select(F.col(key).alias("id"), group, seq), group, seq).select(
+        F.col("id").alias(key), group)
+    picks = materialize(dim_join(rows, first, [group, key]).select(
+        group, key, seq, F.lit(1).alias("pick")).dropDuplicates([group]))
+    for n in range(2, quota + 1):
+        so_far = picks.groupBy(group).agg(
+            F.sort_array(F.collect_list(F.struct("pick", F.col(key).alias("k"), F.col(seq).alias("s")))).alias("__p"))
+        near = dim_join(rows.select(group, key, seq), so_far, [group])
+        # ``n - 1`` distances a row; groups with fewer rows than the quota have fewer picks.
+        to = [F.when(F.size("__p") > i, hamming_arrow(F.col(seq), F.coalesce(F.get("__p", F.lit(i))["s"], F.lit(""))))
+              for i in range(n - 1)]
+        taken = F.exists("__p", lambda p: p["k"] == F.col(key))
+        near = near.where(~taken).withColumn("__d", F.least(*to) if len(to) > 1 else to[0])
+        far = near.groupBy(group).agg(F.min_by(
+            F.struct(F.col(key).alias("k"), F.col(seq).alias("s")),
+            F.struct((-F.col("__d")).alias("d"), F.col(key).alias("k"))).alias("f"))
+        picks = materialize(picks.unionByName(
+            far.select(group, F.col("f.k").alias(key), F.col("f.s").alias(seq), F.lit(n).alias("pick"))))
+    return df.join(F.broadcast(picks.select(group, key, "pick")) if is_small(picks) else picks.select(
+        group, key, "pick"), [group, key])
 
 
 def landmark_map(

@@ -130,24 +130,24 @@ def h6_rules(spark, d):
 
 @query("h7_random_forest")
 def h7(spark, d):
-    return _scored(spark, d, lambda t: models.fit_forest(t, FEATURES, trees=30))
+    return _scored(spark, d, lambda t: models.fit_forest(t, FEATURES))
 
 
 @query("h7_importances")
 def h7_importances(spark, d):
-    model = models.fit_forest(order_features(spark, d), FEATURES, trees=30)
+    model = models.fit_forest(order_features(spark, d), FEATURES)
     return rounded(models.importances(model, FEATURES, spark))
 
 
 @query("h8_boosted_trees")
 def h8(spark, d):
-    return _scored(spark, d, lambda t: models.fit_gbt(t, FEATURES, trees=20, depth=4))
+    return _scored(spark, d, lambda t: models.fit_gbt(t, FEATURES))
 
 
 @query("h8_boosted_multiclass")
 def h8_multi(spark, d):
     rows = materialize(order_features(spark, d).withColumn("era", F.least(F.greatest(F.col("period") - 1996, F.lit(0)), F.lit(2))))
-    model = models.fit_gbt_multiclass(rows, FEATURES, "era", trees=5)
+    model = models.fit_gbt_multiclass(rows, FEATURES, "era")
     got = models.predict(model, rows)
     return got.groupBy("era", F.col("prediction").cast("int").alias("found")).agg(F.count(F.lit(1)).alias("n"))
 

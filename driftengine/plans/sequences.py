@@ -288,14 +288,12 @@ def d19(spark, d):
     return rounded(pairs.npmi_score(order_events(spark, d)[2]))
 
 
-@query("d20_pairwise_distance", f"""WITH docs AS (SELECT doc_id AS id, source AS grp, text AS sequence FROM documents), {modal_sql('docs')},
-  p AS (SELECT x.grp AS id_a, y.grp AS id_b, string_split(x.ref, '') AS a, string_split(y.ref, '') AS b,
-    least(x.ref_length, y.ref_length) AS m FROM refs x JOIN refs y ON x.grp < y.grp)
-  SELECT id_a, id_b, {R('len(list_filter(list_zip(a[1:m], b[1:m]), lambda x: x[1] <> x[2])) / m', 'distance')} FROM p""")
+@query("d20_close_pairs", f"""WITH {ORDS}, r AS (SELECT sequence, min(id) AS id FROM ords GROUP BY 1),
+  p AS (SELECT x.id AS id_a, y.id AS id_b, len(list_filter(list_zip(string_split(x.sequence, ''), string_split(y.sequence, '')),
+    lambda z: z[1] <> z[2])) AS distance FROM r x JOIN r y ON length(x.sequence) = length(y.sequence) AND x.id < y.id)
+  SELECT id_a, id_b, CAST(distance AS INTEGER) AS distance FROM p WHERE distance <= 1""")
 def d20(spark, d):
-    docs = doc_records(spark, d).withColumn("grp", F.col("place"))
-    reps = sequence.modal_reference(docs).select(F.col("grp").alias("id"), F.col("ref").alias("sequence"))
-    return rounded(pairs.pairwise_distance(reps))
+    return pairs.close_pairs(order_records(spark, d), 1)
 
 
 @query("d21_medoid", f"""WITH {ORDS}, c AS (SELECT id, grp, unnest(range(0, length(sequence))) AS position,
@@ -316,19 +314,46 @@ def d22(spark, d):
     return rounded(sequence.median_length_reference(doc_records(spark, d)))
 
 
-@query("d23_diverse_select")
+def _farthest_sql(quota: int) -> str:
+    """CTEs p1 .. p<quota>: all picks after each round of the farthest-point selection on ``ords``."""
+    dist = """list_min(list_transform(p.picks, lambda q: CASE WHEN least(length(o.sequence), length(q)) = 0
+      THEN CAST(length(o.sequence) <> length(q) AS INTEGER) * 1e0 ELSE
+      len(list_filter(list_zip(string_split(o.sequence, '')[1:least(length(o.sequence), length(q))],
+        string_split(q, '')[1:least(length(o.sequence), length(q))]), lambda x: x[1] <> x[2]))
+      / least(length(o.sequence), length(q)) END))"""
+    rounds = [f"""p{n} AS (SELECT * FROM p{n - 1} UNION ALL SELECT grp, id, sequence, {n} FROM (
+      SELECT o.grp, o.id, o.sequence, row_number() OVER (PARTITION BY o.grp ORDER BY {dist} DESC, o.id) AS rn
+      FROM ords o JOIN (SELECT grp, list(sequence) AS picks, list(id) AS ids FROM p{n - 1} GROUP BY 1) p USING (grp)
+      WHERE NOT list_contains(p.ids, o.id)) WHERE rn = 1)""" for n in range(2, quota + 1)]
+    return ",\n  ".join(rounds)
+
+
+@query("d23_diverse_select", f"""WITH {ORDS}, c AS (SELECT id, grp, unnest(range(0, length(sequence))) AS position,
+    unnest(string_split(sequence, '')) AS symbol FROM ords),
+  n AS (SELECT grp, position, symbol, count(*) AS c FROM c GROUP BY ALL), l AS (SELECT grp, position, count(*) AS l FROM c GROUP BY ALL),
+  s AS (SELECT grp, count(*) AS n_rows FROM ords GROUP BY 1),
+  v AS (SELECT c.id, c.grp, sum(s.n_rows - n.c - l.l) AS v FROM c JOIN n USING (grp, position, symbol)
+    JOIN l USING (grp, position) JOIN s USING (grp) GROUP BY 1, 2),
+  p1 AS (SELECT v.grp, v.id, sequence, 1 AS pick FROM (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY v, id) AS rn FROM v) v
+    JOIN ords ON ords.id = v.id WHERE rn = 1),
+  {_farthest_sql(5)} SELECT id, grp, pick FROM p5""")
 def d23(spark, d):
+    return pairs.diverse_select(order_records(spark, d), "grp", 5).select("id", "grp", "pick")
+
+
+@query("d23_diverse_documents")
+def d23_documents(spark, d):
     return pairs.diverse_select(doc_records(spark, d), "grp", 10).select("id", "grp", "pick")
 
 
 @query("d24_landmark_map")
 def d24(spark, d):
-    return rounded(pairs.landmark_map(doc_records(spark, d), 60).select("id", "grp", "x", "y", "err2", "d2"))
+    return rounded(pairs.landmark_map(doc_records(spark, d)).select("id", "grp", "x", "y", "err2", "d2"))
 
 
 @query("d24_map_stress")
 def d24_stress(spark, d):
-    return rounded(pairs.map_stress(pairs.landmark_map(doc_records(spark, d), 60), ["grp"]))
+    return rounded(pairs.map_stress(pairs.landmark_map(doc_records(spark, d)), ["grp"]))
 
 
 @query("d25_to_sequence", """SELECT user_id, string_agg(substr(event_type, 1, 1), '' ORDER BY ts, event_id) AS sequence

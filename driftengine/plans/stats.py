@@ -166,17 +166,17 @@ def f12(spark, d):
 
 @query("f13_bootstrap_mean")
 def f13(spark, d):
-    return rounded(stats.bootstrap_mean(table(spark, d, "events"), "value", 200, "event_id", ["event_type"]))
+    return rounded(stats.bootstrap_mean(table(spark, d, "events"), "value", 1000, "event_id", ["event_type"]))
 
 
 @query("f14_bootstrap_auc")
 def f14(spark, d):
-    return rounded(stats.bootstrap_metric(predictions(spark, d), "label", "prob", "auc", 200))
+    return rounded(stats.bootstrap_metric(predictions(spark, d), "label", "prob", "auc", 1000))
 
 
 @query("f14_bootstrap_f1_stratified")
 def f14_f1(spark, d):
-    return rounded(stats.bootstrap_metric(predictions(spark, d), "label", "prob", "f1", 200, stratify=True))
+    return rounded(stats.bootstrap_metric(predictions(spark, d), "label", "prob", "f1", 1000, stratify=True))
 
 
 @query("f15_bootstrap_proportion")

@@ -404,10 +404,10 @@ def c7(spark, d):
 
 
 @query("c8_count_matrix", f"""WITH {DOCS} SELECT period, count(*) FILTER (WHERE grp = 'de') AS de,
-  count(*) FILTER (WHERE grp = 'en') AS en, count(*) FILTER (WHERE grp = 'fr') AS fr,
-  count(*) FILTER (WHERE grp IN ('de', 'en', 'fr')) AS "Total" FROM docs GROUP BY 1""")
+  count(*) FILTER (WHERE grp = 'en') AS en, count(*) FILTER (WHERE grp = 'es') AS es,
+  count(*) FILTER (WHERE grp = 'fr') AS fr, count(*) AS "Total" FROM docs GROUP BY 1""")
 def c8(spark, d):
-    return profile.count_matrix(doc_records(spark, d), "period", "grp", ["de", "en", "fr"])
+    return profile.count_matrix(doc_records(spark, d), "period", "grp", ["de", "en", "es", "fr"])
 
 
 @query("c9_grouped_summary", f"""WITH {ORDS}, l AS (SELECT *, CAST(length(sequence) AS INTEGER) AS len FROM ords),
@@ -472,11 +472,13 @@ def c14(spark, d):
     return rounded(profile.quality_verdict(rows, ["text", "lang"], "doc_id", "^[0-9]{2,}$", "length"))
 
 
-@query("c15_crosstab", """SELECT p_type, count(*) FILTER (WHERE p_brand = 'Brand#1') AS "Brand#1",
-  count(*) FILTER (WHERE p_brand = 'Brand#2') AS "Brand#2", count(*) FILTER (WHERE p_brand = 'Brand#3') AS "Brand#3"
-  FROM part GROUP BY 1""")
+BRANDS = [f"Brand#{i}" for i in range(1, 6)]
+
+
+@query("c15_crosstab", "SELECT p_type, " + ", ".join(
+    f"""count(*) FILTER (WHERE p_brand = '{b}') AS "{b}\"""" for b in BRANDS) + " FROM part GROUP BY 1")
 def c15(spark, d):
-    return profile.crosstab(table(spark, d, "part"), "p_type", "p_brand", ["Brand#1", "Brand#2", "Brand#3"])
+    return profile.crosstab(table(spark, d, "part"), "p_type", "p_brand", BRANDS)
 
 
 @query("c16_profile_rollup", f"""WITH {DOCS}, l AS (SELECT *, length(sequence) AS len FROM docs)
@@ -545,7 +547,7 @@ def j5(spark, d):
     FROM (SELECT strftime(l_shipdate, '%Y-%m') AS l_shipmonth, avg(l_quantity) AS q FROM lineitem GROUP BY 1)),
   ext AS (SELECT a.name AS a, b.name AS b, abs(a.q - b.q) AS distance FROM s a JOIN s b ON b.ordinal = a.ordinal + 1)
   SELECT x.name AS a, y.name AS b, x.ordinal AS ordinal_a, y.ordinal AS ordinal_b, y.ordinal - x.ordinal AS steps,
-    {R('distance')} FROM s x JOIN s y ON x.ordinal < y.ordinal LEFT JOIN ext ON ext.a = x.name AND ext.b = y.name""")
+    {R('distance')} FROM s x JOIN s y ON x.ordinal < y.ordinal AND y.ordinal <= x.ordinal + 12 LEFT JOIN ext ON ext.a = x.name AND ext.b = y.name""")
 def j6(spark, d):
     from pyspark.sql import Window
 
@@ -556,7 +558,7 @@ def j6(spark, d):
     s = s.withColumn("prev_q", F.lag("q").over(w))
     ext = s.where("prev IS NOT NULL").select(
         F.col("name").alias("a"), F.col("prev").alias("b"), F.abs(F.col("q") - F.col("prev_q")).alias("distance"))
-    return rounded(joins.ordinal_pairs(s.select("name", "ordinal"), ext))
+    return rounded(joins.ordinal_pairs(s.select("name", "ordinal"), ext, 12))
 
 
 @query("j7_pre_post", f"""WITH o AS (SELECT CAST(year(o_orderdate) AS INTEGER) AS period, o_totalprice AS v FROM orders),
