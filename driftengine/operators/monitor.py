@@ -9,13 +9,6 @@ from pyspark.sql import functions as F
 
 # Lower bound of each alert level.
 BANDS = {"CRITICAL": 0.70, "WARNING": 0.50, "CAUTION": 0.30}
-ACTIONS = {
-    "CRITICAL": "stop the rollout and review now",
-    "WARNING": "monitor more often and review the flagged regions",
-    "CAUTION": "watch closely and plan a review",
-    "NORMAL": "keep monitoring",
-}
-
 
 def alert_level(score: Column, bands: Mapping[str, float] = BANDS) -> Column:
     expr = F.lit("NORMAL")
@@ -24,11 +17,15 @@ def alert_level(score: Column, bands: Mapping[str, float] = BANDS) -> Column:
     return expr
 
 
-def alert_levels(df: DataFrame, score: str, bands: Mapping[str, float] = BANDS) -> DataFrame:
-    """Alert level and recommended action of every row; works on streams."""
+def alert_levels(
+    df: DataFrame, score: str, bands: Mapping[str, float] = BANDS, actions: Mapping[str, str] | None = None
+) -> DataFrame:
+    """Alert level of every row, and the caller's action text for it if given; works on streams."""
     df = df.withColumn("alert_level", alert_level(F.col(score), bands))
-    action = F.lit(ACTIONS["NORMAL"])
-    for name, text in ACTIONS.items():
+    if actions is None:
+        return df
+    action = F.lit(None).cast("string")
+    for name, text in actions.items():
         action = F.when(F.col("alert_level") == name, F.lit(text)).otherwise(action)
     return df.withColumn("action", action)
 

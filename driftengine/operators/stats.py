@@ -5,7 +5,7 @@ Every statistic is built from sums and counts; tail probabilities are taken on t
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -104,26 +104,31 @@ def chi2_gof(df: DataFrame, obs: str, exp: str, by: Sequence[str] = (), with_p:
 def chi2_contingency(df: DataFrame, a: str, b: str, with_p: bool = True) -> DataFrame:
     """Independence test of two categorical columns and Cramer's V, no continuity correction.
 
-    chi2 = N (sum O^2 / (R C) - 1), so empty cells need no grid.
+    Filled cells add (O - E)^2 / E; empty ones add their E, which is N less the E of the filled ones,
+    so they need no grid and nothing cancels where the columns are nearly independent.
     """
     cells = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(
         F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count(F.lit(1)).alias("o"))
     cells = materialize(cells)
     rows = cells.groupBy("a").agg(F.sum("o").alias("r"))
     cols = cells.groupBy("b").agg(F.sum("o").alias("c"))
-    o = F.col("o").cast("double")
-    out = cells.join(rows, "a").join(cols, "b").agg(
+    total = cells.agg(F.sum("o").cast("double").alias("__n"))
+    o, e = F.col("o").cast("double"), F.col("r").cast("double") * F.col("c") / F.col("__n")
+    out = cells.join(rows, "a").join(cols, "b").join(F.broadcast(total)).agg(  # one row
         F.sum("o").alias("n"),
-        F.sum(o * o / (F.col("r").cast("double") * F.col("c"))).alias("__s"),
+        F.sum((o - e) * (o - e) / e).alias("__filled"),
+        (F.max("__n") - F.sum(e)).alias("__empty"),
+        F.count(F.lit(1)).alias("__cells"),
         F.countDistinct("a").alias("__ra"),
         F.countDistinct("b").alias("__cb"),
     )
     k = F.least("__ra", "__cb") - 1
-    out = out.withColumn("chi2", F.col("n") * (F.col("__s") - 1))
+    grid = F.col("__cells") < F.col("__ra") * F.col("__cb")
+    out = out.withColumn("chi2", F.col("__filled") + F.when(grid, F.greatest("__empty", F.lit(0.0))).otherwise(0.0))
     out = out.withColumn("dof", (F.col("__ra") - 1) * (F.col("__cb") - 1)).withColumn(
         "cramers_v", F.when(k > 0, F.sqrt(F.greatest(F.col("chi2"), F.lit(0.0)) / (F.col("n") * k)))
         .otherwise(0.0)
-    ).drop("__s", "__ra", "__cb")
+    ).drop("__filled", "__empty", "__cells", "__ra", "__cb")
     return out.withColumn("p", chi2_sf("chi2", F.col("dof").cast("double"))) if with_p else out
 
 
@@ -207,20 +212,36 @@ def mann_whitney(df: DataFrame, value: str, flag: Column, with_p: bool = True) -
 
 
 def agreement(df: DataFrame, a: str, b: str) -> DataFrame:
-    """Pearson, Spearman, RMSE and MAE of two columns."""
-    d = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(
-        F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b"))
+    """Pearson, Spearman, RMSE and MAE of two columns.
+
+    Distinct pairs are counted once; the margins are ranked from those counts, and everything else
+    is a weighted sum over pairs, taken around the means so that large counts do not cancel.
+    """
+    pairs = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(
+        F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b")).agg(F.count(F.lit(1)).alias("w"))
+    pairs = materialize(pairs)
     average = F.col("cum") - F.col("n") + (F.col("n") + 1) / 2
+    d = pairs
     for c in ("a", "b"):
-        ranks = value_ranks(d.select("a", "b"), c).withColumn(f"rank_{c}", average)
+        ranks = value_ranks(pairs, c, weight="w").withColumn(f"rank_{c}", average)
         d = rank_join(d, c, ranks, [f"rank_{c}"])
+    cols = ["a", "b", "rank_a", "rank_b"]
+    d = materialize(d)
+    n = F.sum("w").cast("double")
+    means = d.agg(*[ratio(F.sum(F.col("w") * F.col(c)), n).alias(f"m_{c}") for c in cols])
+    e = {c: F.col(c) - F.col(f"m_{c}") for c in cols}
+
+    def correlation(x: str, y: str) -> Column:
+        w = F.col("w")
+        return ratio(F.sum(w * e[x] * e[y]), F.sqrt(F.sum(w * e[x] * e[x])) * F.sqrt(F.sum(w * e[y] * e[y])))
+
     gap = F.col("a") - F.col("b")
-    return d.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.corr("a", "b").alias("pearson"),
-        F.corr("rank_a", "rank_b").alias("spearman"),
-        F.sqrt(F.avg(gap * gap)).alias("rmse"),
-        F.avg(F.abs(gap)).alias("mae"),
+    return d.join(F.broadcast(means)).agg(  # one row
+        F.coalesce(F.sum("w"), F.lit(0)).alias("n"),
+        correlation("a", "b").alias("pearson"),
+        correlation("rank_a", "rank_b").alias("spearman"),
+        F.sqrt(ratio(F.sum(F.col("w") * gap * gap), n)).alias("rmse"),
+        ratio(F.sum(F.col("w") * F.abs(gap)), n).alias("mae"),
     )
 
 
@@ -279,7 +300,9 @@ def bootstrap_mean(
 
 def _metrics_from_counts(tp: Column, fp: Column, fn: Column, tn: Column) -> dict[str, Column]:
     div = lambda a, b: F.when(b > 0, a / b).otherwise(F.lit(0.0))
+    margins = F.sqrt(tp + fp) * F.sqrt(tp + fn) * F.sqrt(tn + fp) * F.sqrt(tn + fn)
     return {
+        "mcc": div(tp * tn - fp * fn, margins),
         "accuracy": div(tp + tn, tp + tn + fp + fn),
         "precision": div(tp, tp + fp),
         "recall": div(tp, tp + fn),
@@ -315,10 +338,11 @@ def _weights(keys: np.ndarray, counts: np.ndarray, B: int) -> np.ndarray:
 
 
 def bootstrap_metric(
-    df: DataFrame, y: str, p: str, metric: str = "auc", B: int = 1000, stratify: bool = False,
-    threshold: float = 0.5, ci: float = 0.95, seed: int = 42,
+    df: DataFrame, y: str, p: str, metric: str | Callable[..., Column] = "auc", B: int = 1000,
+    stratify: bool = False, threshold: float = 0.5, ci: float = 0.95, seed: int = 42,
 ) -> DataFrame:
-    """Poisson bootstrap interval of a binary metric (auc, accuracy, precision, recall, f1).
+    """Poisson bootstrap interval of a binary metric: auc, accuracy, precision, recall, f1, mcc, or a
+    function of four columns (tp, fp, fn, tn) to a column.
 
     Rows are first counted per score and class: the weights of c equal rows add up to one
     Poisson(c) draw, so ties cost one row and threshold metrics need four. For the AUC, scores
@@ -336,7 +360,7 @@ def bootstrap_metric(
     key = lambda c: F.xxhash64("score", F.lit(c), F.lit(seed))
     keyed = cells.withColumn("kp", key(1)).withColumn("kn", key(0))
     if metric == "auc":
-        buckets = int(min(20_000, max(8, n // 20_000)))
+        buckets = int(max(8, n // 20_000))
         keyed = value_buckets(keyed, "score", "bucket", buckets)
     else:
         keyed = keyed.withColumn("bucket", F.col("score").cast("int"))
@@ -377,13 +401,15 @@ def bootstrap_metric(
                 s = s.join(F.broadcast(size))  # one row
                 kp, kn = ratio(F.col("P"), tp + fn), ratio(F.col("N"), fp + tn)
                 tp, fn, fp, tn = tp * kp, fn * kp, fp * kn, tn * kn
-            return s.select(*by, _metrics_from_counts(tp, fp, fn, tn)[metric].alias("value"))
+            value = metric(tp, fp, fn, tn) if callable(metric) else _metrics_from_counts(tp, fp, fn, tn)[metric]
+            return s.select(*by, value.cast("double").alias("value"))
 
         point = measure(cells, [], F.col("score") == 1.0, False).withColumnRenamed("value", "point")
         values = measure(reps, ["b"], F.col("bucket") == 1, stratify)
     filled = values.join(F.broadcast(point)).withColumn("value", F.coalesce("value", "point"))  # one row
     out = _interval(filled.select("value"), point, [], ci)
-    return out.select(F.lit(metric).alias("metric"), "point", "ci_lo", "ci_hi", "ci_width")
+    name = getattr(metric, "__name__", "metric") if callable(metric) else metric
+    return out.select(F.lit(name).alias("metric"), "point", "ci_lo", "ci_hi", "ci_width")
 
 
 def bootstrap_proportion(
@@ -392,9 +418,13 @@ def bootstrap_proportion(
     """Interval of a proportion from B normal draws of the binomial law, per row of ``df``."""
     keys = list(by)
     r = df.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(B - 1))))
-    ids = [F.col(k).cast("string") for k in keys] or [F.lit("")]
-    u1 = _uniform(*ids, F.col("b"), F.lit(seed))
-    u2 = _uniform(*ids, F.col("b"), F.lit(seed + 1))
+
+    def uniform(n: int) -> Column:
+        text = F.concat_ws(":", *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys],
+                           F.col("b").cast("string"), F.lit(str(n)))
+        return F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("double") / F.lit(float(1 << 48))
+
+    u1, u2 = uniform(seed), uniform(seed + 1)
     z = F.sqrt(F.lit(-2.0) * F.log(F.lit(1.0) - u1)) * F.cos(F.lit(2.0) * F.pi() * u2)
     draw = F.col(p) + z * F.sqrt(F.col(p) * (F.lit(1.0) - F.col(p)) / F.col(n))
     reps = r.withColumn("value", F.least(F.greatest(draw, F.lit(0.0)), F.lit(1.0)))
@@ -435,15 +465,14 @@ def origin_slope_test(
     w = F.lit(1.0) if w is None else w
     s = df.groupBy(*by).agg(
         ratio(F.sum(w * t * d), F.sum(w * t * t)).alias("slope"), F.count(d).alias("n"),
-        F.sum(t * t).alias("__tt"), F.avg(t * t).alias("__mtt"), F.avg(t * d).alias("__mtd"),
-        F.avg(d * d).alias("__mdd"), F.avg(t).alias("__mt"), F.avg(d).alias("__md"))
+        F.sum(t * t).alias("__tt"), F.var_pop(d).alias("__vd"), F.covar_pop(t, d).alias("__vtd"),
+        F.var_pop(t).alias("__vt"))
     m = F.col("slope")
-    second = F.col("__mdd") - 2 * m * F.col("__mtd") + m * m * F.col("__mtt")
-    first = F.col("__md") - m * F.col("__mt")
-    sd = F.sqrt(F.greatest(second - first * first, F.lit(0.0)))
+    # Variance of d - m t, from moments around the means.
+    sd = F.sqrt(F.greatest(F.col("__vd") - 2 * m * F.col("__vtd") + m * m * F.col("__vt"), F.lit(0.0)))
     s = s.withColumn("se", sd / (F.sqrt("__tt") + F.lit(1e-9)))
     s = s.withColumn("t", m / (F.col("se") + F.lit(1e-9)))
-    s = s.drop("__tt", "__mtt", "__mtd", "__mdd", "__mt", "__md")
+    s = s.drop("__tt", "__vd", "__vtd", "__vt")
     return s.withColumn("p", t_two_sided("t", (F.col("n") - 1).cast("double"))) if with_p else s
 
 
@@ -476,6 +505,15 @@ def control_check(
     return j.withColumn("positive_control", drift).withColumn("negative_control", flat)
 
 
+def late_enrichment(
+    df: DataFrame, value: str, late: Column, by: Sequence[str] = (), q: float = 0.5, with_p: bool = True
+) -> DataFrame:
+    """Whether high rows (above a quantile of their group) are late more often than the others: the
+    third part of the control, as a 2x2 test without correction."""
+    high = split_at_quantile(df.where(F.col(value).isNotNull()), value, q, by, "__high")
+    return chi2_2x2(high, F.col("__high"), late, by, with_p=with_p)
+
+
 def audit_table(parts: Sequence[DataFrame], digits: int = 4) -> DataFrame:
     """Stack ``test, point, ci_lo, ci_hi, effect`` rows and add a formatted text."""
     out = None

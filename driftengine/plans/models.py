@@ -300,9 +300,9 @@ def h19_summary(spark, d):
 
 @query("g10_backtest")
 def g10(spark, d):
-    m = month_series(spark, d).withColumn("level", F.when(F.col("finished") > 0.34, "high").otherwise("low"))
+    m = month_series(spark, d)
     m = m.groupBy(F.floor(F.col("period") / 12).cast("int").alias("period"), "grp").agg(
-        F.avg("mean_price").alias("price"), F.avg("n").alias("n"), F.min("level").alias("low"), F.avg("finished").alias("f"))
+        F.avg("mean_price").alias("price"), F.avg("n").alias("n"), F.avg("finished").alias("f"))
     m = materialize(m.withColumn("label", F.when(F.col("f") > 0.3335, "high").otherwise("low")))
     fits = {"logistic": lambda t, f: models.fit_logistic(t, f, "__code"),
             "tree": lambda t, f: models.fit_tree(t, f, "__code", 2)}
@@ -313,10 +313,10 @@ def g10(spark, d):
 
 
 @query("s1_alert_levels", f"""WITH {PREDS} SELECT id, CASE WHEN prob >= 7e-1 THEN 'CRITICAL' WHEN prob >= 5e-1 THEN 'WARNING' WHEN prob >= 3e-1 THEN 'CAUTION' ELSE 'NORMAL' END AS alert_level,
-  CASE WHEN prob >= 7e-1 THEN 'stop the rollout and review now' WHEN prob >= 5e-1 THEN 'monitor more often and review the flagged regions'
-  WHEN prob >= 3e-1 THEN 'watch closely and plan a review' ELSE 'keep monitoring' END AS action FROM preds""")
+  CASE WHEN prob >= 7e-1 THEN 'page' WHEN prob >= 5e-1 THEN 'mail' WHEN prob >= 3e-1 THEN 'log' END AS action FROM preds""")
 def s1(spark, d):
-    return monitor.alert_levels(predictions(spark, d), "prob").select("id", "alert_level", "action")
+    actions = {"CRITICAL": "page", "WARNING": "mail", "CAUTION": "log"}
+    return monitor.alert_levels(predictions(spark, d), "prob", actions=actions).select("id", "alert_level", "action")
 
 
 @query("s1_alerts", f"WITH {PREDS} SELECT id, CASE WHEN prob >= 7e-1 THEN 'CRITICAL' WHEN prob >= 5e-1 THEN 'WARNING' ELSE 'CAUTION' END AS alert_level FROM preds WHERE prob >= 3e-1")
@@ -332,7 +332,7 @@ def s2(spark, d):
     flags = {"many_large": F.col("m2") > 0.35, "spread_high": F.col("m3") > 0.5}
     out = monitor.status_record(day_metrics(spark, d), "version", "m1", flags, F.col("n") > 66, ["entity"])
     out = out.withColumn("at_risk", F.concat_ws(",", F.col("at_risk").cast("array<string>")))
-    return rounded(out.drop("action", "record"))
+    return rounded(out.drop("record"))
 
 
 @query("s2_status_json")

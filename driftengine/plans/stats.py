@@ -13,6 +13,7 @@ from driftengine.plans.data import (
     PREDS,
     R,
     day_metrics,
+    doc_records,
     flagged_events,
     month_series,
     order_events,
@@ -122,7 +123,19 @@ def f8_one(spark, d):
     return rounded(stats.one_sample_t(table(spark, d, "events"), "value", 50.0, ["event_type"], with_p=False))
 
 
-@query("f9_fisher_p")
+_LOG_CHOOSE = "(lgamma({0} + 1) - lgamma({1} + 1) - lgamma({0} - {1} + 1))"
+
+
+@query("f9_fisher_p", f"""WITH i AS (SELECT DISTINCT l_orderkey AS r, p_brand AS x FROM lineitem JOIN part ON p_partkey = l_partkey),
+  nr AS (SELECT count(DISTINCT r) AS n FROM i), c AS (SELECT x, count(*) AS n FROM i GROUP BY 1),
+  k AS (SELECT c.* FROM c, nr WHERE c.n >= greatest(5, floor(nr.n * 0.05))),
+  t AS (SELECT p.x AS a, q.x AS b, count(*) AS n_both FROM i p JOIN i q ON p.r = q.r AND p.x < q.x JOIN k ka ON ka.x = p.x JOIN k kb ON kb.x = q.x GROUP BY 1, 2),
+  u AS (SELECT t.a, t.b, n_both, kb.n - n_both AS only_b, ka.n - n_both AS only_a, nr.n - ka.n - kb.n + n_both AS neither
+    FROM t JOIN k ka ON ka.x = t.a JOIN k kb ON kb.x = t.b, nr),
+  s AS (SELECT *, unnest(range(n_both, n_both + least(only_a, only_b) + 1)) AS h FROM u)
+  SELECT a, b, n_both, only_b, only_a, neither, {R("least(sum(exp(" + _LOG_CHOOSE.format('(n_both + only_b)', 'h') + " + "
+    + _LOG_CHOOSE.format('(only_a + neither)', '(n_both + only_a - h)') + " - "
+    + _LOG_CHOOSE.format('(n_both + only_a + only_b + neither)', '(n_both + only_a)') + ")), 1)", 'p')} FROM s GROUP BY ALL""")
 def f9(spark, d):
     from driftengine.operators.pairs import cooccurrence
     from driftengine.plans.sequences import baskets
@@ -179,7 +192,17 @@ def f14_f1(spark, d):
     return rounded(stats.bootstrap_metric(predictions(spark, d), "label", "prob", "f1", 1000, stratify=True))
 
 
-@query("f15_bootstrap_proportion")
+def _draw(n: int) -> str:
+    """Uniform number of a draw: 48 bits of an md5, as the operator takes them."""
+    return f"CAST(CAST('0x' || substr(md5(l_linestatus || ':' || b || ':{n}'), 1, 12) AS BIGINT) AS DOUBLE) / 281474976710656"
+
+
+@query("f15_bootstrap_proportion", f"""WITH p AS (SELECT l_linestatus, avg(CASE WHEN l_returnflag = 'R' THEN 1e0 ELSE 0e0 END) AS p,
+    count(*) AS n FROM lineitem GROUP BY 1),
+  u AS (SELECT *, {_draw(42)} AS u1, {_draw(43)} AS u2 FROM p, (SELECT unnest(range(1000)) AS b)),
+  v AS (SELECT l_linestatus, p, n, least(greatest(p + sqrt(-2 * ln(1 - u1)) * cos(2 * pi() * u2) * sqrt(p * (1 - p) / n), 0), 1) AS x FROM u),
+  q AS (SELECT l_linestatus, any_value(p) AS point, any_value(n) AS n, quantile_cont(x, 25e-3) AS ci_lo, quantile_cont(x, 975e-3) AS ci_hi FROM v GROUP BY 1)
+  SELECT l_linestatus, {R('point')}, n, {R('ci_lo')}, {R('ci_hi')}, {R('ci_hi - ci_lo', 'ci_width')} FROM q""")
 def f15(spark, d):
     p = table(spark, d, "lineitem").groupBy("l_linestatus").agg(
         F.avg((F.col("l_returnflag") == "R").cast("double")).alias("p"), F.count(F.lit(1)).alias("n"))
@@ -238,6 +261,18 @@ def f20(spark, d):
     return rounded(stats.control_check(by, 10, by=["grp"]))
 
 
+@query("f20_late_enrichment", """WITH q AS (SELECT grp, quantile_cont(CAST(length(text) AS DOUBLE), 5e-1) AS c FROM (SELECT lang AS grp, text FROM documents) GROUP BY 1),
+  t AS (SELECT lang AS grp, count(*) FILTER (WHERE length(text) > c AND late) AS a, count(*) FILTER (WHERE length(text) > c AND NOT late) AS b,
+    count(*) FILTER (WHERE NOT length(text) > c AND late) AS c, count(*) FILTER (WHERE NOT length(text) > c AND NOT late) AS d
+    FROM (SELECT *, CAST(substr(source, 4) AS INTEGER) >= 10 AS late FROM documents) JOIN q ON grp = lang GROUP BY 1),
+  u AS (SELECT *, CAST(a + b + c + d AS DOUBLE) AS n FROM t),
+  v AS (SELECT *, n * pow(CAST(a AS DOUBLE) * d - CAST(b AS DOUBLE) * c, 2) / (CAST(a + b AS DOUBLE) * (c + d) * (a + c) * (b + d)) AS x FROM u)
+  SELECT grp, a, b, c, d, """ + R("x", "chi2") + ", " + R("sqrt(x / n)", "cramers_v") + ", " + R("(a / (a + b)) / (c / (c + d))", "enrichment") + " FROM v")
+def f20_late(spark, d):
+    docs = doc_records(spark, d).select("grp", F.length("sequence").alias("size"), (F.col("period") >= 10).alias("late"))
+    return rounded(stats.late_enrichment(docs, "size", F.col("late"), ["grp"], with_p=False))
+
+
 AUDIT = """SELECT '{name}' AS test, avg(v) AS point, avg(v) - 196e-2 * stddev_samp(v) / sqrt(count(v)) AS ci_lo,
   avg(v) + 196e-2 * stddev_samp(v) / sqrt(count(v)) AS ci_hi, avg(v) / stddev_samp(v) AS effect FROM {src}"""
 
