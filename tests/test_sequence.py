@@ -123,12 +123,20 @@ def test_npmi_window_limits_partners(spark):
         assert 0.0 <= r.score <= 1.0
 
 
-def test_pairwise_distance_refuses_large_sets(spark):
-    _, d = random_records(spark, 12)
-    got = pairs.pairwise_distance(d)
-    assert got.count() == 66 and got.where("distance < 0 OR distance > 1").count() == 0
-    with pytest.raises(ValueError):
-        pairs.pairwise_distance(d, max_rows=5)
+@pytest.mark.parametrize("limit", [0, 1, 3])
+def test_close_pairs_are_complete(spark, limit):
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("AC") for _ in range(n)) for n in (6, 6, 7, 9) for _ in range(40)]
+    d = records(spark, [(i, "x", 1, t) for i, t in enumerate(texts)])
+    first = {}
+    for i, t in enumerate(texts):
+        first.setdefault(t, i)
+    want = set()
+    for (s, i), (t, j) in combinations(first.items(), 2):
+        differ = sum(x != y for x, y in zip(s, t))
+        if len(s) == len(t) and differ <= limit:
+            want.add((min(i, j), max(i, j), differ))
+    assert {tuple(r) for r in pairs.close_pairs(d, limit).collect()} == want
 
 
 def test_diverse_selection_is_reproducible_and_spread(spark):
@@ -171,8 +179,9 @@ def test_overlay_replaces_only_inside_the_group(spark):
 def test_ordinal_pairs_unordered_lookup(spark):
     dim = spark.createDataFrame([("a", 0), ("c", 1), ("b", 2)], "name string, ordinal int")
     ext = spark.createDataFrame([("c", "a", 1.5), ("b", "c", 2.0)], "a string, b string, distance double")
-    got = {(r.a, r.b): (r.steps, r.distance) for r in joins.ordinal_pairs(dim, ext).collect()}
+    got = {(r.a, r.b): (r.steps, r.distance) for r in joins.ordinal_pairs(dim, ext, 2).collect()}
     assert got == {("a", "c"): (1, 1.5), ("a", "b"): (2, None), ("c", "b"): (1, 2.0)}
+    assert joins.ordinal_pairs(dim, ext, 1).count() == 2
 
 
 def test_period_rate_never_exceeds_100(spark):
