@@ -5,7 +5,7 @@ Every statistic is built from sums and counts; tail probabilities are taken on t
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -259,20 +259,6 @@ POISSON_1 = [
 ]
 
 
-def _uniform(*keys: Column) -> Column:
-    """Number in [0, 1) fixed by its keys."""
-    return F.shiftrightunsigned(F.xxhash64(*keys), 11).cast("double") / F.lit(float(1 << 53))
-
-
-def poisson_weight(key: Column, b: Column, seed: int = 42) -> Column:
-    """Poisson(1) resampling weight of a row in replicate ``b``; the same on any layout."""
-    u = _uniform(key, b, F.lit(seed))
-    w = F.lit(len(POISSON_1))
-    for k in range(len(POISSON_1) - 1, -1, -1):
-        w = F.when(u < POISSON_1[k], F.lit(k)).otherwise(w)
-    return w
-
-
 def _interval(reps: DataFrame, point: DataFrame, by: Sequence[str], ci: float) -> DataFrame:
     """Percentile interval; ``reps`` holds one row per replicate, so the list is bounded by B."""
     lo, hi = (1 - ci) / 2, 1 - (1 - ci) / 2
@@ -284,18 +270,38 @@ def _interval(reps: DataFrame, point: DataFrame, by: Sequence[str], ci: float) -
 
 
 def bootstrap_mean(
-    df: DataFrame, col: str, B: int = 1000, key: str = "id", by: Sequence[str] = (),
-    ci: float = 0.95, seed: int = 42,
+    df: DataFrame, col: str, B: int = 1000, by: Sequence[str] = (), ci: float = 0.95, seed: int = 42,
 ) -> DataFrame:
-    """Poisson bootstrap interval of a mean. Weights are summed map-side: the shuffle carries
-    one row per task, group and replicate."""
-    d = df.where(F.col(col).isNotNull()).select(*by, F.col(key).alias("__id"), F.col(col).cast("double").alias("v"))
-    r = d.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(B - 1))))
-    w = poisson_weight(F.col("__id"), F.col("b"), seed)
-    reps = r.withColumn("w", w).where("w > 0").groupBy(*by, "b").agg(
-        (F.sum(F.col("w") * F.col("v")) / F.sum("w")).alias("value"))
-    point = d.groupBy(*by).agg(F.avg("v").alias("point"), F.count(F.lit(1)).alias("n"))
-    return _interval(reps, point, by, ci)
+    """Poisson bootstrap interval of a mean.
+
+    Equal values of a group are counted first: their weights add up to one Poisson(count) draw, fixed
+    by the group and the value. A batch of values is summed for all replicates in one pass, so the
+    shuffle carries one row per batch, group and replicate.
+    """
+    by = list(by)
+    d = df.where(F.col(col).isNotNull()).select(*by, F.col(col).cast("double").alias("__v"))
+    cells = materialize(d.groupBy(*by, "__v").agg(F.count(F.lit(1)).alias("__n")))
+    group = F.to_json(F.struct(*by)) if by else F.lit("")
+    keyed = cells.select(group.alias("g"), "__v", "__n", F.xxhash64(group, "__v", F.lit(seed)).alias("k"))
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            code, names = pd.factorize(batch["g"])
+            total, value = np.zeros((len(names), B)), np.zeros((len(names), B))
+            for at in range(0, len(batch), 2048):
+                part = slice(at, at + 2048)
+                w = _weights(batch["k"].to_numpy()[part], batch["__n"].to_numpy()[part], B)
+                np.add.at(total, code[part], w)
+                np.add.at(value, code[part], w * batch["__v"].to_numpy()[part, None])
+            yield pd.DataFrame({"g": np.repeat(names, B), "b": np.tile(np.arange(B, dtype=np.int32), len(names)),
+                                "w": total.ravel(), "wv": value.ravel()})
+
+    reps = keyed.mapInPandas(sums, "g string, b int, w double, wv double").groupBy("g", "b").agg(
+        ratio(F.sum("wv"), F.sum("w")).alias("value"))
+    n = F.sum("__n")
+    point = cells.groupBy(*by).agg(
+        ratio(F.sum(F.col("__v") * F.col("__n")), n.cast("double")).alias("point"), n.alias("n"), F.first(group).alias("g"))
+    return _interval(reps, point, ["g"], ci).drop("g")
 
 
 def _metrics_from_counts(tp: Column, fp: Column, fn: Column, tn: Column) -> dict[str, Column]:

@@ -179,7 +179,7 @@ def f12(spark, d):
 
 @query("f13_bootstrap_mean")
 def f13(spark, d):
-    return rounded(stats.bootstrap_mean(table(spark, d, "events"), "value", 1000, "event_id", ["event_type"]))
+    return rounded(stats.bootstrap_mean(table(spark, d, "events"), "value", 1000, ["event_type"]))
 
 
 @query("f14_bootstrap_auc")
