@@ -263,7 +263,21 @@ def d18(spark, d):
     return rounded(pairs.cooccurrence(baskets(spark, d), "l_orderkey", "p_brand", with_p=False))
 
 
-@query("d18_cooccurrence_fisher")
+def _log_choose(n: str, k: str) -> str:
+    return f"(lgamma({n} + 1) - lgamma({k} + 1) - lgamma({n} - {k} + 1))"
+
+
+#: Upper tail of the hypergeometric law, term by term.
+TAIL = (f"exp({_log_choose('n_b', 'h')} + {_log_choose('(n_records - n_b)', '(n_a - h)')} - "
+        f"{_log_choose('n_records', 'n_a')})")
+
+
+@query("d18_cooccurrence_fisher", f"""WITH {BASKET}, t AS (SELECT a, b, n_both, fa.n AS n_a, fb.n AS n_b, n_records
+    FROM pr JOIN fr fa ON fa.p_brand = a JOIN fr fb ON fb.p_brand = b, tot),
+  s AS (SELECT *, unnest(range(n_both, least(n_a, n_b) + 1)) AS h FROM t)
+  SELECT a, b, n_both, n_a, n_b, n_records,
+    {R('n_both * (n_records - n_a - n_b + n_both) / CAST((n_a - n_both) * (n_b - n_both) AS DOUBLE)', 'odds_ratio')},
+    {R(f'least(sum({TAIL}), 1)', 'p')} FROM s GROUP BY ALL""")
 def d18_fisher(spark, d):
     return rounded(pairs.cooccurrence(baskets(spark, d), "l_orderkey", "p_brand"))
 
