@@ -6,8 +6,10 @@ Records have ``id, grp, period, sequence``. Positions are 0-based.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,13 +19,14 @@ from driftengine.functions.columns import (
     hamming,
     hamming_arrow,
     ratio,
-    shifted,
     symbol_fraction,
 )
 from driftengine.functions.tails import chi2_sf
 from driftengine.scale import dim_join, exact_quantiles, materialize, order_rank, range_join
 
 VARIANT = ["grp", "position", "ref_char", "var_char"]
+#: Symbols whose k-mers are counted together.
+KMER_SYMBOLS = 2_000_000
 
 
 def modal_reference(
@@ -143,14 +146,37 @@ def position_entropy(
     return out.withColumn("entropy", F.greatest(F.lit(0.0), h)).drop("__s")
 
 
+def _kmer_counts(texts: list[str], k: int) -> tuple[np.ndarray, list[str], np.ndarray]:
+    """Row, k-mer and count of every k-mer of every text; texts have at least ``k`` symbols."""
+    joined = "".join(texts)
+    size = np.array([len(t) for t in texts], np.int64)
+    first, n = np.cumsum(size) - size, size - k + 1
+    row = np.repeat(np.arange(len(texts)), n)
+    at = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    symbols, code = np.unique(np.frombuffer(joined.encode("utf-32-le"), np.uint32), return_inverse=True)
+    gram = code[at]
+    for j in range(1, k):  # numbered anew at every step, so numbers stay small
+        gram = np.unique(gram * len(symbols) + code[at + j], return_inverse=True)[1]
+    _, sample = np.unique(gram, return_index=True)
+    names = [joined[i:i + k] for i in at[sample].tolist()]
+    pair, count = np.unique(row * len(names) + gram, return_counts=True)
+    return pair // len(names), [names[g] for g in (pair % len(names)).tolist()], count
+
+
 def kmer_profile(df: DataFrame, k: int = 2, key: str = "id", seq: str = "sequence") -> DataFrame:
-    """Long sparse k-mer frequencies: ``key, kmer, n, freq``."""
-    total = (F.length(seq) - (k - 1)).alias("__t")
-    long = df.where(F.length(seq) >= k).select(
-        key, total, F.explode_outer(shifted(F.col(seq), k)).alias("__p"))
-    kmer = F.concat(*[F.col(f"__p.s{j}") for j in range(k)])
-    counts = long.groupBy(key, "__t", kmer.alias("kmer")).agg(F.count(F.lit(1)).alias("n"))
-    return counts.select(key, "kmer", "n", (F.col("n") / F.col("__t")).alias("freq"))
+    """Long sparse k-mer frequencies of each row: ``key, kmer, n, freq``. A row's counts are its own,
+    so they are taken inside the batch and nothing is shuffled."""
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            ends = pdf[seq].str.len().cumsum() // KMER_SYMBOLS
+            for _, part in pdf.groupby(ends.to_numpy()):
+                row, kmers, n = _kmer_counts(part[seq].tolist(), k)
+                total = part[seq].str.len().to_numpy() - k + 1
+                yield pd.DataFrame({key: part[key].take(row).to_numpy(), "kmer": kmers, "n": n, "freq": n / total[row]})
+
+    kind = df.schema[key].dataType.simpleString()
+    return df.where(F.length(seq) >= k).select(key, seq).mapInPandas(
+        count, f"`{key}` {kind}, kmer string, n long, freq double")
 
 
 def composition(df: DataFrame, symbols: str, alphabet: str, seq: str = "sequence") -> DataFrame:
