@@ -25,14 +25,16 @@ from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, StandardScaler, StringIndexer, VectorAssembler, VectorSlicer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from driftengine.operators.evaluate import binary_metrics
-from driftengine.scale import exact_quantiles, hash_rank, in_parallel, materialize
+from driftengine.scale import exact_quantiles, in_parallel, materialize
 
 SEED = 42
+#: Rows of a bucket in which values are permuted.
+PERMUTED_ROWS = 100_000
 
 
 def _features(df: DataFrame, features: Sequence[str] | str) -> DataFrame:
@@ -369,20 +371,27 @@ def permutation_importance(
 ) -> DataFrame:
     """AUC lost when one column is permuted across rows.
 
-    The permutation pairs two hash orders of the rows by rank, so it is exact, reproducible and
-    never sorts the table in one task.
+    Rows are dealt into hash buckets of bounded size; in a bucket, each column takes the value of the
+    row before in a hash order of its own, the first row that of the last. All columns are permuted
+    in one shuffle, reproducibly.
     """
-    base = materialize(hash_rank(df.select(key, label, *features), [], key, SEED).drop("total"))
-    full = binary_metrics(predict(model, base), label, "prob").first()["auc"]
-
-    def without(i: int):
-        f = features[i]
-        other = hash_rank(df.select(key, f), [], key, SEED + 1 + i).select("rank", f)
-        mixed = base.drop(f).join(other, "rank")
+    buckets = max(1, math.ceil(df.count() / PERMUTED_ROWS))
+    dealt = df.select(key, label, *features, F.pmod(F.xxhash64(F.col(key), F.lit(SEED)), F.lit(buckets)).alias("__b"))
+    moved = []
+    for i, f in enumerate(features):
+        order = Window.partitionBy("__b").orderBy(F.xxhash64(F.col(key), F.lit(SEED + 1 + i)), key)
+        whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        moved.append(F.when(F.row_number().over(order) == 1, F.last(f).over(whole)).otherwise(
+            F.lag(f).over(order)).alias(f"__p_{f}"))
+    base = materialize(dealt.select(key, label, *features, *moved))
+    full = binary_metrics(predict(model, base.select(key, label, *features)), label, "prob").first()["auc"]
+
+    def without(f: str):
+        mixed = base.select(key, label, *[F.col(f"__p_{f}").alias(f) if c == f else F.col(c) for c in features])
         auc = binary_metrics(predict(model, mixed), label, "prob").first()["auc"]
-        return f, float(full - auc)
+        return f, None if full is None or auc is None else float(full - auc)
 
-    rows = in_parallel(without, range(len(features)))
+    rows = in_parallel(without, features)
     return df.sparkSession.createDataFrame(rows, "feature string, auc_drop double")
 
 
