@@ -82,31 +82,50 @@ def _power(kind: str, n: int) -> np.ndarray:
     return have[:n]
 
 
-def hashed_words(docs: Sequence[bytes], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hash of every word of every text, and the number of words of each text.
+def hashed_spans(values: np.ndarray, starts: np.ndarray, stops: np.ndarray, chunk: int = 1 << 20) -> np.ndarray:
+    """64-bit hash of ``values[start:stop]`` of each span; spans are in order and may overlap.
+
+    A hash is a difference of running sums, taken over stretches of about ``chunk`` values, so memory
+    does not grow with the text. ``values`` are bytes or 64-bit hashes.
+    """
+    out = np.empty(len(starts), np.uint64)
+    at = 0
+    while at < len(starts):
+        low = starts[at]
+        to = max(at + 1, int(np.searchsorted(starts, low + chunk)))
+        part = values[low:stops[to - 1] if to - at == 1 else max(stops[at:to])]
+        part = _BYTE[part] if part.dtype == np.uint8 else part
+        with np.errstate(over="ignore"):
+            sums = np.zeros(len(part) + 1, np.uint64)
+            np.cumsum(part * _power("up", len(part)), out=sums[1:])
+            first, last = starts[at:to] - low, stops[at:to] - low
+            out[at:to] = mix((sums[last] - sums[first]) * _power("down", len(part) + 1)[first]
+                             + (last - first).astype(np.uint64))
+        at = to
+    return out
+
 
-    Words are runs of bytes other than ASCII white space; ``lower`` folds A-Z. One pass of array
-    operations over the joined bytes: a word's hash is a difference of running sums.
+def word_spans(docs: Sequence[bytes], lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The joined bytes of the texts, first byte and end of every word, and the words of each text.
+
+    Words are runs of bytes other than ASCII white space; ``lower`` folds A-Z. White space is before
+    the first word and after the last.
     """
-    joined = b" ".join(docs) + b" "
+    joined = b" " + b" ".join(docs) + b" "
     if lower:
         joined = joined.lower()
     raw = np.frombuffer(joined, np.uint8)
     white = _WHITE[raw]
-    before = np.empty(len(raw), bool)
-    before[0], before[1:] = True, white[:-1]
-    starts = np.flatnonzero(before & ~white)
-    after = np.empty(len(raw), bool)
-    after[-1], after[:-1] = True, white[1:]
-    ends = np.flatnonzero(after & ~white) + 1
-    with np.errstate(over="ignore"):
-        sums = np.zeros(len(raw) + 1, np.uint64)
-        np.cumsum(_BYTE[raw] * _power("up", len(raw)), out=sums[1:])
-        words = (sums[ends] - sums[starts]) * _power("down", len(raw))[starts]
-        words = mix(words + (ends - starts).astype(np.uint64))
-    bounds = np.cumsum([len(d) + 1 for d in docs])
-    upto = np.searchsorted(starts, bounds)
-    return words, np.diff(upto, prepend=0)
+    starts = np.flatnonzero(white[:-1] & ~white[1:]) + 1
+    stops = np.flatnonzero(~white[:-1] & white[1:]) + 1
+    upto = np.searchsorted(starts, np.cumsum([len(d) + 1 for d in docs]) + 1)
+    return raw, starts, stops, np.diff(upto, prepend=0)
+
+
+def hashed_words(docs: Sequence[bytes], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hash of every word of every text, and the number of words of each text."""
+    raw, starts, stops, n_words = word_spans(docs, lower)
+    return hashed_spans(raw, starts, stops), n_words
 
 
 def shingles(words: np.ndarray, n_words: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -125,7 +144,7 @@ def shingles(words: np.ndarray, n_words: np.ndarray, k: int) -> tuple[np.ndarray
     return mix(out), size
 
 
-def rows(batches: Iterator[pa.RecordBatch], limit: int = 4 << 20, column: str = "text"):
+def rows(batches: Iterator[pa.RecordBatch], limit: int = 2 << 20, column: str = "text"):
     """Cut batches so that no piece holds much more than ``limit`` bytes of text (a single longer
     text is a piece of its own)."""
     for batch in batches:

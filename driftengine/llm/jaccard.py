@@ -41,7 +41,7 @@ from driftengine.llm.components import components
 BLOCK_DOCS, PIVOTS = 4096, 16
 #: Documents per bucket of the comparison of parts.
 BUCKET_DOCS = 4096
-BATCH = 8 << 20
+BATCH = 4 << 20
 
 
 def document_sets(docs: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftengine.llm.classify import fitting_sample, held_out, labelled, sigmoid, smoothed_rate
-from driftengine.llm.common import _BYTE, _power, mix, rows, texts
+from driftengine.llm.common import hashed_spans, mix, rows, texts
 
 #: Entries of the word table and numbers of a word vector; together they bound what is broadcast.
 WORDS, DIMS = 1 << 14, 32
@@ -43,11 +43,8 @@ def token_entries(docs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     edge = np.flatnonzero(np.diff(kind, prepend=0) != 0)
     starts = edge[kind[edge] != 0]
     stops = np.append(edge, len(raw))[np.searchsorted(edge, starts) + 1]
-    with np.errstate(over="ignore"):
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[raw] * _power("up", len(raw)))])
-        tokens = (sums[stops] - sums[starts]) * _power("down", len(raw))[starts] + (stops - starts).astype(np.uint64)
     upto = np.searchsorted(starts, np.cumsum([len(d) + 1 for d in docs]))
-    return (mix(tokens) % np.uint64(WORDS)).astype(np.int64), np.diff(upto, prepend=0)
+    return (hashed_spans(raw, starts, stops) % np.uint64(WORDS)).astype(np.int64), np.diff(upto, prepend=0)
 
 
 def _index_vectors() -> tuple[np.ndarray, np.ndarray]:

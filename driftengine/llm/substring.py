@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftengine.llm.common import SPACE, _power, hashed_words, mix, ramp, rows, sized_join, stored, texts
+from driftengine.llm.common import SPACE, hashed_spans, hashed_words, ramp, rows, sized_join, stored, texts
 
 WORDS = 13
 BASE = (WORDS + 1) // 2
@@ -31,16 +31,14 @@ BUCKET_DOCS = 4096
 #: Null ids come after all others.
 LAST = 2**63 - 1
 #: Bytes of text that are settled together in a map task.
-BATCH = 8 << 20
+BATCH = 4 << 20
 
-INFO = "key long, part int, repeated binary, later binary"
+INFO = "key long, part int, repeated binary, later binary, reach int"
 
 
 def window_hashes(words: np.ndarray, at: np.ndarray, k: int) -> np.ndarray:
-    """Hash of the k words from each position on."""
-    with np.errstate(over="ignore"):
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * _power("up", len(words)))])
-        return mix((sums[at + k] - sums[at]) * _power("down", len(words))[at] + np.uint64(k))
+    """Hash of the k words from each position on; positions ascend."""
+    return hashed_spans(words, at, at + k)
 
 
 def chosen(words: np.ndarray, n_words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -113,6 +111,11 @@ def compare(docs: DataFrame, windows: Callable[[pa.RecordBatch], tuple], buckets
                  *(pa.array([o[i].astype(kinds[i]).tobytes() for o in out], pa.binary()) for i in range(1, 6))],
                 names=["bucket", "hash", "key", "part", "pos", "several"])
 
+    def verdicts(key, part, pos, later) -> pa.RecordBatch:
+        """Positions, doubled, plus one if later."""
+        return pa.RecordBatch.from_arrays(
+            [pa.array(key), pa.array(part), pa.array((pos << 1) | later.astype(np.int32))], names=["key", "part", "found"])
+
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
         for batch in batches:
@@ -122,7 +125,7 @@ def compare(docs: DataFrame, windows: Callable[[pa.RecordBatch], tuple], buckets
                 if len(arrays[0]):
                     held.append(arrays)
                 else:
-                    yield _by_document(*arrays[1:4], np.ones(len(arrays[1]), bool))
+                    yield verdicts(*arrays[1:4], np.ones(len(arrays[1]), bool))
         if not held:
             return
         h, key, part, pos, several = (np.concatenate(x) for x in zip(*held))
@@ -133,37 +136,27 @@ def compare(docs: DataFrame, windows: Callable[[pa.RecordBatch], tuple], buckets
         later = key > key[new][group]
         repeated = np.bincount(group, later | (several > 0))[group] > 0
         if repeated.any():
-            yield _by_document(key[repeated], part[repeated], pos[repeated], later[repeated])
+            yield verdicts(key[repeated], part[repeated], pos[repeated], later[repeated])
 
     sent = docs.mapInArrow(settle, "bucket int, hash binary, key binary, part binary, pos binary, several binary")
-    found = sent.repartition(buckets, "bucket").mapInArrow(decide, "key long, part int, found binary")
+    found = sent.repartition(buckets, "bucket").mapInArrow(decide, "key long, part int, found int")
     lists = found.groupBy("key", "part").agg(F.collect_list("found").alias("found"))
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for parts in batch.column("found").to_pylist():
-                v = np.concatenate([np.frombuffer(p, np.int32) for p in parts])
-                out.append((to_runs(v >> 1), to_runs(v[(v & 1) == 1] >> 1)))
+            for item in batch.column("found"):
+                v = np.asarray(item.values)
+                repeated = to_runs(v >> 1)
+                ends = np.frombuffer(repeated, np.int32)
+                out.append((repeated, to_runs(v[(v & 1) == 1] >> 1), int(ends[-1] - ends[0])))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("key"), batch.column("part"), *(pa.array([o[i] for o in out], pa.binary()) for i in (0, 1))],
-                names=["key", "part", "repeated", "later"])
+                [batch.column("key"), batch.column("part"), *(pa.array([o[i] for o in out], pa.binary()) for i in (0, 1)),
+                 pa.array([o[2] for o in out], pa.int32())], names=["key", "part", "repeated", "later", "reach"])
 
     return stored(lists.mapInArrow(runs, INFO), "repeats")
 
 
-def _by_document(key, part, pos, later) -> pa.RecordBatch:
-    """One row per document with its positions, doubled, plus one if later."""
-    order = np.lexsort((part, key))
-    key, part = key[order], part[order]
-    value = (pos[order].astype(np.int32) << 1) | later[order]
-    new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (part[1:] != part[:-1])]))
-    pieces = np.split(value.astype(np.int32), new[1:])
-    return pa.RecordBatch.from_arrays(
-        [pa.array(key[new]), pa.array(part[new].astype(np.int32)), pa.array([p.tobytes() for p in pieces], pa.binary())],
-        names=["key", "part", "found"])
-
-
 def _level_one(batch: pa.RecordBatch) -> tuple:
     words, n = hashed_words(texts(batch))
     _, _, where, _ = chosen(words, n)
@@ -209,30 +202,36 @@ def repeated_spans(docs: DataFrame, extend: bool = True) -> DataFrame:
     rows do not remove each other, they are one document. An empty table gives no rows.
     """
     plain = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), SPACE, " "))
-    base = docs.select("doc_id", "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("key"),
-                       F.hash(plain).alias("part"), F.md5(plain).alias("words"))
-    copies = base.groupBy("words").agg(F.min("key").alias("owner"), F.count(F.lit(1)).alias("n"))
-    copies = stored(copies.where("n > 1").select("words", "owner"), "copies")
-    base = sized_join(base, copies, "words", width=80).withColumn(
-        "whole", F.coalesce(F.col("owner") < F.col("key"), F.lit(False))).drop("words", "owner")
-    single = base.where(~F.col("whole")).select("key", "part", "text")
-    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(docs.count() / BUCKET_DOCS))
-
-    def again(info: DataFrame) -> DataFrame:
-        return sized_join(single, info.select("key", "part", "repeated"), ["key", "part"], width=80, how="inner")
-
-    info = compare(again(compare(single, _level_one, buckets)), _level_two, buckets)
+    key, part = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("key"), F.hash("text").alias("part")
+    digests = stored(docs.select(key, part, F.md5(plain).alias("words")), "digests")
+    copies = digests.groupBy("words").agg(F.min("key").alias("owner"), F.max("key").alias("last"))
+    copies = digests.join(copies.where("owner < last"), "words").where("owner < key")
+    copies = stored(copies.select("key", "part", F.lit(True).alias("whole")).distinct(), "copies")
+    base = docs.select("doc_id", "text", key, part)
+    single = sized_join(base, copies, ["key", "part"], width=24, how="left_anti").select("key", "part", "text")
+    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(digests.count() / BUCKET_DOCS))
+
+    def again(docs: DataFrame, info: DataFrame) -> DataFrame:
+        return sized_join(docs, info.select("key", "part", "repeated"), ["key", "part"], width=80, how="inner")
+
+    info = compare(again(single, compare(single, _level_one, buckets)), _level_two, buckets)
     length, levels = WORDS, [(WORDS, info)]
-    while extend and not levels[-1][1].isEmpty():
-        levels.append((2 * length, compare(again(levels[-1][1]), _doubled(length), buckets)))
-        length *= 2
+    more = info.where(F.col("reach") >= length)
+    if extend and not more.isEmpty():
+        single = stored(again(single, more).drop("repeated"), "extended")
+        while not more.isEmpty():
+            found = compare(again(single, more), _doubled(length), buckets)
+            length *= 2
+            levels.append((length, found))
+            more = found.where(F.col("reach") >= length)
     longest = None
     for n, found in levels:
         part = found.where(F.octet_length("later") > 0).select("key", "part", F.lit(n).cast("long").alias("longest"))
         longest = part if longest is None else longest.unionByName(part)
     longest = longest.groupBy("key", "part").agg(F.max("longest").alias("longest"))
     found = stored(info.join(longest, ["key", "part"]).select("key", "part", "later", "longest"), "spans")
-    return sized_join(base, found, ["key", "part"], width=80)
+    spans = sized_join(sized_join(base, copies, ["key", "part"], width=24), found, ["key", "part"], width=80)
+    return spans.withColumn("whole", F.coalesce("whole", F.lit(False)))
 
 
 def _covered(n: int, whole: bool, later: bytes | None) -> np.ndarray:

@@ -17,38 +17,32 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftengine.llm.classify import fitting_sample, held_out, labelled, sigmoid, smoothed_rate
-from driftengine.llm.common import hashed_words, mix, ramp, rows, texts
+from driftengine.llm.common import hashed_spans, mix, ramp, rows, texts, word_spans
 
 #: Slots of the hashed n-grams, and their lengths in bytes, word marks included.
 SLOTS, LENGTHS = 1 << 17, (3, 4, 5, 6)
 #: Labelled rows of each label that the regression is fitted on.
 SAMPLE = 2000
-#: Words of more bytes are cut into overlapping stretches, so that arrays stay small.
-LONGEST = 64
 
 
 def _word_grams(docs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Distinct (document, word) pairs as two arrays, and the slots of each distinct word's n-grams
     with the word they belong to."""
-    joined = (b" " + b" ".join(docs) + b" ").lower()
-    raw = np.frombuffer(joined, np.uint8)
-    white = (raw == 32) | ((raw >= 9) & (raw <= 13))
-    starts = np.flatnonzero(~white & np.concatenate([[True], white[:-1]]))
-    ends = np.flatnonzero(~white & np.concatenate([white[1:], [True]])) + 1
-    hashes, n_words = hashed_words(docs, lower=True)
+    raw, starts, stops, n_words = word_spans(docs, lower=True)
+    hashes = hashed_spans(raw, starts, stops)
     _, first, word = np.unique(hashes, return_index=True, return_inverse=True)
     doc = np.repeat(np.arange(len(docs)), n_words)
     pairs = np.unique(doc.astype(np.int64) * max(1, len(first)) + word)
     doc, of = pairs // max(1, len(first)), pairs % max(1, len(first))
-    clean = np.where(white, 32, raw).astype(np.uint64)
+    clean = np.where((raw >= 9) & (raw <= 13), 32, raw).astype(np.uint8)
     slots, owner = [], []
     for n in LENGTHS:
-        grams = np.zeros(max(0, len(clean) - n + 1), np.uint64)
-        for j in range(n):
-            grams |= clean[j:len(clean) - n + 1 + j] << np.uint64(8 * j)
-        count = np.maximum(0, ends[first] - starts[first] + 2 - n + 1)
+        count = np.maximum(0, stops[first] - starts[first] + 2 - n + 1)
         at = np.repeat(starts[first] - 1, count) + ramp(count)
-        slots.append((mix(grams[at] + (np.uint64(n) << np.uint64(56))) % np.uint64(SLOTS)).astype(np.int32))
+        grams = np.full(len(at), n << 56, np.uint64)
+        for j in range(n):
+            grams |= clean[at + j].astype(np.uint64) << np.uint64(8 * j)
+        slots.append((mix(grams) % np.uint64(SLOTS)).astype(np.int32))
         owner.append(np.repeat(np.arange(len(first)), count))
     return doc, of, np.concatenate(slots), np.concatenate(owner)
 
