@@ -99,5 +99,6 @@ def exact_groups(docs: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_i
 
 
 def deduplicate(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """The rows that stay, with their own columns."""
-    return exact_groups(docs, capacity).where("kept").select(*docs.columns)
+    """The rows that stay, with all their columns."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    return exact_groups(docs.select("doc_id", "text", row), capacity).where("kept").select("row.*")
