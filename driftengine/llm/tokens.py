@@ -18,9 +18,11 @@ import numpy as np
 from driftengine.llm.common import ramp
 
 #: Pieces a worker keeps before it starts anew; bounds its memory (about 200 bytes a piece).
-KEEP = 800_000
+KEEP = 2_000_000
 #: Pieces encoded in one call.
 LEARN = 20_000
+#: Pieces of one text among them.
+JOIN = 100
 _CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
 _encoders: dict[tuple[str, bool], Encoder] = {}
 
@@ -45,7 +47,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.with_spans = spans
+        self.with_spans, self.token_bytes = spans, None
         self._clear()
 
     def _clear(self):
@@ -67,12 +69,22 @@ class Encoder:
 
     def _learn(self, keys: list[str]):
         plain = [k if k[0] == "\n" else k[1:] if k[0] == "\0" else " " + k for k in keys]
-        encode = self.tokenizer.encode_batch if self.with_spans else self.tokenizer.encode_batch_fast
-        found = encode(plain, add_special_tokens=False)
+        if self.with_spans or any(k[0] == "\0" for k in keys):
+            encode = self.tokenizer.encode_batch if self.with_spans else self.tokenizer.encode_batch_fast
+            found = encode(plain, add_special_tokens=False)
+            ids = [e.ids for e in found]
+            count = np.fromiter(map(len, ids), np.int32, len(ids))
+        else:
+            # Such pieces make a text that is cut between them, and long texts cost less a piece. Where
+            # a piece ends follows from the bytes of its tokens.
+            joined = ["".join(plain[i:i + JOIN]) for i in range(0, len(plain), JOIN)]
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)]
+            flat = np.fromiter(itertools.chain.from_iterable(ids), np.int64, sum(map(len, ids)))
+            ends = np.cumsum(np.fromiter((len(p.encode()) for p in plain), np.int64, len(plain)))
+            upto = np.searchsorted(np.cumsum(self._token_bytes()[flat]), ends, "left") + 1
+            count = np.diff(upto, prepend=0).astype(np.int32)
         at = len(self.index)
         self.index.update(zip(keys, range(at, at + len(keys))))
-        ids = [e.ids for e in found]
-        count = np.fromiter(map(len, ids), np.int32, len(ids))
         add, n = np.concatenate, int(count.sum())
         self.first, self.count = add([self.first, len(self.ids) + (np.cumsum(count) - count).astype(np.int32)]), add([self.count, count])
         self.ids = add([self.ids, np.fromiter(itertools.chain.from_iterable(ids), np.uint32, n)])
@@ -81,15 +93,28 @@ class Encoder:
             self.chars = add([self.chars, np.fromiter(map(len, plain), np.int32, len(plain))])
             self.start, self.end = add([self.start, spans[:, 0]]), add([self.end, spans[:, 1]])
 
+    def _token_bytes(self) -> np.ndarray:
+        """Bytes of each token; its string has one character a byte."""
+        if self.token_bytes is None:
+            vocabulary = self.tokenizer.get_vocab()
+            self.token_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+            self.token_bytes[list(vocabulary.values())] = [len(t) for t in vocabulary]
+        return self.token_bytes
+
     def _pieces(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
         if len(self.index) > KEEP:
             self._clear()
         cut = [self._keys(t) for t in texts]
         flat = list(itertools.chain.from_iterable(cut))
-        new = list(set(flat).difference(self.index))
-        for i in range(0, len(new), LEARN):
-            self._learn(new[i:i + LEARN])
-        at = np.fromiter(map(self.index.__getitem__, flat), np.int64, len(flat))
+        at = np.fromiter(map(self.index.get, flat, itertools.repeat(-1)), np.int64, len(flat))
+        missing = np.flatnonzero(at < 0).tolist()
+        if missing:
+            new = {flat[i] for i in missing}
+            odd = {k for k in new if k[0] == "\0"}
+            for keys in (list(new - odd), list(odd)):
+                for i in range(0, len(keys), LEARN):
+                    self._learn(keys[i:i + LEARN])
+            at[missing] = [self.index[flat[i]] for i in missing]
         return at, np.array([len(c) for c in cut], np.int64)
 
     def encode(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
