@@ -30,14 +30,14 @@ def cooccurrence(
     at most (items per record) / min_share, which bounds the pairs of any record; pairs are
     counted map-side, so only one row per task and pair is shuffled.
     """
-    incidence = materialize(
-        df.where(F.col(record).isNotNull() & F.col(item).isNotNull()).select(record, item).distinct())
+    incidence = df.where(F.col(record).isNotNull() & F.col(item).isNotNull()).select(record, item)
     records = incidence.select(record).distinct().agg(F.count(F.lit(1)).alias("n_records"))
-    counts = incidence.groupBy(item).agg(F.count(F.lit(1)).alias("n"))
+    counts = incidence.distinct().groupBy(item).agg(F.count(F.lit(1)).alias("n"))
     need = F.greatest(F.lit(min_count), F.floor(F.col("n_records") * F.lit(min_share)))
     frequent = materialize(counts.join(F.broadcast(records)).where(F.col("n") >= need))  # one row
+    # Rare items go before anything is shuffled by record; only the counts were written.
     kept = dim_join(incidence, frequent.select(item), [item], ready=True)
-    sets = kept.groupBy(record).agg(F.sort_array(F.collect_list(item)).alias("s"))
+    sets = kept.groupBy(record).agg(F.sort_array(F.collect_set(item)).alias("s"))
     pair = F.flatten(F.transform("s", lambda x, i: F.transform(
         F.slice("s", i + 2, F.size("s")), lambda y: F.struct(x.alias("a"), y.alias("b")))))
     both = sets.where(F.size("s") > 1).select(F.explode(pair).alias("p")).groupBy(
