@@ -31,7 +31,7 @@ BUCKET_DOCS = 4096
 #: Null ids come after all others.
 LAST = 2**63 - 1
 #: Bytes of text that are settled together in a map task.
-BATCH = 4 << 20
+BATCH = 2 << 20
 
 INFO = "key long, part int, repeated binary, later binary, reach int"
 

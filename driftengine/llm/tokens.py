@@ -17,8 +17,9 @@ import numpy as np
 
 from driftengine.llm.common import ramp
 
-#: Pieces a worker keeps before it starts anew; bounds its memory (about 200 bytes a piece).
-KEEP = 2_000_000
+#: Pieces a worker keeps before it starts anew; bounds its memory (about 200 bytes a piece, more
+#: with spans).
+KEEP, KEEP_SPANS = 2_000_000, 500_000
 #: Pieces encoded in one call.
 LEARN = 20_000
 #: Pieces of one text among them.
@@ -102,7 +103,7 @@ class Encoder:
         return self.token_bytes
 
     def _pieces(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.index) > KEEP:
+        if len(self.index) > (KEEP_SPANS if self.with_spans else KEEP):
             self._clear()
         cut = [self._keys(t) for t in texts]
         flat = list(itertools.chain.from_iterable(cut))
