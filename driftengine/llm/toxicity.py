@@ -22,7 +22,7 @@ from driftengine.llm.common import hashed_spans, mix, ramp, rows, texts, word_sp
 #: Slots of the hashed n-grams, and their lengths in bytes, word marks included.
 SLOTS, LENGTHS = 1 << 17, (3, 4, 5, 6)
 #: Labelled rows of each label that the regression is fitted on.
-SAMPLE = 4000
+SAMPLE = 3000
 #: Slots that the regression may use: those whose log-count ratio is farthest from 0 in standard errors.
 SELECTED = 1 << 13
 
@@ -76,7 +76,7 @@ def _counts(train: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """For each label, the labelled documents that have each slot; and the documents per label."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = np.zeros((2, SLOTS), np.int64), np.zeros(2, np.int64)
-        for batch in rows(batches):
+        for batch in rows(batches, 1 << 20):
             label = np.asarray(batch.column("label"))
             doc, slot, _ = document_features(texts(batch))
             np.add.at(total, (label[doc], slot), 1)
@@ -114,7 +114,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     number[used] = np.arange(len(used))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows(batches):
+        for batch in rows(batches, 1 << 20):
             doc, slot, count = document_features(texts(batch))
             kept = number[slot] >= 0
             doc, slot, count = doc[kept], number[slot[kept]], count[kept]
