@@ -7,7 +7,9 @@ similarity of ``percent`` or more.
 2. Blocks. Similar sets of a size class differ in at most d shingles, so if shingles are dealt into
    more than d parts, the sets agree in a part. Documents with an equal part are candidates; the
    connected components of candidates are the blocks, so no similar pair is cut. A batch sends one
-   entry for each part that several of its documents share.
+   entry for each part that several of its documents share. Blocks are then cut by size class and by
+   parity sketches: a set sets bit h(s) mod m an odd number of times or not, and sets that differ in x
+   shingles differ in at most x bits, so sketches that differ in more than d bits rule a pair out.
 3. In a block, an inverted index lists the documents of every shingle. A query needs T common
    shingles: its longest lists, of weight up to T - 1, are set aside, the short ones are merged with
    a heap, and documents that occur there often enough are probed in the long lists by binary search
@@ -27,7 +29,7 @@ import heapq
 import math
 from bisect import bisect_left
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,9 +41,11 @@ from driftengine.llm.components import components
 
 #: Documents of a block that are searched in one task, and the pivots that chunks share.
 BLOCK_DOCS, PIVOTS = 4096, 16
+#: Larger blocks are not cut by sketches (a sketch is compared with all others of its block).
+SKETCH_DOCS = 32_768
 #: Documents per bucket of the comparison of parts.
 BUCKET_DOCS = 4096
-BATCH = 4 << 20
+BATCH = 2 << 20
 
 
 def document_sets(docs: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -107,6 +111,36 @@ def signatures(hashes: np.ndarray, size: np.ndarray, percent: int) -> tuple[np.n
     return np.concatenate(out), np.concatenate(of)
 
 
+def sketch_bits(level: int, firsts: list[int], percent: int) -> int:
+    """Bits of a parity sketch: about four times what similar sets of the level may differ in."""
+    top = firsts[level + 1] - 1
+    differ = (top + 100 * top // percent) * (100 - percent) // (100 + percent)
+    return 64 * max(1, -(-4 * differ // 64))
+
+
+def parity_sketches(hashes: np.ndarray, size: np.ndarray, bits: np.ndarray) -> list[bytes]:
+    base = np.cumsum(bits) - bits
+    slot = np.repeat(base, size) + ((hashes >> np.uint64(13)) % np.repeat(bits, size).astype(np.uint64)).astype(np.int64)
+    odd = np.bincount(slot, minlength=int(bits.sum())) & 1
+    packed = np.packbits(odd.astype(np.uint8))
+    return [packed[a // 8:(a + n) // 8].tobytes() for a, n in zip(base, bits)]
+
+
+def sketch_components(sketches: np.ndarray, size: np.ndarray, percent: int) -> np.ndarray:
+    """Smallest position that each row is connected to by pairs the sketches do not rule out."""
+    label = np.arange(len(size))
+    for i in range(len(size) - 1):
+        differ = np.bitwise_count(sketches[i + 1:] ^ sketches[i]).sum(axis=1, dtype=np.int64)
+        both = size[i + 1:] + size[i]
+        near = differ * (100 + percent) <= both * (100 - percent)
+        other = np.unique(label[i + 1:][near])
+        other = other[other != label[i]]
+        if len(other):
+            joined = np.append(other, label[i])
+            label[np.isin(label, joined)] = joined.min()
+    return label
+
+
 def _edges(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.unique(np.stack([a, b], axis=1)[a != b], axis=0)
 
@@ -273,9 +307,11 @@ class Block:
 def _block_links(items: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) in each block of ``items`` (block, key, query, shingles). A block with any query is
     searched for its queries only."""
-    def work(group: pa.Table) -> pa.Table:
-        return _links_of(group, percent)
+    return _by_block(items, lambda group: _links_of(group, percent))
 
+
+def _by_block(items: DataFrame, work: Callable[[pa.Table], pa.Table]) -> DataFrame:
+    """Rows (a, b) that ``work`` makes of each block, one block in memory at a time."""
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, block = [], None
         for batch in batches:
@@ -295,6 +331,37 @@ def _block_links(items: DataFrame, percent: int) -> DataFrame:
     return ordered.mapInArrow(stream, "a long, b long")
 
 
+def _sketched(searching: DataFrame, blocks: DataFrame, k: int, percent: int) -> DataFrame:
+    """Edges that connect what sketches leave of each block (node, root)."""
+    def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows(batches):
+            hashes, size = document_sets(texts(batch), k)
+            firsts = size_classes(percent, int(size.max(initial=0)) + 1)
+            own = np.searchsorted(firsts, size, "right") - 1
+            for step in (0, 1):  # documents of a class meet it and the class before
+                doc = np.flatnonzero((size > 0) & (own >= step))
+                level = own[doc] - step
+                bits = np.array([sketch_bits(i, firsts, percent) for i in level], np.int64)
+                picked = np.repeat(np.isin(np.arange(len(size)), doc), size)
+                made = parity_sketches(hashes[picked], size[doc], bits)
+                root = batch.column("root").take(pa.array(doc)).to_pylist()
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([f"{r}:{i}" for r, i in zip(root, level)], pa.string()), batch.column("key").take(pa.array(doc)),
+                     pa.array(size[doc]), pa.array(made, pa.binary())], names=["block", "key", "n", "sketch"])
+
+    def connect(group: pa.Table) -> pa.Table:
+        key, size = (np.asarray(group.column(c)) for c in ("key", "n"))
+        if len(key) > SKETCH_DOCS:
+            label = np.zeros(len(key), np.int64)  # left as it is
+        else:
+            bits = np.stack([np.frombuffer(s.as_buffer(), np.uint64) for s in group.column("sketch")])
+            label = sketch_components(bits, size, percent)
+        return pa.table({"a": key, "b": key[label]}).filter(pa.array(key != key[label]))
+
+    inside = sized_join(searching, blocks.withColumnRenamed("node", "key"), "key", width=24, how="inner")
+    return _by_block(inside.select("root", "key", "text").mapInArrow(sketches, "block string, key long, n long, sketch binary"), connect)
+
+
 def _links_of(group: pa.Table, percent: int) -> pa.Table:
     sets = [np.frombuffer(s.as_buffer(), np.uint64) for s in group.column("shingles")]
     key, query = np.asarray(group.column("key")), np.asarray(group.column("query"))
@@ -339,8 +406,11 @@ def similar_components(docs: DataFrame, k: int = 5, percent: int = 80, block_doc
 
     n_docs = known.count()
     buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(n_docs / BUCKET_DOCS))
-    blocks = components(candidate_edges(searching, k, percent, buckets))
-    blocks = stored(blocks.union(blocks.select("root", "root").distinct()), "blocks")
+    def with_roots(found: DataFrame) -> DataFrame:
+        return stored(found.union(found.select("root", "root").distinct()), "blocks")
+
+    blocks = with_roots(components(candidate_edges(searching, k, percent, buckets)))
+    blocks = with_roots(components(_sketched(searching, blocks, k, percent)))
     sizes = blocks.groupBy("root").agg(F.count(F.lit(1)).alias("docs"))
     large = stored(sizes.where(F.col("docs") > block_docs), "large")
 
@@ -376,7 +446,6 @@ def _search_large(items: DataFrame, large: DataFrame, percent: int, block_docs:
     order = F.xxhash64("key")
     dealt = items.join(large.select("root", chunks.alias("chunks")), "root", "left")
     dealt = dealt.withColumn("chunk", F.pmod(order, F.coalesce("chunks", F.lit(1))))
-    dealt = stored(dealt, "chunks")
     pivots = dealt.where("chunks is not null").groupBy("root", "chunks").agg(
         F.slice(F.array_sort(F.collect_set(F.when(F.pmod(order, F.col("chunks") * block_docs / PIVOTS) < 1, F.col("key")))), 1, PIVOTS).alias("p"))
     pivots = dealt.join(pivots.select("root", F.explode("p").alias("key")), ["root", "key"]).withColumn(
