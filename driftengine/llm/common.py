@@ -144,7 +144,7 @@ def shingles(words: np.ndarray, n_words: np.ndarray, k: int) -> tuple[np.ndarray
     return mix(out), size
 
 
-def rows(batches: Iterator[pa.RecordBatch], limit: int = 2 << 20, column: str = "text"):
+def rows(batches: Iterator[pa.RecordBatch], limit: int = 1 << 20, column: str = "text"):
     """Cut batches so that no piece holds much more than ``limit`` bytes of text (a single longer
     text is a piece of its own)."""
     for batch in batches:

@@ -44,8 +44,8 @@ BLOCK_DOCS, PIVOTS = 4096, 16
 #: Larger blocks are not cut by sketches (a sketch is compared with all others of its block).
 SKETCH_DOCS = 32_768
 #: Documents per bucket of the comparison of parts.
-BUCKET_DOCS = 4096
-BATCH = 2 << 20
+BUCKET_DOCS = 2048
+BATCH = 1 << 20
 
 
 def document_sets(docs: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:

@@ -27,11 +27,11 @@ from driftengine.llm.common import SPACE, hashed_spans, hashed_words, ramp, rows
 WORDS = 13
 BASE = (WORDS + 1) // 2
 #: Documents per bucket of a comparison, which bounds what a task holds.
-BUCKET_DOCS = 4096
+BUCKET_DOCS = 2048
 #: Null ids come after all others.
 LAST = 2**63 - 1
 #: Bytes of text that are settled together in a map task.
-BATCH = 2 << 20
+BATCH = 1 << 20
 
 INFO = "key long, part int, repeated binary, later binary, reach int"
 

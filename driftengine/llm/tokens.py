@@ -19,7 +19,7 @@ from driftengine.llm.common import ramp
 
 #: Pieces a worker keeps before it starts anew; bounds its memory (about 200 bytes a piece, more
 #: with spans).
-KEEP, KEEP_SPANS = 2_000_000, 500_000
+KEEP, KEEP_SPANS = 700_000, 300_000
 #: Pieces encoded in one call.
 LEARN = 20_000
 #: Pieces of one text among them.
