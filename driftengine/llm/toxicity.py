@@ -2,8 +2,9 @@
 
 Features are the byte n-grams inside the distinct words of a document, with a mark at either end of a
 word, hashed into a fixed number of slots. The log-count ratios come from all labelled documents; a
-logistic regression over the scaled features of the most telling slots is fitted on a bounded sample
-and weights its rows back to all labelled ones. A document is scored word by word: the words of a batch are scored once each.
+logistic regression over the scaled features of all slots is fitted on a bounded sample and weights
+its rows back to all labelled ones. A document is fitted and scored word by word: a slot counts once for
+each distinct word with it, and the n-grams of a word are kept once for all documents.
 """
 
 from __future__ import annotations
@@ -23,8 +24,8 @@ from driftengine.llm.common import hashed_spans, mix, ramp, rows, texts, word_sp
 SLOTS, LENGTHS = 1 << 17, (3, 4, 5, 6)
 #: Labelled rows of each label that the regression is fitted on.
 SAMPLE = 3000
-#: Slots that the regression may use: those whose log-count ratio is farthest from 0 in standard errors.
-SELECTED = 1 << 13
+#: Distinct words of the sample whose n-grams the driver takes at a time; bounds its passing memory only.
+PART = 1 << 14
 
 
 def _word_grams(docs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -49,15 +50,20 @@ def _word_grams(docs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     return doc, of, np.concatenate(slots), np.concatenate(owner)
 
 
-def document_features(docs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Document, slot and number of distinct words with it, for every slot a document has."""
+def _listed(docs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Documents of the distinct (document, word) pairs, n-grams of each pair, and all their slots in turn."""
     doc, of, slots, owner = _word_grams(docs)
     order = np.argsort(owner, kind="stable")
     slots, size = slots[order], np.bincount(owner, minlength=of.max() + 1 if len(of) else 0)
     first = np.cumsum(size) - size
     n = size[of]
-    every = np.repeat(doc, n) * SLOTS + slots[np.repeat(first[of], n) + ramp(n)]
-    key, count = np.unique(every, return_counts=True)
+    return doc, n, slots[np.repeat(first[of], n) + ramp(n)]
+
+
+def document_features(docs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Document, slot and number of distinct words with it, for every slot a document has."""
+    doc, n, slots = _listed(docs)
+    key, count = np.unique(np.repeat(doc, n) * SLOTS + slots, return_counts=True)
     return key // SLOTS, key % SLOTS, count
 
 
@@ -108,50 +114,52 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         return Model(np.zeros(SLOTS, np.float32), float(np.log(rate / (1 - rate))))
     p = (counts + 1) / (n[:, None] + 2)
     ratio = np.log(p[1] / p[0])
-    distance = np.abs(ratio) / np.sqrt((1 / (counts + 1)).sum(axis=0))
-    used = np.sort(np.argsort(-distance, kind="stable")[:SELECTED])
-    number = np.full(SLOTS, -1, np.int32)
-    number[used] = np.arange(len(used))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows(batches, 1 << 20):
-            doc, slot, count = document_features(texts(batch))
-            kept = number[slot] >= 0
-            doc, slot, count = doc[kept], number[slot[kept]], count[kept]
-            upto = np.searchsorted(doc, np.arange(batch.num_rows + 1))
-            pick = lambda x, t: pa.array([x[a:b].astype(t).tobytes() for a, b in zip(upto, upto[1:])], pa.binary())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("label"), pick(slot, np.int32), pick(np.minimum(count, 255), np.uint8)],
-                names=["label", "slots", "counts"])
+            docs = texts(batch)
+            doc, slot, count = document_features(docs)
+            norm = np.bincount(doc, (count * ratio[slot]) ** 2, minlength=len(docs))
+            words = [b" ".join(dict.fromkeys(d.lower().split())) for d in docs]
+            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(norm), pa.array(words, pa.binary())],
+                                             names=["label", "norm", "words"])
 
     chosen, weight = fitting_sample(train, sample)
-    got = chosen.select("label", "text").mapInArrow(work, "label int, slots binary, counts binary").toArrow()
-    y = np.asarray(got.column("label")).astype(float)
-    slots = [np.frombuffer(s.as_buffer(), np.int32) for s in got.column("slots")]
-    x = np.concatenate([np.frombuffer(s.as_buffer(), np.uint8) for s in got.column("counts")]).astype(np.float32)
-    size = np.array([len(s) for s in slots])
-    slot = np.concatenate(slots)
-    w, bias = _regression(slot, x * ratio[used].astype(np.float32)[slot], size, y, np.where(y == 1, weight[1], weight[0]), len(used))
-    weights = np.zeros(SLOTS, np.float32)
-    weights[used] = w * ratio[used]
-    return Model(weights, bias)
-
-
-def _regression(slot, x, size, y, weight, n, steps: int = 300, decay: float = 1e-6) -> tuple[np.ndarray, float]:
-    """Weighted logistic regression by accelerated gradient steps on ratio-scaled features."""
-    doc = np.repeat(np.arange(len(size), dtype=np.int32), size)
+    got = chosen.select("label", "text").mapInArrow(work, "label int, norm double, words binary").toArrow()
+    y, norm = np.asarray(got.column("label")).astype(float), np.asarray(got.column("norm"))
+    w, bias = _regression(got.column("words").to_pylist(), ratio, norm, y, np.where(y == 1, weight[1], weight[0]))
+    return Model((w * ratio).astype(np.float32), bias)
+
+
+def _regression(docs, ratio, norm, y, weight, steps: int = 300, decay: float = 1e-6) -> tuple[np.ndarray, float]:
+    """Weighted logistic regression by accelerated gradient steps on ratio-scaled features of all slots.
+    ``docs`` are in lower case, ``norm`` has their squared feature norms; a word's slots are kept once."""
+    number: dict[bytes, int] = {}
+    of = [np.array([number.setdefault(w, len(number)) for w in dict.fromkeys(d.split())], np.intp) for d in docs]
+    doc, of, words = np.repeat(np.arange(len(docs)), [len(x) for x in of]), np.concatenate(of), list(number)
+    del number, docs
+    parts = []  # words from and to, their first n-grams and numbers of n-grams, slots
+    for at in range(0, len(words), PART):
+        _, n, slots = _listed(words[at:at + PART])
+        parts.append((slice(at, at + PART), np.cumsum(n) - n, n, slots))
+    n_words = len(words)
+    del words
     weight = weight / weight.sum()
     # A step length from the mean squared row norm (bounds the curvature).
-    norm = np.bincount(doc, x * x, minlength=len(size))
     rate = 4.0 / (float(np.average(norm, weights=weight)) + 1.0)
     share = smoothed_rate(y, weight * len(y))
-    w, b = np.zeros(n), float(np.log(share / (1 - share)))
-    moment, moment_b = np.zeros(n), 0.0
+    w, b = np.zeros(SLOTS), float(np.log(share / (1 - share)))
+    moment, moment_b = np.zeros(SLOTS), 0.0
     for _ in range(steps):
         ahead, ahead_b = w + 0.9 * moment, b + 0.9 * moment_b
-        z = np.bincount(doc, x * ahead.astype(np.float32)[slot], minlength=len(size)) + ahead_b
-        error = (sigmoid(z) - y) * weight
-        gradient = np.bincount(slot, x * error.astype(np.float32)[doc], minlength=n) + decay * ahead
+        word, scaled = np.zeros(n_words), ahead * ratio
+        for at, first, _, slots in parts:
+            word[at] = np.add.reduceat(scaled[slots], first)  # no word is without n-grams
+        error = (sigmoid(np.bincount(doc, word[of], minlength=len(y)) + ahead_b) - y) * weight
+        word = np.bincount(of, error[doc], minlength=n_words)
+        gradient = decay * ahead
+        for at, _, n, slots in parts:
+            gradient += np.bincount(slots, np.repeat(word[at], n), minlength=SLOTS) * ratio
         moment = 0.9 * moment - rate * gradient
         moment_b = 0.9 * moment_b - rate * error.sum()
         w, b = w + moment, b + moment_b

@@ -282,6 +282,42 @@ def test_classifier_on_held_out_documents(spark, module, column, threshold, leas
     assert all(0 <= got[i].score <= 1 for i in (600, 601, None, 602))
 
 
+def test_frequent_words_do_not_crowd_out_a_decisive_one(spark):
+    rng = random.Random(4)
+    style = [["".join(rng.choice("abcdefghij") for _ in range(10)) for _ in range(400)] for _ in range(2)]
+    rows, labels = [], []
+    for i in range(400):
+        toxic = i % 2
+        words = style[toxic if rng.random() < 0.8 else 1 - toxic] + ["zyx!zyx"] * toxic
+        rows.append((i, " ".join(words)))
+        labels.append((i, toxic))
+    got = toxicity.toxicity(frame(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()
+    right = [r.predicted == labels[r.doc_id][1] for r in got if r.held_out]
+    assert np.mean(right) >= 0.97
+
+
+def test_fit_and_score_count_alike(monkeypatch):
+    """The regression's margins over words are those of the score, also of slots in over 255 words."""
+    docs = [b" ".join(b"%d-same" % i for i in range(400)), b"one two same", b""]
+    doc, slot, count = toxicity.document_features(docs)
+    assert count.max() > 255
+    weights = np.random.default_rng(0).normal(size=toxicity.SLOTS)
+    want = np.bincount(doc, count * weights[slot], minlength=3)
+    seen = []
+    monkeypatch.setattr(toxicity, "sigmoid", lambda z: seen.append(z) or classify.sigmoid(z))
+    y = np.array([0.0, 1, 1])
+    w, b = toxicity._regression(docs, weights, np.ones(3), y, np.ones(3), steps=2)
+    toxicity.Model(weights, 0.0).score(docs)
+    assert np.allclose(seen[-1], want)
+    # The first step's gradient is of the features with their whole counts.
+    toxicity._regression(docs, weights, np.ones(3), y, np.ones(3), steps=1)
+    error = (classify.sigmoid(seen[-1]) - y) / 3
+    x = np.zeros((3, toxicity.SLOTS))
+    x[doc, slot] = count
+    w1, _ = toxicity._regression(docs, weights, np.ones(3), y, np.ones(3), steps=1)
+    assert np.allclose(w1, -2.0 * weights * (error @ x))
+
+
 def test_classifiers_without_labels(spark, df, empty):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     one = spark.createDataFrame([(i, 1, 0) for i in range(40)], "doc_id long, quality int, toxic int")
