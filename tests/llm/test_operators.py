@@ -401,6 +401,29 @@ def test_packing_joins_related_documents():
     assert np.mean(follows) > 0.5  # by chance: 0.13
 
 
+def test_neighbours_are_ranked_by_all_terms_of_the_seed():
+    rng = np.random.default_rng(1)
+    docs = [np.append(rng.zipf(1.2, n) % 3000 + 1, 0).astype("<u2") for n in rng.integers(1, 900, 60)]
+    docs += [docs[3], docs[3][-1:], np.array([4000, 4001, 0], "<u2"), np.array([4000, 4002, 0], "<u2")]
+    sets = [dict(zip(*np.unique(d, return_counts=True))) for d in docs]
+    df = np.zeros(1 << 16)
+    for s in sets:
+        df[list(s)] += 1
+    index, mean = packing.Index(docs, df, len(docs), 300.0), 300.0
+    for seed, asked in enumerate(sets):
+        unused = rng.random(len(docs)) < 0.8
+        unused[seed] = False
+        score = np.zeros(len(docs))
+        for d, have in enumerate(sets):
+            for t in asked.keys() & have.keys():
+                idf = np.log1p((len(docs) - df[t] + 0.5) / (df[t] + 0.5))
+                score[d] += idf * have[t] * 2.2 / (have[t] + 1.2 * (0.25 + 0.75 * len(docs[d]) / mean))
+        for most in (5, 1000):
+            got = index.neighbours(seed, unused, most)
+            want = np.sort(score[unused])[::-1][:most]
+            assert len(set(got)) == len(got) and unused[got].all() and np.allclose(score[got], want)
+
+
 def test_packing_of_nothing(empty):
     assert packing.pack(empty, TOKENIZER).collect() == []
 
