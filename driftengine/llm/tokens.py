@@ -25,14 +25,18 @@ LEARN = 20_000
 #: Pieces of one text among them.
 JOIN = 100
 _CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
-_encoders: dict[tuple[str, bool], Encoder] = {}
+_encoders: dict[tuple[str, bool, bool], Encoder] = {}
 
 
-def encoder(path: str, spans: bool = False) -> Encoder:
-    """One encoder per file and worker process; only one made for ``spans`` can give them."""
-    if (path, spans) not in _encoders:
-        _encoders[path, spans] = Encoder(path, spans)
-    return _encoders[path, spans]
+def encoder(path: str, spans: bool = False, special: bool = True) -> Encoder:
+    """One encoder per file, kind and worker process; only one made for ``spans`` can give them.
+
+    Strings of special tokens in a text are these tokens, as ``tokenizers`` reads them by default, or
+    ordinary text if not ``special``."""
+    key = path, spans, special
+    if key not in _encoders:
+        _encoders[key] = Encoder(*key)
+    return _encoders[key]
 
 
 def _regular(text: str) -> bool:
@@ -42,12 +46,15 @@ def _regular(text: str) -> bool:
 
 
 class Encoder:
-    def __init__(self, path: str, spans: bool = True):
+    def __init__(self, path: str, spans: bool = True, special: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = not special
+        added = self.tokenizer.get_added_tokens_decoder()
+        self.uncut = [t.content for t in added.values()] if special else []
+        self.wide = {i: len(t.content.encode()) for i, t in added.items()}
         self.with_spans, self.token_bytes = spans, None
         self._clear()
 
@@ -56,10 +63,12 @@ class Encoder:
         self.count, self.chars, self.first = (np.zeros(0, np.int32) for _ in range(3))
         self.ids, self.start, self.end = (np.zeros(0, np.uint32) for _ in range(3))
 
-    @staticmethod
-    def _keys(text: str) -> list[str]:
+    def _keys(self, text: str) -> list[str]:
         """Pieces of a text: one after a space without it, one after a line feed with it, and any
-        other with a leading NUL."""
+        other with a leading NUL. A text with a special token is one piece: such a token may take the
+        white space around it."""
+        if any(t in text for t in self.uncut):
+            return ["\0" + text]
         if not _regular(text):
             return ["\0" + p for p in _CUT.split(text) if p]
         keys = text.replace("\n", " \n").split(" ")
@@ -95,11 +104,11 @@ class Encoder:
             self.start, self.end = add([self.start, spans[:, 0]]), add([self.end, spans[:, 1]])
 
     def _token_bytes(self) -> np.ndarray:
-        """Bytes of each token; its string has one character a byte."""
+        """Bytes of each token; its string has one character a byte, that of an added token is plain."""
         if self.token_bytes is None:
             vocabulary = self.tokenizer.get_vocab()
             self.token_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
-            self.token_bytes[list(vocabulary.values())] = [len(t) for t in vocabulary]
+            self.token_bytes[list(vocabulary.values())] = [self.wide.get(i, len(t)) for t, i in vocabulary.items()]
         return self.token_bytes
 
     def _pieces(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:

@@ -345,19 +345,29 @@ def test_keep_harmless(spark):
 
 # tokens, packing, attribution
 
-def reference():
+def reference(special=True):
+    """An unchanged tokenizer, or one that reads the strings of special tokens as text."""
     t = Tokenizer.from_file(TOKENIZER)
-    t.encode_special_tokens = True
+    if not special:
+        t.encode_special_tokens = True
     return t
 
 
-def test_cached_encoder_equals_the_tokenizer(docs):
+def test_special_tokens_are_found_as_by_the_library():
+    for special in (True, False):
+        ids, _ = tokens.Encoder(TOKENIZER, spans=False, special=special).encode(["hello <|endoftext|> world"])
+        assert (50256 in ids) == special
+
+
+@pytest.mark.parametrize("special", [True, False])
+def test_cached_encoder_equals_the_tokenizer(docs, special):
     rng = random.Random(1)
     parts = ["a", "B", " ", "\n", "\t", "  ", "é", "日", "'s", "'", "!", "1", "\r\n", "\x1c", " ", "\0", "<|endoftext|>", "the", "."]
     texts = [t or "" for _, t in docs] + ["".join(rng.choice(parts) for _ in range(rng.randint(0, 30))) for _ in range(5000)]
-    own = tokens.Encoder(TOKENIZER)
-    want = reference().encode_batch(texts, add_special_tokens=False)
+    own = tokens.Encoder(TOKENIZER, special=special)
+    want = reference(special).encode_batch(texts, add_special_tokens=False)
     ids, n = own.encode(texts)
+    assert ids.tolist() == tokens.Encoder(TOKENIZER, spans=False, special=special).encode(texts)[0].tolist()
     start, end, m = own.spans(texts)
     assert list(n) == list(m) == [len(e.ids) for e in want]
     assert ids.tolist() == [i for e in want for i in e.ids]
