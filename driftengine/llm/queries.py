@@ -8,9 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftengine.llm import attribution, exact, jaccard, mixing, packing, quality, substring, topk, toxicity, warc
+from driftengine.llm import (alignment, attribution, exact, jaccard, mixing, packing, quality, substring, topk, toxicity,
+                             warc, whitening)
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+OTHER_TOKENIZER = public_tokenizers.path("piece_bpe_32k.model")
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -155,3 +157,13 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_jaccard_join")
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_components(table(spark, sf_dir, "documents"), k=3, percent=90)
+
+
+@query("op12_token_alignment")
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), TOKENIZER, OTHER_TOKENIZER)
+
+
+@query("op13_whitening")
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
