@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftengine.llm import (alignment, attribution, exact, jaccard, mixing, packing, quality, substring, topk, toxicity,
-                             warc, whitening)
+from driftengine.llm import (alignment, attribution, boilerplate, exact, jaccard, mixing, packing, quality, substring, topk,
+                             toxicity, warc, whitening)
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 OTHER_TOKENIZER = public_tokenizers.path("piece_bpe_32k.model")
@@ -159,6 +159,11 @@ def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_components(table(spark, sf_dir, "documents"), k=3, percent=90)
 
 
+@query("op11_main_text")
+def op11_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return boilerplate.main_text(table(spark, sf_dir, "pages"))
+
+
 @query("op12_token_alignment")
 def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(table(spark, sf_dir, "documents"), TOKENIZER, OTHER_TOKENIZER)
