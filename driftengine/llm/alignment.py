@@ -29,8 +29,10 @@ LANE = 64
 PAIRS = 1 << 20
 #: Counted pairs are sent to every task if they were measured to be no more than this (16 bytes each).
 SHARED_PAIRS = 4 << 20
-#: Bytes of ids in one step of a task.
-STEP_BYTES = 2 << 20
+#: Bytes of text, and of A's ids, in one step of a task.
+TEXT_BYTES, STEP_BYTES = 512 << 10, 512 << 10
+#: Pieces of texts whose A ids a worker keeps.
+KEEP = 200_000
 
 RESULT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 
@@ -45,7 +47,7 @@ def byte_values() -> dict[str, int]:
 
 def _byte_level(path: str) -> list[bytes]:
     """Bytes of each id of a byte-level ``tokenizers`` file."""
-    value, vocabulary = byte_values(), encoder(path, special=False).tokenizer.get_vocab()
+    value, vocabulary = byte_values(), encoder(path, special=False, keep=KEEP).tokenizer.get_vocab()
     out = [b""] * (max(vocabulary.values()) + 1)
     for token, i in vocabulary.items():
         # Added tokens are plain strings; they never come up in ordinary text.
@@ -68,11 +70,13 @@ class Both:
     def __init__(self, path_a: str, path_b: str):
         import sentencepiece
 
-        self.first = encoder(path_a, special=False)
+        self.first = encoder(path_a, special=False, keep=KEEP)
         self.second = sentencepiece.SentencePieceProcessor(model_file=path_b)
         self.bytes_a, self.bytes_b = _byte_level(path_a), _pieces(self.second)
         self.size_a = np.fromiter(map(len, self.bytes_a), np.int64, len(self.bytes_a))
         self.size_b = np.fromiter(map(len, self.bytes_b), np.int64, len(self.bytes_b))
+        #: Ids are stored in as few bytes as hold them.
+        self.kind = np.dtype("<u2" if max(len(self.bytes_a), len(self.bytes_b)) <= 1 << 16 else "<u4")
         # Ids as text: those inside a group first, then those at its end.
         self.text_a, self.text_b = (np.array([f"{i}{c}" for c in (",", end) for i in range(n)], object)
                                     for n, end in ((len(self.bytes_a), "|"), (len(self.bytes_b), ";")))
@@ -80,14 +84,14 @@ class Both:
     def encode(self, plain: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         """Ids of each text in both; none where the joined tokens are not a space and the text."""
         ids, n = self.first.encode([" " + t for t in plain])
-        out, at, none = [], 0, np.zeros(0, np.uint32)
+        out, at, none = [], 0, np.zeros(0, self.kind)
         for text, more, b in zip(plain, n.tolist(), self.second.encode(plain, num_threads=1)):
             a = ids[at:at + more]
             at += more
             whole = b" " + text.encode()
             same = text and b"".join(map(self.bytes_b.__getitem__, b)) == whole \
                 and b"".join(map(self.bytes_a.__getitem__, a.tolist())) == whole
-            out.append((a.astype(np.uint32), np.array(b, np.uint32)) if same else (none, none))
+            out.append((a.astype(self.kind), np.array(b, self.kind)) if same else (none, none))
         return out
 
 
@@ -157,8 +161,8 @@ class Batch:
     def __init__(self, batch: pa.RecordBatch, tok: Both):
         self.tok = tok
         raw = [batch.column(c).to_pylist() for c in ("a", "b")]
-        self.n_a, self.n_b = (np.array([len(x) // 4 for x in side], np.int64) for side in raw)
-        self.a, self.b = (np.frombuffer(b"".join(side), "<u4").astype(np.int64) for side in raw)
+        self.n_a, self.n_b = (np.array([len(x) // tok.kind.itemsize for x in side], np.int64) for side in raw)
+        self.a, self.b = (np.frombuffer(b"".join(side), tok.kind).astype(np.int64) for side in raw)
         # A document has as many bytes in both, so ends counted on over the documents agree as well.
         self.common_a, self.common_b, self.link_a, self.link_b = overlaps(
             np.cumsum(tok.size_a[self.a]), np.cumsum(tok.size_b[self.b]))
@@ -187,18 +191,19 @@ class Batch:
 
 
 def _batches(found: Iterator[pa.RecordBatch], tok: Both) -> Iterator[tuple[pa.RecordBatch, Batch]]:
+    tok.first.forget()  # everything is encoded by now
     for batch in rows(found, STEP_BYTES, "a"):
         yield batch, Batch(batch, tok)
 
 
 def encoded(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
-    """row (a key of its own), doc_id and the ids of every document's text in both tokenizers (unsigned,
-    32 bits, little-endian)."""
+    """row (a key of its own), doc_id and the ids of every document's text in both tokenizers (unsigned and
+    little-endian, two bytes each where the vocabularies allow)."""
     def work(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = both(path_a, path_b)
-        for batch in rows(found):
+        for batch in rows(found, TEXT_BYTES):
             ids = tok.encode([t.decode() for t in texts(batch)])
-            sides = [pa.array([x[i].astype("<u4").tobytes() for x in ids], pa.binary()) for i in (0, 1)]
+            sides = [pa.array([x[i].tobytes() for x in ids], pa.binary()) for i in (0, 1)]
             yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), *sides],
                                              names=["row", "doc_id", "a", "b"])
 

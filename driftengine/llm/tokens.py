@@ -25,15 +25,15 @@ LEARN = 20_000
 #: Pieces of one text among them.
 JOIN = 100
 _CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
-_encoders: dict[tuple[str, bool, bool], Encoder] = {}
+_encoders: dict[tuple[str, bool, bool, int | None], Encoder] = {}
 
 
-def encoder(path: str, spans: bool = False, special: bool = True) -> Encoder:
+def encoder(path: str, spans: bool = False, special: bool = True, keep: int | None = None) -> Encoder:
     """One encoder per file, kind and worker process; only one made for ``spans`` can give them.
 
     Strings of special tokens in a text are these tokens, as ``tokenizers`` reads them by default, or
     ordinary text if not ``special``."""
-    key = path, spans, special
+    key = path, spans, special, keep
     if key not in _encoders:
         _encoders[key] = Encoder(*key)
     return _encoders[key]
@@ -46,7 +46,7 @@ def _regular(text: str) -> bool:
 
 
 class Encoder:
-    def __init__(self, path: str, spans: bool = True, special: bool = True):
+    def __init__(self, path: str, spans: bool = True, special: bool = True, keep: int | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -56,9 +56,11 @@ class Encoder:
         self.uncut = [t.content for t in added.values()] if special else []
         self.wide = {i: len(t.content.encode()) for i, t in added.items()}
         self.with_spans, self.token_bytes = spans, None
-        self._clear()
+        self.keep = keep or (KEEP_SPANS if spans else KEEP)
+        self.forget()
 
-    def _clear(self):
+    def forget(self):
+        """Let go of all pieces."""
         self.index: dict[str, int] = {}
         self.count, self.chars, self.first = (np.zeros(0, np.int32) for _ in range(3))
         self.ids, self.start, self.end = (np.zeros(0, np.uint32) for _ in range(3))
@@ -112,8 +114,8 @@ class Encoder:
         return self.token_bytes
 
     def _pieces(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.index) > (KEEP_SPANS if self.with_spans else KEEP):
-            self._clear()
+        if len(self.index) > self.keep:
+            self.forget()
         cut = [self._keys(t) for t in texts]
         flat = list(itertools.chain.from_iterable(cut))
         at = np.fromiter(map(self.index.get, flat, itertools.repeat(-1)), np.int64, len(flat))
