@@ -390,8 +390,6 @@ def s3(spark, d):
   SELECT entity, day, n, {R('mm', 'mean_metric')}, {R('es', 'error_share')}, {R('sqrt((mm - bm) ** 2 + (es - be) ** 2)', 'distance')},
     CASE WHEN sqrt((mm - bm) ** 2 + (es - be) ** 2) > 15e-2 THEN 1 ELSE 0 END AS drift FROM cl JOIN b USING (entity)""")
 def s4(spark, d):
-    path = f"{shared_dir(spark)}/self-baseline-{uuid.uuid4().hex}"
-    writer = streaming.stream_self_baseline(event_stream(spark, d), path)
-    writer.trigger(availableNow=True).start().awaitTermination()
-    out = spark.read.parquet(f"{path}/out").drop("batch")
+    with streaming.rocksdb_state(spark):
+        out = drain(streaming.stream_self_baseline(event_stream(spark, d)), "self_baseline")
     return rounded(_days(out).select("entity", "day", "n", "mean_metric", "error_share", "distance", "drift"))

@@ -8,13 +8,19 @@ import zipfile
 
 from pyspark.sql import SparkSession
 
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Bytes of a batch that goes to a Python worker, in place of Spark's default: several are under way.
+ARROW_BATCH, ARROW_DEFAULT = "4m", "67108864b"
 PACKAGE = os.path.dirname(os.path.abspath(__file__))
 
 
 def ship(spark: SparkSession) -> SparkSession:
     """Make the package importable in Python workers: its source goes to the executors once per
-    session, as a zip. Not needed where the package is installed on them."""
+    session, as a zip. Not needed where the package is installed on them. Batches sent to the workers
+    are bounded in bytes, unless the session has a bound of its own."""
     sc = spark.sparkContext
+    if spark.conf.get(BATCH_SETTING) == ARROW_DEFAULT:
+        spark.conf.set(BATCH_SETTING, ARROW_BATCH)
     if getattr(sc, "_driftengine_shipped", False):
         return spark
     folder = tempfile.mkdtemp(prefix="driftengine-")

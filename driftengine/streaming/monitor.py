@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import DataStreamWriter
-from pyspark.sql.types import DoubleType, LongType, StructField, StructType
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from driftengine.operators.monitor import alert_level
 from driftengine.operators.stats import baseline_distance
@@ -69,49 +73,61 @@ def self_baseline(windows: DataFrame, threshold: float = 0.15, entity: str = "en
     return baseline_distance(windows, [entity], "window_start", METRICS, threshold)
 
 
+class _FirstWindow(StatefulProcessor):
+    """Keeps an entity's first closed window and measures the later ones against it."""
+
+    def __init__(self, entity: str, threshold: float, ttl_ms: int | None):
+        self.entity, self.threshold, self.ttl_ms = entity, threshold, ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        schema = ", ".join(f"{m} double" for m in METRICS)
+        self.first = handle.getValueState("first", schema, self.ttl_ms)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        # One row a window that closed in this micro-batch, in any order.
+        closed = pd.concat(list(rows)).sort_values("window_start")
+        metrics = closed[METRICS].astype(float).to_numpy(float, na_value=np.nan)
+        if not self.first.exists():
+            self.first.update(tuple(None if np.isnan(v) else float(v) for v in metrics[0]))
+        base = np.array([np.nan if v is None else v for v in self.first.get()], float)
+        closed["distance"] = np.sqrt(((metrics - base) ** 2).sum(axis=1))
+        closed["drift"] = (closed["distance"] > self.threshold).astype("int32").where(closed["distance"].notna(), None)
+        closed["distance"] = closed["distance"].astype(object).where(closed["distance"].notna(), None)
+        yield closed
+
+    def close(self) -> None:
+        pass
+
+
 def stream_self_baseline(
-    sdf: DataFrame, path: str, window: str = "1 day", watermark: str = "1 hour",
-    threshold: float = 0.15, entity: str = "entity", error: Column | None = None,
-) -> DataStreamWriter:
-    """Writer that keeps each entity's first closed window as its baseline and appends the
-    distance of every closed window to ``path/out``.
-
-    Windows are aggregated first, so a busy entity sends one row per window. Baselines live in
-    ``path/baseline``, one folder per micro-batch that saw new entities. A repeated batch reads
-    only older folders and overwrites its own, so the result is the same after a restart.
+    sdf: DataFrame, window: str = "1 day", watermark: str = "1 hour", threshold: float = 0.15,
+    entity: str = "entity", error: Column | None = None, ttl_ms: int | None = None,
+) -> DataFrame:
+    """Distance of every closed window to the entity's first one, as a stream in append mode.
+
+    Windows are aggregated first, so a busy entity sends one row per window. The first window is a
+    keyed value in the state store (RocksDB, which the session has to be set to; see
+    ``rocksdb_state``): a micro-batch reads and writes only the entities it holds, however many came
+    before it, and a restart goes on from the query's checkpoint. Null metrics give a null distance.
+
+    With ``ttl_ms`` an entity that was given its baseline longer ago than that (processing time) takes
+    its next window as a new one. Such a query looks at the clock after every micro-batch, so it needs
+    a trigger that does not wait for the end of the input (not ``availableNow``).
     """
     closed = window_metrics(sdf.withWatermark("ts", watermark), window, None, entity, error)
-    known_schema = StructType([
-        StructField(entity, closed.schema[entity].dataType),
-        *[StructField(f"base_{m}", DoubleType()) for m in METRICS], StructField("batch", LongType())])
-
-    def step(rows: DataFrame, batch: int) -> None:
-        spark = rows.sparkSession
-        rows = rows.persist()
-        known = _read_if_any(spark, f"{path}/baseline", known_schema).where(F.col("batch") < batch)
-        known = known.drop("batch")
-        first = rows.join(known, entity, "left_anti").groupBy(entity).agg(
-            F.min(F.struct("window_start", *METRICS)).alias("f"))
-        fresh = first.select(entity, *[F.col("f")[m].alias(f"base_{m}") for m in METRICS]).persist()
-        if not fresh.isEmpty():
-            fresh.write.mode("overwrite").parquet(f"{path}/baseline/batch={batch}")
-        j = rows.join(known.unionByName(fresh), entity)
-        total = sum((F.pow(F.col(m) - F.col(f"base_{m}"), F.lit(2.0)) for m in METRICS), F.lit(0.0))
-        j = j.withColumn("distance", F.sqrt(total))
-        j = j.withColumn("drift", (F.col("distance") > threshold).cast("int"))
-        j.drop(*[f"base_{m}" for m in METRICS]).write.mode("overwrite").parquet(f"{path}/out/batch={batch}")
-        fresh.unpersist()
-        rows.unpersist()
-
-    return closed.writeStream.outputMode("append").option(
-        "checkpointLocation", f"{path}/checkpoint").foreachBatch(step)
-
-
-def _read_if_any(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """The table at ``path``, empty before its first write; any other error is raised."""
+    schema = StructType([*closed.schema.fields, StructField("distance", DoubleType()), StructField("drift", IntegerType())])
+    return closed.groupBy(entity).transformWithStateInPandas(
+        statefulProcessor=_FirstWindow(entity, threshold, ttl_ms), outputStructType=schema,
+        outputMode="append", timeMode="none" if ttl_ms is None else "processingTime")
+
+
+@contextmanager
+def rocksdb_state(spark: SparkSession) -> Iterator[None]:
+    """Streams started inside keep their state in RocksDB, as ``stream_self_baseline`` needs."""
+    setting = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
-        return spark.read.schema(schema).parquet(path)
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], schema)
+        yield
+    finally:
+        spark.conf.set(setting, before)
