@@ -7,9 +7,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftengine.operators import evaluate, models, monitor, sampling, sequence, series
+from driftengine.operators import evaluate, models, monitor, sampling, sequence, series, validate
 from driftengine.plans.data import (
     DAYS,
+    MONTHS,
     PREDS,
     R,
     day_metrics,
@@ -271,6 +272,118 @@ def h18(spark, d):
     return rounded(evaluate.degradation(m, "grp", "5-LOW", ["auc", "f1"]))
 
 
+Z95 = 1.959963984540054e0
+#: Placement values per counted score of ``src`` (groups, score, label), and the closed-form interval.
+DELONG = """cells AS (SELECT {by} prob AS score, count(*) FILTER (WHERE label = 1) AS wp, count(*) FILTER (WHERE label <> 1) AS wn FROM {src} GROUP BY ALL),
+  pl AS (SELECT *, sum(wp) OVER (PARTITION BY {part}) AS p, sum(wn) OVER (PARTITION BY {part}) AS n,
+    (sum(wn) OVER (PARTITION BY {part} ORDER BY score) - wn / 2) / sum(wn) OVER (PARTITION BY {part}) AS v10,
+    (sum(wp) OVER (PARTITION BY {part}) - sum(wp) OVER (PARTITION BY {part} ORDER BY score) + wp / 2) / sum(wp) OVER (PARTITION BY {part}) AS v01 FROM cells),
+  mu AS (SELECT {by} sum(wp * v10) / any_value(p) AS a FROM pl GROUP BY ALL),
+  va AS (SELECT {by} CAST(any_value(p) AS BIGINT) AS n_pos, CAST(any_value(n) AS BIGINT) AS n_neg, any_value(a) AS auc,
+    sqrt(sum(wp * (v10 - a) ** 2) / (any_value(p) - 1) / any_value(p) + sum(wn * (v01 - a) ** 2) / (any_value(n) - 1) / any_value(n)) AS se
+    FROM pl JOIN mu {join} GROUP BY ALL)"""
+GRP_DELONG = DELONG.format(by="grp,", src="preds", part="grp", join="USING (grp)")
+
+
+@query("h18_auc_intervals", f"""WITH {PREDS}, {GRP_DELONG}, r AS (SELECT auc AS ra, se AS rs FROM va WHERE grp = '5-LOW')
+  SELECT grp, n_pos, n_neg, {R('auc')}, {R('se', 'auc_se')}, {R(f'greatest(auc - {Z95} * se, 0)', 'auc_lo')}, {R(f'least(auc + {Z95} * se, 1)', 'auc_hi')},
+    {R('auc - ra', 'delta_auc')}, CASE WHEN grp <> '5-LOW' THEN round(auc - ra - {Z95} * sqrt(se ** 2 + rs ** 2), 6) + 0e0 END AS delta_lo,
+    CASE WHEN grp <> '5-LOW' THEN round(auc - ra + {Z95} * sqrt(se ** 2 + rs ** 2), 6) + 0e0 END AS delta_hi FROM va, r""")
+def h18_intervals(spark, d):
+    return rounded(evaluate.auc_degradation(predictions(spark, d), "label", "prob", "grp", "5-LOW"))
+
+
+def _placed(col: str) -> str:
+    """Placement values of the scores in ``col`` of ``two``."""
+    return f"""{col}_c AS (SELECT {col}, count(*) FILTER (WHERE label = 1) AS wp, count(*) FILTER (WHERE label <> 1) AS wn FROM two GROUP BY 1),
+  {col}_v AS (SELECT {col}, (sum(wn) OVER (ORDER BY {col}) - wn / 2) / sum(wn) OVER () AS {col}10,
+    (sum(wp) OVER () - sum(wp) OVER (ORDER BY {col}) + wp / 2) / sum(wp) OVER () AS {col}01 FROM {col}_c)"""
+
+
+@query("h14_auc_difference", f"""WITH two AS (SELECT CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS label, l_discount AS x, l_quantity / 50 AS y FROM lineitem),
+  {_placed('x')}, {_placed('y')}, j AS (SELECT * FROM two JOIN x_v USING (x) JOIN y_v USING (y)),
+  m AS (SELECT avg(x10) FILTER (WHERE label = 1) AS a, avg(y10) FILTER (WHERE label = 1) AS b, count(*) FILTER (WHERE label = 1) AS p, count(*) FILTER (WHERE label = 0) AS n FROM j),
+  s AS (SELECT any_value(a) AS a, any_value(b) AS b, sqrt(sum(CASE WHEN label = 1 THEN ((x10 - a) - (y10 - b)) ** 2 ELSE 0 END) / (any_value(p) - 1) / any_value(p)
+    + sum(CASE WHEN label = 0 THEN ((x01 - a) - (y01 - b)) ** 2 ELSE 0 END) / (any_value(n) - 1) / any_value(n)) AS se FROM j, m)
+  SELECT {R('a', 'auc_a')}, {R('b', 'auc_b')}, {R('b - a', 'delta')}, {R('se', 'delta_se')}, {R(f'b - a - {Z95} * se', 'delta_lo')}, {R(f'b - a + {Z95} * se', 'delta_hi')} FROM s""")
+def h14_difference(spark, d):
+    rows = table(spark, d, "lineitem").select((F.col("l_returnflag") == "R").cast("int").alias("label"),
+                                              F.col("l_discount").alias("x"), (F.col("l_quantity") / 50).alias("y"))
+    return rounded(evaluate.auc_difference(rows, "label", "x", "y").drop("p"))
+
+
+# --- cross-validation ----------------------------------------------------------------------
+
+
+CV_FEATURES = ["price", "month", "status"]
+CV_ROWS = """cv AS (SELECT o_orderkey AS id, CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 1 ELSE 0 END AS label, CAST(year(o_orderdate) AS INTEGER) AS period,
+  o_totalprice / 1e5 AS price, month(o_orderdate) + 0e0 AS month, CASE o_orderstatus WHEN 'F' THEN 1e0 WHEN 'O' THEN 2e0 ELSE 4e0 END AS status FROM orders)"""
+
+
+def cv_rows(spark: SparkSession, d: str) -> DataFrame:
+    status = F.when(F.col("o_orderstatus") == "F", 1.0).when(F.col("o_orderstatus") == "O", 2.0).otherwise(4.0)
+    return table(spark, d, "orders").select(
+        F.col("o_orderkey").alias("id"), F.col("o_orderpriority").isin("1-URGENT", "2-HIGH").cast("int").alias("label"),
+        F.year("o_orderdate").alias("period"), (F.col("o_totalprice") / 1e5).alias("price"),
+        F.month("o_orderdate").cast("double").alias("month"), status.alias("status"))
+
+
+def _gaussian_sql(train: str, test: str) -> str:
+    """Scores of ``test`` (fold, id, label, features) by the normal distributions of ``train``, and by price alone."""
+    stats = ", ".join(f"avg({f}) AS {f}_m, greatest(var_pop({f}), 1e-9) AS {f}_v" for f in CV_FEATURES)
+    side = lambda a: " ".join(f"- 5e-1 * ln({a}.{f}_v) - (t.{f} - {a}.{f}_m) ** 2 / (2 * {a}.{f}_v)" for f in CV_FEATURES)
+    return f"""gs AS (SELECT fold, label, count(*) AS n, {stats} FROM {train} GROUP BY ALL),
+  scored AS (SELECT t.fold, 'gaussian' AS model, t.id, t.label, 1 / (1 + exp(-(ln(y.n / o.n) {side('y')} - (0 {side('o')})))) AS prob
+    FROM {test} t JOIN gs y ON y.fold = t.fold AND y.label = 1 JOIN gs o ON o.fold = t.fold AND o.label = 0
+    UNION ALL SELECT fold, 'price', id, label, price / 6 FROM {test})"""
+
+
+FOLD_SCORES = DELONG.format(by="fold, model,", src="scored", part="fold, model", join="USING (fold, model)") + f""",
+  th AS (SELECT fold, model, count(*) FILTER (WHERE prob >= 5e-1 AND label = 1) AS tp, count(*) FILTER (WHERE prob >= 5e-1 AND label = 0) AS fp,
+    count(*) FILTER (WHERE prob < 5e-1 AND label = 1) AS fn, count(*) FILTER (WHERE prob < 5e-1 AND label = 0) AS tn FROM scored GROUP BY ALL),
+  fm AS (SELECT fold, model, n_pos, n_neg, auc, greatest(auc - {Z95} * se, 0) AS auc_lo, least(auc + {Z95} * se, 1) AS auc_hi,
+    CASE WHEN tp > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0 END AS f1, (tp + tn) / (tp + tn + fp + fn) AS accuracy FROM va JOIN th USING (fold, model))"""
+KFOLDS = f"""WITH {CV_ROWS}, k AS (SELECT *, CAST((row_number() OVER (PARTITION BY label ORDER BY md5(id || ':42'), id) - 1) % 5 AS INTEGER) AS own FROM cv),
+  tr AS (SELECT k.*, fold FROM k, range(5) f(fold) WHERE own <> fold), te AS (SELECT *, own AS fold FROM k), {_gaussian_sql('tr', 'te')}, {FOLD_SCORES}"""
+SHOWN = f"model, n_pos, n_neg, {R('auc')}, {R('auc_lo')}, {R('auc_hi')}, {R('f1')}, {R('accuracy')}"
+MEANS = ", ".join(f"{R(f'avg({m})', f'{m}_mean')}, {R(f'stddev_samp({m})', f'{m}_std')}" for m in ("auc", "f1", "accuracy"))
+CV_COLUMNS = ["fold", "model", "n_pos", "n_neg", "auc", "auc_lo", "auc_hi", "f1", "accuracy"]
+
+
+def _fitted():
+    return {"gaussian": lambda t, f: validate.fit_gaussian(t, f), "price": F.col("price") / 6}
+
+
+def kfold_metrics(spark: SparkSession, d: str) -> DataFrame:
+    folds = sampling.kfold(cv_rows(spark, d), 5, "label")
+    return validate.fold_metrics(validate.cross_predict(folds, CV_FEATURES, _fitted()))
+
+
+@query("e9_cv_auc", f"{KFOLDS} SELECT CAST(fold AS INTEGER) AS fold, {SHOWN} FROM fm")
+def e9_cv(spark, d):
+    return rounded(kfold_metrics(spark, d).select(*CV_COLUMNS))
+
+
+@query("h16_cv_summary", f"{KFOLDS} SELECT model, count(*) AS n_folds, {MEANS} FROM fm GROUP BY 1")
+def h16_cv(spark, d):
+    return rounded(validate.cv_summary(kfold_metrics(spark, d)))
+
+
+@query("e6_cv_pipeline", f"""WITH {CV_ROWS}, f(fold, train_max, test_min, test_max) AS (VALUES ('one', 1997, 1997, 1998), ('two', 1998, 1998, 2000), ('three', 2000, 2000, 2002), ('none', 1990, 1990, 1995)),
+  al AS (SELECT cv.*, fold FROM cv JOIN f ON period < train_max), ra AS (SELECT *, row_number() OVER (PARTITION BY fold, label ORDER BY md5(id || ':42'), id) AS rk FROM al),
+  le AS (SELECT fold, min(n) AS least FROM (SELECT fold, label, count(*) AS n FROM al GROUP BY ALL) GROUP BY 1),
+  tr AS (SELECT ra.* FROM ra JOIN le USING (fold) WHERE rk <= least), te AS (SELECT cv.*, fold FROM cv JOIN f ON period >= test_min AND period < test_max),
+  {_gaussian_sql('tr', 'te')}, {FOLD_SCORES}, ok AS (SELECT fm.* FROM fm WHERE n_pos + n_neg >= 20)
+  SELECT fold, {SHOWN} FROM ok""")
+def e6_cv(spark, d):
+    folds = spark.createDataFrame(
+        [("one", 1997, 1997, 1998), ("two", 1998, 1998, 2000), ("three", 2000, 2000, 2002), ("none", 1990, 1990, 1995)],
+        "fold string, train_max int, test_min int, test_max int")
+    tagged = sampling.temporal_folds(cv_rows(spark, d), folds)
+    scored = validate.cross_predict(tagged, CV_FEATURES, _fitted(), balanced=True)
+    return rounded(validate.fold_metrics(scored).select(*CV_COLUMNS))
+
+
 ENS = """en AS (SELECT o_orderkey AS id, o_totalprice / 499999e0 AS p1, CASE WHEN o_orderstatus = 'P' THEN NULL WHEN o_orderstatus = 'F' THEN 8e-1 ELSE 3e-1 END AS p2,
     month(o_orderdate) / 13 AS p3, CAST(substr(o_orderpriority, 1, 1) AS INTEGER) / 7 AS p4 FROM orders),
   fi AS (SELECT id, p1, coalesce(p2, (p1 + p3 + p4) / 3) AS p2, p3, p4 FROM en),
@@ -298,6 +411,36 @@ def h19_summary(spark, d):
     return rounded(evaluate.ensemble_summary(ensemble_rows(spark, d)))
 
 
+YEARS = f"""{MONTHS}, yr AS (SELECT CAST(floor(period / 12) AS INTEGER) AS period, grp, avg(mean_price) / 1e4 AS price, avg(n) AS n, CASE WHEN avg(finished) > 3335e-4 THEN 'high' ELSE 'low' END AS label
+    FROM months GROUP BY 1, 2)"""
+G10 = f"""WITH {YEARS}, ce AS (SELECT avg(price) AS cp, avg(n) AS cn FROM yr), x AS (SELECT yr.*, price - cp AS x0, n - cn AS x1 FROM yr, ce),
+  dr AS (SELECT period, dense_rank() OVER (ORDER BY period) - 1 AS n_train FROM (SELECT DISTINCT period FROM yr)),
+  st AS (SELECT t.period AS t, n_train, x.label AS c, count(*) AS k, avg(x0) AS m0, avg(x1) AS m1, sum(x0 * x0) - sum(x0) ** 2 / count(*) AS w0, sum(x1 * x1) - sum(x1) ** 2 / count(*) AS w1
+    FROM dr t JOIN x ON x.period < t.period GROUP BY ALL),
+  md AS (SELECT *, sum(k) OVER (PARTITION BY t) AS tot, count(*) OVER (PARTITION BY t) AS nc, sum(w0) OVER (PARTITION BY t) AS v0, sum(w1) OVER (PARTITION BY t) AS v1 FROM st),
+  sc AS (SELECT x.period, x.grp, x.label, n_train, c, ln(k / tot) - (x0 - m0) ** 2 / (2 * greatest(v0 / greatest(tot - nc, 1), 1e-9)) - (x1 - m1) ** 2 / (2 * greatest(v1 / greatest(tot - nc, 1), 1e-9)) AS s
+    FROM x JOIN md ON md.t = x.period WHERE n_train >= 2 AND nc > 1),
+  hi AS (SELECT period, grp, label AS truth, CAST(n_train AS INTEGER) AS n_train, c AS forecast, CAST(c = label AS INTEGER) AS hit
+    FROM (SELECT *, row_number() OVER (PARTITION BY period, grp ORDER BY s DESC, c) AS rk FROM sc) WHERE rk = 1)"""
+
+
+def year_hits(spark: SparkSession, d: str) -> DataFrame:
+    m = month_series(spark, d).groupBy(F.floor(F.col("period") / 12).cast("int").alias("period"), "grp").agg(
+        (F.avg("mean_price") / 1e4).alias("price"), F.avg("n").alias("n"), F.avg("finished").alias("f"))
+    m = materialize(m.withColumn("label", F.when(F.col("f") > 0.3335, "high").otherwise("low")))
+    return validate.prefix_backtest(m, ["price", "n"], "label")
+
+
+@query("g10_hits", f"{G10} SELECT * FROM hi")
+def g10_hits(spark, d):
+    return year_hits(spark, d).select("period", "grp", F.col("label").alias("truth"), "n_train", "forecast", "hit")
+
+
+@query("g10_hit_rate", f"{G10} SELECT count(*) AS n_transitions, CAST(sum(hit) AS BIGINT) AS n_correct, {R('avg(hit)', 'hit_rate')} FROM hi")
+def g10_rate(spark, d):
+    return rounded(validate.hit_rates(year_hits(spark, d)))
+
+
 @query("g10_backtest")
 def g10(spark, d):
     m = month_series(spark, d)

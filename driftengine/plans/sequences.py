@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftengine.functions.columns import hamming
-from driftengine.operators import pairs, sampling, sequence, series, stats
+from driftengine.operators import metric, pairs, sampling, sequence, series, stats
 from driftengine.plans.data import (
     DOCS,
     EV,
@@ -310,6 +310,19 @@ def d20(spark, d):
     return pairs.close_pairs(order_records(spark, d), 1)
 
 
+#: Differing positions that documents of a pair may have.
+DOC_LIMIT = 40
+
+
+@query("d20_metric_pairs", f"""WITH {DOCS}, r AS MATERIALIZED (SELECT min(id) AS id, length(sequence) AS n, string_split(sequence, '') AS c
+    FROM docs WHERE sequence IS NOT NULL GROUP BY sequence),
+  p AS (SELECT x.id AS id_a, y.id AS id_b, abs(x.n - y.n) + len(list_filter(list_zip(x.c[1:least(x.n, y.n)], y.c[1:least(x.n, y.n)]),
+    lambda z: z[1] <> z[2])) AS distance FROM r x JOIN r y ON x.n BETWEEN y.n - {DOC_LIMIT} AND y.n + {DOC_LIMIT} AND x.id < y.id)
+  SELECT id_a, id_b, CAST(distance AS INTEGER) AS distance FROM p WHERE distance <= {DOC_LIMIT}""")
+def d20_documents(spark, d):
+    return metric.metric_pairs(doc_records(spark, d), DOC_LIMIT)
+
+
 @query("d21_medoid", f"""WITH {ORDS}, c AS (SELECT id, grp, unnest(range(0, length(sequence))) AS position,
     unnest(string_split(sequence, '')) AS symbol FROM ords),
   n AS (SELECT grp, position, symbol, count(*) AS c FROM c GROUP BY ALL), l AS (SELECT grp, position, count(*) AS l FROM c GROUP BY ALL),

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from driftengine.functions.columns import hamming, hamming_arrow
-from driftengine.operators import joins, pairs, sequence, series
+from driftengine.operators import joins, metric, pairs, sequence, series
 from driftengine.sources import io
 
 
@@ -139,6 +139,33 @@ def test_close_pairs_are_complete(spark, limit):
     assert {tuple(r) for r in pairs.close_pairs(d, limit).collect()} == want
 
 
+@pytest.mark.parametrize("limit, pivots, cell_rows", [(0, 8, 1), (2, 8, 1), (2, 0, 1), (5, 3, 4), (5, 8, 1000), (40, 2, 1)])
+def test_metric_pairs_are_complete(spark, limit, pivots, cell_rows):
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("ACÜ") for _ in range(rng.choice([0, 1, 5, 6, 7, 12, 13, 30]))) for _ in range(90)]
+    texts += [t[:-1] for t in texts[:20]] + texts[:10] + ["A" * 20_000, "A" * 20_001, None]
+    rows = [(i, "x", 1, t) for i, t in enumerate(texts)] + [(3, "x", 1, texts[3]), (None, "x", 1, "AC")]
+    first = {}
+    for i, _, _, t in rows:
+        if t is not None and i is not None:
+            first[t] = min(i, first.get(t, i))
+    want = set()
+    for (s, i), (t, j) in combinations(first.items(), 2):
+        differ = sum(x != y for x, y in zip(s, t)) + abs(len(s) - len(t))
+        if differ <= limit:
+            want.add((min(i, j), max(i, j), differ))
+    got = [tuple(r) for r in metric.metric_pairs(records(spark, rows), limit, n_pivots=pivots, cell_rows=cell_rows).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_pivots_drop_candidates(spark):
+    rng = random.Random(9)
+    texts = ["".join(rng.choice("AC") for _ in range(40)) for _ in range(300)]
+    d = spark.createDataFrame(list(enumerate(texts)), "id long, sequence string")
+    n = [metric.candidate_pairs(metric.pivot_distances(d, texts[:k]), 2, 1 + k, 16).count() for k in (0, 8)]
+    assert n[0] == 300 * 299 / 2 and n[1] < n[0] / 20
+
+
 def test_diverse_selection_is_reproducible_and_spread(spark):
     rows = [(i, "x", 1, "AAAA") for i in range(20)] + [(50, "x", 1, "CCCC"), (51, "x", 1, "AACC")]
     got = [{r.id for r in pairs.diverse_select(records(spark, rows).repartition(p), "grp", 3).collect()} for p in (1, 8)]
