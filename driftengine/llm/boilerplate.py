@@ -25,12 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftengine.llm.common import SMALL_BYTES, hashed_spans, hashed_words, rows, stored
+from driftengine.llm.common import SMALL_BYTES, hashed_spans, hashed_words, mix, rows, stored
 
 #: Tokens of a run that makes it boilerplate when it is on distinct pages of a host.
 RUN = 8
 #: Tokens of a host's pages that one task sorts.
-SHARD_TOKENS = 1 << 20
+SHARD_TOKENS = 1 << 18
 RESULT = "page_id long, url string, text string, n_chars long, n_repeated long, n_marked long"
 
 SKIP, CHROME, OPEN, MAIN = range(4)
@@ -210,7 +210,7 @@ def _streams(pages: DataFrame) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows(batches, column="html"):
             marks = batch.column("digest").to_pylist()
-            docs = [stream(blocks(p), m)[0].encode("utf-8", "replace")
+            docs = [stream(blocks(p), m.hex())[0].encode("utf-8", "replace")
                     for p, m in zip(batch.column("html").to_pylist(), marks)]
             hashes, n = hashed_words(docs)
             ends = np.cumsum(n)
@@ -218,74 +218,73 @@ def _streams(pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("digest"), pa.array(tokens, pa.binary())],
                                              names=["host", "digest", "tokens"])
 
-    found = pages.select("host", "digest", "html").mapInArrow(work, "host string, digest string, tokens binary")
+    found = pages.select("host", "digest", "html").mapInArrow(work, "host string, digest binary, tokens binary")
     return found.where("tokens is not null").groupBy("host", "digest").agg(F.min("tokens").alias("tokens"))
 
 
 def _sorted_shard(table: pa.Table) -> pa.Table:
-    """Covered starts of each page of a shard; of a divided host also the strings, as hashes, that the
-    shard has on one page only (``alone``, with their starts) and those it covers (``known``)."""
+    """Covered starts of each page of a shard. Of a divided host also the strings that the shard has on
+    one page only (``alone``: their starts, keys, and 1 at a string's first place) and the keys of those
+    it covers (``known``, each once)."""
     parts = [np.frombuffer(t, np.uint64) for t in table.column("tokens").to_pylist()]
     lengths = np.array([len(p) for p in parts])
     tokens = np.concatenate(parts)
     order, spread = repeats(tokens, lengths)
     upto = np.cumsum(lengths)
     page = np.searchsorted(upto, order, "right")
-    divided = table.column("shards")[0].as_py() > 1
-    covered, alone, hashes, known = ([[] for _ in parts] for _ in range(4))
-
-    def deal(rows_: np.ndarray, values: np.ndarray, out: list):
-        by = np.argsort(page[rows_], kind="stable")
-        cuts = np.searchsorted(page[rows_][by], np.arange(len(parts) + 1))
-        for i in range(len(parts)):
-            out[i] = values[by[cuts[i]:cuts[i + 1]]]
-
-    start = order - (upto - lengths)[page] if len(order) else order
-    deal(np.flatnonzero(spread), start[spread].astype(np.int32), covered)
-    if divided:
+    start = (order - (upto - lengths)[page]).astype(np.int32)
+
+    def dealt(at: np.ndarray, values: np.ndarray, kind: pa.DataType) -> pa.Array:
+        """Values at places of the order as one list a page."""
+        by = np.argsort(page[at], kind="stable")
+        cuts = np.searchsorted(page[at][by], np.arange(len(parts) + 1))
+        return pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(values[at][by], kind))
+
+    covered, none = np.flatnonzero(spread), np.zeros(0, np.int64)
+    alone, known, first, key = none, none, np.zeros(len(order), np.int8), np.zeros(len(order), np.int64)
+    if table.column("shards")[0].as_py() > 1:
         at = np.sort(order)
-        digest = np.zeros(len(tokens), np.uint64)
-        digest[at] = hashed_spans(tokens, at, at + RUN)
-        digest = digest[order].astype(np.int64)
-        one = np.flatnonzero(~spread)
-        deal(one, start[one].astype(np.int32), alone)
-        deal(one, digest[one], hashes)
-        first = np.flatnonzero(spread)
-        first = first[np.unique(digest[first], return_index=True)[1]]  # each string once a shard
-        deal(first, digest[first], known)
-    cols = {"covered": (covered, pa.int32()), "alone": (alone, pa.int32()), "hashes": (hashes, pa.int64()), "known": (known, pa.int64())}
-    return pa.table({"host": table.column("host"), "digest": table.column("digest"),
-                     **{k: pa.array(v, pa.list_(t)) for k, (v, t) in cols.items()}})
+        whole = np.zeros(len(tokens), np.uint64)
+        whole[at] = hashed_spans(tokens, at, at + RUN)
+        key = mix(whole[order] ^ np.int64(table.column("number")[0].as_py()).astype(np.uint64)).astype(np.int64)
+        once = np.unique(key, return_index=True)[1]
+        first[once] = 1
+        alone, known = np.flatnonzero(~spread), once[spread[once]]
+    return pa.table({
+        "digest": table.column("digest"), "covered": dealt(covered, start, pa.int32()),
+        "alone": dealt(alone, start, pa.int32()), "keys": dealt(alone, key, pa.int64()),
+        "firsts": dealt(alone, first, pa.int8()), "known": dealt(known, key, pa.int64())})
 
 
 def covered_runs(pages: DataFrame, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """host, digest and the starts of a page's runs that other pages of the host have too."""
     streams = stored(_streams(pages), "streams")
-    hosts = stored(streams.groupBy("host").agg(F.sum(F.octet_length("tokens") / 8).alias("n")), "hosts")
-    shards = hosts.select("host", F.ceil(F.col("n") / shard_tokens).cast("long").alias("shards"))
-    dealt = measured_join(streams, shards, ["host"]).withColumn(
-        "shard", F.expr("pmod(xxhash64(digest), shards)"))
+    hosts = stored(streams.groupBy("host").agg(F.ceil(F.sum(F.octet_length("tokens")) / (8 * shard_tokens)).cast("long").alias("shards")), "hosts")
+    # A string's key has its host in it; hosts' and pages' names stay out of what is compared.
+    dealt = measured_join(streams, hosts, ["host"]).select(
+        "host", "digest", "tokens", "shards", F.xxhash64("host").alias("number"), F.expr("pmod(xxhash64(digest), shards)").alias("shard"))
     local = stored(dealt.groupBy("host", "shard").applyInArrow(
-        _sorted_shard,
-        "host string, digest string, covered array<int>, alone array<int>, hashes array<long>, known array<long>"), "shards")
-    alone = local.select("host", "digest", F.explode(F.arrays_zip("alone", "hashes")).alias("s")).select(
-        "host", "digest", F.col("s.alone").alias("start"), F.col("s.hashes").alias("hash"))
-    # A string counts once a page here, and twice where a shard has it on several.
-    seen = alone.select("host", "hash", "digest").distinct().groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n"))
-    seen = seen.unionByName(local.select("host", F.explode("known").alias("hash"), F.lit(2).cast("long").alias("n")))
-    seen = seen.groupBy("host", "hash").agg(F.sum("n").alias("n")).where("n > 1").select("host", "hash")
-    across = alone.join(stored(seen, "across"), ["host", "hash"], "left_semi").groupBy("host", "digest").agg(
-        F.collect_list("start").alias("more"))  # as many as a page has tokens at most
-    both = local.select("host", "digest", "covered").join(across, ["host", "digest"], "left")
-    return both.select("host", "digest", F.concat("covered", F.coalesce("more", F.expr("cast(array() as array<int>)"))).alias("runs")) \
-        .where("size(runs) > 0")
+        lambda table: _sorted_shard(table).add_column(0, "host", table.column("host")),
+        "host string, digest binary, covered array<int>, alone array<int>, keys array<long>, firsts array<byte>, known array<long>"), "shards")
+    # A string counts once for every shard that has it on one page, and twice where a shard covers it.
+    once = local.select(F.explode(F.arrays_zip("keys", "firsts")).alias("s")).where("s.firsts = 1").select(
+        F.col("s.keys").alias("key"), F.lit(1).alias("n"))
+    twice = local.select(F.explode("known").alias("key"), F.lit(2).alias("n"))
+    across = stored(once.unionByName(twice).groupBy("key").agg(F.sum("n").alias("n")).where("n > 1").select("key"), "across")
+    alone = local.select("host", "digest", F.explode(F.arrays_zip("alone", "keys")).alias("s"))
+    found = alone.select("host", "digest", F.col("s.alone").alias("start"), F.col("s.keys").alias("key"))
+    small = across.count() * 16 <= SMALL_BYTES
+    found = found.join(F.broadcast(across) if small else across, "key", "left_semi")
+    more = found.groupBy("host", "digest").agg(F.collect_list("start").alias("runs"))  # as many as a page has tokens at most
+    own = local.select("host", "digest", F.col("covered").alias("runs")).where("size(runs) > 0")
+    return own.unionByName(more).groupBy("host", "digest").agg(F.flatten(F.collect_list("runs")).alias("runs"))
 
 
 def measured_join(big: DataFrame, info: DataFrame, on: list[str]) -> DataFrame:
     """Left join with a stored table of one row a key, which is broadcast only if its counted bytes are
     few: 16 a row and 8 for each character of its keys and each entry of its arrays."""
     sizes = [F.size(c) if t.startswith("array") else F.octet_length(c) for c, t in info.dtypes
-             if t.startswith("array") or t == "string"]
+             if t.startswith("array") or t in ("string", "binary")]
     held = info.agg(F.coalesce(F.sum(sum((F.coalesce(s, F.lit(0)) for s in sizes), F.lit(2))), F.lit(0))).first()[0] * 8
     return big.join(F.broadcast(info) if held <= SMALL_BYTES else info, on, "left")
 
@@ -306,7 +305,8 @@ def main_text(pages: DataFrame, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     host = F.lower(F.regexp_extract(F.coalesce(F.col("url").cast("string"), F.lit("")), r"^[^:/?#]+://([^/?#]*)", 1))
     page = F.coalesce(F.col("html").cast("string"), F.lit(""))
     keyed = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"),
-                         page.alias("html"), host.alias("host"), F.md5(page.cast("binary")).alias("digest"))
+                         page.alias("html"), host.alias("host"),
+                         F.unhex(F.md5(page.cast("binary"))).alias("digest"))
     runs = stored(covered_runs(keyed, shard_tokens), "covered")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
