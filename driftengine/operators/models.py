@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from driftengine.operators.evaluate import binary_metrics
+from driftengine.operators.evaluate import auc_difference, auc_interval, binary_metrics
 from driftengine.scale import exact_quantiles, in_parallel, materialize
 
 SEED = 42
@@ -50,17 +50,6 @@ def _scaled(df: DataFrame) -> tuple[object, DataFrame]:
     return model, model.transform(df)
 
 
-def kmer_vectors(profile: DataFrame, key: str = "id", max_terms: int = 4096) -> DataFrame:
-    """Sparse k-mer rows as dense arrays over the vocabulary, which is measured and bounded."""
-    terms = materialize(profile.select("kmer").distinct())
-    if terms.count() > max_terms:
-        raise ValueError(f"more than {max_terms} k-mers; lower k or reduce the alphabet")
-    vocabulary = sorted(r[0] for r in terms.collect())  # at most max_terms short strings
-    pairs = F.map_from_entries(F.collect_list(F.struct("kmer", "freq")))
-    values = F.transform(F.lit(vocabulary), lambda t: F.coalesce(F.element_at(F.col("__m"), t), F.lit(0.0)))
-    return profile.groupBy(key).agg(pairs.alias("__m")).select(key, values.alias("features_array"))
-
-
 def pca_keep(df: DataFrame, features: Sequence[str] | str, share: float = 0.95) -> tuple[DataFrame, DataFrame]:
     """Standardised principal components that keep a share of the variance.
 
@@ -346,23 +335,30 @@ def ablation(
     train: DataFrame, test: DataFrame, features: Sequence[str], groups: Mapping[str, Sequence[str]],
     fit: Fit, label: str = "label",
 ) -> DataFrame:
-    """AUC and F1 without each feature group, and the change against the full model."""
-    train, test = train.persist(), test.persist()
+    """AUC and F1 without each feature group, and the change against the full model, with intervals
+    after DeLong: both models score the same rows, so the change has less spread than either AUC."""
+    train = train.persist()
     spark = train.sparkSession
+    # Scored by the full model once; every other model adds its score to the same rows.
+    test = materialize(predict(fit(train, list(features)), test).select(*test.columns, F.col("prob").alias("__full")))
 
     def without(item):
         name, dropped = item
         kept = [f for f in features if f not in dropped]
-        m = binary_metrics(predict(fit(train, kept), test), label, "prob").first()
-        return name, ",".join(dropped), len(dropped), float(m["auc"]), float(m["f1"])
+        scored = predict(fit(train, kept), test) if dropped else test.withColumn("prob", F.col("__full"))
+        scored = materialize(scored.select(label, "prob", "__full"))
+        m = binary_metrics(scored, label, "prob").first()
+        own, change = auc_interval(scored, label, "prob").first(), auc_difference(scored, label, "__full", "prob").first()
+        return (name, ",".join(dropped), len(dropped), float(m["auc"]), own["auc_lo"], own["auc_hi"], float(m["f1"]),
+                change["delta_lo"], change["delta_hi"])
 
     rows = in_parallel(without, list({"full": [], **groups}.items()))
-    train.unpersist(), test.unpersist()
-    auc, f1 = rows[0][3], rows[0][4]
+    train.unpersist()
+    auc, f1 = rows[0][3], rows[0][6]
     out = spark.createDataFrame(
-        [(*r, r[3] - auc, r[4] - f1) for r in rows],
-        "group string, dropped_cols string, n_dropped int, auc_ablated double, f1_ablated double, "
-        "delta_auc double, delta_f1 double")
+        [(*r, r[3] - auc, r[6] - f1) for r in rows],
+        "group string, dropped_cols string, n_dropped int, auc_ablated double, auc_lo double, auc_hi double, "
+        "f1_ablated double, delta_lo double, delta_hi double, delta_auc double, delta_f1 double")
     return out.withColumn("impact", impact(F.col("delta_auc")))
 
 

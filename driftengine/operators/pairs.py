@@ -7,10 +7,12 @@ the map are linear in the rows.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,6 +56,36 @@ def cooccurrence(
     return t.withColumn("p", fisher_greater("n_both", only_b, only_a, neither))
 
 
+def _swept(batch: pa.RecordBatch, context: Sequence[str], w: int) -> pa.RecordBatch:
+    """Counted pairs of events at most ``w`` positions apart, first one first, over the records of a batch.
+
+    A record's events are sorted by position, so the partners of each are the ones right after it: the
+    k-th after it is looked at for all events together, until none is near enough.
+    """
+    events = batch.column("events")
+    n = np.asarray(pa.compute.list_value_length(events), np.int64)
+    flat = events.flatten()
+    position = flat.field("position").to_numpy(zero_copy_only=False).astype(np.int64)
+    record = np.repeat(np.arange(len(n)), n)
+    first, second = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    near, k = np.arange(len(position)), 1
+    while len(near):
+        near = near[near + k < len(position)]
+        near = near[(record[near] == record[near + k]) & (position[near + k] - position[near] <= w)]
+        # Several symbols at one position are not each other's neighbours.
+        apart = near[position[near + k] != position[near]]
+        first.append(apart)
+        second.append(apart + k)
+        k += 1
+    i, j = pa.array(np.concatenate(first)), pa.array(np.concatenate(second))
+    symbols = flat.field("var_char")
+    columns = {c: batch.column(c).take(pa.array(record)).take(i) for c in context}
+    columns |= {"position": flat.field("position").take(i), "var_char": symbols.take(i),
+                "pos_j": flat.field("position").take(j), "var_j": symbols.take(j)}
+    counted = pa.table(columns).group_by(list(columns)).aggregate([([], "count_all")])
+    return counted.rename_columns([*columns, "c_ij"]).combine_chunks()
+
+
 def npmi_score(
     events: DataFrame, w: int = 20, min_pairs: int = 50, top: int = 3,
     context: Sequence[str] = ("period",),
@@ -61,23 +93,30 @@ def npmi_score(
     """Association of a variant with its neighbours within ``w`` positions, per period, in [0, 1].
 
     Mean of the ``top`` normalised pointwise mutual informations; with fewer than ``min_pairs``
-    pairs, distinct neighbours / w. Neighbours meet in position blocks of width w: a record has
-    at most w events per block, however long it is.
+    pairs, distinct neighbours / w. Events are brought together by record once; a sweep over each
+    record's sorted events finds the neighbours, and only pairs counted per batch are shuffled. A task
+    holds the events of whole records, never those of a context.
     """
     context = list(context)
     key = ["position", "var_char"]
-    e = events.select(*context, "id", *key).distinct()
-    e = materialize(e)
-    n_rec = e.select(*context, "id").distinct().groupBy(*context).agg(F.count(F.lit(1)).alias("n"))
-    single = e.groupBy(*context, *key).agg(F.count(F.lit(1)).alias("c"))
-    block = F.floor(F.col("position") / F.lit(w))
-    left = e.withColumn("__b", block)
-    right = e.select(
-        *context, "id", F.col("position").alias("pos_j"), F.col("var_char").alias("var_j"),
-        F.explode(F.array(block - 1, block, block + 1)).alias("__b"))
-    near = left.join(right, [*context, "id", "__b"]).where(
-        (F.abs(F.col("position") - F.col("pos_j")) <= w) & (F.col("position") != F.col("pos_j")))
-    cooc = near.groupBy(*context, *key, "pos_j", "var_j").agg(F.count(F.lit(1)).alias("c_ij"))
+    types = {f.name: f.dataType.simpleString() for f in events.schema.fields}
+    sets = events.groupBy(*context, "id").agg(F.sort_array(F.collect_set(F.struct(*key))).alias("events"))
+    n_rec = sets.groupBy(*context).agg(F.count(F.lit(1)).alias("n"))
+    single = sets.select(*context, F.explode("events").alias("e")).groupBy(
+        *context, F.col("e.position").alias("position"), F.col("e.var_char").alias("var_char")).agg(F.count(F.lit(1)).alias("c"))
+
+    def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from _swept(batch, context, w).to_batches()
+
+    pair = [("position", "position"), ("var_char", "var_char"), ("pos_j", "position"), ("var_j", "var_char")]
+    schema = ", ".join([f"`{c}` {types[c]}" for c in context] + [f"{c} {types[t]}" for c, t in pair] + ["c_ij long"])
+    one_way = sets.select(*context, "events").mapInArrow(sweep, schema).groupBy(
+        *context, *[c for c, _ in pair]).agg(F.sum("c_ij").alias("c_ij"))
+    back = one_way.select(*context, F.col("pos_j").alias("position"), F.col("var_j").alias("var_char"),
+                          F.col("position").alias("pos_j"), F.col("var_char").alias("var_j"), "c_ij")
+    cooc = materialize(one_way.unionByName(back))
+    single = materialize(single)
     c_j = single.select(*context, F.col("position").alias("pos_j"), F.col("var_char").alias("var_j"),
                         F.col("c").alias("c_j"))
     c_i = single.withColumnRenamed("c", "c_i")
@@ -164,13 +203,16 @@ def _codes(texts: Sequence[str], width: int | None = None) -> np.ndarray:
     return out
 
 
-def _to_rows(text: str, codes: np.ndarray, lens: np.ndarray) -> np.ndarray:
+def _to_rows(text: str, codes: np.ndarray, lens: np.ndarray, empty: float | None = None) -> np.ndarray:
+    """Share of differing positions to each coded text; without a common position ``empty``, or whether
+    the lengths differ."""
     own = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
     m = min(len(own), codes.shape[1])
     short = np.minimum(lens, len(own))
     inside = np.arange(m) < short[:, None]
     mismatch = ((codes[:, :m] != own[:m]) & inside).sum(axis=1)
-    return np.where(short > 0, mismatch / np.maximum(short, 1), 1.0 * (lens != len(own)))
+    nothing = 1.0 * (lens != len(own)) if empty is None else empty
+    return np.where(short > 0, mismatch / np.maximum(short, 1), nothing)
 
 
 def _matrix(texts: Sequence[str]) -> np.ndarray:
@@ -179,35 +221,91 @@ def _matrix(texts: Sequence[str]) -> np.ndarray:
     return np.array([_to_rows(t, codes, lens) for t in texts])
 
 
+#: Rows of a group that stay in the running between two passes over all rows.
+POOL = 32
+#: Texts of picks go to all tasks if they were measured to have no more characters than this.
+PICK_CHARS = 8 << 20
+
+
+def _nearest(rows: DataFrame, picks: DataFrame, group: str, key: str, seq: str) -> DataFrame:
+    """``group, key, __d``: distance of every row that is no pick to the nearest pick of its group."""
+    grown = picks.groupBy(group).agg(F.sort_array(F.collect_list(F.struct("pick", F.col(key).alias("k"), F.col(seq).alias("s")))).alias("__p"))
+    held, most = grown.agg(F.sum(F.expr("aggregate(__p, 0L, (n, p) -> n + length(p.s))")), F.max(F.size("__p"))).first()
+    taken = F.exists("__p", lambda p: p["k"] == F.col(key))
+    if held <= PICK_CHARS:
+        texts = rows.sparkSession.sparkContext.broadcast({r[0]: [p.s for p in r["__p"]] for r in grown.collect()})
+
+        def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            codes = {g: (_codes(p), np.array([len(t) for t in p])) for g, p in texts.value.items()}
+            for pdf in batches:
+                d = [float(_to_rows(t, *codes[g], empty=1.0).min()) for g, t in zip(pdf[group], pdf[seq])]
+                yield pdf[[group, key]].assign(__d=d)
+
+        types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+        mine = dim_join(rows.select(group, key, seq), grown.select(group, F.transform("__p", lambda p: p["k"]).alias("__p")), [group])
+        mine = mine.where(~F.array_contains("__p", F.col(key))).drop("__p")
+        return mine.mapInPandas(work, f"`{group}` {types[group]}, `{key}` {types[key]}, __d double")
+    near = dim_join(rows.select(group, key, seq), grown, [group])
+    to = [F.when(F.size("__p") > i, hamming_arrow(F.col(seq), F.coalesce(F.get("__p", F.lit(i))["s"], F.lit(""))))
+          for i in range(most)]
+    return near.where(~taken).select(group, key, (F.least(*to) if most > 1 else to[0]).alias("__d"))
+
+
 def diverse_select(
     df: DataFrame, group: str, quota: int, key: str = "id", seq: str = "sequence"
 ) -> DataFrame:
     """Up to ``quota`` mutually distant rows per group by farthest-point selection over all rows.
 
     The first pick is the group's ``medoid``; each further one is the row farthest from its nearest
-    pick, the smallest key on ties. A round is one pass: the picks (one text per group and round)
-    are joined by group, rows keep a running minimum and one row per group and task is shuffled.
-    Adds ``pick`` (1, 2, ... in order of selection). Rows with a null sequence take no part.
+    pick, the smallest key on ties. Adds ``pick`` (1, 2, ... in order of selection). Rows with a null
+    sequence take no part.
+
+    A pass over all rows gives each its distance to the nearest pick. The ``POOL`` farthest rows of a
+    group go on picking among themselves: distances only fall as picks are added, so the best of them
+    is the best of all as long as it beats what the best row outside had in the pass. Then the next
+    pass is due. The result is the same as with a pass for every pick.
     """
     rows = df.where(F.col(seq).isNotNull())
+    types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
     first = medoid(rows.select(F.col(key).alias("id"), group, seq), group, seq).select(
         F.col("id").alias(key), group)
     picks = materialize(dim_join(rows, first, [group, key]).select(
         group, key, seq, F.lit(1).alias("pick")).dropDuplicates([group]))
-    for n in range(2, quota + 1):
-        so_far = picks.groupBy(group).agg(
-            F.sort_array(F.collect_list(F.struct("pick", F.col(key).alias("k"), F.col(seq).alias("s")))).alias("__p"))
-        near = dim_join(rows.select(group, key, seq), so_far, [group])
-        # ``n - 1`` distances a row; groups with fewer rows than the quota have fewer picks.
-        to = [F.when(F.size("__p") > i, hamming_arrow(F.col(seq), F.coalesce(F.get("__p", F.lit(i))["s"], F.lit(""))))
-              for i in range(n - 1)]
-        taken = F.exists("__p", lambda p: p["k"] == F.col(key))
-        near = near.where(~taken).withColumn("__d", F.least(*to) if len(to) > 1 else to[0])
-        far = near.groupBy(group).agg(F.min_by(
-            F.struct(F.col(key).alias("k"), F.col(seq).alias("s")),
-            F.struct((-F.col("__d")).alias("d"), F.col(key).alias("k"))).alias("f"))
-        picks = materialize(picks.unionByName(
-            far.select(group, F.col("f.k").alias(key), F.col("f.s").alias(seq), F.lit(n).alias("pick"))))
+    sizes = materialize(rows.groupBy(group).agg(F.least(F.countDistinct(key), F.lit(quota)).alias("__goal")))
+    order = Window.partitionBy(group).orderBy(F.desc("__d"), key)
+    schema = f"`{group}` {types[group]}, `{key}` {types[key]}, `{seq}` string, pick int"
+
+    def go_on(pool: pd.DataFrame, before: pd.DataFrame) -> pd.DataFrame:
+        empty = pd.DataFrame({group: [], key: [], seq: [], "pick": []}).astype({"pick": "int32"})
+        if pool.empty or before.empty:
+            return empty
+        pool = pool.sort_values("__rn")
+        outside = pool[pool["__rn"] > POOL]
+        inside = pool[pool["__rn"] <= POOL].drop_duplicates(key)
+        texts, keys, d = list(inside[seq]), list(inside[key]), inside["__d"].to_numpy(float).copy()
+        codes, lens = _codes(texts), np.array([len(t) for t in texts])
+        goal, n, out, left = int(before["__goal"].iloc[0]), len(before), [], set(range(len(texts)))
+        while left and n < goal:
+            best = min(left, key=lambda i: (-d[i], keys[i]))
+            if len(outside) and (-d[best], keys[best]) > (-outside["__d"].iloc[0], outside[key].iloc[0]):
+                break
+            n += 1
+            out.append((pool[group].iloc[0], keys[best], texts[best], n))
+            left.discard(best)
+            d = np.minimum(d, _to_rows(texts[best], codes, lens, empty=1.0))
+        return pd.DataFrame(out, columns=[group, key, seq, "pick"]) if out else empty
+
+    while True:
+        counted = picks.join(sizes, group).withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy(group)))
+        todo = materialize(counted.where("__n < __goal").drop("__n"))
+        if todo.isEmpty():
+            break
+        far = _nearest(rows, todo, group, key, seq).withColumn("__rn", F.row_number().over(order))
+        far = materialize(far.where(F.col("__rn") <= POOL + 1))
+        pool = dim_join(rows.select(group, key, seq), far, [group, key], ready=True)
+        before = todo.select(F.col(group).alias("__group"), "__goal")
+        more = pool.groupBy(group).cogroup(before.groupBy("__group")).applyInPandas(go_on, schema)
+        picks = materialize(picks.unionByName(more))
     return df.join(F.broadcast(picks.select(group, key, "pick")) if is_small(picks) else picks.select(
         group, key, "pick"), [group, key])
 

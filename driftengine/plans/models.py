@@ -7,13 +7,15 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftengine.operators import evaluate, models, monitor, sampling, sequence, series, validate
+from driftengine.operators import evaluate, models, monitor, sampling, sequence, series, sparse, validate
 from driftengine.plans.data import (
     DAYS,
+    DOCS,
     MONTHS,
     PREDS,
     R,
     day_metrics,
+    doc_records,
     month_series,
     order_records,
     predictions,
@@ -58,7 +60,28 @@ def h1(spark, d):
 @query("h1_pca_kmers")
 def h1_kmers(spark, d):
     profile = sequence.kmer_profile(order_records(spark, d), 1)
-    return rounded(models.pca_keep(models.kmer_vectors(profile), "features_array")[1])
+    return rounded(sparse.sparse_pca(profile)[1])
+
+
+def word_parts(spark: SparkSession, d: str) -> tuple[DataFrame, int]:
+    """Shares of the 3-symbol strings of every document, and the number of documents."""
+    docs = doc_records(spark, d)
+    return sequence.kmer_profile(docs, 3), docs.count()
+
+
+@query("h1_pca_documents")
+def h1_documents(spark, d):
+    profile, n = word_parts(spark, d)
+    return rounded(sparse.sparse_pca(profile, 8, n_rows=n)[1], 4)
+
+
+@query("h1_kmer_variance", f"""WITH {DOCS}, k AS (SELECT id, sequence[i:i + 2] AS kmer, count(*) AS n FROM (SELECT id, sequence, unnest(range(1, length(sequence) - 1)) AS i FROM docs) GROUP BY ALL),
+  p AS (SELECT id, kmer, n / sum(n) OVER (PARTITION BY id) AS f FROM k), c AS (SELECT count(*) AS n FROM docs),
+  v AS (SELECT kmer, (sum(f * f) - sum(f) ** 2 / any_value(n)) / (any_value(n) - 1) AS v FROM p, c GROUP BY 1)
+  SELECT count(*) AS n_terms, {R('sum(v)', 'total_variance')} FROM v""")
+def h1_variance(spark, d):
+    profile, n = word_parts(spark, d)
+    return rounded(sparse.total_variance(profile, n))
 
 
 @query("h2_kmeans_sweep")

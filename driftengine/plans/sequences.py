@@ -368,9 +368,33 @@ def d23(spark, d):
     return pairs.diverse_select(order_records(spark, d), "grp", 5).select("id", "grp", "pick")
 
 
-@query("d23_diverse_documents")
+def _running_minima_sql(quota: int) -> str:
+    """CTEs of the farthest-point selection on ``r`` (grp, id, c = symbols, first pick in p1): after each
+    pick every row keeps its distance to the nearest one."""
+    to = lambda q: (f"len(list_filter(list_zip(r.c[1:least(len(r.c), len({q}.c))], {q}.c[1:least(len(r.c), len({q}.c))]), "
+                    f"lambda z: z[1] <> z[2])) / least(len(r.c), len({q}.c))")
+    ctes = [f"m1 AS MATERIALIZED (SELECT r.grp, r.id, {to('p')} AS d FROM r JOIN p1 p USING (grp) WHERE r.id <> p.id)"]
+    for n in range(2, quota + 1):
+        ctes.append(f"""p{n} AS MATERIALIZED (SELECT r.grp, r.id, r.c FROM r JOIN (SELECT grp, id FROM (
+      SELECT grp, id, row_number() OVER (PARTITION BY grp ORDER BY d DESC, id) AS rn FROM m{n - 1}) WHERE rn = 1) USING (grp, id))""")
+        ctes.append(f"""m{n} AS MATERIALIZED (SELECT r.grp, r.id, least(m.d, {to('p')}) AS d FROM m{n - 1} m JOIN r USING (grp, id)
+      JOIN p{n} p USING (grp) WHERE r.id <> p.id)""")
+    return ",\n  ".join(ctes)
+
+
+DOC_PICKS = 10
+
+
+@query("d23_diverse_documents", f"""WITH {DOCS}, r AS MATERIALIZED (SELECT grp, id, string_split(sequence, '') AS c FROM docs WHERE sequence IS NOT NULL),
+  x AS (SELECT id, grp, unnest(range(0, len(c))) AS position, unnest(c) AS symbol FROM r),
+  n AS (SELECT grp, position, symbol, count(*) AS c FROM x GROUP BY ALL), l AS (SELECT grp, position, count(*) AS l FROM x GROUP BY ALL),
+  s AS (SELECT grp, count(*) AS n_rows FROM r GROUP BY 1),
+  v AS (SELECT x.id, x.grp, sum(s.n_rows - n.c - l.l) AS v FROM x JOIN n USING (grp, position, symbol) JOIN l USING (grp, position) JOIN s USING (grp) GROUP BY 1, 2),
+  p1 AS MATERIALIZED (SELECT r.grp, r.id, r.c FROM r JOIN (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY v, id) AS rn FROM v) b USING (grp, id) WHERE rn = 1),
+  {_running_minima_sql(DOC_PICKS)}
+  SELECT grp, id, CAST(pick AS INTEGER) AS pick FROM ({' UNION ALL '.join(f'SELECT grp, id, {n} AS pick FROM p{n}' for n in range(1, DOC_PICKS + 1))})""")
 def d23_documents(spark, d):
-    return pairs.diverse_select(doc_records(spark, d), "grp", 10).select("id", "grp", "pick")
+    return pairs.diverse_select(doc_records(spark, d), "grp", DOC_PICKS).select("id", "grp", "pick")
 
 
 @query("d24_landmark_map")
