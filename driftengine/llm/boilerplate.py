@@ -17,11 +17,13 @@ only are compared with those of the host's other shards, so that dividing a host
 from __future__ import annotations
 
 import html
+import json
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -257,27 +259,27 @@ def _sorted_shard(table: pa.Table) -> pa.Table:
 
 
 def covered_runs(pages: DataFrame, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
-    """host, digest and the starts of a page's runs that other pages of the host have too."""
+    """digest (of host and page) and the starts of a page's runs that other pages of the host have too."""
     streams = stored(_streams(pages), "streams")
     hosts = stored(streams.groupBy("host").agg(F.ceil(F.sum(F.octet_length("tokens")) / (8 * shard_tokens)).cast("long").alias("shards")), "hosts")
     # A string's key has its host in it; hosts' and pages' names stay out of what is compared.
     dealt = measured_join(streams, hosts, ["host"]).select(
         "host", "digest", "tokens", "shards", F.xxhash64("host").alias("number"), F.expr("pmod(xxhash64(digest), shards)").alias("shard"))
     local = stored(dealt.groupBy("host", "shard").applyInArrow(
-        lambda table: _sorted_shard(table).add_column(0, "host", table.column("host")),
-        "host string, digest binary, covered array<int>, alone array<int>, keys array<long>, firsts array<byte>, known array<long>"), "shards")
+        _sorted_shard,
+        "digest binary, covered array<int>, alone array<int>, keys array<long>, firsts array<byte>, known array<long>"), "shards")
     # A string counts once for every shard that has it on one page, and twice where a shard covers it.
     once = local.select(F.explode(F.arrays_zip("keys", "firsts")).alias("s")).where("s.firsts = 1").select(
         F.col("s.keys").alias("key"), F.lit(1).alias("n"))
     twice = local.select(F.explode("known").alias("key"), F.lit(2).alias("n"))
     across = stored(once.unionByName(twice).groupBy("key").agg(F.sum("n").alias("n")).where("n > 1").select("key"), "across")
-    alone = local.select("host", "digest", F.explode(F.arrays_zip("alone", "keys")).alias("s"))
-    found = alone.select("host", "digest", F.col("s.alone").alias("start"), F.col("s.keys").alias("key"))
+    alone = local.select("digest", F.explode(F.arrays_zip("alone", "keys")).alias("s"))
+    found = alone.select("digest", F.col("s.alone").alias("start"), F.col("s.keys").alias("key"))
     small = across.count() * 16 <= SMALL_BYTES
     found = found.join(F.broadcast(across) if small else across, "key", "left_semi")
-    more = found.groupBy("host", "digest").agg(F.collect_list("start").alias("runs"))  # as many as a page has tokens at most
-    own = local.select("host", "digest", F.col("covered").alias("runs")).where("size(runs) > 0")
-    return own.unionByName(more).groupBy("host", "digest").agg(F.flatten(F.collect_list("runs")).alias("runs"))
+    more = found.groupBy("digest").agg(F.collect_list("start").alias("runs"))  # as many as a page has tokens at most
+    own = local.select("digest", F.col("covered").alias("runs")).where("size(runs) > 0")
+    return own.unionByName(more).groupBy("digest").agg(F.flatten(F.collect_list("runs")).alias("runs"))
 
 
 def measured_join(big: DataFrame, info: DataFrame, on: list[str]) -> DataFrame:
@@ -306,15 +308,24 @@ def main_text(pages: DataFrame, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     page = F.coalesce(F.col("html").cast("string"), F.lit(""))
     keyed = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"),
                          page.alias("html"), host.alias("host"),
-                         F.unhex(F.md5(page.cast("binary"))).alias("digest"))
+                         F.unhex(F.md5(F.concat_ws("\0", host, page).cast("binary"))).alias("digest"))
     runs = stored(covered_runs(keyed, shard_tokens), "covered")
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor()
         for batch in rows(batches, column="html"):
+            packed = [pack.compress(json.dumps([(z, len(w), " ".join(w) if z != CHROME else "") for z, _, w in blocks(p)]).encode())
+                      for p in batch.column("html").to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [*map(batch.column, ("page_id", "url", "digest")), pa.array(packed, pa.binary())], names=["page_id", "url", "digest", "blocks"])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor()
+        for batch in rows(batches, column="blocks"):
             text, repeated, marked = [], [], []
-            for source, starts in zip(batch.column("html").to_pylist(), batch.column("runs").to_pylist()):
-                found = blocks(source)
-                sizes = stream(found, "")[1]
+            for packed, starts in zip(batch.column("blocks").to_pylist(), batch.column("runs").to_pylist()):
+                found = json.loads(unpack.decompress(packed))
+                sizes = np.array([1 if z == MAIN else n + 1 for z, n, _ in found], np.int64)
                 covered = np.zeros(int(sizes.sum()) + 1, np.int64)
                 if starts:
                     covered[(np.array(starts)[:, None] + np.arange(RUN)).ravel()] = 1
@@ -323,13 +334,13 @@ def main_text(pages: DataFrame, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
                 hit = np.concatenate([[0], np.cumsum(covered)])
                 inside = hit[ends] - hit[np.minimum(ends - sizes + 1, ends)]
                 kept, by_run, by_mark = [], 0, 0
-                for (zone, _, words), n in zip(found, inside.tolist()):
-                    if zone == MAIN or zone == OPEN and 2 * n < len(words):
-                        kept.append(" ".join(words))
-                    elif 2 * n >= len(words):
-                        by_run += len(words)
+                for (zone, words, own), n in zip(found, inside.tolist()):
+                    if zone == MAIN or zone == OPEN and 2 * n < words:
+                        kept.append(own)
+                    elif 2 * n >= words:
+                        by_run += words
                     else:
-                        by_mark += len(words)
+                        by_mark += words
                 text.append("\n".join(kept))
                 repeated.append(by_run)
                 marked.append(by_mark)
@@ -338,5 +349,6 @@ def main_text(pages: DataFrame, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
                  pa.array([len(t) for t in text], pa.int64()), pa.array(repeated, pa.int64()), pa.array(marked, pa.int64())],
                 names=["page_id", "url", "text", "n_chars", "n_repeated", "n_marked"])
 
-    joined = measured_join(keyed, runs, ["host", "digest"])
-    return joined.select("page_id", "url", "html", "runs").mapInArrow(work, RESULT)
+    # Runs grow with the pages, so both sides are shuffled at any size; pages as packed blocks, not as markup.
+    parsed = keyed.select("page_id", "url", "html", "digest").mapInArrow(parse, "page_id long, url string, digest binary, blocks binary")
+    return parsed.join(runs.hint("merge"), "digest", "left").select("page_id", "url", "blocks", "runs").mapInArrow(work, RESULT)
