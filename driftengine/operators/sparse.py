@@ -19,7 +19,7 @@ from driftengine.scale import dim_join, materialize
 #: Vectors of the block beyond the components asked for; they let the last components settle.
 EXTRA = 8
 #: Rounds at most, and the relative change of the explained variance that ends them earlier.
-ROUNDS, SETTLED = 40, 1e-7
+ROUNDS, SETTLED = 25, 1e-5
 
 
 def term_moments(entries: DataFrame, n_rows: int, term: str = "kmer", value: str = "freq") -> DataFrame:
