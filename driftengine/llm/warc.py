@@ -30,8 +30,8 @@ from driftengine.llm.common import shared_path, sized_join, stored
 
 #: Payload bytes after which an archive is closed.
 ARCHIVE_BYTES = 24 << 20
-#: The dictionary is trained on evenly spaced records of its archive, of about this many bytes.
-TRAIN_BYTES, DICT_BYTES = 2 << 20, 64 << 10
+#: The dictionary is trained on evenly spaced pieces of its archive's records, of about this many bytes.
+TRAIN_BYTES, DICT_BYTES, PIECE_BYTES = 2 << 20, 64 << 10, 32 << 10
 #: Payloads of fewer bytes are never revisits.
 REVISIT_BYTES = 100
 #: Skippable frame that holds a dictionary (fixed value of the WARC Zstandard format).
@@ -91,29 +91,28 @@ def _record(page: dict, date: str) -> bytes:
 
 
 def _dictionary(records: list[bytes]) -> bytes:
-    """Trained on evenly spaced records; empty if there are too few to train on."""
-    step = max(1, sum(map(len, records)) // TRAIN_BYTES)
-    sample = records[::step]
-    if len(sample) < 8:
-        return b""
+    """Trained on evenly spaced pieces of the records, which are whole records but for long ones. Where
+    there is too little to train on, the pieces themselves are the dictionary (as raw content)."""
+    total = sum(map(len, records))
+    size = max(64, min(PIECE_BYTES, total // 16))
+    places = [(r, i) for r in records for i in range(0, len(r), size)]
+    sample = [r[i:i + size] for r, i in places[::max(1, total // TRAIN_BYTES)]]
     try:
-        size = min(DICT_BYTES, max(1024, sum(map(len, sample)) // 8))
-        return zstandard.train_dictionary(size, sample).as_bytes()
-    except zstandard.ZstdError:  # too little material
-        return b""
+        return zstandard.train_dictionary(min(DICT_BYTES, max(1024, sum(map(len, sample)) // 8)), sample).as_bytes()
+    except zstandard.ZstdError:
+        return b"".join(sample)[-DICT_BYTES:]
 
 
 def _write(folder: str, name: str, records: list[bytes], date: str) -> int:
     info = _block({"WARC-Type": "warcinfo", "WARC-Record-ID": f"<urn:uuid:{uuid.uuid4()}>", "WARC-Date": date,
                    "WARC-Filename": name, "Content-Type": "application/warc-fields"}, b"format: WARC File Format 1.1\r\n")
     raw = _dictionary(records)
-    packer = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(raw) if raw else None)
+    packer = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(raw))
     fs, path = pafs.FileSystem.from_uri(f"{folder}/{name}")
     fs.create_dir(path.rpartition("/")[0], recursive=True)
     size = 0
     with fs.open_output_stream(path) as out:
-        if raw:
-            size += out.write(DICT_MAGIC + len(raw).to_bytes(4, "little") + raw)
+        size += out.write(DICT_MAGIC + len(raw).to_bytes(4, "little") + raw)
         for record in [info, *records]:
             size += out.write(packer.compress(record))
     return size
