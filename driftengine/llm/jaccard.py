@@ -41,7 +41,7 @@ from driftengine.llm.components import components
 
 #: Documents of a block that are searched in one task, and the pivots that chunks share.
 BLOCK_DOCS, PIVOTS = 4096, 16
-#: Larger blocks are not cut by sketches (a sketch is compared with all others of its block).
+#: Larger blocks are not cut by sketches: a sketch is compared with all others of its block.
 SKETCH_DOCS = 32_768
 #: Documents per bucket of the comparison of parts.
 BUCKET_DOCS = 2048
@@ -332,7 +332,13 @@ def _by_block(items: DataFrame, work: Callable[[pa.Table], pa.Table]) -> DataFra
 
 
 def _sketched(searching: DataFrame, blocks: DataFrame, k: int, percent: int) -> DataFrame:
-    """Edges that connect what sketches leave of each block (node, root)."""
+    """Edges that connect what sketches leave of each block (node, root). Blocks of more than
+    ``SKETCH_DOCS`` documents are left as they are; only their edges are moved."""
+    per = blocks.groupBy("root").agg(F.count(F.lit(1)).alias("docs"))
+    wide = stored(per.where(F.col("docs") > SKETCH_DOCS).select("root"), "wide")
+    uncut = sized_join(blocks, wide, "root", width=16, how="left_semi").select(F.col("node").alias("a"), F.col("root").alias("b"))
+    blocks = sized_join(blocks, wide, "root", width=16, how="left_anti")
+
     def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows(batches):
             hashes, size = document_sets(texts(batch), k)
@@ -351,15 +357,13 @@ def _sketched(searching: DataFrame, blocks: DataFrame, k: int, percent: int) ->
 
     def connect(group: pa.Table) -> pa.Table:
         key, size = (np.asarray(group.column(c)) for c in ("key", "n"))
-        if len(key) > SKETCH_DOCS:
-            label = np.zeros(len(key), np.int64)  # left as it is
-        else:
-            bits = np.stack([np.frombuffer(s.as_buffer(), np.uint64) for s in group.column("sketch")])
-            label = sketch_components(bits, size, percent)
+        bits = np.stack([np.frombuffer(s.as_buffer(), np.uint64) for s in group.column("sketch")])
+        label = sketch_components(bits, size, percent)
         return pa.table({"a": key, "b": key[label]}).filter(pa.array(key != key[label]))
 
     inside = sized_join(searching, blocks.withColumnRenamed("node", "key"), "key", width=24, how="inner")
-    return _by_block(inside.select("root", "key", "text").mapInArrow(sketches, "block string, key long, n long, sketch binary"), connect)
+    cut = _by_block(inside.select("root", "key", "text").mapInArrow(sketches, "block string, key long, n long, sketch binary"), connect)
+    return cut.union(uncut)
 
 
 def _links_of(group: pa.Table, percent: int) -> pa.Table:
@@ -397,7 +401,7 @@ def similar_components(docs: DataFrame, k: int = 5, percent: int = 80, block_doc
     linked = known.where("n > 0 and key is not null")
     # Of equal sets, the one with the smallest id searches for all.
     groups = linked.groupBy("n", "d1", "d2").agg(F.min("key").alias("owner"), F.max("key").alias("last"))
-    groups = groups.where("owner < last").drop("last")
+    groups = stored(groups.where("owner < last").drop("last"), "groups")  # AQE can split a large group's rows
     copies = stored(linked.join(groups, ["n", "d1", "d2"]).where("key > owner").select("key", "owner").distinct(), "copies")
     # An id all of whose texts are copies need not search.
     once = linked.groupBy("key").agg(F.countDistinct("n", "d1", "d2").alias("texts")).where("texts = 1").select("key")

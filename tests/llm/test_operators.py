@@ -529,3 +529,28 @@ def test_warc_dictionary_frame_and_empty_table(spark):
         assert f.read(4) == warc.DICT_MAGIC
     nothing = warc.write_archives(pages.limit(0))
     assert nothing.count() == 0 and warc.read_archives(nothing).collect() == []
+
+
+def test_every_warc_archive_has_a_dictionary(spark):
+    import pyarrow.fs as pafs
+    rng = random.Random(4)
+    large = ["".join(rng.choice("abcdefgh <>") for _ in range(300_000)) for _ in range(3)]
+    for html in (large, ["tiny"], [None]):
+        pages = spark.createDataFrame([(i, "u", h) for i, h in enumerate(html)], "page_id long, url string, html string")
+        manifest = warc.write_archives(pages.coalesce(1))
+        fs, path = pafs.FileSystem.from_uri(manifest.first().file)
+        with fs.open_input_stream(path) as f:
+            assert f.read(4) == warc.DICT_MAGIC and int.from_bytes(f.read(4), "little") > 0
+        assert sorted(bytes(r.payload).decode() for r in warc.read_archives(manifest).collect()) == sorted(h or "" for h in html)
+
+
+def test_components_over_chunks(spark, monkeypatch):
+    """A long path, a hub and a few cycles, joined in chunks of any size."""
+    edges = [(i, i + 1) for i in range(300)] + [(1000, j) for j in range(1001, 1100)] + [(2000, 2001), (2001, 2002), (2002, 2000), (5, 5)]
+    random.Random(2).shuffle(edges)
+    df = spark.createDataFrame(edges, "a long, b long").repartition(5)
+    for chunk in (1 << 20, 40):
+        monkeypatch.setattr(components, "CHUNK", chunk)
+        got = components.components(df).collect()
+        assert sorted(map(tuple, got)) == [*((i, 0) for i in range(1, 301)), *((i, 1000) for i in range(1001, 1100)), (2001, 2000), (2002, 2000)]
+    assert components.components(df.limit(0)).collect() == []
