@@ -310,45 +310,94 @@ def diverse_select(
         group, key, "pick"), [group, key])
 
 
+#: Longest sequence that may be a landmark, and rows that landmarks are chosen from, for each of them:
+#: the driver holds no more symbols than their product with the landmarks' number.
+LANDMARK_CHARS, CHOICE = 1 << 14, 4
+#: Majorisation steps of the landmarks' map and of a placed row.
+MAP_STEPS, PLACE_STEPS = 200, 25
+
+
+def _farthest(dist: np.ndarray, n: int) -> list[int]:
+    """``n`` mutually far rows of a distance matrix, from the one farthest from all."""
+    picks = [int(dist.sum(axis=1).argmax())]
+    near = dist[picks[0]].copy()
+    while len(picks) < min(n, len(dist)):
+        near[picks] = -1
+        picks.append(int(near.argmax()))
+        near = np.minimum(near, dist[picks[-1]])
+    return sorted(picks)
+
+
+def _pulled(xy: np.ndarray, marks: np.ndarray, d: np.ndarray, steps: int) -> np.ndarray:
+    """Points (n x 2) moved by majorisation towards distances ``d`` (n x landmarks); stress never rises."""
+    for _ in range(steps):
+        apart = xy[:, None, :] - marks[None]
+        away = np.sqrt((apart**2).sum(axis=2))
+        xy = (marks[None] + (d / np.maximum(away, 1e-12))[:, :, None] * apart).mean(axis=1)
+    return xy
+
+
+def _majorised(xy: np.ndarray, dist: np.ndarray, steps: int) -> np.ndarray:
+    """Landmark coordinates whose distances fit ``dist`` (Guttman transforms; stress never rises)."""
+    n = len(xy)
+    for _ in range(steps):
+        away = np.sqrt(((xy[:, None] - xy[None]) ** 2).sum(axis=2))
+        share = -np.where(away > 1e-12, dist / np.maximum(away, 1e-12), 0.0)
+        np.fill_diagonal(share, 0.0)
+        np.fill_diagonal(share, -share.sum(axis=1))
+        moved = share @ xy / n
+        if np.abs(moved - xy).max() < 1e-9:
+            break
+        xy = moved
+    return xy
+
+
 def landmark_map(
     df: DataFrame, n_landmarks: int = 100, key: str = "id", seq: str = "sequence", seed: int = 42
 ) -> DataFrame:
     """2-D coordinates of every row from its distances to a few landmark rows.
 
-    Classical scaling of the landmark distances (a matrix of at most n_landmarks^2 numbers) is
-    done once; each row is then placed by triangulation. ``err2`` and ``d2`` are its sums of
-    squared residuals and distances, see ``map_stress``.
+    Landmarks are mutually far rows among the first in hash order (``CHOICE`` for each; sequences over
+    ``LANDMARK_CHARS`` are placed but are no landmarks). Their own map starts from classical scaling
+    and is improved by stress majorisation, on matrices of their number squared. Each row is placed by
+    triangulation and moved by majorisation, a batch at a time. ``err2`` and ``d2`` are its sums of
+    squared residuals and distances, see ``map_stress``. Null sequences take no part.
     """
-    marks = hash_rank(df.where(F.col(seq).isNotNull()), [], key, seed, n_landmarks).select(key, seq)
-    texts = [r[1] for r in marks.orderBy(key).collect()]  # n_landmarks rows
+    rest = df.where(F.col(seq).isNotNull())
+    fields = [f for f in rest.schema.fields if f.name != seq]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", x double, y double, err2 double, d2 double"
+    marks = hash_rank(rest.where(F.length(seq) <= LANDMARK_CHARS), [], key, seed, CHOICE * n_landmarks).select(key, seq)
+    texts = [r[1] for r in marks.orderBy(key).collect()]  # CHOICE * n_landmarks rows of bounded length
+    if not texts:
+        texts = [""]
     dist = _matrix(texts)
-    sq = dist**2
-    n = len(texts)
+    chosen = _farthest(dist, n_landmarks)
+    texts, dist = [texts[i] for i in chosen], dist[np.ix_(chosen, chosen)]
+    sq, n = dist**2, len(texts)
     centre = np.eye(n) - 1.0 / n
     values, vectors = np.linalg.eigh(-0.5 * centre @ sq @ centre)
     top = np.argsort(values)[::-1][:2]
     scale = np.sqrt(np.maximum(values[top], 1e-12))
     signs = np.sign(vectors[np.abs(vectors[:, top]).argmax(axis=0), top])
-    where = vectors[:, top] * scale * signs
-    place = (vectors[:, top] * signs / scale).T
+    flat = np.zeros((n, 2))
+    flat[:, :len(top)] = vectors[:, top] * scale * signs
+    place = np.zeros((2, n))
+    place[:len(top)] = (vectors[:, top] * signs / scale).T
+    where = _majorised(flat, dist, MAP_STEPS)
     mean_sq = sq.mean(axis=1)
     codes, lens = _codes(texts), np.array([len(t) for t in texts])
 
-    def locate(batches):
-        for pdf in batches:
-            rows = []
-            for text in pdf[seq]:
-                d = _to_rows(text, codes, lens)
-                xy = -0.5 * place @ (d**2 - mean_sq)
-                gap = np.sqrt(((where - xy) ** 2).sum(axis=1)) - d
-                rows.append((xy[0], xy[1], (gap**2).sum(), (d**2).sum()))
-            got = pd.DataFrame(rows, columns=["x", "y", "err2", "d2"], dtype=float)
-            yield pd.concat([pdf.drop(columns=[seq]).reset_index(drop=True), got], axis=1)
-
-    rest = df.where(F.col(seq).isNotNull())
-    fields = [f for f in rest.schema.fields if f.name != seq]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
-    return rest.mapInPandas(locate, f"{schema}, x double, y double, err2 double, d2 double")
+    def locate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for whole in batches:
+            for i in range(0, len(whole), 1024):
+                pdf = whole.iloc[i:i + 1024]
+                d = np.array([_to_rows(t, codes, lens) for t in pdf[seq]])
+                xy = _pulled(-0.5 * (d**2 - mean_sq) @ place.T, where, d, PLACE_STEPS)
+                gap = np.sqrt(((xy[:, None] - where[None]) ** 2).sum(axis=2)) - d
+                got = pd.DataFrame({"x": xy[:, 0], "y": xy[:, 1], "err2": (gap**2).sum(axis=1), "d2": (d**2).sum(axis=1)})
+                yield pd.concat([pdf.drop(columns=[seq]).reset_index(drop=True), got], axis=1)
+
+    return rest.mapInPandas(locate, schema)
 
 
 def map_stress(mapped: DataFrame, by: Sequence[str] = ()) -> DataFrame:

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftengine.operators import evaluate, models, monitor, sampling, sequence, series, sparse, validate
+from driftengine.operators import evaluate, linear, lloyd, models, monitor, sampling, sequence, series, sparse, validate
 from driftengine.plans.data import (
     DAYS,
     DOCS,
@@ -113,6 +113,34 @@ def h4_overall(spark, d):
     return rounded(evaluate.purity_overall(table(spark, d, "documents"), "source", "lang"))
 
 
+@query("h2_lloyd_sweep")
+def h2_lloyd(spark, d):
+    return rounded(lloyd.lloyd_sweep(table(spark, d, "embeddings"), "embedding", key="vec_id")[0])
+
+
+LLOYD_KS, LLOYD_ROUNDS = (3, 5), 2
+
+
+def _lloyd_sql(k: int) -> str:
+    """Rounds of k-means from the first ``k`` rows in hash order: assignments a, centres c, and the inertia."""
+    ctes = [f"k{k}c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY md5(id || ':42'), id) AS c, x FROM e QUALIFY c <= {k})"]
+    for i in range(LLOYD_ROUNDS + 1):
+        ctes.append(f"""k{k}a{i} AS MATERIALIZED (SELECT id, x, arg_min(c, (d, c)) AS c, min(d) AS d FROM (
+      SELECT e.id, e.x, k.c, list_distance(e.x, k.x) ** 2 AS d FROM e, k{k}c{i} k) GROUP BY id, x)""")
+        if i < LLOYD_ROUNDS:
+            ctes.append(f"""k{k}c{i + 1} AS MATERIALIZED (SELECT c, list(m ORDER BY j) AS x FROM (SELECT c, j, avg(v) AS m FROM (
+      SELECT c, unnest(x) AS v, unnest(range(len(x))) AS j FROM k{k}a{i}) GROUP BY c, j) GROUP BY c)""")
+    return ",\n  ".join(ctes)
+
+
+@query("h2_lloyd_inertia", f"""WITH e AS MATERIALIZED (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings WHERE embedding IS NOT NULL),
+  {', '.join(_lloyd_sql(k) for k in LLOYD_KS)}
+  {' UNION ALL '.join(f"SELECT {k} AS K, {R('sum(d)', 'inertia')} FROM k{k}a{LLOYD_ROUNDS}" for k in LLOYD_KS)}""")
+def h2_inertia(spark, d):
+    found = lloyd.lloyd_sweep(table(spark, d, "embeddings"), "embedding", LLOYD_KS, "vec_id", LLOYD_ROUNDS)[0]
+    return rounded(found.select("K", "inertia"))
+
+
 @query("h2_kmeans_purity")
 def h2_purity(spark, d):
     rows = table(spark, d, "embeddings")
@@ -140,6 +168,54 @@ def h5_coef(spark, d):
     return rounded(models.coefficients(model, FEATURES, spark))
 
 
+CV_FEATURES = ["price", "month", "status"]
+CV_ROWS = """cv AS (SELECT o_orderkey AS id, CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 1 ELSE 0 END AS label, CAST(year(o_orderdate) AS INTEGER) AS period,
+  o_totalprice / 1e5 AS price, month(o_orderdate) + 0e0 AS month, CASE o_orderstatus WHEN 'F' THEN 1e0 WHEN 'O' THEN 2e0 ELSE 4e0 END AS status FROM orders)"""
+
+
+def cv_rows(spark: SparkSession, d: str) -> DataFrame:
+    status = F.when(F.col("o_orderstatus") == "F", 1.0).when(F.col("o_orderstatus") == "O", 2.0).otherwise(4.0)
+    return table(spark, d, "orders").select(
+        F.col("o_orderkey").alias("id"), F.col("o_orderpriority").isin("1-URGENT", "2-HIGH").cast("int").alias("label"),
+        F.year("o_orderdate").alias("period"), (F.col("o_totalprice") / 1e5).alias("price"),
+        F.month("o_orderdate").cast("double").alias("month"), status.alias("status"))
+
+
+NEWTON_FEATURES, NEWTON_STEPS, NEWTON_L2 = ["price", "month"], 8, 0.01
+
+
+def _newton_sql() -> str:
+    """Newton steps of a logistic regression on two standardised features, unrolled; systems of three
+    by Cramer's rule."""
+    ctes = ["b0 AS (SELECT 0e0 AS w0, 0e0 AS w1, 0e0 AS w2)"]
+    for i in range(NEWTON_STEPS):
+        ctes.append(f"""h{i} AS (SELECT any_value(w0) AS w0, any_value(w1) AS w1, any_value(w2) AS w2, avg(q) AS a, avg(q * x1) AS b, avg(q * x2) AS c,
+      avg(q * x1 * x1) + {NEWTON_L2} AS d, avg(q * x1 * x2) AS e, avg(q * x2 * x2) + {NEWTON_L2} AS f, avg(p - y) AS g0,
+      avg((p - y) * x1) + {NEWTON_L2} * any_value(w1) AS g1, avg((p - y) * x2) + {NEWTON_L2} * any_value(w2) AS g2
+      FROM (SELECT *, p * (1 - p) AS q FROM (SELECT *, 1 / (1 + exp(-(w0 + w1 * x1 + w2 * x2))) AS p FROM st, b{i})))""")
+        ctes.append(f"""b{i + 1} AS (SELECT w0 - (g0 * (d * f - e * e) - b * (g1 * f - e * g2) + c * (g1 * e - d * g2)) / det AS w0,
+      w1 - (a * (g1 * f - e * g2) - g0 * (b * f - e * c) + c * (b * g2 - g1 * c)) / det AS w1,
+      w2 - (a * (d * g2 - g1 * e) - b * (b * g2 - g1 * c) + g0 * (b * e - d * c)) / det AS w2
+      FROM (SELECT *, a * (d * f - e * e) - b * (b * f - e * c) + c * (b * e - d * c) AS det FROM h{i}))""")
+    return ",\n  ".join(ctes)
+
+
+@query("h5_newton_coefficients", f"""WITH {CV_ROWS}, mo AS (SELECT avg(price) AS m1, stddev_pop(price) AS s1, avg(month) AS m2, stddev_pop(month) AS s2 FROM cv),
+  st AS (SELECT CASE WHEN status = 1 THEN 1e0 ELSE 0e0 END AS y, (price - m1) / s1 AS x1, (month - m2) / s2 AS x2 FROM cv, mo),
+  {_newton_sql()}, o AS (SELECT w0 - w1 * m1 / s1 - w2 * m2 / s2 AS i, w1 / s1 AS c1, w2 / s2 AS c2 FROM b{NEWTON_STEPS}, mo)
+  SELECT '(intercept)' AS feature, {R('i', 'coefficient')} FROM o UNION ALL SELECT 'price', {R('c1')} FROM o UNION ALL SELECT 'month', {R('c2')} FROM o""")
+def h5_newton(spark, d):
+    rows = cv_rows(spark, d).withColumn("y", (F.col("status") == 1).cast("int"))
+    return rounded(linear.fit_newton(rows, NEWTON_FEATURES, "y", NEWTON_L2).table(spark))
+
+
+@query("h9_embeddings_newton")
+def h9_newton(spark, d):
+    rows = table(spark, d, "embeddings").withColumn("y", (F.col("label") == 0).cast("int"))
+    head = linear.fit_newton(rows, "embedding", "y")
+    return rounded(evaluate.binary_metrics(head(rows), "y", "prob"))
+
+
 @query("h6_decision_tree")
 def h6(spark, d):
     return _scored(spark, d, lambda t: models.fit_tree(t, FEATURES))
@@ -338,19 +414,6 @@ def h14_difference(spark, d):
 # --- cross-validation ----------------------------------------------------------------------
 
 
-CV_FEATURES = ["price", "month", "status"]
-CV_ROWS = """cv AS (SELECT o_orderkey AS id, CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 1 ELSE 0 END AS label, CAST(year(o_orderdate) AS INTEGER) AS period,
-  o_totalprice / 1e5 AS price, month(o_orderdate) + 0e0 AS month, CASE o_orderstatus WHEN 'F' THEN 1e0 WHEN 'O' THEN 2e0 ELSE 4e0 END AS status FROM orders)"""
-
-
-def cv_rows(spark: SparkSession, d: str) -> DataFrame:
-    status = F.when(F.col("o_orderstatus") == "F", 1.0).when(F.col("o_orderstatus") == "O", 2.0).otherwise(4.0)
-    return table(spark, d, "orders").select(
-        F.col("o_orderkey").alias("id"), F.col("o_orderpriority").isin("1-URGENT", "2-HIGH").cast("int").alias("label"),
-        F.year("o_orderdate").alias("period"), (F.col("o_totalprice") / 1e5).alias("price"),
-        F.month("o_orderdate").cast("double").alias("month"), status.alias("status"))
-
-
 def _gaussian_sql(train: str, test: str) -> str:
     """Scores of ``test`` (fold, id, label, features) by the normal distributions of ``train``, and by price alone."""
     stats = ", ".join(f"avg({f}) AS {f}_m, greatest(var_pop({f}), 1e-9) AS {f}_v" for f in CV_FEATURES)

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from driftengine.operators import evaluate, models, pairs, sampling, sparse, validate
+from driftengine.operators import evaluate, linear, lloyd, models, pairs, sampling, sparse, validate
 from driftengine.scale import materialize
 
 
@@ -162,3 +162,66 @@ def test_pool_gives_the_same_picks_as_all_rows(spark, monkeypatch):
         monkeypatch.setattr(pairs, "PICK_CHARS", chars)
         got = pairs.diverse_select(df, "grp", 7).orderBy("grp", "pick").collect()
         assert {g: [r.id for r in got if r.grp == g] for g in want} == want
+
+
+def test_newton_finds_the_optimum(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(500, 3)) * [1, 100, 0] + [0, 1e4, 7]
+    y = (x[:, 0] + x[:, 1] / 100 - 100 + rng.logistic(size=500) > 0).astype(int)
+    df = spark.createDataFrame([(int(v), *map(float, r)) for v, r in zip(y, x)] + [(1, None, 1.0, 7.0), (None, 1.0, 1.0, 7.0)],
+                               "label int, a double, b double, c double")
+    head = linear.fit_newton(df.repartition(5), ["a", "b", "c"], l2=1e-3)
+    assert head.gradient < 1e-10 and head.weights[2] == 0
+    p = 1 / (1 + np.exp(-(head.intercept + x @ head.weights)))
+    sd, mean = x.std(axis=0), x.mean(axis=0)
+    slope = ((p - y)[:, None] * (x - mean) / np.where(sd > 0, sd, 1)).mean(axis=0) + 1e-3 * head.weights * sd
+    assert abs((p - y).mean()) < 1e-9 and np.abs(slope).max() < 1e-9
+    got = head(df.where("a is not null and label is not null")).select("prob").toPandas()
+    assert np.allclose(np.sort(got["prob"]), np.sort(p))
+    # Perfectly separated rows have an optimum too.
+    apart = spark.createDataFrame([(int(i > 5), float(i)) for i in range(12)], "label int, a double")
+    assert linear.fit_newton(apart, ["a"], l2=1e-2).gradient < 1e-10
+    with pytest.raises(ValueError):
+        linear.fit_newton(df.limit(0), ["a"])
+
+
+def test_lloyd_sweep_against_plain_rounds(spark):
+    rng = np.random.default_rng(4)
+    x = np.vstack([rng.normal(c, 0.3, (40, 2)) for c in ((0, 0), (4, 0), (0, 4))])
+    df = spark.createDataFrame([(i, list(map(float, v))) for i, v in enumerate(x)] + [(500, None), (None, [0.0, 0.0])], "id long, v array<double>")
+    table, centres = lloyd.lloyd_sweep(df.repartition(4), "v", (2, 3, 4, 500), "id")
+    got = {r.K: r for r in table.collect()}
+    assert set(got) == {2, 3, 4} and [r.K for r in got.values() if r.is_best] == [max(got, key=lambda k: got[k].silhouette_score)]
+    for k, c in centres.items():
+        d = ((x[:, None] - c[None]) ** 2).sum(axis=2)
+        near = d.argmin(axis=1)
+        assert got[k].inertia == pytest.approx(d.min(axis=1).sum())
+        assert all(np.allclose(x[near == i].mean(axis=0), c[i]) for i in range(k))  # nothing moves any more
+        pair = ((x[:, None] - x[None]) ** 2).sum(axis=2)
+        s = []
+        for i in range(len(x)):
+            own = (near == near[i]).sum()
+            b = min(pair[i][near == j].mean() for j in set(near) - {near[i]})
+            a = pair[i][near == near[i]].sum() / max(own - 1, 1)
+            s.append((b - a) / max(a, b) if own > 1 else 0.0)
+        assert got[k].silhouette_score == pytest.approx(np.mean(s), rel=1e-6)
+        assert df.where("id < 120").orderBy("id").select(lloyd.nearest("v", c).alias("c")).toPandas()["c"].tolist() == near.tolist()
+    assert lloyd.lloyd_sweep(df.limit(0), "v", (2,), "id")[0].collect() == []
+
+
+def test_map_has_no_more_stress_than_plain_scaling(spark, monkeypatch):
+    rng = random.Random(6)
+    base = ["".join(rng.choice("ACGT") for _ in range(60)) for _ in range(5)]
+    rows = [(i, "".join(c if rng.random() < 0.8 else rng.choice("ACGT") for c in base[i % 5])) for i in range(120)] + [(500, None)]
+    df = spark.createDataFrame(rows, "id long, sequence string")
+    stress = {}
+    for steps in (0, 1):
+        monkeypatch.setattr(pairs, "MAP_STEPS", steps and 200)
+        monkeypatch.setattr(pairs, "PLACE_STEPS", steps and 25)
+        got = pairs.landmark_map(df, 20)
+        assert got.count() == 120
+        stress[steps] = pairs.map_stress(got).first().stress
+    assert stress[1] < 0.8 * stress[0]
+    one, many = (sorted((r.id, round(r.x, 9)) for r in pairs.landmark_map(df.repartition(n), 20).collect()) for n in (1, 7))
+    assert one == many
+    assert pairs.landmark_map(df.limit(0), 20).collect() == []
