@@ -69,17 +69,24 @@ def _written(edges: DataFrame) -> tuple[DataFrame, tuple, bool]:
     return out, (s["n"], s["h"]), s["first"] == s["last"]
 
 
+def _joined(edges: DataFrame) -> tuple[DataFrame, tuple, bool]:
+    """``_written``; what tasks leave is read as one chunk if it was counted to be no more than one."""
+    e, state, whole = _written(edges)
+    if not whole and state[0] <= CHUNK:
+        e, state, whole = _written(e.coalesce(1))
+    return e, state, whole
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``edges`` (a, b) to node and root, the smallest node it is connected to; roots are not listed.
 
     Tasks join their own edges first, ``CHUNK`` at a time, and go on with one edge a node. If one chunk
-    held all of them that is the answer. Otherwise every round sends each node's larger neighbours,
+    holds what is left, that is the answer. Otherwise every round sends each node's larger neighbours,
     then its smaller ones, to the smallest node around it, until the edges are stars; the number of
     rounds grows with the logarithm of the longest path. Minima are combined before they are shuffled
-    and stored before they are joined, so AQE can split a hub's many edges.
+    and stored before they are joined, so AQE can split a hub's many edges. Edges may repeat.
     """
-    e = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
-    e, before, whole = _written(e)
+    e, before, whole = _joined(edges.where("a <> b"))
     while before[0] and not whole:
         both = e.union(e.select("b", "a"))
         least = stored(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
@@ -87,7 +94,7 @@ def components(edges: DataFrame) -> DataFrame:
         # A node keeps its edge to the smallest; its other smaller neighbours get one too.
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         others = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        e, after, whole = _written(others.union(least).distinct())
+        e, after, whole = _joined(others.union(least).distinct())
         if after == before:
             break
         before = after

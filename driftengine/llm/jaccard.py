@@ -190,7 +190,7 @@ def candidate_edges(docs: DataFrame, k: int, percent: int, buckets: int) -> Data
             yield found(_edges(key, key[new][np.cumsum(new) - 1]))
 
     sent = docs.select("key", "text").mapInArrow(settle, "bucket int, sig binary, key binary")
-    return sent.repartition(buckets, "bucket").mapInArrow(decide, "a long, b long").distinct()
+    return sent.repartition(buckets, "bucket").mapInArrow(decide, "a long, b long")
 
 
 class Forest:
@@ -404,7 +404,8 @@ def similar_components(docs: DataFrame, k: int = 5, percent: int = 80, block_doc
     groups = stored(groups.where("owner < last").drop("last"), "groups")  # AQE can split a large group's rows
     copies = stored(linked.join(groups, ["n", "d1", "d2"]).where("key > owner").select("key", "owner").distinct(), "copies")
     # An id all of whose texts are copies need not search.
-    once = linked.groupBy("key").agg(F.countDistinct("n", "d1", "d2").alias("texts")).where("texts = 1").select("key")
+    one = F.struct("n", "d1", "d2")
+    once = linked.groupBy("key").agg(F.min(one).alias("least"), F.max(one).alias("most")).where("least = most").select("key")
     silent = stored(copies.join(once, "key").select("key").distinct(), "silent")
     searching = sized_join(base.where("key is not null"), silent, "key", width=16, how="left_anti")
 
