@@ -6,14 +6,11 @@ import sys
 import tempfile
 
 import pytest
-from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from driftengine import scale
 from driftengine.operators import clean, evaluate, models, profile, sampling, stats
 from driftengine.sources import io
-from driftengine.streaming import monitor
 
 REPO = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
@@ -52,15 +49,6 @@ def test_dedupe_does_not_depend_on_the_layout(spark):
     assert seen == {((0, 0), (1, 1), (2, 2))}
 
 
-def test_unreadable_baseline_is_an_error(spark, tmp_path):
-    schema = spark.createDataFrame([], "entity string, batch long").schema
-    assert monitor._read_if_any(spark, str(tmp_path / "none"), schema).count() == 0
-    spark.range(1).write.parquet(str(tmp_path / "some"))
-    twice = StructType([schema["entity"], schema["entity"]])
-    with pytest.raises(AnalysisException):
-        monitor._read_if_any(spark, str(tmp_path / "some"), twice).count()
-
-
 def test_queries_run_from_another_folder():
     code = f"""import sys; sys.path.insert(0, {REPO!r})
 from pyspark.sql import SparkSession

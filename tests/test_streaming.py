@@ -3,6 +3,8 @@
 import datetime as dt
 import time
 
+import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from driftengine.streaming import monitor
@@ -101,6 +103,15 @@ def test_self_baseline_with_null_metric(spark, tmp_path):
     assert got["a", at(24)] == (None, None) and got[None, at(0)] == (0.0, 0) and got[None, at(24)] == (3.0, 1)
 
 
+def test_self_baseline_without_its_state_store_is_an_error(spark, tmp_path):
+    path = str(tmp_path)
+    write(spark, path, "1", [("a", at(0), 1.0, "ok"), ("a", at(72), 1.0, "ok")])
+    query = (monitor.stream_self_baseline(stream(spark, path)).writeStream.format("parquet").trigger(availableNow=True)
+             .option("checkpointLocation", f"{path}/checkpoint").start(f"{path}/out"))
+    with pytest.raises(StreamingQueryException):
+        query.awaitTermination()
+
+
 def test_self_baseline_forgets_after_its_time(spark, tmp_path):
     path = str(tmp_path)
     write(spark, path, "0", [("a", at(0), 1.0, "ok")])
