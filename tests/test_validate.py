@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from driftengine.operators import evaluate, linear, lloyd, models, pairs, sampling, sparse, validate
@@ -66,6 +67,23 @@ def test_ablation_has_intervals(spark):
     assert got["p"].delta_hi < 0  # without the strong feature the model is surely worse
 
 
+def test_fitted_classifiers_score_in_a_session_that_observed_a_query(spark):
+    """Training summaries hold the session, which no longer goes to tasks once a query was observed."""
+    seen = Observation()
+    spark.range(5).observe(seen, F.count(F.lit(1)).alias("n")).collect()
+    assert seen.get == {"n": 5}
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(60, 2))
+    df = materialize(spark.createDataFrame(
+        [(i, int(p + q > 0), float(p), float(q), [float(p), float(q)]) for i, (p, q) in enumerate(x)],
+        "id long, label int, p double, q double, e array<double>"))
+    fitted = [models.fit_logistic(df, ["p", "q"]), models.fit_forest(df, ["p", "q"], trees=3, depth=2)]
+    scores = [lambda rows, m=m: models.predict(m, rows) for m in fitted] + [models.fit_on_embeddings(df, "e")[1]]
+    for score in scores:
+        rows = materialize(score(df)).collect()
+        assert len(rows) == 60 and np.mean([(r.prob >= 0.5) == (r.label == 1) for r in rows]) > 0.8
+
+
 def test_scores_come_from_models_without_the_row(spark):
     """A lookup of the label by key is perfect on rows that were fitted and knows nothing of others."""
     df = spark.createDataFrame([(i, i % 2, 1.0) for i in range(200)], "id long, label int, x double")
