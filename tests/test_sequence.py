@@ -166,6 +166,16 @@ def test_pivots_drop_candidates(spark):
     assert n[0] == 300 * 299 / 2 and n[1] < n[0] / 20
 
 
+def test_texts_without_a_common_segment_are_no_candidates(spark):
+    """Long texts of one length are about as far from any pivot; only near copies share a segment."""
+    rng = random.Random(10)
+    texts = ["".join(rng.choice("ACGT") for _ in range(400)) for _ in range(300)]
+    texts += [t[:50] + "NN" + t[52:] for t in texts[:7]]
+    d = spark.createDataFrame(list(enumerate(texts)), "id long, sequence string")
+    assert {tuple(r) for r in metric.segment_pairs(d, 5).collect()} == {(i, 300 + i) for i in range(7)}
+    assert {tuple(r) for r in metric.metric_pairs(d, 5).collect()} == {(i, 300 + i, 2) for i in range(7)}
+
+
 def test_diverse_selection_is_reproducible_and_spread(spark):
     rows = [(i, "x", 1, "AAAA") for i in range(20)] + [(50, "x", 1, "CCCC"), (51, "x", 1, "AACC")]
     got = [{r.id for r in pairs.diverse_select(records(spark, rows).repartition(p), "grp", 3).collect()} for p in (1, 8)]
