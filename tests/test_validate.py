@@ -5,6 +5,8 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.ml import Estimator
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
@@ -84,6 +86,22 @@ def test_fitted_classifiers_score_in_a_session_that_observed_a_query(spark):
         assert len(rows) == 60 and np.mean([(r.prob >= 0.5) == (r.label == 1) for r in rows]) > 0.8
 
 
+def test_trees_are_fitted_on_all_cores(spark, monkeypatch):
+    """Rows of a small join come in one partition; fitting many trees needs them dealt."""
+    seen = []
+
+    class Trees(Estimator):
+        def _fit(self, dataset):
+            seen.append((dataset.rdd.getNumPartitions(), dataset.count()))
+            return VectorAssembler(inputCols=["p"], outputCol="out")
+
+    df = spark.range(50).selectExpr("id", "double(id) AS p").coalesce(1)
+    models._fit_trees(Trees(), df, ["p"])
+    monkeypatch.setattr(models, "TREE_ROWS", 50)
+    models._fit_trees(Trees(), df, ["p"])
+    assert seen == [(1, 50), (2 * spark.sparkContext.defaultParallelism, 50)]
+
+
 def test_scores_come_from_models_without_the_row(spark):
     """A lookup of the label by key is perfect on rows that were fitted and knows nothing of others."""
     df = spark.createDataFrame([(i, i % 2, 1.0) for i in range(200)], "id long, label int, x double")
