@@ -153,10 +153,21 @@ def _kmer_counts(texts: list[str], k: int) -> tuple[np.ndarray, list[str], np.nd
     first, n = np.cumsum(size) - size, size - k + 1
     row = np.repeat(np.arange(len(texts)), n)
     at = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
-    symbols, code = np.unique(np.frombuffer(joined.encode("utf-32-le"), np.uint32), return_inverse=True)
+    raw = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+    present = np.zeros(int(raw.max(initial=0)) + 1, bool)
+    present[raw] = True
+    code, most = (np.cumsum(present) - 1)[raw], int(present.sum())
     gram = code[at]
+    if len(texts) * most**k < 1 << 62:
+        for j in range(1, k):
+            gram = gram * most + code[at + j]
+        # Only the distinct k-mers of each text are numbered.
+        pair, where, count = np.unique(row * most**k + gram, return_index=True, return_counts=True)
+        _, sample, gram = np.unique(pair % most**k, return_index=True, return_inverse=True)
+        names = [joined[i:i + k] for i in at[where[sample]].tolist()]
+        return pair // most**k, [names[g] for g in gram.tolist()], count
     for j in range(1, k):  # numbered anew at every step, so numbers stay small
-        gram = np.unique(gram * len(symbols) + code[at + j], return_inverse=True)[1]
+        gram = np.unique(gram * most + code[at + j], return_inverse=True)[1]
     _, sample = np.unique(gram, return_index=True)
     names = [joined[i:i + k] for i in at[sample].tolist()]
     pair, count = np.unique(row * len(names) + gram, return_counts=True)

@@ -177,6 +177,27 @@ def test_sparse_components_are_those_of_the_dense_table(spark, scale, n_rows):
     assert sparse.sparse_pca(df.limit(0), 3)[1].collect() == []
 
 
+def test_components_are_found_without_joining_entries(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    entries = [(f"r{i}", f"t{j}", float(v)) for (i, j), v in np.ndenumerate(rng.poisson(0.5, (60, 25))) if v]
+    entries += [("same", "t3", 2.0), ("same", "t3", 1.0), ("alone", "once", 0.0)]
+    df = spark.createDataFrame(entries, "id string, kmer string, freq double")
+    monkeypatch.setattr(sparse, "ROUNDS", 2)
+    # Rows in pieces over all tasks, entries joined with a distributed block.
+    want_scores, want = (x.collect() for x in sparse.sparse_pca(df.repartition(7, "kmer"), 5, n_rows=70, block_bytes=0))
+
+    def joined(*args, **kw):
+        raise AssertionError("the entries were joined")
+
+    monkeypatch.setattr(sparse, "dim_join", joined)
+    monkeypatch.setattr(sparse, "STRETCH", 16)
+    got_scores, got = (x.collect() for x in sparse.sparse_pca(df, 5, n_rows=70))
+    assert [tuple(r) for r in got] == [pytest.approx(tuple(r)) for r in want]
+    by_id = {r.id: np.abs(r.pca) for r in want_scores}
+    assert len(got_scores) == len(by_id) == 61  # no term of "alone" varies
+    assert all(np.abs(r.pca) == pytest.approx(by_id[r.id], abs=1e-6) for r in got_scores)
+
+
 def test_pool_gives_the_same_picks_as_all_rows(spark, monkeypatch):
     rng = random.Random(11)
     rows = [(i, "gh"[i % 2], "".join(rng.choice("ACGT") for _ in range(rng.choice([8, 9, 12])))) for i in range(80)]
