@@ -264,13 +264,36 @@ def _path_average(n: float) -> float:
     return 1.0 if n == 2 else 2.0 * (math.log(n - 1) + 0.5772156649015329) - 2.0 * (n - 1) / n
 
 
-def _depths(node: list, X: np.ndarray, at: np.ndarray, depth: int, out: np.ndarray) -> None:
-    if len(node) == 1:
-        out[at] += depth + _path_average(node[0])
-        return
-    low = X[at, node[0]] < node[1]
-    _depths(node[2], X, at[low], depth + 1, out)
-    _depths(node[3], X, at[~low], depth + 1, out)
+def _flat(tree: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Feature, cut and path length of every node of a nested tree, and its children: the high one at twice the node's
+    number, the low one after it. A leaf is its own child."""
+    nodes, feature, cut, child, length = [(tree, 0)], [], [], [], []
+    for at, (node, depth) in enumerate(nodes):  # grows while it is read
+        leaf = len(node) == 1
+        feature.append(0 if leaf else node[0])
+        cut.append(0.0 if leaf else node[1])
+        child += [at, at] if leaf else [len(nodes) + 1, len(nodes)]
+        length.append(depth + _path_average(node[0]) if leaf else 0.0)
+        if not leaf:
+            nodes += [(node[2], depth + 1), (node[3], depth + 1)]
+    return np.array(feature, np.intp), np.array(cut), np.array(child, np.intp), np.array(length)
+
+
+def _path_lengths(forest: list, X: np.ndarray, limit: int) -> np.ndarray:
+    """Sum over the flat trees of the path length of each row of ``X``; rows go down a tree together, a level
+    at a time."""
+    total, flat = np.zeros(len(X)), np.ascontiguousarray(X).ravel()
+    first = np.arange(len(X), dtype=np.intp) * X.shape[1]
+    for feature, cut, child, length in forest:
+        at = np.zeros(len(X), np.intp)
+        for _ in range(limit):
+            value = flat.take(feature.take(at) + first)
+            below = value < cut.take(at)  # false for NaN
+            at += at
+            at += below
+            at = child.take(at)
+        total += length.take(at)
+    return total
 
 
 def isolation_forest(
@@ -293,7 +316,9 @@ def isolation_forest(
         upto.append((upto[-1] if upto else 0.0) + p)
         p = p * (trees - i) / (i + 1) * (share / (1.0 - share) if share < 1 else 0.0)
     u = F.shiftrightunsigned(F.xxhash64(F.col(key), F.lit(SEED)), 11).cast("double") / float(1 << 53)
-    joins = F.size(F.filter(F.array(*[F.lit(x) for x in upto]), lambda x: x <= u)) if share < 1 else F.lit(trees)
+    # Nearly every row joins none; only the others look through the list.
+    joins = F.when(u < upto[0], 0).otherwise(
+        F.size(F.filter(F.array(*[F.lit(x) for x in upto]), lambda x: x <= u))) if share < 1 else F.lit(trees)
     order = F.array_sort(F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(
         F.xxhash64(F.col("__key"), t, F.lit(SEED + 1)).alias("h"), t.alias("t"))))
     cols = [F.col(f).cast("double").alias(f) for f in features]
@@ -310,15 +335,13 @@ def isolation_forest(
 
     grown = drawn.groupBy("tree").applyInPandas(grow, "tree int, size long, nodes string")
     rows = grown.orderBy("tree").collect()  # one bounded tree each
-    forest = [json.loads(r["nodes"]) for r in rows]
+    forest = [_flat(json.loads(r["nodes"])) for r in rows]
     typical = _path_average(float(np.mean([r["size"] for r in rows])))
 
     @F.pandas_udf(DoubleType())
     def score(*series: pd.Series) -> pd.Series:
         X = np.column_stack([s.to_numpy(dtype=float) for s in series])
-        total = np.zeros(len(X))
-        for tree in forest:
-            _depths(tree, X, np.arange(len(X)), 0, total)
+        total = _path_lengths(forest, X, limit)
         return pd.Series(2.0 ** (-total / len(forest) / max(typical, 1e-9)))
 
     scored = materialize(df.withColumn("anomaly_score", score(*cols)))

@@ -162,6 +162,24 @@ def test_isolation_forest_flags_planted_rows_on_any_layout(spark):
     assert seen[0] == seen[1] and {900 + i for i in range(10)} <= seen[0] and len(seen[0]) == 15
 
 
+def test_rows_go_down_flat_trees_as_down_nested_ones():
+    rng = np.random.default_rng(2)
+    X = np.column_stack([rng.integers(0, 9, 500), rng.random(500), np.zeros(500)])
+    X[3], X[4, 1] = np.nan, np.nan
+    trees = [models._grow(X[10:][rng.integers(0, 490, 64)], np.random.default_rng(t), 0, 6) for t in range(12)] + [[1]]
+
+    def length(node, row, depth=0):
+        if len(node) == 1:
+            return depth + models._path_average(node[0])
+        return length(node[2] if row[node[0]] < node[1] else node[3], row, depth + 1)
+
+    got = models._path_lengths([models._flat(t) for t in trees], X, 6)
+    want = np.zeros(500)
+    for t in trees:
+        want += [length(t, row) for row in X]
+    assert (got == want).all()
+
+
 def test_backtest_uses_only_earlier_periods(spark):
     rows = [(t, k, float(t % 2), "u" if t % 2 else "v") for t in range(8) for k in range(6)]
     d = spark.createDataFrame(rows, "period int, k int, f double, label string")
