@@ -7,6 +7,8 @@ the map are linear in the rows.
 
 from __future__ import annotations
 
+import itertools
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -144,29 +146,42 @@ def npmi_score(
         score.alias("score"), F.when(enough, "npmi").otherwise("fallback").alias("method"))
 
 
+#: Segments that a pair of sequences must share, at most, and keys that a sequence may have then.
+SHARED_SEGMENTS, SEGMENT_KEYS = 7, 64
+
+
+def segment_meetings(d: DataFrame, limit: int, key: str, seq: str) -> DataFrame:
+    """``id_a, __a, id_b, __b`` (``id_a < id_b``) of candidates of ``close_pairs`` among distinct sequences, each once."""
+    shared = max(g for g in range(1, SHARED_SEGMENTS + 1) if g == 1 or math.comb(limit + g, g) <= SEGMENT_KEYS)
+    n, parts = F.length(seq), limit + shared
+    edge = lambda i: F.floor(n * F.lit(i) / F.lit(parts)).cast("int")
+    cuts = [F.xxhash64(F.substring(F.col(seq), edge(i) + 1, edge(i + 1) - edge(i))).alias(f"__c{i}") for i in range(parts)]
+    keys = F.array(*[F.xxhash64("__n", F.lit(i), *[F.col(f"__c{j}") for j in held])
+                     for i, held in enumerate(itertools.combinations(range(parts), shared))])
+    several = ["__keys"] if limit > 1 else []  # a pair that differs in one segment shares one key
+    listed = d.select(F.col(key).alias("id"), F.col(seq).alias("s"), n.alias("__n"), *cuts).withColumn("__keys", keys)
+    listed = listed.select("id", "s", *several, F.explode("__keys").alias("__h"))
+    a, b = listed.alias("a"), listed.alias("b")
+    met = a.join(b, (F.col("a.__h") == F.col("b.__h")) & (F.col("a.id") < F.col("b.id"))).where(F.length("a.s") == F.length("b.s"))
+    if several:
+        met = met.where(F.get(F.array_intersect("a.__keys", "b.__keys"), F.lit(0)) == F.col("a.__h"))
+    return met.select(F.col("a.id").alias("id_a"), F.col("a.s").alias("__a"), F.col("b.id").alias("id_b"), F.col("b.s").alias("__b"))
+
+
 def close_pairs(df: DataFrame, limit: int, key: str = "id", seq: str = "sequence") -> DataFrame:
     """Pairs ``id_a < id_b`` of sequences of one length that differ in at most ``limit`` positions.
 
     Equal sequences are represented by one; members of a class are at distance 0 of its id and are
-    not listed as pairs. A sequence is cut into ``limit + 1`` segments, of which a pair must share
-    one: candidates meet by (length, segment number, segment digest). A pair is kept at the first
-    segment it shares. Hot segments are split by AQE. For any limit; all pairs of a short list are
-    those with the limit of its longest sequence.
+    not listed as pairs. A sequence is cut into ``limit`` + g segments, of which a pair must share
+    some g: candidates meet by length and the digest of any g segments, and a pair is kept at the first
+    digest it shares. g is as large as ``SEGMENT_KEYS`` allows, so candidates agree in nearly all positions;
+    with limit 1 and eight symbols at most they are the pairs themselves, however many sequences
+    there are. Hot digests are split by AQE. For any limit; all pairs of a short list are those with
+    the limit of its longest sequence.
     """
-    d = df.where(F.col(seq).isNotNull()).groupBy(seq).agg(F.min(key).alias("id"))
-    n = F.length(seq)
-    edge = lambda i: F.floor(n * F.lit(i) / F.lit(limit + 1)).cast("int")
-    cuts = F.array(*[F.xxhash64(F.substring(F.col(seq), edge(i) + 1, edge(i + 1) - edge(i))) for i in range(limit + 1)])
-    d = d.withColumn("__n", n).withColumn("__cuts", cuts)
-    listed = d.select("id", seq, "__n", "__cuts", F.posexplode("__cuts").alias("__i", "__h"))
-    a, b = listed.alias("a"), listed.alias("b")
-    same = (F.col("a.__n") == F.col("b.__n")) & (F.col("a.__i") == F.col("b.__i")) & (F.col("a.__h") == F.col("b.__h"))
-    met = a.join(b, same & (F.col("a.id") < F.col("b.id")))
-    first = F.array_position(F.zip_with("a.__cuts", "b.__cuts", lambda x, y: x == y), True) - 1
-    met = met.where(first == F.col("a.__i"))
-    differ = F.size(F.filter(F.zip_with(F.split(F.col(f"a.{seq}"), ""), F.split(F.col(f"b.{seq}"), ""),
-                                        lambda x, y: x != y), lambda x: x))
-    return met.select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b"), differ.alias("distance")).where(
+    d = materialize(df.where(F.col(seq).isNotNull()).groupBy(seq).agg(F.min(key).alias("id")))
+    differ = F.size(F.filter(F.zip_with(F.split("__a", ""), F.split("__b", ""), lambda x, y: x != y), lambda x: x))
+    return segment_meetings(d, limit, "id", seq).select("id_a", "id_b", differ.alias("distance")).where(
         F.col("distance") <= limit)
 
 

@@ -3,7 +3,7 @@
 import math
 import random
 from collections import Counter
-from itertools import combinations
+from itertools import combinations, product
 
 import pytest
 from pyspark.sql import functions as F
@@ -227,3 +227,12 @@ def test_period_rate_never_exceeds_100(spark):
     got = {r.period: (r.n_sequences, r.n_flagged, r.pct) for r in series.period_rate(ev, d, 1, 3).collect()}
     assert got[1][:2] == (3, 1) and got[1][2] == pytest.approx(100 / 3)
     assert got[2] == (1, 0, 0.0) and got[3] == (0, 0, 0.0)
+
+
+def test_candidates_of_close_pairs_are_the_pairs(spark):
+    words = ["".join(w) for n in (1, 3, 5) for w in product("ABC", repeat=n)]
+    d = spark.createDataFrame(list(enumerate(words)), "id long, sequence string")
+    want = {(i, j) for i, x in enumerate(words) for j, y in enumerate(words)
+            if i < j and len(x) == len(y) and sum(p != q for p, q in zip(x, y)) == 1}
+    met = [(r.id_a, r.id_b) for r in pairs.segment_meetings(d, 1, "id", "sequence").collect()]
+    assert len(met) == len(want) and set(met) == want
