@@ -1,5 +1,6 @@
 """Sequence operators on edge cases and against brute force."""
 
+import datetime
 import math
 import random
 from collections import Counter
@@ -236,3 +237,23 @@ def test_candidates_of_close_pairs_are_the_pairs(spark):
             if i < j and len(x) == len(y) and sum(p != q for p, q in zip(x, y)) == 1}
     met = [(r.id_a, r.id_b) for r in pairs.segment_meetings(d, 1, "id", "sequence").collect()]
     assert len(met) == len(want) and set(met) == want
+
+
+def test_orders_are_joined_once_for_the_selection(spark, tmp_path, monkeypatch):
+    from driftengine.plans import sequences
+
+    line = "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_discount double"
+    order = "o_orderkey long, o_orderpriority string, o_orderdate timestamp, o_orderstatus string"
+    spark.createDataFrame([(k, n, 1, 1, (k * n % 11) / 100) for k in range(12) for n in (1, 2, 3)], line).write.parquet(
+        f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(k, "pq"[k % 2], datetime.datetime(2024, 1, 1), "F") for k in range(12)], order).write.parquet(
+        f"{tmp_path}/orders.parquet")
+    given, select = [], pairs.diverse_select
+
+    def watched(df, *args):
+        given.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return select(df, *args)
+
+    monkeypatch.setattr(sequences.pairs, "diverse_select", watched)
+    assert sequences.d23(spark, str(tmp_path)).count() == 10
+    assert "Join" not in given[0] and "Relation" not in given[0]
