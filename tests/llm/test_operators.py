@@ -554,3 +554,18 @@ def test_components_over_chunks(spark, monkeypatch):
         got = components.components(df).collect()
         assert sorted(map(tuple, got)) == [*((i, 0) for i in range(1, 301)), *((i, 1000) for i in range(1001, 1100)), (2001, 2000), (2002, 2000)]
     assert components.components(df.limit(0)).collect() == []
+
+
+def test_pieces_of_regular_texts_are_looked_up_together():
+    rng = random.Random(8)
+    odd = ["", " ", "\n", "a", " a", "\na", "é" * 8, " " + "x" * 15, " " + "x" * 16, "x" * 40 + " y", "a  b", "a<|endoftext|> b", "\0a b"]
+    odd += ["".join(rng.choice(["a", " ", "\n", "é", "漢", ".", "1", "\0", "x" * 9, "\t"]) for _ in range(rng.randint(0, 40))) for _ in range(300)]
+    words = [" ".join("".join(rng.choice("abcdeé") for _ in range(rng.randint(1, 20))) for _ in range(300)) for _ in range(40)]
+    ours = tokens.Encoder(TOKENIZER, spans=False, keep=4000)  # words force the table to grow and to start anew
+    for given in (odd, words[:20], odd, words[20:], odd):
+        ids, n = ours.encode(given)
+        want = [e.ids for e in ours.tokenizer.encode_batch(given, add_special_tokens=False)]
+        assert n.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+    short = tokens.Encoder(TOKENIZER, spans=False)
+    short.encode(["some words and some more\nwords"])
+    assert not short.index and short.table.held == 6  # a dictionary look-up for every word before
