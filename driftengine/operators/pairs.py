@@ -20,7 +20,6 @@ from pyspark.sql import functions as F
 
 from driftengine.functions.columns import hamming_arrow, ratio
 from driftengine.functions.tails import fisher_greater
-from driftengine.operators.sequence import symbol_counts
 from driftengine.scale import dim_join, hash_rank, is_small, materialize
 
 
@@ -185,24 +184,178 @@ def close_pairs(df: DataFrame, limit: int, key: str = "id", seq: str = "sequence
         F.col("distance") <= limit)
 
 
+#: Positions of a block, texts that meet a block's counts in one task, symbols of a portion, and cells
+#: (position and symbol) that a task counts before it sends them.
+BLOCK, BLOCK_TEXTS, PORTION, CELLS = 512, 1 << 16, 1 << 20, 1 << 21
+#: Bits of a symbol in a cell; the position is above them.
+SYMBOL = 21
+
+
+def _portions(texts: Sequence[str]) -> Iterator[list[tuple[int, str]]]:
+    """Texts or cuts of them, each with its first position, in lists of about ``PORTION`` symbols."""
+    held, n = [], 0
+    for t in texts:
+        for at in range(0, len(t), PORTION):
+            held.append((at, t[at:at + PORTION]))
+            n += len(held[-1][1])
+            if n >= PORTION:
+                yield held
+                held, n = [], 0
+    if held:
+        yield held
+
+
+def _cells(texts: Sequence[tuple[int, str]]) -> np.ndarray:
+    """The cell of every symbol of texts that begin at the given positions."""
+    lens = np.array([len(t) for _, t in texts], np.int64)
+    symbols = np.frombuffer("".join(t for _, t in texts).encode("utf-32-le"), np.uint32)
+    before = np.cumsum(lens) - lens - np.array([at for at, _ in texts], np.int64)
+    return (np.arange(len(symbols)) - np.repeat(before, lens)) << SYMBOL | symbols.astype(np.int64)
+
+
+def _added(parts: Sequence[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct cells in order and their counts, added up."""
+    cells, n = (np.concatenate(x) for x in zip(*parts))
+    order = np.argsort(cells, kind="stable")
+    cells, n = cells[order], n[order]
+    new = np.flatnonzero(np.append(True, cells[1:] != cells[:-1]))
+    return cells[new], np.add.reduceat(n, new)
+
+
+def _block_counts(d: DataFrame, group: str, seq: str) -> DataFrame:
+    """``group, block, texts, cells, w``: of each block of positions how many texts reach it, its cells in
+    order, and for each the rows with that symbol there plus the rows that reach the position.
+
+    A task sends the counts of its texts, not their symbols; those of a block are added up as they come.
+    """
+    types = {f.name: f.dataType.simpleString() for f in d.schema.fields}
+
+    def batch_of(rows: list[tuple], names: Sequence[str], like: pa.DataType) -> pa.RecordBatch:
+        columns = [pa.array([r[i] for r in rows], like if i == 0 else None) for i in range(len(names))]
+        return pa.RecordBatch.from_arrays(columns, names=list(names))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
+        like = None
+
+        def send() -> Iterator[pa.RecordBatch]:
+            for g, parts in held.items():
+                cells, n = _added(parts)
+                block = (cells >> SYMBOL) // BLOCK
+                cuts = [0, *(np.flatnonzero(block[1:] != block[:-1]) + 1).tolist(), len(cells)]
+                for i in range(0, len(cuts) - 1, 64):
+                    rows = [(g, int(block[a]), cells[a:b].tobytes(), n[a:b].tobytes()) for a, b in zip(cuts[i:i + 64], cuts[i + 1:i + 65])]
+                    yield batch_of(rows, (group, "block", "cells", "n"), like)
+            held.clear()
+
+        for batch in batches:
+            like, by = batch.column(group).type, {}
+            for g, t in zip(batch.column(group).to_pylist(), batch.column(seq).to_pylist()):
+                by.setdefault(g, []).append(t)
+            for g, texts in by.items():
+                for portion in _portions(texts):
+                    held.setdefault(g, []).append(np.unique(_cells(portion), return_counts=True))
+                    if len(held[g]) > 4:
+                        held[g] = [_added(held[g])]
+            if sum(len(c) for parts in held.values() for c, _ in parts) > CELLS:
+                yield from send()
+        yield from send()
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, parts, like = None, [], None
+
+        def block_row() -> pa.RecordBatch:
+            cells, n = _added(parts)
+            position = cells >> SYMBOL
+            first = np.flatnonzero(np.append(True, position[1:] != position[:-1]))
+            reach = np.add.reduceat(n, first)
+            w = n + np.repeat(reach, np.diff(first, append=len(n)))
+            return batch_of([(*now, int(reach[0]), cells.tobytes(), w.tobytes())], (group, "block", "texts", "cells", "w"), like)
+
+        for batch in batches:
+            like = batch.column(group).type
+            for g, block, cells, n in zip(*(batch.column(c).to_pylist() for c in (group, "block", "cells", "n"))):
+                if parts and (g, block) != now:
+                    yield block_row()
+                    parts = []
+                now = g, block
+                parts.append((np.frombuffer(cells, np.int64), np.frombuffer(n, np.int64)))
+                if len(parts) > 8:
+                    parts = [_added(parts)]
+        if parts:
+            yield block_row()
+
+    sent = d.select(group, seq).mapInArrow(count, f"`{group}` {types[group]}, block long, cells binary, n binary")
+    ordered = sent.repartition(group, "block").sortWithinPartitions(group, "block")
+    return ordered.mapInArrow(add, f"`{group}` {types[group]}, block long, texts long, cells binary, w binary")
+
+
+def _scored(d: DataFrame, counts: DataFrame, group: str, seq: str) -> DataFrame:
+    """``id, group, n, w`` of pieces of all texts: their symbols and the sum of ``w`` over their cells.
+
+    Texts are cut into blocks of positions, which meet their block's counts; a block that many texts reach
+    is dealt over several tasks, each with the counts.
+    """
+    types = {f.name: f.dataType.simpleString() for f in d.schema.fields}
+    piece = f"id {types['id']}, `{group}` {types[group]}, block long, piece string"
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(seq).to_pylist()
+            starts = [range(0, max(1, len(t)), BLOCK) for t in texts]
+            of = pa.array(np.repeat(np.arange(len(texts)), [len(r) for r in starts]))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id").take(of), batch.column(group).take(of), pa.array([at // BLOCK for r in starts for at in r], pa.int64()),
+                 pa.array([t[at:at + BLOCK] for t, r in zip(texts, starts) for at in r], pa.string())],
+                names=["id", group, "block", "piece"])
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells = w = np.zeros(0, np.int64)
+        for batch in batches:
+            counted = np.flatnonzero(np.asarray(batch.column("cells").is_valid())).tolist()
+            for a, b in itertools.pairwise([0, *counted, batch.num_rows]):
+                if a < b and batch.column("cells")[a].is_valid:
+                    cells, w = (np.frombuffer(batch.column(c)[a].as_buffer(), np.int64) for c in ("cells", "w"))
+                    a += 1
+                if a == b:
+                    continue
+                part = batch.slice(a, b - a)
+                blocks, texts = part.column("block").to_pylist(), part.column("piece").to_pylist()
+                n = np.array([len(t) for t in texts], np.int64)
+                mine = _cells([(BLOCK * i, t) for i, t in zip(blocks, texts)])
+                upto = np.concatenate([[0], np.cumsum(w[np.searchsorted(cells, mine)])])
+                ends = np.cumsum(n)
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column(group), pa.array(n), pa.array(upto[ends] - upto[ends - n])],
+                                                 names=["id", group, "n", "w"])
+
+    pieces = d.select("id", group, seq).mapInArrow(cut, piece)
+    deals = F.ceil(F.col("texts") / F.lit(BLOCK_TEXTS)).cast("int")
+    wide = counts.where(F.col("texts") > BLOCK_TEXTS).select(group, "block", deals.alias("deals"))
+    pieces = dim_join(pieces, wide, [group, "block"], "left").select(
+        group, "block", F.pmod(F.xxhash64("piece", "id"), F.coalesce("deals", F.lit(1))).cast("int").alias("deal"), "id", "piece",
+        F.lit(None).cast("binary").alias("cells"), F.lit(None).cast("binary").alias("w"))
+    sent = counts.select(group, "block", F.explode(F.sequence(F.lit(0), F.greatest(deals, F.lit(1)) - 1)).alias("deal"),
+                         F.lit(None).cast(types["id"]).alias("id"), F.lit(None).cast("string").alias("piece"), "cells", "w")
+    # A block's counts come before its pieces; only pieces of empty texts may come without any.
+    ordered = sent.unionByName(pieces).repartition(group, "block", "deal").sortWithinPartitions(
+        group, "block", "deal", F.col("cells").isNull())
+    return ordered.mapInArrow(score, f"id {types['id']}, `{group}` {types[group]}, n long, w long")
+
+
 def medoid(df: DataFrame, group: str = "grp", seq: str = "sequence") -> DataFrame:
     """Per group the row with the smallest mean number of differing positions to all rows (a
     length difference counts), smallest id on ties. No pairs are formed.
 
     With N rows, c rows sharing a symbol at a position, l rows reaching that position and T
-    symbols in the group, the sum over all rows is T + sum over own positions of (N - c - l).
+    symbols in the group, the sum over all rows is T + sum over own positions of (N - c - l). Symbols are
+    counted in tasks and looked up there, by blocks of positions; none of them becomes a row.
     """
-    d = df.where(F.col(seq).isNotNull())
-    counts = materialize(symbol_counts(d, (group,), seq))
-    reach = counts.groupBy(group, "position").agg(F.sum("n").alias("l"))
-    per = counts.join(reach, [group, "position"])
+    d = df.where(F.col(seq).isNotNull() & F.col(group).isNotNull()).select("id", group, seq)
     sizes = d.groupBy(group).agg(F.count(F.lit(1)).alias("n_rows"), F.sum(F.length(seq)).alias("n_symbols"))
     sizes = materialize(sizes)
-    lookup = per.join(sizes, group).select(
-        group, "position", "symbol", (F.col("n_rows") - F.col("n") - F.col("l")).alias("v"))
-    long = d.select("id", group, F.posexplode_outer(F.split(seq, "")).alias("position", "symbol"))
-    own = dim_join(long, lookup, [group, "position", "symbol"], "left").groupBy("id", group).agg(
-        F.coalesce(F.sum("v"), F.lit(0)).alias("v"))
+    counts = materialize(_block_counts(d, group, seq))
+    own = _scored(d, counts, group, seq).groupBy("id", group).agg(F.sum("n").alias("n"), F.sum("w").alias("w"))
+    own = dim_join(own, sizes, [group], ready=True).withColumn("v", F.col("n_rows") * F.col("n") - F.col("w"))
     best = own.groupBy(group).agg(F.min(F.struct("v", "id")).alias("m"))
     return best.join(sizes, group).select(
         group, F.col("m.id").alias("id"), ((F.col("n_symbols") + F.col("m.v")) / F.col("n_rows")).alias("mean_distance"))

@@ -257,3 +257,30 @@ def test_orders_are_joined_once_for_the_selection(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(sequences.pairs, "diverse_select", watched)
     assert sequences.d23(spark, str(tmp_path)).count() == 10
     assert "Join" not in given[0] and "Relation" not in given[0]
+
+
+def test_medoid_counts_symbols_in_tasks(spark, monkeypatch):
+    def refuse(*args):
+        raise AssertionError("every symbol becomes a row")
+
+    rng = random.Random(4)
+    rows = [(i % 50, rng.choice(["g", "h", None]), "".join(rng.choice("AC漢😀") for _ in range(rng.choice([0, 1, 4, 9, 30])))) for i in range(120)]
+    rows += [(200, "g", None), (201, "empty", ""), (202, "empty", "")]
+    d = spark.createDataFrame(rows, "id long, grp string, sequence string").repartition(5)
+    want = {}
+    for g in ("g", "h", "empty"):
+        mine = [(i, s) for i, h, s in rows if h == g and s is not None]
+        total, symbols = {}, sum(len(s) for _, s in mine)
+        for i, s in mine:  # an id's rows are added up
+            apart = sum(sum(x != y for x, y in zip(s, t)) + abs(len(s) - len(t)) for _, t in mine)
+            total[i] = total.get(i, symbols) + apart - symbols
+        best = min(total, key=lambda i: (total[i], i))
+        want[g] = best, total[best] / len(mine)
+    monkeypatch.setattr(pairs.F, "posexplode_outer", refuse)
+    for block, texts, cells in ((512, 1 << 16, 1 << 21), (4, 3, 10)):
+        monkeypatch.setattr(pairs, "BLOCK", block)
+        monkeypatch.setattr(pairs, "BLOCK_TEXTS", texts)
+        monkeypatch.setattr(pairs, "CELLS", cells)
+        got = {r.grp: (r.id, r.mean_distance) for r in pairs.medoid(d).collect()}
+        assert {g: r[0] for g, r in got.items()} == {g: w[0] for g, w in want.items()}
+        assert [got[g][1] for g in want] == pytest.approx([w[1] for w in want.values()])
