@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import heapq
 import math
+from array import array
 from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Callable, Iterator
@@ -215,21 +216,24 @@ class Block:
 
     def __init__(self, sets: list[np.ndarray], percent: int):
         self.percent, self.size = percent, [len(s) for s in sets]
-        item = np.repeat(np.arange(len(sets)), self.size)
+        # Four bytes an entry, and what is not needed any more goes: the entries are a task's memory.
         shingle = np.concatenate(sets)
-        order = np.lexsort((item, shingle))
-        shingle, item = shingle[order], item[order]
+        order = np.argsort(shingle, kind="stable")  # items of a shingle stay in order
+        item = np.repeat(np.arange(len(sets), dtype=np.intc), self.size)[order]
+        shingle = shingle[order]
+        del order
         new = np.flatnonzero(np.concatenate([[True], shingle[1:] != shingle[:-1]]))
         length = np.diff(np.append(new, len(shingle)))
+        del shingle
         with np.errstate(over="ignore"):
-            name = np.add.reduceat(mix(item.astype(np.uint64) + np.uint64(1)), new)
+            name = np.add.reduceat(mix(np.arange(1, len(sets) + 1))[item], new)
         several = length > 1
         new, length, name = new[several], length[several], name[several]
         _, where, weight = np.unique(name, return_index=True, return_counts=True)
         #: Documents of each distinct list, ascending, and how many shingles have that list.
-        self.lists = [item[a:a + n].tolist() for a, n in zip(new[where], length[where])]
+        self.lists = [array("i", item[a:a + n].tobytes()) for a, n in zip(new[where], length[where])]
         self.weight = weight.tolist()
-        self.of: list[list[int]] = [[] for _ in sets]
+        self.of = [array("i") for _ in sets]
         for i, members in enumerate(self.lists):
             for m in members:
                 self.of[m].append(i)
@@ -287,7 +291,7 @@ class Block:
                 out.append((x, y))
 
         if queries is None:
-            leaders = defaultdict(list)
+            leaders = defaultdict(lambda: array("i"))
             for x in range(n):
                 before = len(out)
                 ask(x, leaders)

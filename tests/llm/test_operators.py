@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 from collections import defaultdict
 
@@ -569,3 +570,15 @@ def test_pieces_of_regular_texts_are_looked_up_together():
     short = tokens.Encoder(TOKENIZER, spans=False)
     short.encode(["some words and some more\nwords"])
     assert not short.index and short.table.held == 6  # a dictionary look-up for every word before
+
+
+def test_block_takes_few_bytes_an_entry():
+    rng = np.random.default_rng(6)
+    sets = [np.unique(rng.integers(0, 40_000, 400, np.uint64)) for _ in range(500)]
+    entries = sum(map(len, sets))
+    jaccard.Block(sets[:9], 80)
+    tracemalloc.start()
+    block = jaccard.Block(sets, 80)
+    held, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert len(block.lists) > 30_000 and peak < 60 * entries and held < 40 * entries, (peak / entries, held / entries)
