@@ -4,22 +4,25 @@ A document is the set of its k-word shingles. Two documents link if their sets h
 similarity of ``percent`` or more.
 
 1. Equal sets are counted as one, by a 128-bit digest.
-2. Blocks. Similar sets of a size class differ in at most d shingles, so if shingles are dealt into
+2. A set that links shares ``percent`` of its shingles or more, so sets with more shingles of their own than
+   that allows are told by counting which shingles occur in one row only, and link with none. Documents that
+   have but a passage in common go here; they would tie all others into one block.
+3. Blocks. Similar sets of a size class differ in at most d shingles, so if shingles are dealt into
    more than d parts, the sets agree in a part. Documents with an equal part are candidates; the
    connected components of candidates are the blocks, so no similar pair is cut. A batch sends one
    entry for each part that several of its documents share. Blocks are then cut by size class and by
    parity sketches: a set sets bit h(s) mod m an odd number of times or not, and sets that differ in x
    shingles differ in at most x bits, so sketches that differ in more than d bits rule a pair out.
-3. In a block, an inverted index lists the documents of every shingle. A query needs T common
+4. In a block, an inverted index lists the documents of every shingle. A query needs T common
    shingles: its longest lists, of weight up to T - 1, are set aside, the short ones are merged with
    a heap, and documents that occur there often enough are probed in the long lists by binary search
    until they reach the overlap their sizes require, or cannot any more.
-4. Links are joined into components.
+5. Links are joined into components.
 
 Lists of shingles with the same documents are one list of that weight. Documents of one component need
 not be compared again, so a block first searches the leaders (documents that linked with no earlier
 leader), then only what is outside of its largest component searches all. Blocks over
-``BLOCK_DOCS`` are searched in chunks that share pivots; what is then outside of the block's largest
+``BLOCK_DOCS`` or ``BLOCK_SHINGLES`` are searched in chunks that share pivots; what is then outside of the block's largest
 component is sent to every chunk. So thousands of near copies cost about one search each.
 """
 
@@ -31,6 +34,7 @@ from array import array
 from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Callable, Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -40,13 +44,16 @@ from pyspark.sql import functions as F
 from driftengine.llm.common import hashed_words, mix, ramp, rows, shingles, sized_join, stored, texts
 from driftengine.llm.components import components
 
-#: Documents of a block that are searched in one task, and the pivots that chunks share.
-BLOCK_DOCS, PIVOTS = 4096, 16
+#: Documents of a block that are searched in one task, their shingles, and the pivots that chunks share.
+BLOCK_DOCS, BLOCK_SHINGLES, PIVOTS = 4096, 1 << 22, 16
 #: Larger blocks are not cut by sketches: a sketch is compared with all others of its block.
 SKETCH_DOCS = 32_768
 #: Documents per bucket of the comparison of parts.
 BUCKET_DOCS = 2048
-BATCH = 1 << 20
+#: Distinct shingles of batches that are counted in one task.
+COUNTED = 1 << 21
+#: Bytes of text that are sent on together, and that are made into sets at once.
+BATCH, PIECE = 1 << 20, 1 << 18
 
 
 def document_sets(docs: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -61,6 +68,12 @@ def document_sets(docs: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
     return hashes[new], np.bincount(doc[new], minlength=len(docs))
 
 
+def batch_sets(batch: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """``document_sets`` of a batch, made in pieces: the hashes of words take many times the text."""
+    made = [document_sets(texts(piece), k) for piece in rows([batch], PIECE)]
+    return tuple(np.concatenate(m) for m in zip(*made))
+
+
 def size_classes(percent: int, largest: int) -> list[int]:
     """First size of each class: a set can only be similar to sets of its own class or the next."""
     firsts = [1]
@@ -146,11 +159,94 @@ def _edges(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.unique(np.stack([a, b], axis=1)[a != b], axis=0)
 
 
+def linkable(docs: DataFrame, k: int, percent: int, shingles: int, partitions: int) -> DataFrame:
+    """(key, n) of each row of ``docs`` whose set may link: enough of its n shingles occur in other rows.
+
+    ``shingles`` is their number in all rows. They are counted by 32 bits of the hash within buckets of its
+    other half; where two of them clash, both count as shared, so no set that links is left out.
+    """
+    buckets = max(partitions, math.ceil(shingles / COUNTED))
+
+    def sent(number: list[int], batch: list[int], shingle: list, owner: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array(number, pa.int32()), pa.array(batch, pa.int64()), pa.array(shingle, pa.binary()), pa.array(owner, pa.binary())],
+            names=["bucket", "batch", "shingle", "owner"])
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = (b.slice(i, 1 << 16) for b in rows(batches, BATCH) for i in range(0, b.num_rows, 1 << 16))
+        for batch in pieces:  # owners are 16 bits
+            hashes, size = batch_sets(batch, k)
+            key = np.asarray(batch.column("key"))
+            with np.errstate(over="ignore"):  # names the rows and their sets, in this order
+                at = np.arange(1, len(key) + 1, dtype=np.uint64)
+                name = int((mix(mix(key.view(np.uint64)) + at).sum() ^ mix(hashes + mix(np.repeat(at, size))).sum()).view(np.int64))
+            owner = np.repeat(np.arange(len(key), dtype=np.uint16), size)
+            order = np.argsort(hashes, kind="stable")
+            hashes, owner = hashes[order], owner[order]
+            new = np.ones(len(hashes), bool)
+            new[1:] = hashes[1:] != hashes[:-1]
+            single = (new & np.append(new[1:], True))[new]
+            hashes, owner = hashes[new], owner[new]
+            bucket = ((hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+            order = np.lexsort((~single, bucket))  # shingles that several rows of the batch have are sent without an owner
+            shingle, owner = hashes[order].astype(np.uint32), owner[order]
+            edge = np.searchsorted(bucket, np.arange(buckets + 1))
+            alone = np.bincount(bucket, single, buckets).astype(np.int64)
+            used = np.flatnonzero(np.diff(edge)).tolist()
+            yield sent([*used, name % buckets], [name] * (len(used) + 1),
+                       [*(shingle[edge[i]:edge[i + 1]].tobytes() for i in used), None],
+                       [*(owner[edge[i]:edge[i] + alone[i]].tobytes() for i in used), np.concatenate([key, size]).tobytes()])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, shingles, owners = [], [], []
+        for batch in batches:
+            known = pa.compute.is_null(batch.column("shingle"))
+            yield batch.filter(known)
+            batch = batch.filter(pa.compute.invert(known))
+            for name, shingle, owner in zip(*(batch.column(c).to_pylist() for c in ("batch", "shingle", "owner"))):
+                names.append(name)
+                shingles.append(np.frombuffer(shingle, np.uint32))
+                owners.append(np.frombuffer(owner, np.uint16))
+        if not names:
+            return
+        start = np.cumsum([0, *map(len, shingles)])
+        shingle = np.concatenate(shingles)
+        del shingles
+        order = np.argsort(shingle)
+        shingle = shingle[order]
+        new = np.ones(len(shingle) + 1, bool)
+        new[1:-1] = shingle[1:] != shingle[:-1]
+        alone = np.empty(len(shingle), bool)
+        alone[order] = new[:-1] & new[1:]
+        del order, shingle
+        for at in range(0, len(names), 1 << 10):
+            some = names[at:at + (1 << 10)]
+            own = [np.sort(o[alone[a:a + len(o)]]).tobytes() for o, a in zip(owners[at:], start[at:at + len(some)])]
+            yield sent([0] * len(some), some, [b""] * len(some), own)
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, known = defaultdict(list), {}
+        for batch in batches:
+            for name, shingle, owner in zip(*(batch.column(c).to_pylist() for c in ("batch", "shingle", "owner"))):
+                if shingle is None:
+                    known[name] = np.frombuffer(owner, np.int64).reshape(2, -1)
+                else:
+                    own[name].append(np.frombuffer(owner, np.uint16))
+        for name, (key, size) in known.items():
+            alone = np.bincount(np.concatenate(own[name]), minlength=len(key)) if name in own else 0
+            may = (size > 0) & ((size - alone) * 100 >= percent * size)
+            yield pa.RecordBatch.from_arrays([pa.array(key[may]), pa.array(size[may])], names=["key", "n"])
+
+    schema = "bucket int, batch long, shingle binary, owner binary"
+    counted = docs.select("key", "text").mapInArrow(settle, schema).repartition(buckets, "bucket").mapInArrow(count, schema)
+    return counted.select("batch", "shingle", "owner").repartition(partitions, "batch").mapInArrow(choose, "key long, n long")
+
+
 def candidate_edges(docs: DataFrame, k: int, percent: int, buckets: int) -> DataFrame:
     """(a, b): documents that share a part, each with the smallest one that has it."""
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows(batches, BATCH):
-            hashes, size = document_sets(texts(batch), k)
+            hashes, size = batch_sets(batch, k)
             sig, of = signatures(hashes, size, percent)
             key = np.asarray(batch.column("key"))[of]
             order = np.lexsort((key, sig))
@@ -211,6 +307,31 @@ class Forest:
         self.up[max(x, y)] = min(x, y)
 
 
+class Runs:
+    """Runs of numbers, one after the other in one array: a run takes no object of its own."""
+
+    def __init__(self, values: np.ndarray, length: np.ndarray):
+        self.values = memoryview(np.ascontiguousarray(values, np.intc))
+        self.start = array("q", (np.cumsum(length) - length).astype(np.int64).tobytes())
+        self.held = array("i", length.astype(np.intc).tobytes())
+
+    def __len__(self) -> int:
+        return len(self.held)
+
+    def __getitem__(self, i: int) -> memoryview:
+        return self.values[self.start[i]:self.start[i] + self.held[i]]
+
+    def emptied(self) -> Runs:
+        """As many runs, empty, with room for as many numbers."""
+        out = Runs(np.zeros(len(self.values), np.intc), np.asarray(self.held))
+        out.held = array("i", bytes(4 * len(out.held)))
+        return out
+
+    def append(self, i: int, value: int):
+        self.values[self.start[i] + self.held[i]] = value
+        self.held[i] += 1
+
+
 class Block:
     """Inverted index over the sets of a block; items are in the order of their sizes."""
 
@@ -230,23 +351,24 @@ class Block:
         several = length > 1
         new, length, name = new[several], length[several], name[several]
         _, where, weight = np.unique(name, return_index=True, return_counts=True)
+        new, length = new[where], length[where]
+        item = item[np.repeat(new, length) + ramp(length)]
         #: Documents of each distinct list, ascending, and how many shingles have that list.
-        self.lists = [array("i", item[a:a + n].tobytes()) for a, n in zip(new[where], length[where])]
-        self.weight = weight.tolist()
-        self.of = [array("i") for _ in sets]
-        for i, members in enumerate(self.lists):
-            for m in members:
-                self.of[m].append(i)
+        self.lists = Runs(item, length)
+        self.weight = array("q", weight.astype(np.int64).tobytes())
+        #: Lists of each item, ascending.
+        number = np.repeat(np.arange(len(length), dtype=np.intc), length)
+        self.of = Runs(number[np.argsort(item, kind="stable")], np.bincount(item, minlength=len(sets)))
 
     def needed(self, x: int, y: int) -> int:
         """Common shingles that two sets of these sizes must have."""
         return -(-self.percent * (self.size[x] + self.size[y]) // (100 + self.percent))
 
-    def search(self, x: int, lists, same) -> Iterator[int]:
+    def search(self, x: int, lists: Runs, same) -> Iterator[int]:
         """Items linked with ``x`` in ``lists`` (list number to ascending items); items for which
         ``same`` is true are passed over."""
         fewest = -(-self.percent * self.size[x] // 100)
-        mine = sorted(((len(lists[i]), i) for i in self.of[x] if lists[i]), reverse=True)
+        mine = sorted(((lists.held[i], i) for i in self.of[x] if lists.held[i]), reverse=True)
         # DivideSkip: the longest lists are only probed; the share it recommends for mu = 0.01.
         most = fewest / (0.01 * math.log2(mine[0][0] + 1) + 1) if mine else 0
         long, set_aside, at = [], 0, 0
@@ -257,10 +379,9 @@ class Block:
         short = [i for _, i in mine[at:]]
         if not short:
             return
-        merged = heapq.merge(*[[(y, self.weight[i]) for y in lists[i]] for i in short]) if len(short) > 1 else iter(
-            [(y, self.weight[short[0]]) for y in lists[short[0]]])
+        merged = heapq.merge(*[zip(lists[i], repeat(self.weight[i])) for i in short])  # one entry of a list at a time
         current, count = -1, 0
-        for y, w in [*merged, (-2, 0)]:
+        for y, w in chain(merged, [(-2, 0)]):
             if y == current:
                 count += w
                 continue
@@ -275,8 +396,9 @@ class Block:
             if count >= needed or count + left < needed:
                 break
             left -= self.weight[i]
-            at = bisect_left(lists[i], y)
-            if at < len(lists[i]) and lists[i][at] == y:
+            members = lists[i]
+            at = bisect_left(members, y)
+            if at < len(members) and members[at] == y:
                 count += self.weight[i]
         return count >= needed
 
@@ -291,13 +413,13 @@ class Block:
                 out.append((x, y))
 
         if queries is None:
-            leaders = defaultdict(lambda: array("i"))
+            leaders = self.lists.emptied()
             for x in range(n):
                 before = len(out)
                 ask(x, leaders)
                 if len(out) == before:
                     for i in self.of[x]:
-                        leaders[i].append(x)
+                        leaders.append(i, x)
             groups = defaultdict(list)
             for x in range(n):
                 groups[forest.find(x)].append(x)
@@ -344,7 +466,7 @@ def _sketched(searching: DataFrame, blocks: DataFrame, k: int, percent: int) ->
     blocks = sized_join(blocks, wide, "root", width=16, how="left_anti")
 
     def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows(batches):
+        for batch in rows(batches, PIECE):
             hashes, size = document_sets(texts(batch), k)
             firsts = size_classes(percent, int(size.max(initial=0)) + 1)
             own = np.searchsorted(firsts, size, "right") - 1
@@ -380,7 +502,8 @@ def _links_of(group: pa.Table, percent: int) -> pa.Table:
     return pa.table({"a": a, "b": b})
 
 
-def similar_components(docs: DataFrame, k: int = 5, percent: int = 80, block_docs: int = BLOCK_DOCS) -> DataFrame:
+def similar_components(docs: DataFrame, k: int = 5, percent: int = 80, block_docs: int = BLOCK_DOCS,
+                       block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """doc_id, n_shingles and component_id (smallest doc_id reachable by links, itself included) of
     every row of ``docs`` (doc_id, text; other columns are ignored).
 
@@ -392,7 +515,7 @@ def similar_components(docs: DataFrame, k: int = 5, percent: int = 80, block_doc
     base = docs.select(F.col("doc_id").cast("long").alias("key"), "text")
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows(batches):
+        for batch in rows(batches, PIECE):
             hashes, size = document_sets(texts(batch), k)
             upto = np.concatenate([[0], np.cumsum(size)])
             with np.errstate(over="ignore"):
@@ -413,18 +536,26 @@ def similar_components(docs: DataFrame, k: int = 5, percent: int = 80, block_doc
     silent = stored(copies.join(once, "key").select("key").distinct(), "silent")
     searching = sized_join(base.where("key is not null"), silent, "key", width=16, how="left_anti")
 
-    n_docs = known.count()
-    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(n_docs / BUCKET_DOCS))
+    size = known.agg(F.count(F.lit(1)).alias("docs"), F.coalesce(F.sum("n"), F.lit(0)).alias("shingles")).first()
+
+    def buckets(n_docs: int) -> int:
+        return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(n_docs / BUCKET_DOCS))
+
+    may = linkable(searching, k, percent, size.shingles, buckets(size.docs))
+    may = stored(may.groupBy("key").agg(F.sum("n").alias("n")), "linkable")
+    searching = sized_join(searching, may.select("key"), "key", width=16, how="left_semi")
+
     def with_roots(found: DataFrame) -> DataFrame:
         return stored(found.union(found.select("root", "root").distinct()), "blocks")
 
-    blocks = with_roots(components(candidate_edges(searching, k, percent, buckets)))
+    blocks = with_roots(components(candidate_edges(searching, k, percent, buckets(may.count()))))
     blocks = with_roots(components(_sketched(searching, blocks, k, percent)))
-    sizes = blocks.groupBy("root").agg(F.count(F.lit(1)).alias("docs"))
-    large = stored(sizes.where(F.col("docs") > block_docs), "large")
+    sizes = sized_join(blocks, may.withColumnRenamed("key", "node"), "node", width=24).groupBy("root").agg(
+        F.count(F.lit(1)).alias("docs"), F.ceil(F.greatest(F.count(F.lit(1)) / block_docs, F.sum("n") / block_shingles)).cast("int").alias("chunks"))
+    large = stored(sizes.where("chunks > 1"), "large")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows(batches):
+        for batch in rows(batches, PIECE):
             hashes, size = document_sets(texts(batch), k)
             parts = np.split(hashes, np.cumsum(size)[:-1])
             yield pa.RecordBatch.from_arrays(
@@ -438,25 +569,24 @@ def similar_components(docs: DataFrame, k: int = 5, percent: int = 80, block_doc
         links = stored(_block_links(items.select(F.struct("root", F.lit(0)).cast("string").alias("block"), "key",
                                                  F.lit(False).alias("query"), "shingles"), percent), "links")
     else:
-        links = _search_large(stored(items, "items"), large, percent, block_docs)
+        links = _search_large(stored(items, "items"), large, percent, block_docs, block_shingles)
     roots = components(links.union(copies))
     return known.join(roots, F.col("key") == F.col("node"), "left").select(
         F.col("key").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("root", "key").alias("component_id"))
 
 
-def _search_large(items: DataFrame, large: DataFrame, percent: int, block_docs: int) -> DataFrame:
-    """Links of all blocks when some have more than ``block_docs`` documents.
+def _search_large(items: DataFrame, large: DataFrame, percent: int, block_docs: int, block_shingles: int) -> DataFrame:
+    """Links of all blocks when some have more than ``block_docs`` documents or ``block_shingles`` shingles.
 
     Those are dealt into chunks, each with the block's pivots. Then every document outside of the
-    block's largest component so far is a query in every chunk, in slices of ``block_docs``.
+    block's largest component so far is a query in every chunk, in slices of about the same size.
     """
     name = lambda *c: F.concat_ws(":", *[x.cast("string") for x in c])
-    chunks = F.ceil(F.col("docs") / block_docs).cast("int")
     order = F.xxhash64("key")
-    dealt = items.join(large.select("root", chunks.alias("chunks")), "root", "left")
+    dealt = items.join(large, "root", "left")
     dealt = dealt.withColumn("chunk", F.pmod(order, F.coalesce("chunks", F.lit(1))))
     pivots = dealt.where("chunks is not null").groupBy("root", "chunks").agg(
-        F.slice(F.array_sort(F.collect_set(F.when(F.pmod(order, F.col("chunks") * block_docs / PIVOTS) < 1, F.col("key")))), 1, PIVOTS).alias("p"))
+        F.slice(F.array_sort(F.collect_set(F.when(F.pmod(order, F.col("docs") / PIVOTS) < 1, F.col("key")))), 1, PIVOTS).alias("p"))
     pivots = dealt.join(pivots.select("root", F.explode("p").alias("key")), ["root", "key"]).withColumn(
         "chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     first = dealt.unionByName(pivots).select(
@@ -469,7 +599,8 @@ def _search_large(items: DataFrame, large: DataFrame, percent: int, block_docs:
     counts = placed.groupBy("root", "component").agg(F.count(F.lit(1)).alias("n"))
     major = counts.groupBy("root").agg(F.max(F.struct("n", "component")).alias("m")).select("root", F.col("m.component").alias("major"))
     outside = placed.join(major, "root").where("component <> major")
-    per = outside.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / block_docs).cast("int").alias("slices"))
+    n = F.sum(F.octet_length("shingles") / 8)
+    per = outside.groupBy("root").agg(F.ceil(F.greatest(F.count(F.lit(1)) / block_docs, n / block_shingles)).cast("int").alias("slices"))
     asks = outside.join(per, "root").withColumn("slice", F.pmod(order, F.col("slices"))).withColumn(
         "chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     index = placed.join(per, "root").withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))

@@ -582,3 +582,43 @@ def test_block_takes_few_bytes_an_entry():
     held, peak = tracemalloc.get_traced_memory()
     tracemalloc.stop()
     assert len(block.lists) > 30_000 and peak < 60 * entries and held < 40 * entries, (peak / entries, held / entries)
+
+
+def test_block_searches_without_lists_of_entries():
+    rng = np.random.default_rng(7)
+    base = rng.integers(0, 2**63, 400, np.uint64)
+    sets = [np.unique(np.concatenate([rng.choice(base, 340, False), rng.integers(0, 2**63, 60, np.uint64)])) for _ in range(500)]
+    entries = sum(map(len, sets))
+    block = jaccard.Block(sets, 90)
+    tracemalloc.start()
+    assert block.links() == []
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert peak < 8 * entries, peak / entries  # 18.6 with a tuple for each entry of the short lists
+
+
+def test_jaccard_common_passages_make_no_block(spark, monkeypatch):
+    """A passage in all documents used to tie them into one block, of which every chunk was sent to every slice."""
+    passage = [f"p{j}" for j in range(60)]
+    rows = [(i, " ".join(passage + [f"w{i}_{j}" for j in range(60)])) for i in range(150)]
+    rows += [(500 + i, rows[i][1].replace(f"w{i}_59", "other")) for i in range(20)]
+    rows += [(900, ""), (901, None), (902, "p1"), (903, "p1")]
+    rows += [(7, "another text of number seven"), (904, "another text of number seven")]
+    may = jaccard.linkable(frame(spark, rows).selectExpr("doc_id as key", "text"), 5, 80, 20_000, 3).collect()
+    assert sorted(r.key for r in may) == sorted([*range(20), *range(500, 520), 902, 903, 7, 904])
+    monkeypatch.setattr(jaccard, "_search_large", None)
+    got = jaccard.similar_components(frame(spark, rows), 5, 80, 64).collect()
+    assert sorted(map(tuple, got)) == linked(rows, 5, 80)
+
+
+def test_jaccard_blocks_are_bounded_in_shingles(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = []
+    for i in range(60):
+        w = [f"b{j}" for j in range(80)]
+        w[rng.randrange(80)] = f"x{i}"
+        rows.append((i, " ".join(w)))
+    seen, search = [], jaccard._search_large
+    monkeypatch.setattr(jaccard, "_search_large", lambda *a: seen.append(a) or search(*a))
+    got = jaccard.similar_components(frame(spark, rows), 3, 90, 4096, 1000).collect()
+    assert seen and sorted(map(tuple, got)) == linked(rows, 3, 90)
