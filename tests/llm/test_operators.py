@@ -435,6 +435,65 @@ def test_neighbours_are_ranked_by_all_terms_of_the_seed():
             assert len(set(got)) == len(got) and unused[got].all() and np.allclose(score[got], want)
 
 
+def test_packing_retrieves_from_all_blocks(spark):
+    rng = random.Random(5)
+    rows = []
+    for t in range(40):
+        words = [f"t{t}x{rng.randint(0, 40)}" for _ in range(90)]
+        rows += [(2 * t, " ".join(words)), (2 * t + 1, " ".join(words[10:] + words[:10]))]
+    rng.shuffle(rows)
+    docs = frame(spark, rows)
+    for shard in (3000, 9000):
+        pieces = packing.pack(docs, TOKENIZER, shard_tokens=shard).toPandas()
+        at = pieces.groupby("doc_id").sequence_id.agg(set)
+        assert len(at) == 80
+        met = np.mean([bool(at[2 * t] & at[2 * t + 1]) for t in range(40)])
+        assert met > 0.8  # 0.33 at most when a document met those of its shard only
+
+
+def packing_corpus(n=150, seed=1):
+    rng = np.random.default_rng(seed)
+    docs = [np.append(rng.zipf(1.2, k) % 3000 + 1, 0).astype("<u2") for k in rng.integers(1, 2500, n)]
+    df = np.zeros(1 << 16)
+    for d in docs:
+        df[np.unique(d)] += 1
+    return docs, df, float(np.mean([len(d) for d in docs]))
+
+
+def test_one_chain_is_filled_like_the_windows_of_a_block():
+    docs, df, mean = packing_corpus()
+    index, size = packing.Index(docs, df, len(docs), mean), np.array([len(d) for d in docs])
+    for most in (1, 3, 1000):  # lists that are cut only make more passes
+        def retrieve(seeds, unused, _):
+            lists = [index.neighbours(s, unused, 1000) for s in seeds]
+            return [(x[:most], len(x) <= most) for x in lists]
+
+        chain, at, end = packing.take_turns(size, np.arange(len(docs)), 1024, 1, retrieve)
+        pieces = packing.fill_windows(docs, index, 1024)
+        assert np.argsort(at).tolist() == list(dict.fromkeys(p[0] for p in pieces))
+        assert not chain.any() and end.tolist() == [size.sum()]
+
+
+@pytest.mark.parametrize("dense", [0, 5, 1024])
+def test_blocks_retrieve_like_one_index(spark, monkeypatch, dense):
+    monkeypatch.setattr(packing, "DENSE", dense)
+    docs, df, mean = packing_corpus()
+    tokens = spark.createDataFrame([(i, i, len(d), d.tobytes()) for i, d in enumerate(docs)],
+                                   "row long, doc_id long, n long, ids binary").repartition(3)
+    blocks = packing.Blocks(tokens, df, len(docs), mean, 20_000)
+    assert len(blocks.number) > 5 and sorted(blocks.row) == list(range(len(docs)))
+    index = packing.Index(docs, df, len(docs), mean)
+    unused = np.random.default_rng(2).random(len(docs)) < 0.7
+    seeds = np.flatnonzero(~unused)[:9].tolist()
+    for most in (1, 1000):
+        for seed, (found, whole) in zip(seeds, blocks.retrieve(seeds, unused, [most] * len(seeds))):
+            free = np.zeros(len(docs), bool)
+            free[blocks.row[unused]] = True
+            want = index.neighbours(int(blocks.row[seed]), free, len(docs))
+            assert whole == (most == 1000) and blocks.row[found].tolist() == want[:len(found)].tolist()
+            assert len(found) == len(want) if whole else 16 <= len(found)
+
+
 def test_packing_of_nothing(empty):
     assert packing.pack(empty, TOKENIZER).collect() == []
 
