@@ -243,6 +243,16 @@ def test_topk(spark, block):
     assert {r.score for r in topk.top_k(huge, huge).collect()} == {-(2**63 - 1)}
 
 
+def test_topk_broadcasts_nothing(spark, capsys):
+    rng = np.random.default_rng(3)
+    df = spark.createDataFrame([(i, rng.normal(size=8).tolist()) for i in range(300)], "vec_id long, embedding array<double>")
+    vectors = topk.integer_vectors(df)
+    few = topk.top_k(vectors.where("id % 3 = 0"), vectors, 5, 16, 8)
+    few.explain()
+    assert "Broadcast" not in capsys.readouterr().out  # the queries were, once for every block of vectors
+    assert sorted(few.collect()) == sorted(topk.top_k(vectors.where("id % 3 = 0"), vectors).collect())
+
+
 # classifiers
 
 INSULTS = ["idiot", "moron", "pathetic"]
