@@ -6,6 +6,7 @@ import random
 from collections import Counter
 from itertools import combinations, product
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -177,6 +178,48 @@ def test_texts_without_a_common_segment_are_no_candidates(spark):
     assert {tuple(r) for r in metric.metric_pairs(d, 5).collect()} == {(i, 300 + i, 2) for i in range(7)}
 
 
+def near_copies(n_groups, n_copies, length=600, seed=11):
+    rng = random.Random(seed)
+    texts = ["".join(rng.choice("ACGT") for _ in range(length)) for _ in range(n_groups)]
+    return list(dict.fromkeys(t[:i] + c + t[i + 1:] for t in texts for c in "NX" for i in rng.sample(range(length), n_copies)))
+
+
+@pytest.mark.parametrize("chars", [2000, 20_000, 1 << 22])
+def test_metric_pairs_of_many_buckets(spark, monkeypatch, chars):
+    """A cluster that is larger than a bucket, and buckets of several clusters."""
+    monkeypatch.setattr(metric, "BUCKET_CHARS", chars)
+    texts = near_copies(1, 30) + near_copies(6, 4, 300) + [t[7:] for t in near_copies(2, 3, 299)]
+    want = {(i, j, d) for (i, s), (j, t) in combinations(enumerate(texts), 2)
+            if (d := sum(x != y for x, y in zip(s, t)) + abs(len(s) - len(t))) <= 5}
+    got = [tuple(r) for r in metric.metric_pairs(spark.createDataFrame(list(enumerate(texts)), "id long, sequence string"), 5).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 1770
+
+
+def test_documents_meet_in_all_buckets():
+    key = np.array([5, 5, 5, 6, 6, 7, 8, 8], np.uint64)
+    doc, bucket = np.arange(8), np.array([1, 2, 3, 1, 1, 1, 2, 1], np.int32)
+    found = {t for step in metric._shared(key, doc, bucket) for t in zip(*(x.tolist() for x in step))}
+    assert found == {(i, int(bucket[i]), int(bucket[j])) for i in range(8) for j in range(8) if i != j and key[i] == key[j]}
+    alone = [x for step in metric._shared(key[[0, 1]], doc[[0, 1]], bucket[[0, 1]]) for x in zip(*(y.tolist() for y in step))]
+    assert sorted(alone) == [(0, 1, 2), (1, 2, 1)]
+
+
+def test_metric_pairs_keep_no_candidates(spark, monkeypatch):
+    """What is stored on the way grows with the texts: none of it has a row a pair."""
+    stored, written = [], metric.written
+
+    def kept(df, name):
+        out = written(df, name)
+        stored.append(out.count())
+        return out
+
+    monkeypatch.setattr(metric, "written", kept)
+    monkeypatch.setattr(metric, "materialize", lambda df: kept(df, "kept"))
+    texts = near_copies(2, 40)
+    pairs_ = metric.metric_pairs(spark.createDataFrame(list(enumerate(texts)), "id long, sequence string"), 5)
+    assert pairs_.count() == 2 * 80 * 79 / 2 and max(stored) <= len(texts) == 160
+
+
 def test_diverse_selection_is_reproducible_and_spread(spark):
     rows = [(i, "x", 1, "AAAA") for i in range(20)] + [(50, "x", 1, "CCCC"), (51, "x", 1, "AACC")]
     got = [{r.id for r in pairs.diverse_select(records(spark, rows).repartition(p), "grp", 3).collect()} for p in (1, 8)]
