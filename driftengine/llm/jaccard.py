@@ -41,13 +41,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftengine.llm.common import hashed_words, mix, ramp, rows, shingles, sized_join, stored, texts
+from driftengine.llm.common import forget_shuffles, hashed_words, mix, ramp, rows, shingles, sized_join, stored, texts
 from driftengine.llm.components import components
 
 #: Documents of a block that are searched in one task, their shingles, and the pivots that chunks share.
 BLOCK_DOCS, BLOCK_SHINGLES, PIVOTS = 4096, 1 << 22, 16
-#: Larger blocks are not cut by sketches: a sketch is compared with all others of its block.
-SKETCH_DOCS = 32_768
+#: Sketches of a block and size class that are compared in one task; more are dealt into parts, and each
+#: two parts meet in a task.
+SKETCH_DOCS = 8192
 #: Documents per bucket of the comparison of parts.
 BUCKET_DOCS = 2048
 #: Distinct shingles of batches that are counted in one task.
@@ -140,14 +141,16 @@ def parity_sketches(hashes: np.ndarray, size: np.ndarray, bits: np.ndarray) -> l
     return [packed[a // 8:(a + n) // 8].tobytes() for a, n in zip(base, bits)]
 
 
-def sketch_components(sketches: np.ndarray, size: np.ndarray, percent: int) -> np.ndarray:
-    """Smallest position that each row is connected to by pairs the sketches do not rule out."""
+def sketch_components(sketches: np.ndarray, size: np.ndarray, percent: int, split: int | None = None) -> np.ndarray:
+    """Smallest position that each row is connected to by pairs the sketches do not rule out; with
+    ``split``, by pairs of a row before that place and one from there on."""
     label = np.arange(len(size))
-    for i in range(len(size) - 1):
-        differ = np.bitwise_count(sketches[i + 1:] ^ sketches[i]).sum(axis=1, dtype=np.int64)
-        both = size[i + 1:] + size[i]
+    for i in range(len(size) - 1 if split is None else split):
+        rest = i + 1 if split is None else split
+        differ = np.bitwise_count(sketches[rest:] ^ sketches[i]).sum(axis=1, dtype=np.int64)
+        both = size[rest:] + size[i]
         near = differ * (100 + percent) <= both * (100 - percent)
-        other = np.unique(label[i + 1:][near])
+        other = np.unique(label[rest:][near])
         other = other[other != label[i]]
         if len(other):
             joined = np.append(other, label[i])
@@ -458,13 +461,8 @@ def _by_block(items: DataFrame, work: Callable[[pa.Table], pa.Table]) -> DataFra
 
 
 def _sketched(searching: DataFrame, blocks: DataFrame, k: int, percent: int) -> DataFrame:
-    """Edges that connect what sketches leave of each block (node, root). Blocks of more than
-    ``SKETCH_DOCS`` documents are left as they are; only their edges are moved."""
-    per = blocks.groupBy("root").agg(F.count(F.lit(1)).alias("docs"))
-    wide = stored(per.where(F.col("docs") > SKETCH_DOCS).select("root"), "wide")
-    uncut = sized_join(blocks, wide, "root", width=16, how="left_semi").select(F.col("node").alias("a"), F.col("root").alias("b"))
-    blocks = sized_join(blocks, wide, "root", width=16, how="left_anti")
-
+    """Edges that connect what sketches leave of each block (node, root). Common passages can tie most
+    documents into one block; its sketches are a small part of its shingles."""
     def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows(batches, PIECE):
             hashes, size = document_sets(texts(batch), k)
@@ -476,20 +474,28 @@ def _sketched(searching: DataFrame, blocks: DataFrame, k: int, percent: int) ->
                 bits = np.array([sketch_bits(i, firsts, percent) for i in level], np.int64)
                 picked = np.repeat(np.isin(np.arange(len(size)), doc), size)
                 made = parity_sketches(hashes[picked], size[doc], bits)
-                root = batch.column("root").take(pa.array(doc)).to_pylist()
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([f"{r}:{i}" for r, i in zip(root, level)], pa.string()), batch.column("key").take(pa.array(doc)),
-                     pa.array(size[doc]), pa.array(made, pa.binary())], names=["block", "key", "n", "sketch"])
+                    [batch.column("root").take(pa.array(doc)), pa.array(level, pa.int32()), batch.column("key").take(pa.array(doc)),
+                     pa.array(size[doc]), pa.array(made, pa.binary())], names=["root", "level", "key", "n", "sketch"])
 
     def connect(group: pa.Table) -> pa.Table:
-        key, size = (np.asarray(group.column(c)) for c in ("key", "n"))
+        group = group.sort_by("side")
+        key, size, side = (np.asarray(group.column(c)) for c in ("key", "n", "side"))
         bits = np.stack([np.frombuffer(s.as_buffer(), np.uint64) for s in group.column("sketch")])
-        label = sketch_components(bits, size, percent)
+        label = sketch_components(bits, size, percent, int((side == 0).sum()) if side.any() else None)
         return pa.table({"a": key, "b": key[label]}).filter(pa.array(key != key[label]))
 
     inside = sized_join(searching, blocks.withColumnRenamed("node", "key"), "key", width=24, how="inner")
-    cut = _by_block(inside.select("root", "key", "text").mapInArrow(sketches, "block string, key long, n long, sketch binary"), connect)
-    return cut.union(uncut)
+    made = stored(inside.select("root", "key", "text").mapInArrow(
+        sketches, "root long, level int, key long, n long, sketch binary"), "sketches")
+    per = made.groupBy("root", "level").agg(F.ceil(F.count(F.lit(1)) / SKETCH_DOCS).cast("int").alias("parts"))
+    wide = stored(per.where("parts > 1"), "wide")
+    dealt = sized_join(made, wide, ["root", "level"], width=24).withColumn("parts", F.coalesce("parts", F.lit(1)))
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts"))).withColumn(
+        "other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    name = F.concat_ws(":", *[c.cast("string") for c in (F.col("root"), F.col("level"), F.least("part", "other"), F.greatest("part", "other"))])
+    cells = dealt.select(name.alias("block"), "key", "n", "sketch", (F.col("part") > F.col("other")).cast("int").alias("side"))
+    return _by_block(cells, connect)
 
 
 def _links_of(group: pa.Table, percent: int) -> pa.Table:
@@ -545,8 +551,12 @@ def similar_components(docs: DataFrame, k: int = 5, percent: int = 80, block_doc
     may = stored(may.groupBy("key").agg(F.sum("n").alias("n")), "linkable")
     searching = sized_join(searching, may.select("key"), "key", width=16, how="left_semi")
 
+    forget_shuffles(docs.sparkSession)  # each of the next steps needs about as much as this one
+
     def with_roots(found: DataFrame) -> DataFrame:
-        return stored(found.union(found.select("root", "root").distinct()), "blocks")
+        out = stored(found.union(found.select("root", "root").distinct()), "blocks")
+        forget_shuffles(docs.sparkSession)
+        return out
 
     blocks = with_roots(components(candidate_edges(searching, k, percent, buckets(may.count()))))
     blocks = with_roots(components(_sketched(searching, blocks, k, percent)))

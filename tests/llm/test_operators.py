@@ -213,6 +213,35 @@ def test_components_of_a_path_and_a_star(spark):
     assert got == {**{i: 0 for i in range(1, 41)}, **{100 + i: 100 for i in range(1, 30)}}
 
 
+@pytest.mark.parametrize("most", [4, 7, 8192])
+def test_large_blocks_are_cut_by_sketches(spark, monkeypatch, most):
+    """Documents that share a passage, each with a near copy: of one block, only the copies are left together."""
+    monkeypatch.setattr(jaccard, "SKETCH_DOCS", most)
+    rng = random.Random(12)
+    text = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
+    passage, rows = text(30), []
+    for i in range(20):
+        words = text(60) + passage
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join([*words[:5], "changed", *words[6:]]))]
+    docs = spark.createDataFrame(rows, "key long, text string").repartition(3)
+    blocks = spark.createDataFrame([(i, 0) for i in range(40)], "node long, root long")
+    forest = jaccard.Forest(40)
+    for a, b in jaccard._sketched(docs, blocks, 3, 80).collect():
+        forest.join(a, b)
+    assert [forest.find(i) for i in range(40)] == [i - i % 2 for i in range(40)]
+    found = jaccard.similar_components(docs.withColumnRenamed("key", "doc_id"), 3, 80).collect()
+    assert sorted((r.doc_id, r.component_id) for r in found) == [(i, i - i % 2) for i in range(40)]
+
+
+def test_sketches_of_two_parts():
+    rng = np.random.default_rng(4)
+    bits, size = rng.integers(0, 1 << 62, (9, 4)).astype(np.uint64), np.full(9, 60)
+    bits[6] = bits[1]
+    bits[3] = bits[2]
+    assert jaccard.sketch_components(bits, size, 80).tolist() == [0, 1, 2, 2, 4, 5, 1, 7, 8]
+    assert jaccard.sketch_components(bits, size, 80, 5).tolist() == [0, 1, 2, 3, 4, 5, 1, 7, 8]
+
+
 # top-k
 
 @pytest.mark.parametrize("block", [4096, 7])
